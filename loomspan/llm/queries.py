@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loomspan.llm.quality import op8_quality_rules
 from loomspan.llm.simhash import op6_simhash
+from loomspan.llm.toxicity import op1_toxicity
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op6_simhash, op8_quality_rules)}
 ORACLE: dict[str, str] = {}
