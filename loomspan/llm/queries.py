@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from loomspan.llm.quality import op8_quality_rules
+from loomspan.llm.sentencepiece_scan import op5_sentencepiece
 from loomspan.llm.simhash import op6_simhash
+from loomspan.llm.token_file import op2_token_file
 from loomspan.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op6_simhash, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_file, op5_sentencepiece, op6_simhash, op8_quality_rules)}
 ORACLE: dict[str, str] = {}
