@@ -6,8 +6,9 @@ from loomspan.llm.lm import op9_lm_score
 from loomspan.llm.quality import op8_quality_rules
 from loomspan.llm.sentencepiece_scan import op5_sentencepiece
 from loomspan.llm.simhash import op6_simhash
+from loomspan.llm.substring import op10_substring_dedup
 from loomspan.llm.token_file import op2_token_file
 from loomspan.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_file, op5_sentencepiece, op6_simhash, op8_quality_rules, op9_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_file, op5_sentencepiece, op6_simhash, op8_quality_rules, op9_lm_score, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
