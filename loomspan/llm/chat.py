@@ -87,9 +87,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
     convs = convs.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     first = convs.withColumn("plain", _parts(F.col("turns"), False))
     same = parsed(joined(F.col("plain"))) == F.col("turns")
-    return first.select("conv_id", "turns", F.coalesce(same, F.lit(False)).alias("same"), "plain").select(
-        "conv_id", F.when(F.col("same"), F.col("plain")).otherwise(_parts(F.col("turns"), True)).alias("parts"), (~F.col("same")).alias("escaped")
-    )
+    first = first.withColumn("same", F.coalesce(same, F.lit(False)))
+    second = first.withColumn("safe", F.when(~F.col("same"), _parts(F.col("turns"), True)))
+    again = parsed(joined(F.col("safe"))) == F.col("turns")
+    wrong = F.raise_error("an escaped conversation does not read back").cast("array<struct<text:string,loss:boolean>>")
+    chosen = F.when(F.col("same"), F.col("plain")).when(again, F.col("safe")).otherwise(wrong)
+    return second.select("conv_id", chosen.alias("parts"), (~F.col("same")).alias("escaped"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
