@@ -1,4 +1,4 @@
-"""Queries over the test tables, each with its oracle SQL."""
+"""Queries over the test tables, each with its oracle SQL. Import loomspan.plans.catalog to fill it."""
 
 from __future__ import annotations
 
