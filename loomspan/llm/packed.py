@@ -28,16 +28,16 @@ def unpacked(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
 
 
-def squeezed(raw: bytes) -> bytes:
-    return _PACK.compress(raw)
+def squeezed(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def restored(raw: bytes) -> bytes:
     return _UNPACK.decompress(raw)
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): keys[order] is sorted by bucket and key; bounds delimit the buckets."""
+def by_bucket(keys: np.ndarray, buckets: int, then: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): keys[order] is sorted by bucket, key and then; bounds delimit the buckets."""
     where = keys % np.uint64(buckets)
-    order = np.lexsort((keys, where))
+    order = np.lexsort((keys, where) if then is None else (then, keys, where))
     return order, np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))

@@ -9,12 +9,15 @@ strings lie at the same place of phrases with equal triggers, so phrases
 (with that lookahead, as parsing of this kind keeps its overlaps) decide all
 matches:
 
-1. triggers seen once in the corpus have no match (bucket exchange, see packed);
-2. the parse: of a phrase's occurrences all but the first in corpus order are
+1. the parse: of a phrase's occurrences all but the first in corpus order are
    covered whole;
-3. the dictionary: distinct phrases that share a trigger are compared by their
-   suffixes in order of their first 100 bytes, where a run of equal ones is one
-   row each and keeps the one that is first in corpus order.
+2. the dictionary: first occurrences of phrases that share a trigger with
+   another phrase are compared by their suffixes in the order of their first
+   100 bytes (hashed), and of equal ones the first in corpus order stays;
+3. a trigger with one phrase has no other match.
+
+Both questions go through the bucket exchange (see packed): a batch of texts
+names each phrase and each string once, with its smallest document.
 """
 
 from __future__ import annotations
@@ -82,110 +85,136 @@ def phrases(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> dict[str,
 
 
 def _batches(docs: DataFrame, kind: str, batch_bytes: int) -> DataFrame:
-    """Rows of up to batch_bytes of text, compressed, with keys and the hashes that order texts of one key."""
+    """Rows of up to batch_bytes of text, compressed, with keys."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for b in it:
             for i, j, data, at in slices(b.column(1), batch_bytes):
-                raw = data.tobytes()
-                texts = [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                sums = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in texts], np.uint64)
                 number += 1
                 cols = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0).slice(i, j - i))]
-                yield pa.record_batch([*cols, *[pa.array([x], pa.binary()) for x in (packed(at.astype(np.int64)), packed(sums), squeezed(raw))]], names=["batch", "keys", "at", "sums", "texts"])
+                yield pa.record_batch([*cols, *[pa.array([x], pa.binary()) for x in (packed(at.astype(np.int64)), squeezed(data.tobytes(), 5))]], names=["batch", "keys", "at", "texts"])
+
+    return docs.mapInArrow(work, f"batch long, keys array<{kind}>, at binary, texts binary")
+
 
-    return docs.mapInArrow(work, f"batch long, keys array<{kind}>, at binary, sums binary, texts binary")
+def _orders(keys: list) -> np.ndarray:
+    """Document order of a batch's keys; a null comes first."""
+    return np.array([-(1 << 63) if k is None else int(k) for k in keys], np.int64)
 
 
-def _orders(keys: list) -> list[int]:
-    return [-(1 << 63) if k is None else int(k) for k in keys]
+def _firsts(names: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lead): rows sorted by names and corpus order, and which of them are the first of their name in the batch."""
+    order = np.lexsort((start, doc, *reversed(names)))
+    lead = np.ones(len(order), bool)
+    if len(order):
+        lead[1:] = np.logical_or.reduce([n[order][1:] != n[order][:-1] for n in names])
+    return order, lead
 
 
-def _asks(buckets: int, length: int):
+def _parse(texts: bytes, at: np.ndarray, docs: np.ndarray, buckets: int, length: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's phrases; the indices of its first ones in request order, their bucket bounds, and the indices of the others."""
+    p = phrases(np.frombuffer(texts, np.uint8), at, length)
+    order, lead = _firsts([p["trigger"], p["phrase"]], docs[p["i"]], p["lo"])
+    first = order[lead]
+    by, bounds = by_bucket(p["trigger"][first], buckets, p["phrase"][first])
+    return p, first[by], bounds, order[~lead]
+
+
+def _ask_phrases(buckets: int, length: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for number, at, texts in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                keys, n = np.unique(phrases(np.frombuffer(restored(texts), np.uint8), unpacked(at, np.int64), length)["trigger"], return_counts=True)
-                order, bounds = by_bucket(keys, buckets)
-                keys, many = keys[order], (n > 1).astype(np.uint8)[order]
-                cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
-                cols = [pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int64()), pa.array([packed(keys[x:y]) for x, y in cuts], pa.binary()), pa.array([packed(many[x:y]) for x, y in cuts], pa.binary())]
-                yield pa.record_batch(cols, names=["bucket", "batch", "keys", "many"])
+            for number, keys, at, texts in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                docs = _orders(keys)
+                p, first, bounds, _ = _parse(restored(texts), unpacked(at, np.int64), docs, buckets, length)
+                sides = [p["trigger"][first], p["phrase"][first] >> np.uint64(24), docs[p["i"][first]]]
+                yield _request(number, sides, bounds, buckets)
 
     return work
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """For each request which of its triggers occur more than once in the corpus."""
-    keys = [unpacked(x, np.uint64) for x in t.column("keys").to_pylist()]
-    many = np.concatenate([unpacked(x, np.uint8) for x in t.column("many").to_pylist()])
-    _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    yes = np.bincount(inv, 1 + many)[inv] > 1 if len(inv) else np.zeros(0, bool)
-    ends = np.cumsum([0, *map(len, keys)])
-    bits = [packed(yes[a:b].astype(np.uint8)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "yes": pa.array(bits, pa.binary())})
+def _request(number: int, sides: list[np.ndarray], bounds: np.ndarray, buckets: int) -> pa.RecordBatch:
+    cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+    cols = [pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int64())]
+    return pa.record_batch(cols + [pa.array([packed(x[i:j]) for i, j in cuts], pa.binary()) for x in sides], names=["bucket", "batch", *"abc"[: len(sides)]])
+
 
+def _answer(t: pa.Table) -> pa.Table:
+    """For each name in a request: 1 if another batch has it earlier, else 2 if its first part has another second part, else 0."""
+    a = [unpacked(x, np.uint64) for x in t.column("a").to_pylist()]
+    size = list(map(len, a))
+    batch = np.repeat(t.column("batch").to_numpy(), size)
+    doc = np.concatenate([unpacked(x, np.int64) for x in t.column("c").to_pylist()])
+    a, b = np.concatenate(a), np.concatenate([unpacked(x, np.uint64) for x in t.column("b").to_pylist()])
+    order = np.lexsort((batch, doc, b, a))
+    code = np.zeros(len(order), np.uint8)
+    if len(order):
+        new_a = np.append(True, a[order][1:] != a[order][:-1])
+        new = new_a | np.append(True, b[order][1:] != b[order][:-1])
+        group = np.cumsum(new_a) - 1
+        kinds = np.bincount(group, new)
+        code[order] = np.where(~new, 1, np.where(kinds[group] > 1, 2, 0))
+    ends = np.cumsum([0, *size])
+    return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "code": pa.array([packed(code[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
-def _found(buckets: int, length: int):
-    """The phrases of a batch whose triggers occur elsewhere; of equal phrases in the batch the first alone has its bytes."""
+
+def _codes(answers: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *[unpacked(x, np.uint8) for x in answers.sort_by("bucket").column("code").to_pylist()]])
+
+
+def _settle_phrases(buckets: int, length: int):
+    """Covered stretches of a batch as (first string, number of strings), and the strings that are still open, each once."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
-        at, sums, keys = unpacked(r["at"], np.int64), unpacked(r["sums"], np.uint64), np.array(_orders(r["keys"]), np.int64)
-        raw = restored(r["texts"])
-        p = phrases(np.frombuffer(raw, np.uint8), at, length)
-        distinct, inv = np.unique(p["trigger"], return_inverse=True)
-        order, _ = by_bucket(distinct, buckets)
-        yes = np.zeros(len(distinct), bool)
-        yes[order] = np.concatenate([np.zeros(0, np.uint8), *[unpacked(x, np.uint8) for x in right.sort_by("bucket").column("yes").to_pylist()]]).astype(bool)
-        hit = np.flatnonzero(yes[inv]) if len(inv) else np.zeros(0, np.int64)
-        i, lo, hi, place = (p[c][hit] for c in ("i", "lo", "hi", "place"))
-        text = sums.view(np.int64)[i]
-        ranked = np.lexsort((lo, i, text, keys[i], p["phrase"][hit]))
-        same = p["phrase"][hit][ranked]
-        lead = np.zeros(len(hit), bool)
-        lead[ranked[np.append(True, same[1:] != same[:-1])[: len(same)]]] = True
-        body = [raw[a : b + length] if one else None for a, b, one in zip(lo.tolist(), hi.tolist(), lead.tolist(), strict=True)]
-        cols = {
-            "trigger": pa.array(p["trigger"][hit].view(np.int64)), "phrase": pa.array(p["phrase"][hit].view(np.int64)), "doc": pa.array(keys[i]), "text": pa.array(text),
-            "batch": pa.array(np.full(len(hit), r["batch"]), pa.int64()), "i": pa.array(i.astype(np.int32)), "pos": pa.array(lo - at[i]), "n": pa.array((hi - lo + 1).astype(np.int32)), "body": pa.array(body, pa.binary()),
-        }
-        return pa.table(cols)
+        docs, at, raw = _orders(r["keys"]), unpacked(r["at"], np.int64), restored(r["texts"])
+        p, first, _, rest = _parse(raw, at, docs, buckets, length)
+        code = _codes(right)
+        gone = np.concatenate([first[code == 1], rest])
+        start, n = p["lo"][gone], p["hi"][gone] - p["lo"][gone] + 1
+        entry = first[code == 2]
+        many = p["hi"][entry] - p["lo"][entry] + 1
+        at_string = np.repeat(p["lo"][entry] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        strings = window_hashes(prefix_hash(np.frombuffer(raw, np.uint8)), length)[at_string] if len(at_string) else np.zeros(0, np.uint64)
+        owner = docs[np.repeat(p["i"][entry], many)]
+        order, lead = _firsts([strings], owner, at_string)
+        again = at_string[order[~lead]]
+        order = order[lead]
+        by, bounds = by_bucket(strings[order], buckets)
+        order = order[by]
+        cols = {"batch": r["batch"], "start": packed(np.concatenate([start, again]).astype(np.uint32)), "n": packed(np.concatenate([n, np.ones(len(again), np.int64)]).astype(np.uint32))}
+        cols |= {"string": packed(strings[order]), "doc": packed(owner[order]), "place": packed(at_string[order].astype(np.uint32)), "bounds": packed(bounds.astype(np.int64))}
+        return pa.table({k: pa.array([v], pa.int64() if k == "batch" else pa.binary()) for k, v in cols.items()})
 
     return work
 
 
-def _suffixes(length: int):
-    """The strings of dictionary phrases: one row for each, by the hash of its bytes."""
-
+def _ask_strings(buckets: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            if not b.num_rows:
-                continue
-            names = b.schema.names
-            n = b.column(names.index("n")).to_numpy()
-            sizes = np.concatenate([[0], np.cumsum([len(x.as_py()) for x in b.column(names.index("body"))])])
-            data = np.frombuffer(b"".join(x.as_py() for x in b.column(names.index("body"))), np.uint8)
-            row = np.repeat(np.arange(b.num_rows), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            hashes = window_hashes(prefix_hash(data), length)[sizes[row] + step]
-            take = pa.array(row)
-            cols = [pa.array(hashes.view(np.int64)), *[b.column(names.index(c)).take(take) for c in ("doc", "text", "batch", "i")], pa.array(b.column(names.index("pos")).to_numpy()[row] + step)]
-            yield pa.record_batch(cols, names=["string", "doc", "text", "batch", "i", "pos"])
+            for number, string, doc, bounds in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                string = unpacked(string, np.uint64)
+                yield _request(number, [string, np.zeros(len(string), np.uint64), unpacked(doc, np.int64)], unpacked(bounds, np.int64), buckets)
 
     return work
 
 
+def _settle_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+    r = left.to_pylist()[0]
+    more = unpacked(r["place"], np.uint32)[_codes(right) == 1]
+    start, n = np.concatenate([unpacked(r["start"], np.uint32), more]), np.concatenate([unpacked(r["n"], np.uint32), np.ones(len(more), np.uint32)])
+    return pa.table({"batch": left.column("batch"), "start": pa.array([packed(start)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+
+
 def _kept(kind: str, length: int):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
         at, raw = unpacked(r["at"], np.int64), restored(r["texts"])
         gone = np.zeros(len(raw) + 1, np.int32)
-        if right.num_rows:
-            start = at[right.column("i").to_numpy()] + right.column("pos").to_numpy()
+        for x, y in zip(right.column("start").to_pylist(), right.column("n").to_pylist(), strict=True):
+            start, n = unpacked(x, np.uint32).astype(np.int64), unpacked(y, np.uint32).astype(np.int64)
             np.add.at(gone, start, 1)
-            np.add.at(gone, start + right.column("n").to_numpy() + (length - 1), -1)
+            np.add.at(gone, start + n + (length - 1), -1)
         gone = np.cumsum(gone)[:-1] > 0
         data = np.frombuffer(raw, np.uint8)
         rows = []
@@ -205,34 +234,22 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", b
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans): what stays of every whole text, spans as [start, end) bytes removed.
 
     Corpus order is by integer key, a null key first; rows of one key are
-    ordered by a hash of their texts, and of wholly equal rows one counts as
-    the earlier. A null text is empty; extra columns are ignored; an empty
-    table gives an empty result. Strings are compared by 64-bit hashes.
+    ordered as they are read, so of wholly equal rows one stays. A null text is
+    empty; extra columns are ignored; an empty table gives an empty result.
+    Strings are compared by 64-bit hashes, phrases by 104 bits.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     held = written(_batches(rows, kind, batch_bytes), "substring-batches")
-    asks = held.select("batch", "at", "texts").mapInArrow(_asks(buckets, LENGTH), "bucket int, batch long, keys binary, many binary")
-    told = asks.groupBy("bucket").applyInArrow(_shared, "batch long, bucket int, yes binary")
-    find = _found(buckets, LENGTH)
-    found = held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: find(a, b), "trigger long, phrase long, doc long, text long, batch long, i int, pos long, n int, body binary")
-    found = written(found, "substring-phrases")
-    place = F.struct("doc", "text", "batch", "i", "pos")
-    firsts = written(
-        found.groupBy("phrase").agg(F.min(place).alias("first"), F.first("trigger").alias("trigger"), F.first("n").alias("n"), F.max("body").alias("body"), F.count("*").alias("seen")),
-        "substring-dictionary",
-    )
-    repeated = firsts.where("seen > 1").select("phrase", "first")
-    later = found.select("phrase", "batch", "i", "pos", "n", place.alias("here")).join(repeated, "phrase").where("here <> first").select("batch", "i", "pos", "n")
-    several = firsts.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1").select("trigger")
-    entries = firsts.join(several, "trigger").select("first.*", "n", "body")
-    strings = entries.mapInArrow(_suffixes(LENGTH), "string long, doc long, text long, batch long, i int, pos long")
-    strings = written(strings, "substring-strings")
-    lead = strings.groupBy("string").agg(F.min(place).alias("first"), F.count("*").alias("seen")).where("seen > 1").select("string", "first")
-    inner = strings.select("string", "batch", "i", "pos", place.alias("here")).join(lead, "string").where("here <> first").select("batch", "i", "pos", F.lit(1).alias("n"))
-    marks = later.unionByName(inner)
+    request, answer = "bucket int, batch long, a binary, b binary, c binary", "batch long, bucket int, code binary"
+    told = held.mapInArrow(_ask_phrases(buckets, LENGTH), request).groupBy("bucket").applyInArrow(_answer, answer)
+    settle = _settle_phrases(buckets, LENGTH)
+    opened = held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: settle(a, b), "batch long, start binary, n binary, string binary, doc binary, place binary, bounds binary")
+    opened = written(opened, "substring-phrases")
+    told = opened.select("batch", "string", "doc", "bounds").mapInArrow(_ask_strings(buckets), request).groupBy("bucket").applyInArrow(_answer, answer)
+    marks = opened.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_settle_strings, "batch long, start binary, n binary")
     keep, schema = _kept(kind, LENGTH)
     out = held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda a, b: keep(a, b), schema)
     return out.withColumnRenamed("key", key)
