@@ -1,6 +1,6 @@
 """Fills the registry."""
 
-from loomspan.plans import patterns  # noqa: F401
+from loomspan.plans import doc_queries, graph_queries, patterns, text_queries  # noqa: F401
 from loomspan.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
