@@ -335,9 +335,10 @@ def _compare(op: str, a: Value, b: Value) -> Column:
     if "num" in (a.type, b.type):
         return fn(a.number(), b.number())
     x, y = a.number(), b.number()
-    if "term" in (a.type, b.type) and op in ("=", "!=") and a.type == b.type:
-        return F.when(x.isNotNull() & y.isNotNull(), fn(x, y)).otherwise(fn(a.col, b.col))
-    return F.when(x.isNotNull() & y.isNotNull(), fn(x, y)).otherwise(fn(a.text(), b.text()))
+    numeric = lambda v: F.coalesce(v.col["dt"].isin(NUMERIC), F.lit(False)) if v.type == "term" else F.lit(False)
+    if a.type == b.type == "term" and op in ("=", "!="):
+        return F.when(numeric(a) & numeric(b), fn(x, y)).otherwise(fn(a.col, b.col))
+    return F.when(numeric(a) | numeric(b), fn(x, y)).otherwise(fn(a.text(), b.text()))
 
 
 @dataclass

@@ -34,12 +34,14 @@ class Events(HTMLParser):
             if tag == "p":  # a new paragraph ends one that was left open
                 while self.open and self.open[-1][0] == "p":
                     self._close()
-            self.open.append((tag, a.get("class"), a.get("id"), []))
+            self.open.append((tag, a.get("class"), list(self.divs), []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.quiet = max(0, self.quiet - 1)
         elif tag == "div" and self.divs:
+            while self.open and self.open[-1][0] != "div" and len(self.open[-1][2]) >= len(self.divs):  # what was left open in it ends with it
+                self._close()
             self.divs.pop()
         if tag in self.tags and any(o[0] == tag for o in self.open):
             while self.open and self.open[-1][0] != tag:
@@ -55,15 +57,12 @@ class Events(HTMLParser):
         while self.open:
             self._close()
 
-    def _last(self, pattern: re.Pattern) -> str | None:
-        return next((d for d in reversed(self.divs) if pattern.fullmatch(d)), None)
-
     def _close(self) -> None:
-        tag, cls, _, parts = self.open.pop()
+        tag, cls, divs, parts = self.open.pop()
+        last = lambda pattern: next((d for d in reversed(divs) if pattern.fullmatch(d)), None)
         text = re.sub(r"\s+", " ", "".join(parts)).strip()
         if text:
-            unit = self._last(ARTICLE) or self._last(ANNEX)
-            self.rows.append((len(self.rows), tag, cls, self._last(CHAPTER), unit, self._last(CONTAINER), text))
+            self.rows.append((len(self.rows), tag, cls, last(CHAPTER), last(ARTICLE) or last(ANNEX), last(CONTAINER), text))
 
 
 def events(pages: DataFrame, html: str = "html", key: str = "page_id", tags: tuple[str, ...] = ("p", "h1", "title", "li", "td")) -> DataFrame:

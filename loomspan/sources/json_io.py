@@ -40,7 +40,8 @@ def write_json(df: DataFrame, path: str) -> None:
 def nested_report(metrics: DataFrame, section: str = "section", key: str = "metric", value: str = "value") -> DataFrame:
     """A long table of metrics as one JSON text."""
     per = metrics.groupBy(section).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("string").alias("v"))))).alias("m"))
-    return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(section).alias("k"), F.col("m").alias("v")))))).alias("json"))
+    part = F.concat(F.lit('"'), F.col(section), F.lit('":'), F.to_json("m"))
+    return per.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(part)), ","), F.lit("}")).alias("json"))
 
 
 def slots(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
