@@ -181,7 +181,7 @@ class PieceModel:
                 best, start, piece = self.lattice(u, len(u), {0: 0})
                 got = (array("I", self.trace(u, start, piece, len(u))[0]).tobytes(), best[len(u)])
             if len(u) <= 64:
-                if len(self._units) > 250_000:
+                if len(self._units) > 150_000:
                     self._old, self._units = self._units, {}
                 self._units[u] = got
         return got

@@ -31,19 +31,30 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), LOWEST)
 
 
+def _narrow(m: PieceModel, s: str, n: int) -> tuple[int, list[str], int] | None:
+    """(head, units, tail) of a chunk: all paths pass the unit bounds head and tail and take the units between them; None if there are no two such bounds.
+
+    Entry states lie before head; the last unit, from tail, may go on beyond n.
+    """
+    if not m.by_word:
+        return None
+    units = m.units(s[:n])
+    head = k = 0
+    while k < len(units) and head < m.longest - 1:
+        head += len(units[k])
+        k += 1
+    if k >= len(units) - 1:
+        return None
+    return head, units[k:-1], n - len(units[-1])
+
+
 def transfer(m: PieceModel, s: str, n: int) -> np.ndarray:
     """The matrix of a chunk of n characters; s holds what pieces may reach beyond it too."""
     size = m.longest
     out = np.full((size, size), LOWEST, np.int64)
-    ends, at = [], 0
-    for u in m.units(s[:n]):
-        at += len(u)
-        ends.append(at)
-    # paths from all entry states meet at the first unit bound behind the last of them; the last unit may go on beyond n
-    first = next((k for k, e in enumerate(ends) if e >= size - 1), len(ends)) if m.by_word else len(ends)
-    if first < len(ends) - 1:
-        head, tail = ends[first], ends[-2]
-        middle = sum(m.unit(s[a:b])[1] for a, b in zip(ends[first:-2], ends[first + 1 : -1], strict=True))
+    if (bounds := _narrow(m, s, n)) is not None:
+        head, units, tail = bounds
+        middle = sum([m.unit(u)[1] for u in units])
         best, _, _ = m.lattice(s[tail:], n - tail, {0: 0})
         right = np.array((best[n - tail :] + [LOWEST] * size)[:size])
         for i in range(min(size, head + 1)):
@@ -80,14 +91,28 @@ def _local(m: PieceModel, s: str, n: int, states: np.ndarray) -> tuple[list[int]
 
 def entry_map(m: PieceModel, s: str, n: int, states: np.ndarray) -> list[int]:
     """For each exit state the entry state of its best path; -1 where none leads."""
+    if (bounds := _narrow(m, s, n)) is not None:
+        head, _, tail = bounds
+        _, start, piece = _local(m, s[:head], head, states)
+        entry = m.trace(s, start, piece, head)[1]
+        best, _, _ = m.lattice(s[tail:], n - tail, {0: 0})
+        return [entry if n - tail + j < len(best) and best[n - tail + j] > LOWEST else -1 for j in range(m.longest)]
     best, start, piece = _local(m, s, n, states)
     return [m.trace(s, start, piece, n + j)[1] if n + j < len(best) and best[n + j] > LOWEST else -1 for j in range(m.longest)]
 
 
 def chunk_ids(m: PieceModel, s: str, n: int, states: np.ndarray, leave: int) -> bytes:
     """The ids of the pieces that start in the chunk on the best path to exit state leave."""
+    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    if (bounds := _narrow(m, s, n)) is not None:
+        head, units, tail = bounds
+        _, start, piece = _local(m, s[:head], head, states)
+        left = m.trace(s, start, piece, head)[0]
+        _, start, piece = m.lattice(s[tail:], n - tail, {0: 0})
+        right = m.trace(s[tail:], start, piece, n - tail + leave)[0]
+        return pack(left) + b"".join([m.unit(u)[0] for u in units]) + pack(right)
     _, start, piece = _local(m, s, n, states)
-    return np.array(m.trace(s, start, piece, n + leave)[0], "<u4").tobytes()
+    return pack(m.trace(s, start, piece, n + leave)[0])
 
 
 def scan_encode(m: PieceModel, text: str, chunk: int) -> bytes:
