@@ -116,7 +116,8 @@ def digests(read: DataFrame) -> DataFrame:
 
 def with_odd_one(conversations: DataFrame) -> DataFrame:
     """The table and conversation -1, whose texts are made of control strings."""
-    odd = conversations.sparkSession.createDataFrame([(-1, 0, "user", ODD_TEXT), (-1, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = conversations.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(ODD_TEXT).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(odd)
 
 
