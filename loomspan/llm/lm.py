@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.packed import by_bucket, packed, unpacked
+from loomspan.llm.packed import by_bucket, packed, packed_steps, unpacked, unpacked_steps
 from loomspan.llm.textops import SPACE, lowered, mixed, prefix_hash, runs, slices, stretch_hash
 from loomspan.llm.toxicity import fold
 from loomspan.session import written
@@ -58,8 +58,8 @@ def _pair_keys(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """48 bits beside what the bucket says of a bigram's key."""
-    return (keys // np.uint64(buckets)) & np.uint64((1 << 48) - 1)
+    """40 bits beside what the bucket says of a bigram's key; more buckets tell more keys apart."""
+    return (keys // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
 
 
 def batches_of(docs: DataFrame, text: str, key: str, batch_bytes: int) -> DataFrame:
@@ -71,12 +71,17 @@ def batches_of(docs: DataFrame, text: str, key: str, batch_bytes: int) -> DataFr
         for b in it:
             for i, j, data, at in slices(b.column(2), batch_bytes):
                 toks, offs = tokens_of(data, at)
-                words, idx = np.unique(toks, return_inverse=True)
+                words, idx, n = np.unique(toks, return_inverse=True, return_counts=True)
+                # frequent words first, by powers of two, so that indices compress; within a power by hash, so that hashes do
+                order = np.lexsort((words, -np.floor(np.log2(n))))
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                words, idx = words[order], rank[idx]
                 folds = np.array(b.column(1).slice(i, j - i).to_pylist(), np.uint8)
                 keys = b.column(0).slice(i, j - i)
                 number += 1
                 cols = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), keys)]
-                cols += [pa.array([x], pa.binary()) for x in (folds.tobytes(), packed(offs.astype(np.int64)), packed(words), packed(idx.astype(np.uint32)))]
+                cols += [pa.array([x], pa.binary()) for x in (folds.tobytes(), packed_steps(offs.astype(np.int64)), packed_steps(words), packed(idx.astype(np.uint32)))]
                 yield pa.record_batch(cols, names=["batch", "keys", "folds", "at", "words", "idx"])
 
     rows = docs.select(F.col(key).alias("key"), fold(key, 7).cast("int").alias("fold"), F.col(text).cast("string").alias("text"))
@@ -93,7 +98,7 @@ def _requests(buckets: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for number, folds, at, words, idx in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-                folds, at, words, idx = np.frombuffer(folds, np.uint8), unpacked(at, np.int64), unpacked(words, np.uint64), unpacked(idx, np.uint32).astype(np.uint64)
+                folds, at, words, idx = np.frombuffer(folds, np.uint8), unpacked_steps(at, np.int64), unpacked_steps(words, np.uint64), unpacked(idx, np.uint32).astype(np.uint64)
                 train, held = _weights(folds, at)
                 count = lambda inv, n, hit: np.bincount(inv[hit], minlength=n).astype(np.uint32)
                 small = idx.astype(np.int64)
@@ -110,8 +115,9 @@ def _requests(buckets: int):
                     rows[0].append(q)
                     for s, (k, t, h, bounds) in enumerate(sides):
                         cut = slice(bounds[q], bounds[q + 1])
-                        for c, x in enumerate((k[cut], t[cut], h[cut])):
-                            rows[1 + 3 * s + c].append(packed(x))
+                        rows[1 + 3 * s].append(packed_steps(k[cut]))
+                        rows[2 + 3 * s].append(packed(t[cut]))
+                        rows[3 + 3 * s].append(packed(h[cut]))
                 cols = [pa.array(rows[0], pa.int32()), pa.array([number] * buckets, pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]]
                 yield pa.record_batch(cols, names=["bucket", "batch", "wk", "wt", "wh", "pk", "pt", "ph"])
 
@@ -119,55 +125,65 @@ def _requests(buckets: int):
 
 
 def _answers(t: pa.Table) -> pa.Table:
-    """Corpus counts of a bucket's keys for each request in it; the first row carries the bucket's number of distinct training words."""
+    """Corpus counts of a bucket's keys, and their held-out part, for each request in it; the first row carries the bucket's number of distinct training words."""
     out, distinct = [], []
     for k, c, h in (("wk", "wt", "wh"), ("pk", "pt", "ph")):
-        keys = [unpacked(x, np.uint64) for x in t.column(k).to_pylist()]
+        keys = [unpacked_steps(x, np.uint64) for x in t.column(k).to_pylist()]
         _, inv = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([0, *map(len, keys)])
         sums = []
         for name in (c, h):
             each = np.concatenate([unpacked(x, np.uint32) for x in t.column(name).to_pylist()])
             sums.append(np.bincount(inv, each, minlength=0).astype(np.uint64) if len(each) else np.zeros(0, np.uint64))
-        total, rest = sums[0], sums[0] - sums[1]
-        distinct.append((int((total > 0).sum()), int((rest > 0).sum())))
-        for s in (total, rest):
+        total, held = sums
+        distinct.append((int((total > 0).sum()), int((total > held).sum())))
+        for s in (total, held):
             per = s[inv] if len(inv) else s
             out.append([packed(per[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
     lead = [[v] + [0] * (t.num_rows - 1) for v in distinct[0]]
     cols = {"batch": t.column("batch"), "bucket": t.column("bucket"), "v_all": pa.array(lead[0], pa.int64()), "v_rest": pa.array(lead[1], pa.int64())}
-    return pa.table(cols | {n: pa.array(x, pa.binary()) for n, x in zip(("wt", "wr", "pt", "pr"), out, strict=True)})
+    return pa.table(cols | {n: pa.array(x, pa.binary()) for n, x in zip(("wt", "wh", "pt", "ph"), out, strict=True)})
+
+
+COUNTS = ("wt", "wh", "pt", "ph")
 
 
 def _placed(kind: str, buckets: int):
-    """A batch and its answers: corpus counts for every token, and counts without the held-out part for held-out tokens."""
+    """A batch with the corpus counts, and their held-out part, of its distinct words (wt, wh) and bigrams (pt, ph)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
-        folds, at, words, idx = np.frombuffer(r["folds"], np.uint8), unpacked(r["at"], np.int64), unpacked(r["words"], np.uint64), unpacked(r["idx"], np.uint32).astype(np.uint64)
+        folds, at, words, idx = np.frombuffer(r["folds"], np.uint8), unpacked_steps(r["at"], np.int64), unpacked_steps(r["words"], np.uint64), unpacked(r["idx"], np.uint32).astype(np.uint64)
         right = right.sort_by("bucket")
         train, held = _weights(folds, at)
-        pairs, inv = np.unique(_pairs(idx, at, len(words)), return_inverse=True)
+        pairs = np.unique(_pairs(idx, at, len(words)))
         got = {}
-        for names, keys, i in ((("wt", "wr"), words, idx.astype(np.int64)), (("pt", "pr"), _pair_keys(pairs, words), inv)):
+        for names, keys in ((("wt", "wh"), words), (("pt", "ph"), _pair_keys(pairs, words))):
             order, _ = by_bucket(keys, buckets)
             for name in names:
-                flat = np.zeros(len(keys), np.uint64)
-                flat[order] = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x, np.uint64) for x in right.column(name).to_pylist()]])
-                got[name] = flat[i]
-        size = np.diff(at)
+                got[name] = np.zeros(len(keys), np.uint64)
+                got[name][order] = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x, np.uint64) for x in right.column(name).to_pylist()]])
         own = {
             "n_all": int(train.sum()), "n_rest": int((train & ~held).sum()), "d_all": int((folds != TEST).sum()), "d_rest": int(((folds != TEST) & (folds != HELD)).sum()),
             "v_all": sum(right.column("v_all").to_pylist()), "v_rest": sum(right.column("v_rest").to_pylist()),
         }
-        cols = {"keys": left.column("keys").combine_chunks(), "folds": pa.array([r["folds"]], pa.binary()), "sizes": pa.array([packed(size)], pa.binary())}
-        cols |= {n: pa.array([packed(x)], pa.binary()) for n, x in (("wt", got["wt"]), ("pt", got["pt"]), ("wr", got["wr"][held]), ("pr", got["pr"][held]))}
+        cols = {"keys": left.column("keys").combine_chunks()} | {c: left.column(c) for c in ("folds", "at", "idx")}
+        cols |= {n: pa.array([packed(got[n])], pa.binary()) for n in COUNTS}
         return pa.table(cols | {n: pa.array([v], pa.int64()) for n, v in own.items()})
 
-    schema = f"keys array<{kind}>, folds binary, sizes binary, wt binary, pt binary, wr binary, pr binary, n_all long, n_rest long, d_all long, d_rest long, v_all long, v_rest long"
+    schema = f"keys array<{kind}>, folds binary, at binary, idx binary, wt binary, wh binary, pt binary, ph binary, n_all long, n_rest long, d_all long, d_rest long, v_all long, v_rest long"
     return work, schema
 
 
+def _by_token(at: np.ndarray, idx: bytes, counts: list[bytes]) -> list[np.ndarray]:
+    """COUNTS of each token of a batch."""
+    wt, wh, pt, ph = (unpacked(x, np.uint64) for x in counts)
+    idx = unpacked(idx, np.uint32).astype(np.uint64)
+    _, inv = np.unique(_pairs(idx, at, len(wt)), return_inverse=True)
+    idx = idx.astype(np.int64)
+    return [wt[idx], wh[idx], pt[inv], ph[inv]]
+
+
 def context_counts(counts: np.ndarray, sizes: np.ndarray, texts: int) -> np.ndarray:
     """Each token's context count: the count of the word before it, or the number of texts at a beginning."""
     out = np.empty_like(counts)
@@ -213,23 +229,24 @@ def _histogram(joined: DataFrame, fn) -> np.ndarray:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((64, BINS), np.int64)
         for b in it:
-            for folds, sizes, wr, pr in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                held = np.frombuffer(folds, np.uint8) == HELD
-                size, w, p = unpacked(sizes, np.int64)[held], unpacked(wr, np.uint64), unpacked(pr, np.uint64)
-                if len(w):
-                    bucket, bins = fn(size, w, p)
+            for folds, at, idx, *counts in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+                folds, at = np.frombuffer(folds, np.uint8), unpacked_steps(at, np.int64)
+                held, size = _weights(folds, at)[1], np.diff(at)[folds == HELD]
+                if len(size):
+                    wt, wh, pt, ph = _by_token(at, idx, counts)
+                    bucket, bins = fn(size, (wt - wh)[held], (pt - ph)[held])
                     total += np.bincount(bucket * BINS + bins, minlength=64 * BINS).reshape(64, BINS)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], names=["at", "n"])
 
-    rows = joined.select("folds", "sizes", "wr", "pr").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = joined.select("folds", "at", "idx", *COUNTS).mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(64 * BINS, np.int64)
     for r in rows:
         out[r.at] = r.n
     return out.reshape(64, BINS)
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes: int = 6 << 20) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     A null text is the empty text and has the end as its only token. Repeated
@@ -242,7 +259,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = written(batches_of(docs, text, key, batch_bytes), "lm-batches")
     asked = held.select("batch", "folds", "at", "words", "idx").mapInArrow(_requests(buckets), "bucket int, batch long, wk binary, wt binary, wh binary, pk binary, pt binary, ph binary")
-    told = asked.groupBy("bucket").applyInArrow(_answers, "batch long, bucket int, v_all long, v_rest long, wt binary, wr binary, pt binary, pr binary")
+    told = asked.groupBy("bucket").applyInArrow(_answers, "batch long, bucket int, v_all long, v_rest long, wt binary, wh binary, pt binary, ph binary")
     work, schema = _placed(kind, buckets)
     joined = written(held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: work(a, b), schema), "lm-counts")
     names = ("n_all", "n_rest", "d_all", "d_rest", "v_all", "v_rest")
@@ -266,9 +283,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for keys, folds, sizes, wt, pt in zip(b.column(0), *[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
-                size, w, p = unpacked(sizes, np.int64), unpacked(wt, np.uint64), unpacked(pt, np.uint64)
-                ends = np.concatenate([[0], np.cumsum(size)])
+            for keys, folds, ends, idx, *counts in zip(b.column(0), *[b.column(i).to_pylist() for i in range(1, 8)], strict=True):
+                ends = unpacked_steps(ends, np.int64)
+                size = np.diff(ends)
+                w, _, p, _ = _by_token(ends, idx, counts)
                 context = context_counts(w, size, t["d_all"])
                 mix = np.where(context > 0, weights[bucket_of(context)], 0.0)
                 prob = mix * p / np.maximum(context, 1) + (1 - mix) * unigram(w, t["n_all"], t["v_all"], flat)
@@ -277,7 +295,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
                 cols = [keys.values, pa.array(np.frombuffer(folds, np.uint8) == TEST), pa.array(size), pa.array(add((w > 0).astype(np.int64))), pa.array(np.full(len(size), t["n_all"], np.int64)), pa.array(add(base)), pa.array(add(np.log10(prob)))]
                 yield pa.record_batch(cols, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = joined.select("keys", "folds", "sizes", "wt", "pt").mapInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = joined.select("keys", "folds", "at", "idx", *COUNTS).mapInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
 
 

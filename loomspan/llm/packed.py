@@ -28,6 +28,15 @@ def unpacked(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
 
 
+def packed_steps(a: np.ndarray) -> bytes:
+    """Sorted or partly sorted unsigned keys by their differences, modulo the word."""
+    return packed(np.diff(a, prepend=a[:1] * 0) if len(a) else a)
+
+
+def unpacked_steps(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(unpacked(raw, kind), dtype=kind)
+
+
 def squeezed(raw: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(raw)
 
