@@ -54,22 +54,23 @@ class Model:
 def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = 160, rate: float = 0.15, sparse: float = 2e-4, least_docs: int = 5) -> Model:
     """Weights and leak by Adam on the documents' log loss, with a soft threshold that keeps idle words at 0.
 
-    word and sentence: each word's bucket and sentence; doc: each sentence's
-    document. Buckets in fewer than least_docs documents get no weight.
+    word and sentence: the buckets in each sentence, each once, and their
+    sentences; doc: each sentence's document. Buckets in fewer than least_docs documents get no weight.
     """
     n, size = len(label), 1 << BITS
     if not n or not label.any():
         return Model(np.zeros(size, np.float32), 0.5 / (n + 1))
-    pairs = np.unique(word.astype(np.int64) * n + doc[sentence])
-    seen = np.bincount(pairs // n, minlength=size) >= least_docs
+    pairs = word.astype(np.int64) * n + doc[sentence]
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // n
+    seen = np.bincount(pairs, minlength=size) >= least_docs
+    del pairs
     keep = seen[word]
     names = np.flatnonzero(seen)
     index = np.zeros(size, np.int64)
     index[names] = np.arange(len(names))
     word, sentence = index[word[keep]], sentence[keep]
-    # a sentence without such words is no evidence; words count once in a sentence
-    flat = np.unique(sentence.astype(np.int64) * max(1, len(names)) + word)
-    sentence, word = flat // max(1, len(names)), flat % max(1, len(names))
+    # a sentence without such words is no evidence
     used, sentence = np.unique(sentence, return_inverse=True)
     doc = doc[used]
     y = label.astype(bool)
@@ -99,7 +100,7 @@ def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nda
     return Model(out, float(_sigmoid(np.array(leak))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, text: str = "text", key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str = "text", key: str = "doc_id") -> Model:
     """A model from at most max_labelled labelled documents, those of the smallest hashed key (a bounded sample for the fit alone).
 
     The sample's ids are the only broadcast. What reaches the driver is one
@@ -115,6 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, text: st
                 low = lowered(data)
                 starts, _, bucket, owner = sentences(low, at)
                 first = np.searchsorted(starts, at)
+                flat = np.unique(owner.astype(np.int64) << BITS | bucket)  # a word counts once in a sentence
+                owner, bucket = flat >> BITS, flat & ((1 << BITS) - 1)
                 words = np.searchsorted(owner, first)
                 for k in range(j - i):
                     rows[0].append(b.column(2)[i + k].as_py())
@@ -131,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, text: st
         w, o = np.frombuffer(w, "<i4"), np.frombuffer(o, "<i4")
         n = int(o.max()) + 1 if len(o) else 0
         words.append(w)
-        owner.append(o.astype(np.int64) + base)
-        doc.append(np.full(n, k))
+        owner.append(o + np.int32(base))
+        doc.append(np.full(n, k, np.int32))
         base += n
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return train(join(words, np.int64), join(owner, np.int64), join(doc, np.int64), got["y"].to_numpy() > 0)
+    join = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
+    return train(join(words, np.int32), join(owner, np.int32), join(doc, np.int32), got["y"].to_numpy() > 0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", offend: float = 0.5) -> DataFrame:
