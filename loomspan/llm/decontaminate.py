@@ -24,20 +24,49 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def _bits(items: DataFrame) -> list[int]:
+    """The benchmark's words as a bitmap of 2**16 bits in 1024 longs: a constant size, whatever the benchmark's."""
+    word = F.explode("words").alias("w")
+    place = F.xxhash64("w").bitwiseAND(F.lit((1 << 16) - 1))
+    rows = items.select(word).select(place.alias("at")).distinct()
+    per = rows.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
+    out = [0] * 1024
+    for r in per:
+        out[r.i] = r.bits
+    return out
+
+
+def _hashes(bits: list[int]) -> Column:
+    """The hash of each word, null for words that the bitmap shows to be in no benchmark item: no seed with such a word can hit."""
+    table = F.lit(bits)
+
+    def known(x: Column) -> Column:
+        place = x.bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+        return F.when(F.getbit(F.get(table, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1, x)
+
+    return F.transform(F.transform("words", lambda w: F.xxhash64(w)), known)
+
+
 def _seeds(hashes: Column) -> Column:
-    """One array, mask after mask, each of the words' number: the seed that starts at each word, null where it would not fit."""
+    """One array, mask after mask, each of the words' number: the seed that starts at each word, null where it would not fit or not hit."""
 
     def of(number: int, mask: str) -> Column:
         places = [i for i, m in enumerate(mask) if m == "1"]
-        seed = lambda x, i: F.when(i + len(mask) <= F.size(hashes), F.xxhash64(F.lit(number), *[F.get(hashes, i + p) for p in places]))
+
+        def seed(x: Column, i: Column) -> Column:
+            full = x.isNotNull()
+            for p in places[1:]:
+                full = full & F.get(hashes, i + p).isNotNull()
+            return F.when(full & (i + len(mask) <= F.size(hashes)), F.xxhash64(F.lit(number), *[F.get(hashes, i + p) for p in places]))
+
         return F.transform(hashes, seed)
 
     return F.concat(*[of(k, m) for k, m in enumerate(MASKS)])
 
 
-def seeds(rows: DataFrame, key: str) -> DataFrame:
+def seeds(rows: DataFrame, key: str, bits: list[int]) -> DataFrame:
     """(key, place, seed) of rows with a column words."""
-    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hashed = rows.select(key, _hashes(bits).alias("h"))
     each = hashed.select(key, F.size("h").alias("n"), F.posexplode(_seeds(F.col("h"))).alias("at", "seed"))
     return each.where("seed is not null").select(key, F.expr("at % n").alias("place"), "seed")
 
@@ -67,14 +96,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     held = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     items = benchmark.select("item_id", words(F.col("text").cast("string")).alias("words")).where("item_id is not null").distinct()
     items = written(items.withColumn("item", F.xxhash64("item_id", "words")), "decontaminate-items")
-    wanted = written(seeds(items, "item").withColumnRenamed("place", "item_place"), "decontaminate-seeds")
+    bits = _bits(items)
+    wanted = written(seeds(items, "item", bits).withColumnRenamed("place", "item_place"), "decontaminate-seeds")
     if wanted.count() <= most_seeds:
         wanted = F.broadcast(wanted)
-    mine = seeds(held.select("row", words(F.col("text")).alias("words")), "row")
+    mine = seeds(held.select("row", words(F.col("text")).alias("words")), "row", bits)
     hits = mine.join(wanted, "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = written(hits.distinct(), "decontaminate-hits")
     near = hits.join(items.withColumnRenamed("words", "item_words"), "item").select("row", "item_id", "shift", "item_words")
-    both = near.join(held.select("row", "text"), "row").withColumn("doc_words", words(F.col("text")))
+    rows = written(hits.select("row").distinct(), "decontaminate-rows")  # small as a rule, and then broadcast by its size
+    both = near.join(held.select("row", "text").join(rows, "row", "left_semi"), "row").withColumn("doc_words", words(F.col("text")))
     found = both.where(_leak(F.col("doc_words"), F.col("item_words"), F.col("shift"), window, share))
     return found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
