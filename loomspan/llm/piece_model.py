@@ -96,7 +96,10 @@ class PieceModel:
         self.table = [self._raw(p) for p in self.pieces]
         self._units: dict[str, tuple[bytes, int]] = {}
         self._old: dict[str, tuple[bytes, int]] = {}
-        self._library = None
+        self.id_scores = [self.scores.get(i, 0) for i in range(len(self.pieces))]
+        for value, i in self.bytes.items():
+            self.id_scores[i] = self.unknown_score if value < 0x80 or value >= 0xC0 else 0
+        self._library = self._engine = None
 
     def _raw(self, piece: tuple[str, float, int]) -> bytes:
         text, _, kind = piece
@@ -169,33 +172,85 @@ class PieceModel:
             end = begin
         return [i for part in reversed(out) for i in part], end
 
+    def _proto(self) -> bytes:
+        """The vocabulary as a unigram model file without normalisation: the marks are in the text already."""
+
+        def varint(x: int) -> bytes:
+            out = bytearray()
+            while x > 127:
+                out.append(x & 127 | 128)
+                x >>= 7
+            return bytes([*out, x])
+
+        field = lambda n, raw: varint(n << 3 | 2) + varint(len(raw)) + raw
+        flag = lambda n, v: varint(n << 3) + varint(v)
+        piece = lambda i, p: field(1, p[0].encode()) + varint(2 << 3 | 5) + struct.pack("<f", self.scores.get(i, 0) / SCALE) + flag(3, p[2])
+        body = b"".join(field(1, piece(i, p)) for i, p in enumerate(self.pieces))
+        return body + field(2, flag(3, UNIGRAM) + flag(35, 1)) + field(3, field(1, b"identity") + flag(3, 0) + flag(4, 0) + flag(5, 1))
+
+    def _score(self, ids: list[int]) -> int:
+        """A path's score; an unknown character counts at its first byte piece."""
+        return sum([self.id_scores[i] for i in ids])
+
+    def remember(self, units: set[str]) -> None:
+        """Have the best segmentations of units at hand, the two newest generations of them.
+
+        Short units of a vocabulary with byte pieces go through the library's own
+        search in one call; others through lattice().
+        """
+        known, old = self._units, self._old
+        if len(known) > 220_000:
+            known, old = {}, known
+            self._units, self._old = known, old
+        need = []
+        for u in units.difference(known, ("",)):
+            got = old.get(u)
+            if got is not None:
+                known[u] = got
+            elif u[-1] in self.apart and len(u) > 2 and u[-2].isalpha():
+                need += [u[:-1], u[-1]]
+            else:
+                need.append(u)
+        need = [u for u in set(need) if u not in known]
+        if self.bytes:
+            if self._engine is None:
+                from sentencepiece import SentencePieceProcessor
+
+                self._engine = SentencePieceProcessor(model_proto=self._proto())
+            short = [u for u in need if len(u) <= 64 and "\0" not in u]
+            for u, ids in zip(short, self._engine.encode(short, num_threads=1), strict=True):
+                known[u] = (array("I", ids).tobytes(), self._score(ids))
+        for u in units:
+            if u and u not in known:
+                known[u] = self._searched(u)
+
+    def _searched(self, u: str) -> tuple[bytes, int]:
+        if u[-1] in self.apart and len(u) > 2 and u[-2].isalpha():
+            (a, x), (b, y) = self.unit(u[:-1]), self.unit(u[-1])
+            return a + b, x + y
+        best, start, piece = self.lattice(u, len(u), {0: 0})
+        return array("I", self.trace(u, start, piece, len(u))[0]).tobytes(), best[len(u)]
+
     def unit(self, u: str) -> tuple[bytes, int]:
-        """(ids as little-endian unsigned 32-bit integers, score) of a unit; short ones are remembered, the two newest generations."""
-        got = self._units.get(u)
-        if got is None:
-            got = self._old.get(u)
-            if got is None and u[-1] in self.apart and len(u) > 2 and u[-2].isalpha():
-                (a, x), (b, y) = self.unit(u[:-1]), self.unit(u[-1])
-                got = (a + b, x + y)
-            if got is None:
-                best, start, piece = self.lattice(u, len(u), {0: 0})
-                got = (array("I", self.trace(u, start, piece, len(u))[0]).tobytes(), best[len(u)])
-            if len(u) <= 64:
-                if len(self._units) > 150_000:
-                    self._old, self._units = self._units, {}
-                self._units[u] = got
-        return got
+        """(ids as little-endian unsigned 32-bit integers, score) of a unit."""
+        return self._units.get(u) or self._searched(u)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        cuts = []
+        for text in texts:
+            if not text:
+                cuts.append([])
+            elif self.plain and self.prefix and self.by_word and text[0] != " " and "  " not in text and MARK not in text and "\0" not in text:
+                cuts.append((MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0").split("\0"))
+            else:
+                cuts.append(self.units(self.normalize(text)))
+        self.remember(set().union(*cuts))
+        get = self._units.__getitem__
+        return [self.merged(b"".join([get(u)[0] for u in cut if u])) for cut in cuts]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.plain and self.prefix and self.by_word and text[0] != " " and "  " not in text and MARK not in text and "\0" not in text:
-            units = (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0").split("\0")
-        else:
-            units = self.units(self.normalize(text))
-        got, unit = self._units.get, self.unit
-        return self.merged(b"".join([(got(u) or unit(u))[0] for u in units if u]))
+        return self.encode_many([text])[0]
 
     def merged(self, ids: bytes) -> bytes:
         """Without byte pieces a run of unknown characters is one piece."""

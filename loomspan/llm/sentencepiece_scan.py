@@ -45,6 +45,7 @@ def _narrow(m: PieceModel, s: str, n: int) -> tuple[int, list[str], int] | None:
         k += 1
     if k >= len(units) - 1:
         return None
+    m.remember(set(units[k:-1]))
     return head, units[k:-1], n - len(units[-1])
 
 
@@ -204,9 +205,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
     def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in it:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                yield pa.record_batch([part.column(0), pa.array([m.encode(t) for t in part.column(1).to_pylist()], pa.binary())], names=["key", "ids"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield pa.record_batch([part.column(0), pa.array(m.encode_many(part.column(1).to_pylist()), pa.binary())], names=["key", "ids"])
 
     # a little below the chunk: normalising adds a mark
     one = rows.where(F.length("text") < chunk).mapInArrow(small, f"key {kind}, ids binary")
