@@ -97,7 +97,7 @@ def _weights(folds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _requests(buckets: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for number, folds, at, words, idx in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            for number, folds, at, words, idx in zip(*[b.column(c).to_pylist() for c in ("batch", "folds", "at", "words", "idx")], strict=True):
                 folds, at, words, idx = np.frombuffer(folds, np.uint8), unpacked_steps(at, np.int64), unpacked_steps(words, np.uint64), unpacked(idx, np.uint32).astype(np.uint64)
                 train, held = _weights(folds, at)
                 count = lambda inv, n, hit: np.bincount(inv[hit], minlength=n).astype(np.uint32)
@@ -257,8 +257,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = written(batches_of(docs, text, key, batch_bytes), "lm-batches")
-    asked = held.select("batch", "folds", "at", "words", "idx").mapInArrow(_requests(buckets), "bucket int, batch long, wk binary, wt binary, wh binary, pk binary, pt binary, ph binary")
+    # one exchange by batch, which the requests and the answers' return both read
+    held = batches_of(docs, text, key, batch_bytes).repartition(buckets, "batch")
+    asked = held.mapInArrow(_requests(buckets), "bucket int, batch long, wk binary, wt binary, wh binary, pk binary, pt binary, ph binary")
     told = asked.groupBy("bucket").applyInArrow(_answers, "batch long, bucket int, v_all long, v_rest long, wt binary, wh binary, pt binary, ph binary")
     work, schema = _placed(kind, buckets)
     joined = written(held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: work(a, b), schema), "lm-counts")

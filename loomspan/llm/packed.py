@@ -16,16 +16,33 @@ _UNPACK = zstandard.ZstdDecompressor()
 
 
 def packed(a: np.ndarray) -> bytes:
-    """An array as bytes, byte planes apart, compressed; sorted keys lose their common leading bytes."""
+    """An array as bytes: each byte plane compressed by itself, so that a plane of few values is not coded with random ones; planes of zeros are left out.
+
+    Layout: length (u32), then for each plane its size (u32) and bytes; a size
+    with the top bit set is a plane as it is.
+    """
     a = np.ascontiguousarray(a)
-    raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
-    return _PACK.compress(raw)
+    out = [len(a).to_bytes(4, "little")]
+    if len(a):
+        for plane in a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T:
+            raw = plane.tobytes() if plane.any() else b""
+            small = _PACK.compress(raw) if raw else b""
+            keep = len(small) < len(raw)
+            out += [(len(small) if keep or not raw else len(raw) | 1 << 31).to_bytes(4, "little"), small if keep or not raw else raw]
+    return b"".join(out)
 
 
 def unpacked(raw: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    flat = np.frombuffer(_UNPACK.decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
+    n = int.from_bytes(raw[:4], "little")
+    planes, at = np.zeros((n, kind.itemsize), np.uint8), 4
+    for k in range(kind.itemsize if n else 0):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        as_is, size = size >> 31, size & ((1 << 31) - 1)
+        body, at = raw[at + 4 : at + 4 + size], at + 4 + size
+        if size:
+            planes[:, k] = np.frombuffer(body if as_is else _UNPACK.decompress(body), np.uint8)
+    return planes.view(kind).ravel()
 
 
 def packed_steps(a: np.ndarray) -> bytes:
