@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomspan.plans.catalog import ORACLE, QUERIES
@@ -23,9 +24,12 @@ def duck():
 
 def plain(df):
     def cell(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "~"
-        return repr(round(float(x), 6)) if type(x).__name__ in ("float", "float64", "Decimal") else str(x)
+        if type(x).__name__ in ("float", "float64", "Decimal"):
+            x = round(float(x), 6)
+            return str(int(x)) if x == int(x) else repr(x)
+        return str(x)
 
     names = sorted(df.columns)
     return names, sorted(tuple(cell(x) for x in row) for row in df[names].astype(object).itertuples(index=False))
