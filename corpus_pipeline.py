@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.decontaminate import decontaminate
+from loomspan.llm.jaccard import similar_groups, text_hash
 from loomspan.llm.pii import anonymize
 from loomspan.llm.quality import quality_rules
 from loomspan.llm.sentencepiece_scan import encode, summary
-from loomspan.llm.simhash import near_duplicates
 from loomspan.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,10 +28,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; a document without one stays."""
-    groups = near_duplicates(docs)
-    stays = written(groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct(), "pipeline-stays")
-    return docs.join(stays, docs.doc_id.eqNullSafe(stays.doc_id), "left_semi").select(*COLUMNS)
+    """Of each group of texts linked by a similarity of 0.8 or more of their five-word shingles the document with the smallest doc_id; a document without one stays."""
+    goes = similar_groups(docs).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    return docs.withColumn("text_hash", text_hash(F.col("text"))).join(written(goes, "pipeline-goes"), ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
