@@ -30,14 +30,14 @@ KINDS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!-)\d{3}-\d{3}-\d{4}(?![\d-]))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without this has no entity.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb)[-_]|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
 #: Fixed syllables of made-up names by script; the last of a given name tells the gender.
 SYLLABLES = {
     "latin": ("ba be da do fe ga ka la le lo ma mi na no pa ra ri sa so ta te ti va ve vi za", "ro lan bert mund rik dor", "ra lina bella mira rika dora"),
@@ -86,7 +86,9 @@ def _same_form(value: Column, seed: Column, keep: Column, hex_only: Column | Non
             inside = pattern if pattern[0] == "[" else f"[{pattern}]"
             out = F.when(c.rlike(inside), _pick(letters, seed, i)).otherwise(out)
         if hex_only is not None:
-            out = F.when(hex_only, _pick("0123456789abcdef", seed, i)).otherwise(out)
+            small, large = _pick("0123456789abcdef", seed, i), _pick("0123456789ABCDEF", seed, i)
+            mixed = F.when(c.rlike("[a-f]"), _pick("abcdef", seed, i)).when(c.rlike("[A-F]"), _pick("ABCDEF", seed, i)).otherwise(out)
+            out = F.when(hex_only, F.when(~value.rlike("[A-F]"), small).when(~value.rlike("[a-f]"), large).otherwise(mixed)).otherwise(out)
         return F.when(i < keep, c).otherwise(out)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -143,7 +145,7 @@ def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Colu
     domain = F.length(value) - F.length(F.regexp_extract(value, r"(\.[A-Za-z]+)\z", 1))
     tail = F.regexp_extract(value, r"(\.[A-Za-z]+)\z", 1)
     mail = F.concat(_same_form(F.substr(value, F.lit(1), domain), seed, F.lit(0)), tail)
-    secrets = _same_form(value, seed, F.length(F.regexp_extract(value, r"\A(AKIA|(?:sk|ghp|gho|xoxb)[-_])", 1)), value.rlike(r"\A[0-9a-f]+\z"))
+    secrets = _same_form(value, seed, F.length(F.regexp_extract(value, r"\A(AKIA|(?:sk|ghp|gho|xoxb)[-_])", 1)), value.rlike(r"\A[0-9A-Fa-f]+\z"))
     return (
         F.when(kind == "email", mail)
         .when(kind == "phone", _same_form(value, seed, code))
