@@ -21,10 +21,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned rules keep."""
-    verdict = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = written(verdict.where("kept").select("doc_id").distinct(), "pipeline-good")
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the base test and the learned rules keep, each row by its own text: with a null doc_id too, and whatever becomes of others of its doc_id."""
+    hashed = docs.withColumn("text_hash", text_hash(F.col("text")))
+    verdict = quality_rules(hashed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text_hash",))
+    good = written(verdict.where("kept").select("doc_id", "text_hash").distinct(), "pipeline-good")
+    same = hashed.doc_id.eqNullSafe(good.doc_id) & (hashed.text_hash == good.text_hash)
+    return hashed.join(good, same, "left_semi").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

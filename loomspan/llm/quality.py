@@ -95,18 +95,18 @@ def text_stats(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def stats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, STATS) of every whole text; a null text has zeros."""
+def stats(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, STATS, carry) of every whole text; a null text has zeros. carry names long columns that stay with their row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             parts = [text_stats(data, at) for _, _, data, at in slices(b.column(1))]
             cols = [np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for c in STATS]
-            yield pa.record_batch([b.column(0), *map(pa.array, cols)], names=["key", *STATS])
+            yield pa.record_batch([b.column(0), *map(pa.array, cols), *b.columns[2:]], names=["key", *STATS, *carry])
 
-    schema = f"key {kind}, " + ", ".join(f"{c} long" for c in STATS)
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(batches, schema)
+    schema = f"key {kind}, " + ", ".join(f"{c} long" for c in (*STATS, *carry))
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *carry).mapInArrow(batches, schema)
 
 
 @dataclass(frozen=True)
@@ -215,15 +215,15 @@ def fit(measured: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **ho
     return learn_rules({f: rows[f].to_numpy() for f in FEATURES}, (rows["quality"] == 0).to_numpy(), **how)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
-    """(key, STATS, base_failed, rule, kept) of every document.
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, STATS, carry, base_failed, rule, kept) of every document; carry as in ``stats``.
 
     kept is false where the base test or a learned rule says so; ``rule`` names
     the rule. Without usable labels the base test stands alone. A null or blank
     text has zeros and fails the base test; repeated rows give repeated results;
     extra columns are ignored; an empty table gives an empty result.
     """
-    measured = written(stats(docs, text, key), "quality-stats")
+    measured = written(stats(docs, text, key, carry), "quality-stats")
     rules = fit(measured, labels, max_labelled)
     out = measured.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", rule_column(rules))
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
