@@ -119,6 +119,13 @@ def clustering_coefficients(spark, d):
     return g.clustering(_triangles(spark, d))
 
 
+# the same over all orders; no SQL, as its joins are too slow on whole tables
+@query("clustering_coefficients_whole")
+def clustering_coefficients_whole(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    return g.clustering(x.alias("a").join(x.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct())
+
+
 @query(
     "connectivity_summary",
     f"""with recursive {EDGE_SQL}, d as (select node, count(*) as degree from (select src as node from e union all select dst from e) x group by 1),
@@ -230,6 +237,15 @@ def metric_deltas(spark, d):
     return m.deltas(mean(o.where("o_orderkey % 2 = 0")), mean(o.where("o_orderstatus <> 'P'")))
 
 
+@query("metric_deltas_whole")
+def metric_deltas_whole(spark, d):
+    """Mean prices of each status, of the two highest priorities (pre) and of all other orders (post): every order counts on one side."""
+    o = table(spark, d, "orders")
+    mean = lambda df: df.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("value"))
+    first = F.coalesce(F.col("o_orderpriority").rlike("^[12]-"), F.lit(False))
+    return m.deltas(mean(o.where(first)), mean(o.where(~first)))
+
+
 @query("seeded_sample")
 def seeded_sample(spark, d):
     return m.seeded_sample(triples_of(spark, d, "nation", "region"))
