@@ -104,6 +104,15 @@ def replayed_model(spark, d):
     return replay(o, rec).select("id", "answer")
 
 
+@query("replayed_model_whole", "select o_orderkey as id, case when o_orderkey % 2 = 0 then '{\"fine_eur\": ' || cast(o_orderkey as varchar) || '}' else '{}' end as answer from orders")
+def replayed_model_whole(spark, d):
+    from loomspan.operators.completer import prompt_key, replay
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("What fine for "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    rec = o.where("id % 2 = 0").select(prompt_key(F.col("prompt")).alias("prompt_key"), F.concat(F.lit('{"fine_eur": '), F.col("id").cast("string"), F.lit("}")).alias("answer"))
+    return replay(o, rec).select("id", "answer")
+
+
 @query("windowed_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def windowed_events(spark, d):
     from loomspan.streaming.ingest import windowed_counts
