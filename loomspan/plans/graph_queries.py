@@ -141,6 +141,32 @@ def connectivity_summary(spark, d):
     return m.connectivity(_edges(spark, d))
 
 
+# the same four over all line items; the recursive SQL cannot follow there, so tests compare with brute force
+def _whole_edges(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+
+
+@query("node_degrees_whole")
+def node_degrees_whole(spark, d):
+    return g.degrees(_whole_edges(spark, d))
+
+
+@query("graph_components_whole")
+def graph_components_whole(spark, d):
+    return g.components(_whole_edges(spark, d))
+
+
+@query("component_sizes_whole")
+def component_sizes_whole(spark, d):
+    return g.component_sizes(_whole_edges(spark, d))
+
+
+@query("connectivity_summary_whole")
+def connectivity_summary_whole(spark, d):
+    return m.connectivity(_whole_edges(spark, d))
+
+
 @query("subclass_pairs", duck("""with recursive t as (@T), e as (select s, o from t where p = '@partOf'), n as (select s as x from e union select o from e),
     w as (select x as sub, x as super from n union select w.sub, e.o from w join e on w.super = e.s) select sub, super from w""", "nation", "region"))
 def subclass_pairs(spark, d):
