@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.decontaminate import decontaminate
-from loomspan.llm.jaccard import similar_groups, text_hash
+from loomspan.llm.jaccard import text_hash
 from loomspan.llm.pii import anonymize
 from loomspan.llm.quality import quality_rules
-from loomspan.llm.sentencepiece_scan import encode, summary
+from loomspan.llm.sentencepiece_scan import encode_summary
+from loomspan.llm.simhash import near_copies
 from loomspan.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by a similarity of 0.8 or more of their five-word shingles the document with the smallest doc_id; a document without one stays."""
-    goes = similar_groups(docs).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    goes = near_copies(docs).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
     return docs.withColumn("text_hash", text_hash(F.col("text"))).join(written(goes, "pipeline-goes"), ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
@@ -52,7 +53,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return summary(encode(docs, path), path)
+    return encode_summary(docs, path, byte_pair_as_unigram=True)
 
 
 STAGES = [

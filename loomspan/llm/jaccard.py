@@ -7,6 +7,11 @@ these prefix elements and none is lost; the sets' sizes and the places where
 they meet rule most other pairs out, and the similarity of the rest is counted
 exactly. The order puts elements that a sample finds to be common last, which
 makes the meetings few and has no part in the result.
+
+A pair must moreover meet at several prefix elements: of what two such sets
+share, at most n - k lies behind the prefix of k elements of the one whose
+prefix ends first, so the rest is in both prefixes. Pairs that meet more seldom
+are ruled out before any set is read.
 """
 
 from __future__ import annotations
@@ -63,35 +68,59 @@ def set_name(s: np.ndarray) -> int:
     return int(mixed(np.array([np.sum(s * (place | np.uint64(1)), dtype=np.uint64)]))[0].view(np.int64))
 
 
-def _named(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """(key, text_hash, name): a row for each row of docs."""
+def set_fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes; zero for an empty set."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(s), 1 << 13):
+        total += np.unpackbits(s[i : i + (1 << 13)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(s), bitorder="little").view(np.int64)[0])
+
+
+def named(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
+    """(key, text_hash, name, fp, size): a row for each row of docs; size is its set's."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i, j, data, at in slices(b.column(2)):
-                names = [set_name(s) for s in shingle_sets(data, at, words)]
-                yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(names, pa.int64())], names=["key", "text_hash", "name"])
+                sets = shingle_sets(data, at, words)
+                cols = [pa.array([f(s) for s in sets], pa.int64()) for f in (set_name, set_fingerprint, len)]
+                yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *cols], names=["key", "text_hash", "name", "fp", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
     t = F.col(text).cast("string")
-    return docs.select(F.col(key).alias("key"), text_hash(t).alias("text_hash"), t.alias("text")).mapInArrow(batches, f"key {kind}, text_hash long, name long")
+    return docs.select(F.col(key).alias("key"), text_hash(t).alias("text_hash"), t.alias("text")).mapInArrow(batches, f"key {kind}, text_hash long, name long, fp long, size long")
 
 
 def text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """(name, elements) of each row that has any."""
+def _marks(needed: DataFrame, size: int = 1 << 22) -> bytes:
+    """A bitmap of ``size`` bits, whatever the number of names, that has a bit for each name in needed: it spares work and decides nothing."""
+    place = f"(name & {size - 1})"
+    got = needed.groupBy(F.expr(f"shiftright({place}, 6)").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[got.column("i").to_numpy()] = got.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _sets(docs: DataFrame, text: str, words: int, marks: bytes | None = None) -> DataFrame:
+    """(name, elements) of each row that has any and, if marks are given, whose name they have."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for _, _, data, at in slices(b.column(0)):
                 sets = [s for s in shingle_sets(data, at, words) if len(s)]
+                names = [set_name(s) for s in sets]
+                if marks is not None:
+                    packed = np.frombuffer(marks, np.uint8)
+                    slots = np.array([n & (len(packed) * 8 - 1) for n in names], np.int64)
+                    hit = packed[slots >> 3] >> (slots & 7).astype(np.uint8) & 1
+                    sets, names = ([x for x, h in zip(part, hit, strict=True) if h] for part in (sets, names))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 elements = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-                yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.int64()), elements], names=["name", "elements"])
+                yield pa.record_batch([pa.array(names, pa.int64()), elements], names=["name", "elements"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(batches, "name long, elements array<long>")
 
@@ -141,11 +170,37 @@ def _prefixes(docs: DataFrame, text: str, words: int, common: np.ndarray) -> Dat
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(batches, "x long, name long, n int, at int")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a similarity of LEAST or more."""
+def shared_only(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by x and name those whose x another name has too, each once. Only one row is held between batches."""
+    last: pa.RecordBatch | None = None
+    met = False
+    for b in it:
+        if not b.num_rows:
+            continue
+        if last is not None:
+            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        x, name = b.column(0).to_numpy(), b.column(1).to_numpy()
+        same = x[1:] == x[:-1]
+        fresh = np.append(True, ~(same & (name[1:] == name[:-1])))
+        b = b.filter(pa.array(fresh))
+        x = x[fresh]
+        same = x[1:] == x[:-1]
+        before, after = np.append(met, same), np.append(same, False)
+        hit = before | after
+        hit[-1] = False  # its turn comes with the next batch
+        met = bool(before[-1])
+        last = b.slice(b.num_rows - 1)
+        yield b.filter(pa.array(hit))
+    if last is not None and met:
+        yield last
+
+
+def checked(pairs: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of names whose sets have a similarity of LEAST or more."""
     top, whole = LEAST
     needed = written(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct(), "jaccard-needed")
-    sets = written(_sets(docs, text, words).join(needed, "name", "left_semi").dropDuplicates(["name"]), "jaccard-sets")
+    sets = _sets(docs, text, words, _marks(needed)).join(needed, "name", "left_semi").dropDuplicates(["name"])
+    sets = written(sets, "jaccard-sets")
     both = pairs.join(sets.select(F.col("name").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("name").alias("b"), F.col("elements").alias("eb")), "b")
     both = both.select("a", "b", (F.size("ea") + F.size("eb")).alias("n"), F.size(F.array_intersect("ea", "eb")).alias("same"))
     return both.where(F.col("same") * (top + whole) >= F.col("n") * top).select("a", "b")
@@ -159,50 +214,55 @@ def _may_link():
     return sizes & (shared * (top + whole) >= (F.col("na") + F.col("nb")) * top) & (F.col("ca") != F.col("cb"))
 
 
-def components(docs: DataFrame, text: str = "text", words: int = 5, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 2) -> DataFrame:
+def _meetings():
+    """At how many prefix elements two sets of the similarity meet at least."""
+    top, whole = LEAST
+    both = F.ceil((F.col("na") + F.col("nb")) * top / F.lit(top + whole))
+    behind = lambda n: F.ceil(F.col(n) * top / F.lit(whole)) - 1
+    return both - F.greatest(behind("na"), behind("nb"))
+
+
+def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataFrame | None = None, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 1, large: int = 16) -> DataFrame:
     """(node, component) of the names of sets, linked at a similarity of LEAST or more; a set without a link isn't among them.
 
-    ``stars`` rounds compare the members at each element with one of them, so a
-    large group of near copies becomes one component in linear work. Then all
-    pairs are compared that meet and aren't yet connected, so no link between
-    components is missed. The members of an element that more than ``block``
-    sets share are dealt into blocks of about that size.
+    links (a, b), if given, are known links of that similarity. ``stars`` rounds
+    compare the members at each element of more than ``large`` sets with one of
+    them, so a large group of near copies becomes one component in linear work.
+    Then all pairs are compared that meet often enough and aren't yet connected,
+    so no link between components is missed. The members of an element that
+    more than ``block`` sets share are dealt into blocks of about that size.
     """
-    # one shuffle by x serves the removal of copies; equal sets give equal rows
-    mine = _prefixes(docs, text, words, _common(docs, text, words, sample, most)).repartition("x").dropDuplicates(["x", "name"])
-    mine = written(mine, "jaccard-prefixes")
-    held = written(mine.join(mine.groupBy("x").agg(F.count("*").alias("members")).where("members > 1").select("x"), "x"), "jaccard-shared")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle by x finds the elements that several sets share; the rest ends there
+    mine = _prefixes(docs, text, words, _common(docs, text, words, sample, most)).repartition(parts, "x").sortWithinPartitions("x", "name")
+    held = written(mine.mapInArrow(shared_only, "x long, name long, n int, at int"), "jaccard-shared")
     side = lambda k: [F.col("name").alias(k), F.col("n").alias("n" + k), F.col("at").alias("i" + k), F.col("c").alias("c" + k)]
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    comp = docs.sparkSession.createDataFrame([], "node long, component long")
+    edges = links if links is not None else spark.createDataFrame([], "a long, b long")
+    comp = connected_components(edges) if links is not None else spark.createDataFrame([], "node long, component long")
     for turn in range(stars + 1):
         now = held.join(comp, held.name == comp.node, "left").select("x", "name", "n", "at", F.coalesce("component", "name").alias("c"))
         centre = F.min_by(F.struct("name", "n", "at", "c"), F.xxhash64("name", F.lit(turn))).alias("centre")
         live = now.groupBy("x").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high"), centre).where("low < high")
         if turn < stars:
-            left = live.select("x", "centre.*").select("x", *side("a"))
+            left = live.where(F.col("members") > large).select("x", "centre.*").select("x", *side("a"))
             pairs = left.join(now.select("x", *side("b")), "x").where(_may_link())
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             dealt = now.join(live.select("x", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("k")), "x")
             left = dealt.select("x", *side("a"), F.pmod(F.xxhash64("name"), "k").cast("int").alias("part"))
             right = dealt.select("x", *side("b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
             pairs = left.join(right, ["x", "part"]).where((F.col("a") < F.col("b")) & _may_link())
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("meetings")).where(F.col("meetings") >= _meetings()).select("a", "b")
+        pairs = written(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
-            edges = written(edges.unionByName(_checked(pairs, docs, text, words)), "jaccard-links")
+            edges = written(edges.unionByName(checked(pairs, docs, text, words)), "jaccard-links")
             comp = connected_components(edges)
     return comp
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, **how) -> DataFrame:
-    """(key, text_hash, component_id): component_id is the smallest key reachable over links, null where none has a key.
-
-    A row for each row of docs; text_hash tells rows of one key apart. Equal
-    sets are one node, texts without a word among them; an empty table gives an
-    empty result.
-    """
-    rows = written(_named(docs, text, key, words), "jaccard-rows")
-    comp = components(docs, text, words, **how)
-    named = rows.join(comp, rows.name == comp.node, "left").select("key", "text_hash", F.coalesce("component", "name").alias("root"))
-    roots = written(named.groupBy("root").agg(F.min("key").alias("component_id")), "jaccard-roots")
-    return named.join(roots, "root").select(F.col("key").alias(key), "text_hash", "component_id")
+def grouped(rows: DataFrame, comp: DataFrame, key: str) -> DataFrame:
+    """(key, text_hash, component_id) of rows (key, text_hash, name): the smallest key of each component, null where it has none."""
+    held = rows.join(comp, rows.name == comp.node, "left").select("key", "text_hash", F.coalesce("component", "name").alias("root"))
+    roots = written(held.groupBy("root").agg(F.min("key").alias("component_id")), "jaccard-roots")
+    return held.join(roots, "root").select(F.col("key").alias(key), "text_hash", "component_id")

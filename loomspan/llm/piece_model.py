@@ -8,11 +8,15 @@ import struct
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Scores are whole multiples of 1/SCALE, so that sums are exact and associative.
 SCALE = 64
 LOWEST = -(1 << 60)
+#: Units that a worker remembers in each of two generations, some 20 MB each.
+KEPT = 90_000
 MARK = "▁"
 
 
@@ -47,11 +51,12 @@ class PieceModel:
     """Pieces, scores and normalisation of a model file.
 
     A unigram file's scores are its own. A byte-pair file has ranks in their
-    place; they are read as a unigram model under Zipf's law, the piece of rank
-    r having the log probability -ln(r + 2).
+    place. It is turned away unless byte_pair_as_unigram is set: then its pieces
+    are a unigram model under Zipf's law, the piece of rank r having the log
+    probability -ln(r + 2), and the ids are not the merges of that file.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, byte_pair_as_unigram: bool = False) -> None:
         with open(path, "rb") as f:
             raw = f.read()
         self.path, self.pieces = path, []
@@ -69,7 +74,11 @@ class PieceModel:
         self.prefix = bool(normal.get(3, 1))
         self.plain = not normal.get(2, b"") and not normal.get(4, 1) and bool(normal.get(5, 1))
         own = [i for i, p in enumerate(self.pieces) if p[2] == NORMAL]
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"{path}: neither a unigram nor a byte-pair model")
         if self.kind == BPE:
+            if not byte_pair_as_unigram:
+                raise ValueError(f"{path} is a byte-pair model, whose merges are no longest path; byte_pair_as_unigram reads its pieces as a unigram vocabulary")
             ranked = sorted(own, key=lambda i: (-self.pieces[i][1], i))
             score = {i: round(-math.log(r + 2) * SCALE) for r, i in enumerate(ranked)}
         else:
@@ -94,10 +103,12 @@ class PieceModel:
         #: Marks that no piece joins to a letter before them.
         self.apart = {c for c in ",.!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", self.pieces[i][0]) for i in score)}
         self.table = [self._raw(p) for p in self.pieces]
-        self._units: dict[str, tuple[bytes, int]] = {}
-        self._old: dict[str, tuple[bytes, int]] = {}
-        self.id_scores = [self.scores.get(i, 0) for i in range(len(self.pieces))]
-        for value, i in self.bytes.items():
+        self._units: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self.id_scores = np.array([self.scores.get(i, 0) for i in range(len(self.pieces))], np.int64)
+        if self.pieces:
+            self.id_scores[self.unknown] = self.unknown_score
+        for value, i in self.bytes.items():  # an unknown character counts at its first byte piece
             self.id_scores[i] = self.unknown_score if value < 0x80 or value >= 0xC0 else 0
         self._library = self._engine = None
 
@@ -188,9 +199,10 @@ class PieceModel:
         body = b"".join(field(1, piece(i, p)) for i, p in enumerate(self.pieces))
         return body + field(2, flag(3, UNIGRAM) + flag(35, 1)) + field(3, field(1, b"identity") + flag(3, 0) + flag(4, 0) + flag(5, 1))
 
-    def _score(self, ids: list[int]) -> int:
-        """A path's score; an unknown character counts at its first byte piece."""
-        return sum([self.id_scores[i] for i in ids])
+    def units_score(self, units: list[str]) -> int:
+        """The sum of the scores of the units' best segmentations."""
+        ids = np.frombuffer(b"".join([self.unit(u) for u in units]), "<u4")
+        return int(self.id_scores[ids].sum())
 
     def remember(self, units: set[str]) -> None:
         """Have the best segmentations of units at hand, the two newest generations of them.
@@ -199,7 +211,7 @@ class PieceModel:
         search in one call; others through lattice().
         """
         known, old = self._units, self._old
-        if len(known) > 220_000:
+        if len(known) > KEPT:
             known, old = {}, known
             self._units, self._old = known, old
         need = []
@@ -219,20 +231,19 @@ class PieceModel:
                 self._engine = SentencePieceProcessor(model_proto=self._proto())
             short = [u for u in need if len(u) <= 64 and "\0" not in u]
             for u, ids in zip(short, self._engine.encode(short, num_threads=1), strict=True):
-                known[u] = (array("I", ids).tobytes(), self._score(ids))
+                known[u] = array("I", ids).tobytes()
         for u in units:
             if u and u not in known:
                 known[u] = self._searched(u)
 
-    def _searched(self, u: str) -> tuple[bytes, int]:
+    def _searched(self, u: str) -> bytes:
         if u[-1] in self.apart and len(u) > 2 and u[-2].isalpha():
-            (a, x), (b, y) = self.unit(u[:-1]), self.unit(u[-1])
-            return a + b, x + y
-        best, start, piece = self.lattice(u, len(u), {0: 0})
-        return array("I", self.trace(u, start, piece, len(u))[0]).tobytes(), best[len(u)]
+            return self.unit(u[:-1]) + self.unit(u[-1])
+        _, start, piece = self.lattice(u, len(u), {0: 0})
+        return array("I", self.trace(u, start, piece, len(u))[0]).tobytes()
 
-    def unit(self, u: str) -> tuple[bytes, int]:
-        """(ids as little-endian unsigned 32-bit integers, score) of a unit."""
+    def unit(self, u: str) -> bytes:
+        """The ids of a unit as little-endian unsigned 32-bit integers."""
         return self._units.get(u) or self._searched(u)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -247,7 +258,7 @@ class PieceModel:
                 cuts.append(self.units(self.normalize(text)))
         self.remember(set().union(*cuts))
         get = self._units.__getitem__
-        return [self.merged(b"".join([get(u)[0] for u in cut if u])) for cut in cuts]
+        return [self.merged(b"".join([get(u) for u in cut if u])) for cut in cuts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -266,11 +277,12 @@ class PieceModel:
         return raw.decode("utf-8", "replace")
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[tuple[str, bool], PieceModel] = {}
 
 
-def model(path: str) -> PieceModel:
+def model(path: str, byte_pair_as_unigram: bool = False) -> PieceModel:
     """The worker's model; it outlives a task."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    name = (path, byte_pair_as_unigram)
+    if name not in _MODELS:
+        _MODELS[name] = PieceModel(path, byte_pair_as_unigram)
+    return _MODELS[name]

@@ -12,7 +12,9 @@ own. Documents of one chunk need no boundary.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.piece_model import LOWEST, PieceModel, model
+from loomspan.llm.piece_model import LOWEST, PieceModel, model as loaded
 from loomspan.session import written
 
 CHUNK = 16_384
@@ -55,7 +57,7 @@ def transfer(m: PieceModel, s: str, n: int) -> np.ndarray:
     out = np.full((size, size), LOWEST, np.int64)
     if (bounds := _narrow(m, s, n)) is not None:
         head, units, tail = bounds
-        middle = sum([m.unit(u)[1] for u in units])
+        middle = m.units_score(units)
         best, _, _ = m.lattice(s[tail:], n - tail, {0: 0})
         right = np.array((best[n - tail :] + [LOWEST] * size)[:size])
         for i in range(min(size, head + 1)):
@@ -111,7 +113,7 @@ def chunk_ids(m: PieceModel, s: str, n: int, states: np.ndarray, leave: int) ->
         left = m.trace(s, start, piece, head)[0]
         _, start, piece = m.lattice(s[tail:], n - tail, {0: 0})
         right = m.trace(s[tail:], start, piece, n - tail + leave)[0]
-        return pack(left) + b"".join([m.unit(u)[0] for u in units]) + pack(right)
+        return pack(left) + b"".join([m.unit(u) for u in units]) + pack(right)
     _, start, piece = _local(m, s, n, states)
     return pack(m.trace(s, start, piece, n + leave)[0])
 
@@ -130,11 +132,28 @@ def scan_encode(m: PieceModel, text: str, chunk: int) -> bytes:
     return m.merged(b"".join(reversed(out)))
 
 
-def _giants(docs: DataFrame, path: str, chunk: int, kind: str, parts: int) -> DataFrame:
-    """(uid, key, ids) of documents longer than a chunk."""
+#: What encode() returns beside the key, and what summary() does.
+IDS = "ids binary"
+DIGEST = "n_pieces long, ids array<int>, n_chars long, text_crc32 long"
+
+
+def _ids_batch(m: PieceModel, keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([keys, pa.array(ids, pa.binary())], names=["key", "ids"])
+
+
+def _digest_batch(m: PieceModel, keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    ids = [np.frombuffer(x, "<u4") for x in ids]
+    texts = [m.decode(x.tolist()) for x in ids]
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
+    cols = [keys, pa.array(list(map(len, ids)), pa.int64()), lists, pa.array(list(map(len, texts)), pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())]
+    return pa.record_batch(cols, names=["key", "n_pieces", "ids", "n_chars", "text_crc32"])
+
+
+def _giants(docs: DataFrame, model, chunk: int, kind: str, parts: int, finish, shape: str) -> DataFrame:
+    """The rows of documents longer than a chunk, as finish makes them."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = model(path), 0
+        m, row = model(), 0
         uid = TaskContext.get().partitionId() << 40
         for b in it:
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -144,19 +163,19 @@ def _giants(docs: DataFrame, path: str, chunk: int, kind: str, parts: int) -> Da
                     yield pa.record_batch([pa.array([uid + row], pa.int64()), b.column(0).slice(i, 1), pa.array([k // chunk], pa.int32()), pa.array([min(chunk, len(s) - k)], pa.int32()), pa.array([s[k : k + chunk + m.longest - 1]], pa.string())], names=["uid", "key", "k", "n", "s"])
 
     def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model()
         for b in it:
             raw = [transfer(m, s, n).tobytes() for s, n in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["uid", "k", "matrix"])
 
     def scanned(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
-        size = model(path).longest
+        size = model().longest
         states = prefix_states([np.frombuffer(x, np.int64).reshape(size, size) for x in t.column("matrix").to_pylist()])
         return pa.table({"uid": t.column("uid"), "k": t.column("k"), "states": pa.array([v.tobytes() for v in states], pa.binary())})
 
     def maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model()
         for b in it:
             rows = zip(*[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True)
             raw = [np.array(entry_map(m, s, n, np.frombuffer(v, np.int64)), np.int16).tobytes() for n, s, v in rows]
@@ -171,7 +190,7 @@ def _giants(docs: DataFrame, path: str, chunk: int, kind: str, parts: int) -> Da
         return pa.table({"uid": t.column("uid"), "k": t.column("k"), "leave": pa.array(out, pa.int32())})
 
     def traced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model()
         for b in it:
             rows = zip(*[b.column(i).to_pylist() for i in (3, 4, 5, 6)], strict=True)
             raw = [chunk_ids(m, s, n, np.frombuffer(v, np.int64), j) for n, s, v, j in rows]
@@ -179,48 +198,64 @@ def _giants(docs: DataFrame, path: str, chunk: int, kind: str, parts: int) -> Da
 
     def joined(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
-        ids = model(path).merged(b"".join(t.column("ids").to_pylist()))
-        return pa.table({"key": t.column("key").slice(0, 1), "ids": pa.array([ids], pa.binary())})
+        m = model()
+        ids = m.merged(b"".join(t.column("ids").to_pylist()))
+        return pa.Table.from_batches([finish(m, t.column("key").slice(0, 1).combine_chunks(), [ids])])
 
     chunks = written(docs.mapInArrow(cut, f"uid long, key {kind}, k int, n int, s string").repartition(parts, "uid", "k"), "piece-chunks")
     states = chunks.select("uid", "k", "n", "s").mapInArrow(matrices, "uid long, k int, matrix binary").groupBy("uid").applyInArrow(scanned, "uid long, k int, states binary")
     held = written(chunks.join(states, ["uid", "k"]), "piece-states")
     leave = held.select("uid", "k", "n", "s", "states").mapInArrow(maps, "uid long, k int, came binary").groupBy("uid").applyInArrow(leaving, "uid long, k int, leave int")
     ids = held.join(leave, ["uid", "k"]).select("uid", "key", "k", "n", "s", "states", "leave").mapInArrow(traced, f"uid long, key {kind}, k int, ids binary")
-    return ids.groupBy("uid").applyInArrow(joined, f"key {kind}, ids binary")
+    return ids.groupBy("uid").applyInArrow(joined, f"key {kind}, {shape}")
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
-    """(key, ids binary): the best segmentation of every whole text, as little-endian unsigned 32-bit ids.
-
-    A null or empty text has no ids. Repeated rows give repeated results, null
-    keys stay, extra columns are ignored, an empty table gives an empty result.
-    A document's chunk matrices (one for ``chunk`` characters, smaller than the
-    text) meet in one task; its text never does before the final ids.
-    """
+def _encoded(docs: DataFrame, model, text: str, key: str, chunk: int, finish, shape: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = model()
         for b in it:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield pa.record_batch([part.column(0), pa.array(m.encode_many(part.column(1).to_pylist()), pa.binary())], names=["key", "ids"])
+                yield finish(m, part.column(0), m.encode_many(part.column(1).to_pylist()))
 
     # a little below the chunk: normalising adds a mark
-    one = rows.where(F.length("text") < chunk).mapInArrow(small, f"key {kind}, ids binary")
-    many = _giants(rows.where(F.length("text") >= chunk), model_path, chunk, kind, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = rows.where(F.length("text") < chunk).mapInArrow(small, f"key {kind}, {shape}")
+    many = _giants(rows.where(F.length("text") >= chunk), model, chunk, kind, int(spark.conf.get("spark.sql.shuffle.partitions")), finish, shape)
     return one.unionByName(many).withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) of id sequences; null ids give a null text."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK, byte_pair_as_unigram: bool = False) -> DataFrame:
+    """(key, ids binary): the best segmentation of every whole text, as little-endian unsigned 32-bit ids.
+
+    A null or empty text has no ids. Repeated rows give repeated results, null
+    keys stay, extra columns are ignored, an empty table gives an empty result.
+    A document's chunk matrices (one for ``chunk`` characters, smaller than the
+    text) meet in one task; its text never does before the final ids. Of equally
+    good segmentations the piece that starts first stays, as in the library.
+    A byte-pair file raises ValueError unless byte_pair_as_unigram says that its
+    pieces are to be read as a unigram vocabulary, whose ids are not its merges.
+    """
+    loaded(model_path, byte_pair_as_unigram)
+    return _encoded(docs, partial(loaded, model_path, byte_pair_as_unigram), text, key, chunk, _ids_batch, IDS)
+
+
+def encode_summary(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK, byte_pair_as_unigram: bool = False) -> DataFrame:
+    """``summary`` of ``encode``, made in one pass of the workers."""
+    loaded(model_path, byte_pair_as_unigram)
+    return _encoded(docs, partial(loaded, model_path, byte_pair_as_unigram), text, key, chunk, _digest_batch, DIGEST)
+
+
+def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids", byte_pair_as_unigram: bool = False) -> DataFrame:
+    """(key, text) of id sequences; null ids give a null text. Repeated rows and null keys stay; an empty table gives an empty result."""
     kind = encoded.schema[key].dataType.simpleString()
+    model = partial(loaded, model_path, byte_pair_as_unigram)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = model()
         for b in it:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
@@ -230,29 +265,24 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
     return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(batches, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def summary(encoded: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_pieces, ids, n_chars, text_crc32): the ids as an array, and the length and crc32 of their decoded text."""
+def summary(encoded: DataFrame, model_path: str, key: str = "doc_id", byte_pair_as_unigram: bool = False) -> DataFrame:
+    """(key, n_pieces, ids, n_chars, text_crc32): the ids as an array, and the length and crc32 of their decoded text; null ids count as none."""
     kind = encoded.schema[key].dataType.simpleString()
+    model = partial(loaded, model_path, byte_pair_as_unigram)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        m = model(model_path)
+        m = model()
         for b in it:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                ids = [np.frombuffer(x, "<u4") for x in part.column(1).to_pylist()]
-                texts = [m.decode(x.tolist()) for x in ids]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
-                cols = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), lists, pa.array(list(map(len, texts)), pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())]
-                yield pa.record_batch(cols, names=["key", "n_pieces", "ids", "n_chars", "text_crc32"])
+                yield _digest_batch(m, part.column(0), [x or b"" for x in part.column(1).to_pylist()])
 
-    out = encoded.select(F.col(key).alias("key"), "ids").mapInArrow(batches, f"key {kind}, n_pieces long, ids array<int>, n_chars long, text_crc32 long")
-    return out.withColumnRenamed("key", key)
+    return encoded.select(F.col(key).alias("key"), "ids").mapInArrow(batches, f"key {kind}, {DIGEST}").withColumnRenamed("key", key)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """The public file is a byte-pair one: its pieces are read as a unigram vocabulary, by request."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return summary(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return encode_summary(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_pair_as_unigram=True)

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import jaccard
 from loomspan.llm.textops import lowered, slices
 from loomspan.operators.components import connected_components
 from loomspan.session import written
@@ -197,5 +198,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     return fp.join(final, "fp").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, max_bits: int = 3, **how) -> DataFrame:
+    """(key, text_hash, component_id): component_id is the smallest key reachable over links, null where none has a key.
+
+    Texts link at an exact Jaccard similarity of jaccard.LEAST or more of their
+    shingles. The fingerprints of the shingles and their grid find what lies
+    within max_bits, and each pair is verified by its sets. At that similarity
+    fingerprints differ in some ten bits of 64, for which no grid is selective,
+    so the pairs beyond max_bits come from the prefix join (see jaccard), which
+    skips what the fingerprints have connected. A row for each row of docs;
+    text_hash tells rows of one key apart. Equal sets are one node, texts
+    without a word among them; an empty table gives an empty result.
+    """
+    rows = written(jaccard.named(docs, text, key, words), "simhash-rows")
+    nodes = rows.where("size > 0").select("name", "fp").distinct()
+    reps = written(nodes.groupBy("fp").agg(F.min("name").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    same = nodes.join(reps.where("n > 1"), "fp").where("name <> rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
+    near = links(reps.select("fp"), max_bits)
+    for side in ("a", "b"):
+        near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(side + "_rep")), side)
+    pairs = written(same.unionByName(near.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))).distinct(), "simhash-pairs")
+    known = written(jaccard.checked(pairs, docs, text, words), "simhash-known")
+    return jaccard.grouped(rows, jaccard.components(docs, text, words, known, **how), key)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,24 +8,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20
+#: Bytes of a run of texts; the arrays made for it take some fifty times as much.
+CHUNK = 1 << 19
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes of powers that a worker keeps for each base.
+KEPT = 56 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; as many as a run of texts needs are kept between calls."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = max(n, CHUNK + (1 << 14))
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         got = np.cumprod(steps, dtype=np.uint64)
-        _POWERS[base] = got
+        if got.nbytes <= KEPT:
+            _POWERS[base] = got
     return got[:n]
 
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from loomspan.llm import jaccard
+from loomspan.llm.simhash import near_copies
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -52,9 +52,9 @@ def rows(corpus):
 
 @pytest.mark.parametrize("how", [{}, {"block": 2, "stars": 0, "most": 0}, {"block": 3, "stars": 1}])
 def test_groups_against_brute_force(spark, rows, empty, how):
-    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **how)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **how)
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=str) == brute_groups(rows)
-    assert jaccard.similar_groups(empty, **how).count() == 0
+    assert near_copies(empty, **how).count() == 0
 
 
 def test_pipeline_stage_drops_near_copies(spark):

@@ -65,7 +65,7 @@ def test_token_file_round_trip(spark, docs, corpus, empty):
 @pytest.fixture(scope="module")
 def library():
     """The library with the same pieces and scores as a unigram model."""
-    m = PieceModel(PIECES)
+    m = PieceModel(PIECES, True)
 
     def varint(x):
         out = b""
@@ -114,8 +114,16 @@ def test_matrices_are_associative(library):
 
 def test_distributed_encode(spark, docs, corpus, library, empty):
     m, _ = library
-    got = sorted((-1 if r.doc_id is None else r.doc_id, ids_of(r.ids)) for r in sp.encode(docs, PIECES, chunk=64).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, ids_of(r.ids)) for r in sp.encode(docs, PIECES, chunk=64, byte_pair_as_unigram=True).collect())
     assert got == sorted((-1 if k is None else k, ids_of(m.encode(t or ""))) for k, t in corpus)
-    assert sp.encode(empty, PIECES).count() == 0
-    back = {(r.doc_id, r.text) for r in sp.decode(sp.encode(docs.where("doc_id < 60"), PIECES), PIECES).collect()}
+    assert sp.encode(empty, PIECES, byte_pair_as_unigram=True).count() == 0
+    back = {(r.doc_id, r.text) for r in sp.decode(sp.encode(docs.where("doc_id < 60"), PIECES, byte_pair_as_unigram=True), PIECES, byte_pair_as_unigram=True).collect()}
     assert back == {(k, t) for k, t in corpus if k is not None and k < 60}
+
+
+def test_byte_pair_file_is_refused_unless_asked_for(docs):
+    with pytest.raises(ValueError, match="byte-pair"):
+        sp.encode(docs, PIECES)
+    whole = {(r.doc_id, r.n_pieces, r.text_crc32) for r in sp.encode_summary(docs, PIECES, chunk=64, byte_pair_as_unigram=True).collect()}
+    apart = sp.summary(sp.encode(docs, PIECES, byte_pair_as_unigram=True), PIECES, byte_pair_as_unigram=True)
+    assert whole == {(r.doc_id, r.n_pieces, r.text_crc32) for r in apart.collect()}
