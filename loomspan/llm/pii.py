@@ -1,16 +1,22 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions alone.
 
-Entities are found by one pattern. An entity's surrogate is a function of a
-secret key, its kind, its value and an attempt number, so the same entity gets
-the same surrogate in every document. Surrogates keep the form: letters stay
-letters of their case and script, digits stay digits, separators stay, a
-telephone keeps its country code, a card number that passes the Luhn test has a
-surrogate that passes it, an address stays a valid address, and a person's name
-keeps its title, script and the gender that the title tells.
+Entities are found by one pattern. An entity with a form (an address, a number,
+a secret) is replaced by a keyed permutation of all strings of its form, a
+Feistel network over its two halves: letters stay letters of their case and
+script, digits stay digits, separators stay, a telephone keeps its country
+code, card numbers and IBANs keep their checksums, an address stays a valid
+address. So different entities have different surrogates by construction. A
+person's name is made of syllables of its script; each word of a name has one
+surrogate in the whole corpus, whatever the title and the case, and ends as
+the gender does that all titles before it tell.
 
 Before anything is replaced the distinct entities of the whole corpus are
 checked: of two that would share a surrogate, or one whose surrogate is an
-entity of the corpus, the later takes its next attempt, until all differ.
+entity of the corpus, the later takes its next attempt (another key; names grow
+by a syllable), until all differ. Addresses of a form that has room for less
+than four times those that the corpus has grow by three letters. Numbers of a
+form that is as full cannot grow: they keep the permutation itself, whose
+values differ, though one may be another real number of that form.
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ from loomspan.session import written
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
 _EITHER = r"Dr|Prof"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: JONES, O'Neil, McDonald, Anna-Maria.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)*"
+_TITLES = rf"(?:(?:{_MALE}|{_FEMALE}|{_EITHER})\.? )+"
 #: Kinds in the order in which they are tried at a place, and the pattern of each.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -33,9 +41,12 @@ KINDS = {
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}}){_TITLES}(?:(?:\p{{Lu}}\. ?)*{_NAME})(?: (?:\p{{Lu}}\. ?)*{_NAME})?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A word that may be a known name, in texts that name persons.
+BARE = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+(?![\p{L}\p{N}])"
+WITH_BARE = f"{PATTERN}|(?:{BARE})"
 #: A text without this has no entity.
 HINT = rf"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb)[-_]|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
 #: Fixed syllables of made-up names by script; the last of a given name tells the gender.
@@ -53,45 +64,55 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def _draw(seed: Column, i: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _seed(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
+def _key(secret: str, *parts: Column) -> Column:
     """A keyed digest: the key's digest goes in before and after, as in HMAC."""
     key = F.sha2(F.lit(secret), 256)
-    inner = F.sha2(F.concat_ws("\1", key, kind, value, attempt.cast("string")), 256)
-    return F.sha2(F.concat(key, inner), 256)
+    return F.sha2(F.concat(key, F.sha2(F.concat_ws("\1", key, *parts), 256)), 256)
 
 
-def _pick(letters: str, seed: Column, i: Column) -> Column:
-    return F.substr(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_CYRILLIC, _GREEK, _ACCENTS = "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω", "àáâäåèéêëìíîïñòóôöùúûüøæçß"
+ALPHABETS = ("0123456789", _LOWER, _LOWER.upper(), _CYRILLIC, _CYRILLIC.upper(), _GREEK, _GREEK.upper(), _ACCENTS, "ÀÁÂÄÅÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜØÆÇẞ")
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
-_CHAR_CLASSES = (
-    (r"[0-9]", "0123456789"), (r"[a-z]", _LOWER), (r"[A-Z]", _LOWER.upper()),
-    (r"\p{IsCyrillic}&&\p{Ll}", "абвгдежзиклмнопрстуфхцчшэюя"), (r"\p{IsCyrillic}&&\p{Lu}", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
-    (r"\p{IsGreek}&&\p{Ll}", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{IsGreek}&&\p{Lu}", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
-    (r"\p{Ll}", "àáâäåèéêëíîïñóôöùúûüßøæ"), (r"\p{Lu}", "ÀÁÂÄÅÈÉÊËÍÎÏÑÓÔÖÙÚÛÜØÆ"),
-)
+def _letters(*alphabets: str) -> Column:
+    return F.array(*[F.lit(a) for a in alphabets])
 
 
-def _same_form(value: Column, seed: Column, keep: Column, hex_only: Column | None = None) -> Column:
-    """Each character after the first ``keep`` becomes one of its class; others stay."""
+def _shifted(half: Column, key: Column, alphabets: Column) -> Column:
+    """Each character moved on in its alphabet by a draw for its place; one of no alphabet stays."""
 
     def one(c: Column, i: Column) -> Column:
-        out = c
-        for pattern, letters in reversed(_CHAR_CLASSES):
-            inside = pattern if pattern[0] == "[" else f"[{pattern}]"
-            out = F.when(c.rlike(inside), _pick(letters, seed, i)).otherwise(out)
-        if hex_only is not None:
-            small, large = _pick("0123456789abcdef", seed, i), _pick("0123456789ABCDEF", seed, i)
-            mixed = F.when(c.rlike("[a-f]"), _pick("abcdef", seed, i)).when(c.rlike("[A-F]"), _pick("ABCDEF", seed, i)).otherwise(out)
-            out = F.when(hex_only, F.when(~value.rlike("[A-F]"), small).when(~value.rlike("[a-f]"), large).otherwise(mixed)).otherwise(out)
-        return F.when(i < keep, c).otherwise(out)
+        letters = F.get(F.filter(alphabets, lambda a: F.contains(a, c)), F.lit(0))
+        n = F.length(letters).cast("long")
+        to = F.pmod(F.position(c, letters) - 1 + F.pmod(F.xxhash64(key, i), n), n)
+        return F.when(letters.isNull(), c).otherwise(F.substr(letters, (to + 1).cast("int"), F.lit(1)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(half, F.lit("(?s)."), F.lit(0)), one), "")
+
+
+def permuted(value: Column, key: Column, alphabets: Column) -> Column:
+    """A keyed permutation of the strings of value's form: four Feistel rounds over its halves."""
+    middle = F.ceil(F.length(value) / 2).cast("int")
+    out = F.struct(F.substr(value, F.lit(1), middle).alias("l"), F.substr(value, middle + 1, F.length(value)).alias("r"))
+
+    def turned(turn: int, here: str, other: str):
+        def step(s: Column) -> Column:
+            draw = F.sha2(F.concat_ws("\2", key, F.lit(str(turn)), s[other]), 256)
+            made = _let(draw, lambda k: _shifted(s[here], k, alphabets))
+            return F.struct(*[(made if x == here else s[x]).alias(x) for x in "lr"])
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+        return step
+
+    for turn in range(4):
+        out = _let(out, turned(turn, *("lr" if turn % 2 == 0 else "rl")))
+    return _let(out, lambda s: F.concat(s["l"], s["r"]))
 
 
 def luhn(value: Column) -> Column:
@@ -101,151 +122,217 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.transform(digits, twice), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(value: Column, seed: Column) -> Column:
-    made = _same_form(value, seed, F.lit(0))
-    last = F.regexp_extract(made, r"([0-9])[^0-9]*\z", 1).cast("int")
-    right = F.pmod(last - luhn(made), F.lit(10)).cast("string")
-    return F.when(luhn(value) == 0, F.regexp_replace(made, F.lit(r"[0-9](?=[^0-9]*\z)"), right)).otherwise(made)
+def _card(value: Column, key: Column) -> Column:
+    """All digits but the last are permuted; the last stays as far from the right one as it was, so a valid number stays valid."""
+    body, last = F.substr(value, F.lit(1), F.length(value) - 1), F.right(value, F.lit(1)).cast("int")
+    right = lambda b: F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10))
+    return _let(permuted(body, key, _letters(*ALPHABETS)), lambda b: F.concat(b, F.pmod(right(b) + last - right(body), F.lit(10)).cast("string")))
 
 
-def _ip(value: Column, seed: Column) -> Column:
-    return F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (_draw(seed, i, 254) + 1).cast("string")), ".")
+def iban_check(value: Column) -> Column:
+    """The two check digits that make an IBAN's country and account valid."""
+    text = F.concat(F.substr(F.regexp_replace(value, " ", ""), F.lit(5), F.length(value)), F.substr(value, F.lit(1), F.lit(2)), F.lit("00"))
+    places = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit("0123456789" + _LOWER.upper())) - 1)
+    rest = F.aggregate(places, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
+    return 98 - rest
 
 
-def script_of(value: Column) -> Column:
-    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def _iban(value: Column, key: Column) -> Column:
+    """The country stays, the account is permuted, the check digits stay as far from the right ones as they were."""
+    country, own, body = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(3), F.lit(2)).cast("int"), F.substr(value, F.lit(5), F.length(value))
+
+    def whole(b: Column) -> Column:
+        right = iban_check(F.concat(country, F.lit("00"), b))
+        return F.concat(country, F.lpad(F.pmod(right + own - iban_check(value), F.lit(100)).cast("string"), 2, "0"), b)
+
+    return _let(permuted(body, key, _letters(*ALPHABETS)), whole)
+
 
+def _ip(value: Column, key: Column) -> Column:
+    """The four octets as eight hexadecimal digits, permuted."""
+    digits = F.array_join(F.transform(F.split(value, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
+    made = permuted(digits, key, _letters(_HEX[0]))
+    return _let(made, lambda m: F.concat_ws(".", *[F.conv(F.substr(m, F.lit(i), F.lit(2)), 16, 10) for i in (1, 3, 5, 7)]))
 
-def _title(value: Column) -> Column:
-    return F.regexp_extract(value, r"\A(\p{L}+\.? )", 1)
+
+def script_of(value: Column) -> Column:
+    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def gender_of(title: Column) -> Column:
-    bare = F.regexp_replace(title, r"[. ]", "")
-    return F.when(bare.isin(*_MALE.split("|")), "m").when(bare.isin(*_FEMALE.split("|")), "f").otherwise("n")
+    """m or f if a word of the title tells, else n."""
+    return F.when(title.rlike(rf"(?:^| )(?:{_FEMALE})\b"), "f").when(title.rlike(rf"(?:^| )(?:{_MALE})\b"), "m").otherwise("n")
 
 
-def _made_name(kind: Column, value: Column, seed: Column) -> Column:
-    """A name of three syllables (four for later attempts' room) in the value's script; a given name ends as its gender does."""
+def _made_name(value: Column, gender: Column, attempt: Column, key: Column) -> Column:
+    """A word of three syllables and one more for each attempt, in the value's script; it ends as its gender does."""
+    draw = lambda i, n: F.pmod(F.xxhash64(key, i), F.lit(n)).cast("int")
+    pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), draw(i, len(words)))
+    syllable = lambda words: lambda i: pick(words, i)
     out = F.lit("")
     for script, (plain, male, female) in reversed(SYLLABLES.items()):
-        s = plain.split()
-        at = lambda i, s=s: F.element_at(F.array(*[F.lit(x) for x in s]), _draw(seed, F.lit(i), len(s)) + 1)
-        end = lambda words: F.element_at(F.array(*[F.lit(x) for x in words.split()]), _draw(seed, F.lit(9), len(words.split())) + 1)
-        close = F.when(kind == "given_m", end(male)).when(kind == "given_f", end(female)).otherwise(at(9))
-        name = F.initcap(F.concat(at(1), at(2), at(3), close))
-        out = F.when(script_of(value) == script, name).otherwise(out)
+        plain, male, female = plain.split(), male.split(), female.split()
+        stem = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), syllable(plain)), "")
+        close = F.when(gender == "m", pick(male, F.lit(-1))).when(gender == "f", pick(female, F.lit(-1))).otherwise(pick(plain, F.lit(-1)))
+        out = F.when(script_of(value) == script, F.concat(stem, close)).otherwise(out)
     return out
 
 
-def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The surrogate of one entity of any kind; names come as given_m, given_f, given_n or family."""
-    seed = _seed(secret, kind, value, attempt)
+def surrogate(secret: str, kind: Column, value: Column, attempt: Column, gender: Column, wide: Column) -> Column:
+    """The surrogate of one entity of any kind; a name is one lower-case word. wide: letters that an address grows by."""
+    key = _key(secret, kind, attempt.cast("string"))
     code = F.length(F.regexp_extract(value, r"\A(\+\d{1,3}(?=[^\d]))", 1))
-    domain = F.length(value) - F.length(F.regexp_extract(value, r"(\.[A-Za-z]+)\z", 1))
     tail = F.regexp_extract(value, r"(\.[A-Za-z]+)\z", 1)
-    mail = F.concat(_same_form(F.substr(value, F.lit(1), domain), seed, F.lit(0)), tail)
-    secrets = _same_form(value, seed, F.length(F.regexp_extract(value, r"\A(AKIA|(?:sk|ghp|gho|xoxb)[-_])", 1)), value.rlike(r"\A[0-9A-Fa-f]+\z"))
+    mail = F.concat(F.repeat(F.lit("a"), wide), F.substr(value, F.lit(1), F.length(value) - F.length(tail)))
+    mark = F.regexp_extract(value, r"\A(AKIA|(?:sk|ghp|gho|xoxb)[-_])", 1)
+    hexed = value.rlike(r"\A[0-9A-Fa-f]+\z")
+    alphabets = F.when(hexed & ~value.rlike("[A-F]"), _letters(_HEX[0])).when(hexed & ~value.rlike("[a-f]"), _letters(_HEX[1])).when(hexed, _letters("0123456789", "abcdef", "ABCDEF")).otherwise(_letters(*ALPHABETS))
+    after = lambda n: F.substr(value, n + 1, F.length(value))
+    every = _letters(*ALPHABETS)
     return (
-        F.when(kind == "email", mail)
-        .when(kind == "phone", _same_form(value, seed, code))
-        .when(kind == "ssn", _same_form(value, seed, F.lit(0)))
-        .when(kind == "ip", _ip(value, seed))
-        .when(kind == "secret", secrets)
-        .when(kind == "card", _card(value, seed))
-        .when(kind == "iban", _same_form(value, seed, F.lit(2)))
-        .otherwise(_made_name(kind, value, seed))
+        F.when(kind == "email", F.concat(permuted(mail, key, every), tail))
+        .when(kind == "phone", F.concat(F.substr(value, F.lit(1), code), permuted(after(code), key, every)))
+        .when(kind == "ssn", permuted(value, key, every))
+        .when(kind == "ip", _ip(value, key))
+        .when(kind == "secret", F.concat(mark, permuted(after(F.length(mark)), key, alphabets)))
+        .when(kind == "card", _card(value, key))
+        .when(kind == "iban", _iban(value, key))
+        .otherwise(_made_name(value, gender, attempt, _key(secret, kind, value, attempt.cast("string"))))
     )
 
 
-def parts_of(match: Column) -> Column:
-    """A match as entities: array<struct<kind, value>>; a person's names are entities of their own, so a family name alone keeps its surrogate."""
+def _title(match: Column) -> Column:
+    return F.regexp_extract(match, rf"\A({_TITLES})", 1)
+
+
+def entities_of(match: Column) -> Column:
+    """A match as array<struct<kind, value, gender>>; each word of a person's name is an entity of its own, in lower case."""
     title = _title(match)
-    names = F.split(F.substr(match, F.length(title) + 1), " ")
-    given = F.struct(F.concat(F.lit("given_"), gender_of(title)).alias("kind"), F.get(names, F.lit(0)).alias("value"))
-    family = F.struct(F.lit("family").alias("kind"), F.element_at(names, -1).alias("value"))
+    names = F.substr(match, F.length(title) + 1, F.length(match))
+    given = F.when(names.contains(" "), F.substring_index(names, " ", 1)).otherwise("")
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"\p{L}{2,}"), F.lit(0))
+    name = lambda g: lambda w: F.struct(F.lit("name").alias("kind"), F.lower(w).alias("value"), g.alias("gender"))
+    person = F.concat(F.transform(words(given), name(gender_of(title))), F.transform(words(F.substr(names, F.length(given) + 1, F.length(names))), name(F.lit("n"))))
     kind = kind_of(match)
-    person = F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))
-    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), match.alias("value"))))
+    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), match.alias("value"), F.lit("n").alias("gender"))))
 
 
-def _entity_key(kind: Column, value: Column) -> Column:
-    return F.concat(kind, F.lit("\1"), value)
+def _entity_key(kind: Column | str, value: Column) -> Column:
+    return F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit("\1"), value)
 
 
 def matches(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0))
-
-
-def _matched(docs: DataFrame, text: str) -> DataFrame:
-    found = docs.select(F.explode(matches(F.col(text).cast("string"))).alias("m"))
-    each = found.select(F.explode(parts_of(F.col("m"))).alias("e"))
-    return each.select("e.kind", "e.value").distinct()
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+
+
+def _entities(mentions: DataFrame) -> DataFrame:
+    """(kind, value, gender, wide, full) of the distinct entities of mentions (kind, value, gender)."""
+    each = mentions.groupBy("kind", "value").agg(F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
+    each = each.withColumn("gender", F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n"))
+    form = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    each = written(each.select("kind", "value", "gender", F.when(F.col("kind") != "name", form).alias("form")), "pii-entities")
+    # what the surrogate keeps has no room: country codes and check digits, the end of an address, the marks of secrets
+    fixed = F.when(F.col("kind") == "phone", r"\A\+0{1,3}(?=[^0])").when(F.col("kind") == "email", r"\.[aA]+\z").when(F.col("kind") == "card", r"0\z").when(F.col("kind") == "iban", r"\A....").otherwise(r"\AAAAA(?=A)|\A[aA]+[-_]")
+    free = F.regexp_replace("form", fixed, F.lit(""))
+    room = F.regexp_count(free, F.lit("0")) + F.log10(F.lit(26.0)) * F.regexp_count(free, F.lit("[aA]"))
+    crowded = each.where("form is not null").groupBy("kind", "form").agg(F.count("*").alias("n")).where(F.log10(F.col("n") * 4) > room).select("kind", "form", F.lit(True).alias("crowded"))
+    out = each.join(crowded, ["kind", "form"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    return out.select("kind", "value", "gender", F.when(F.col("crowded") & (F.col("kind") == "email"), 3).otherwise(0).alias("wide"), (F.col("crowded") & (F.col("kind") != "email")).alias("full"))
+
+
+def surrogates(mentions: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
+    """(kind, value, made, attempt) of each distinct entity of mentions (kind, value, gender): no two share a surrogate, and none is an entity itself, but for crowded forms of numbers."""
+    known = written(_entities(mentions), "pii-known")
+    todo = known.withColumn("attempt", F.lit(0))
+    real = known.select(F.col("value").alias("made")).distinct()
+    done = None
+    for _ in range(rounds):
+        made = written(todo.withColumn("made", surrogate(secret, F.col("kind"), F.col("value"), F.col("attempt"), F.col("gender"), F.col("wide"))), "pii-made")
+        # the holder of a surrogate is the first of those that want it; what was given before stays given
+        first = made.groupBy("made").agg(F.min(F.struct("kind", "value")).alias("holder"))
+        good = made.join(first, "made").where(F.col("full") | (F.struct("kind", "value") == F.col("holder")))
+        good = good.where("full").unionByName(good.where("not full").join(real, "made", "left_anti").select(good.columns)).drop("holder")
+        if done is not None:
+            good = good.join(done.select("made"), "made", "left_anti")
+        good = written(good.select(made.columns), "pii-settled")
+        rest = written(made.join(good.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("made"), "pii-again")
+        mine = good.select("kind", "value", "made", "attempt")
+        done = mine if done is None else done.unionByName(mine)
+        if rest.isEmpty():
+            return done
+        todo = rest
+    raise RuntimeError("surrogates still collide: the corpus has more numbers of some form than the form has room for")
+
+
+def _recased(word: Column, made: Column) -> Column:
+    return F.when(word == F.upper(word), F.upper(made)).otherwise(F.initcap(made))
+
+
+def _person(secret: str, match: Column, given: Column) -> Column:
+    """A person's match with the words of its name replaced; title, initials' stops, hyphens and apostrophes stay. An initial is shifted in its alphabet."""
+    title = _title(match)
+    names = F.substr(match, F.length(title) + 1, F.length(match))
+    words, gaps = F.regexp_extract_all(names, F.lit(r"\p{L}+"), F.lit(0)), F.split(names, r"\p{L}+", -1)
 
+    def one(w: Column, i: Column) -> Column:
+        made = F.try_element_at(given, _entity_key("name", F.lower(w)))
+        initial = F.when(F.get(gaps, i + 1).rlike("^['’]"), w).otherwise(_shifted(w, _key(secret, F.lit("initial")), _letters(*ALPHABETS)))
+        return F.when(F.length(w) == 1, initial).otherwise(F.coalesce(_recased(w, made), w))
 
-def attempts(docs: DataFrame, secret: str, text: str = "text", rounds: int = 12) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate would collide; all others have attempt 0.
+    new = F.transform(words, one)
+    return F.concat(title, F.array_join(F.zip_with(gaps, new, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), ""))
 
-    A collision is two entities with one surrogate, of whatever kinds, or a
-    surrogate that is itself an entity of the corpus.
-    """
-    known = written(_matched(docs, text), "pii-entities")
-    state = known.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
-        made = written(state.withColumn("made", surrogate(secret, F.col("kind"), F.col("value"), F.col("attempt"))), "pii-surrogates")
-        # the holder of a surrogate is the one with the fewest attempts, then the smallest
-        holder = F.struct("attempt", "kind", "value")
-        shared = made.groupBy("made").agg(F.min(holder).alias("keeps"), F.count("*").alias("n")).where("n > 1").select("made", "keeps")
-        losers = made.join(shared, "made").where(F.struct("attempt", "kind", "value") != F.col("keeps")).select("kind", "value")
-        real = made.join(known.select(F.col("value").alias("made")).distinct(), "made", "left_semi").select("kind", "value")
-        again = written(losers.unionByName(real).distinct().withColumn("clash", F.lit(True)), "pii-clashes")
-        if again.isEmpty():
-            return made.where("attempt > 0").select("kind", "value", "attempt")
-        state = made.join(again, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)).alias("attempt"))
-    raise RuntimeError("surrogates still collide; a longer form is needed for some entities")
 
+def _new_of(secret: str, match: Column, given: Column) -> Column:
+    """What stands in the place of a match: of an entity its surrogate, of a bare word that is a name of this text the name's, else itself."""
+    kind = kind_of(match)
+    own = F.try_element_at(given, _entity_key(kind, match))
+    bare = F.try_element_at(given, _entity_key("name", F.lower(match)))
+    titled = match.rlike(rf"\A{_TITLES}\p{{Lu}}")
+    return F.coalesce(F.when((kind == "person") & titled, _person(secret, match, given)).when(kind == "person", _recased(match, bare)).otherwise(own), match)
 
-def _replacement(secret: str, match: Column, tries: Column | None) -> Column:
-    def made(e: Column) -> Column:
-        attempt = F.lit(0) if tries is None else F.coalesce(F.try_element_at(tries, _entity_key(e["kind"], e["value"])), F.lit(0))
-        return surrogate(secret, e["kind"], e["value"], attempt)
 
-    title = F.when(kind_of(match) == "person", _title(match)).otherwise("")
-    return F.concat(title, F.array_join(F.transform(parts_of(match), made), " "))
+def replaced(secret: str, text: Column, given: Column) -> Column:
+    """struct<text, n>: text with every entity replaced, and how many were; given maps this text's entities to their surrogates."""
+    named = F.exists(F.map_keys(given), lambda k: k.startswith("name\1"))
 
+    def of(pattern: str) -> Column:
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        new = F.transform(found, lambda m: _new_of(secret, m, given))
+        n = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).cast("long")
+        both = lambda made: F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+        return _let(F.struct(new.alias("new"), n.alias("n")), lambda s: F.struct(both(s["new"]).alias("text"), s["n"].alias("n")))
 
-def replaced(secret: str, text: Column, tries: Column | None = None) -> Column:
-    """text with every entity replaced: the stretches between matches and the surrogates, by turns."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), 0)
-    gaps = F.split(text, PATTERN, -1)
-    new = F.transform(found, lambda m: _replacement(secret, m, tries))
-    both = F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    return F.when(text.rlike(HINT), F.array_join(both, "")).otherwise(text)
+    return F.when(named, of(WITH_BARE)).otherwise(of(PATTERN))
 
 
 def anonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """docs with text anonymised and n_entities, the number of replacements.
 
     The same entity has the same surrogate everywhere and different entities
-    have different ones. A null text stays null with 0 entities; empty texts,
-    repeated rows and other columns stay as they are; an empty table gives an
-    empty result. Where no first surrogates collide, texts are replaced in one
-    pass without a shuffle; else the attempts reach the documents concerned
-    through joins on the entity and on the row's hash.
+    have different ones. In a text that names a person after a title, that
+    name's words are replaced wherever they stand in it. A null text stays null
+    with 0 entities; empty texts, repeated rows and other columns, whatever
+    their names, stay as they are (but n_entities, which is replaced); an empty
+    table gives an empty result. Texts without an entity are not shuffled; the
+    others meet their surrogates by a 128-bit digest of the text.
     """
-    other = written(attempts(docs, secret, text), "pii-attempts")
-    held = docs.drop("n_entities")
     value = F.col(text).cast("string")
-    count = F.coalesce(F.size(matches(value)), F.lit(0))
-    count = F.greatest(count, F.lit(0)).cast("long")
-    if other.isEmpty():
-        return held.withColumn("n_entities", count).withColumn(text, replaced(secret, value))
-    held = held.withColumn("_row", F.xxhash64(F.coalesce(value, F.lit(""))))
-    names = held.select("_row", F.explode(matches(value)).alias("m")).select("_row", F.explode(parts_of(F.col("m"))).alias("e"))
-    mine = names.select("_row", "e.kind", "e.value").join(other, ["kind", "value"]).distinct()
-    tries = mine.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(_entity_key(F.col("kind"), F.col("value")), "attempt"))).alias("_tries"))
-    out = held.join(written(tries, "pii-tries"), "_row", "left").withColumn("n_entities", count)
-    return out.withColumn(text, replaced(secret, value, F.col("_tries"))).drop("_row", "_tries")
+    found = docs.select(F.md5(value).alias("row"), matches(value).alias("m")).where(F.size("m") > 0)
+    found = found.select("row", F.array_distinct(F.flatten(F.transform("m", entities_of))).alias("e")).dropDuplicates(["row"])
+    each = written(found, "pii-mentions").select("row", F.explode("e").alias("e")).select("row", "e.*")
+    made = surrogates(each, secret).select("kind", "value", "made")
+    pair = F.struct(_entity_key(F.col("kind"), F.col("value")).alias("key"), "made")
+    maps = each.select("row", "kind", "value").distinct().join(made, ["kind", "value"]).groupBy("row").agg(F.map_from_entries(F.collect_list(pair)).alias("given"))
+    maps = written(maps, "pii-maps")
+    own = [c for c in docs.columns if c != "n_entities"]
+    has = F.coalesce(F.size(matches(value)) > 0, F.lit(False))
+    plain = docs.where(~has).select(*[value.alias(c) if c == text else F.col(c) for c in own], F.lit(0).cast("long").alias("n_entities"))
+    held = docs.where(has).select(F.struct(*own).alias("_doc"), F.md5(value).alias("row"))
+    new = replaced(secret, F.col("_doc")[text].cast("string"), F.col("given"))
+    full = held.join(maps, "row").select("_doc", new.alias("_new"))
+    full = full.select(*[F.col("_new")["text"].alias(c) if c == text else F.col("_doc")[c].alias(c) for c in own], F.col("_new")["n"].alias("n_entities"))
+    return plain.unionByName(full)
 
 
 def op3_pii_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_surrogates_keep_form(private):
 def test_collisions_are_resolved(spark, monkeypatch):
     real = pii.surrogate
     # a surrogate of one digit collides, so that attempts are needed
-    monkeypatch.setattr(pii, "surrogate", lambda secret, kind, value, attempt: F.concat(F.lit("s"), F.pmod(F.xxhash64(value, attempt), F.lit(40)).cast("string")))
+    monkeypatch.setattr(pii, "surrogate", lambda secret, kind, value, attempt, gender, wide: F.concat(F.lit("s"), F.pmod(F.xxhash64(value, attempt), F.lit(40)).cast("string")))
     rows = [(i, f"mail user{i}@x.org and user{i % 3}@x.org") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.anonymize(df, "k").collect()}
