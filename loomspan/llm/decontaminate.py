@@ -5,7 +5,11 @@ substituted word under an ignored place leaves the seed's hash as it was. The
 seeds of the documents meet those of the benchmark items by hash. A hit
 fixes an alignment; around it the item and the document are compared word by
 word, and a leak is a stretch of ``window`` item words of which at least
-``share`` are the document's.
+``share`` are the document's (of all the item's words, if it has fewer).
+
+The masks depend on the item's length. With a window of 25 words and a share
+of 0.8 every way to place the allowed substitutions leaves at least one seed
+whole, so no alignment that the comparison would accept is without a hit.
 """
 
 from __future__ import annotations
@@ -15,8 +19,20 @@ from pyspark.sql import functions as F
 
 from loomspan.session import written
 
-#: 1: the word counts; 0: it may differ.
-MASKS = ("111111", "11011011", "1100101011")
+#: (mask, the item lengths in words that it serves); in a mask 1: the word counts, 0: it may differ. All begin with two ones.
+MASKS = (
+    ("111111", 25, None),
+    ("11011011", 25, None),
+    ("1100101011", 25, None),
+    ("1111", 6, 24),
+    ("11011", 5, 24),
+    ("111", 5, 5),
+    ("1111", 4, 4),
+    ("111", 3, 3),
+    ("11", 2, 2),
+)
+#: Bits of the map of the benchmark's word pairs, a constant size.
+PAIR_BITS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -24,101 +40,130 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _bits(items: DataFrame) -> list[int]:
-    """The benchmark's words as a bitmap of 2**16 bits in 1024 longs: a constant size, whatever the benchmark's."""
-    word = F.explode("words").alias("w")
-    place = F.xxhash64("w").bitwiseAND(F.lit((1 << 16) - 1))
-    rows = items.select(word).select(place.alias("at")).distinct()
-    per = rows.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
-    out = [0] * 1024
+def _serves(mask: tuple) -> Column:
+    low, high = mask[1:]
+    return (F.size("words") >= low) & (F.size("words") <= high) if high else F.size("words") >= low
+
+
+def _pair(h: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(h, i), F.get(h, i + 1)).bitwiseAND(F.lit(PAIR_BITS - 1))
+
+
+def _places(h: Column) -> Column:
+    """Places of all words but the last."""
+    return F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
+
+
+def _pairs(items: DataFrame) -> list[int]:
+    """The benchmark's pairs of neighbouring words as a bitmap: no seed can hit that begins with another pair. The result has PAIR_BITS bits at any size of the benchmark."""
+    hashed = items.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    at = hashed.select(F.explode(F.transform(_places(F.col("h")), lambda i: _pair(F.col("h"), i))).alias("at"))
+    per = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
+    out = [0] * (PAIR_BITS >> 6)
     for r in per:
         out[r.i] = r.bits
     return out
 
 
-def _hashes(bits: list[int]) -> Column:
-    """The hash of each word, null for words that the bitmap shows to be in no benchmark item: no seed with such a word can hit."""
-    table = F.lit(bits)
+def _seed(h: Column, i: Column, number: int, mask: str) -> Column:
+    """struct<place, seed> of the seed that starts at word i, null where it does not fit."""
+    places = [k for k, m in enumerate(mask) if m == "1"]
+    made = F.xxhash64(F.lit(number), *[F.get(h, i + k) for k in places])
+    return F.when(i + len(mask) <= F.size(h), F.struct(i.alias("place"), made.alias("seed")))
 
-    def known(x: Column) -> Column:
-        place = x.bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
-        return F.when(F.getbit(F.get(table, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1, x)
 
-    return F.transform(F.transform("words", lambda w: F.xxhash64(w)), known)
+def _exploded(hashed: DataFrame, key: str, starts: Column, masks: list[int]) -> DataFrame:
+    h = F.col("h")
+    parts = [F.transform(F.col("starts"), _seeder(h, k)) for k in masks]
+    each = hashed.withColumn("starts", starts).where(F.size("starts") > 0).select(key, F.explode(F.concat(*parts)).alias("x"))
+    return each.where("x is not null").select(key, "x.place", "x.seed")
 
 
-def _seeds(hashes: Column) -> Column:
-    """One array, mask after mask, each of the words' number: the seed that starts at each word, null where it would not fit or not hit."""
+def _seeder(h: Column, number: int):
+    return lambda i: _seed(h, i, number, MASKS[number][0])
 
-    def of(number: int, mask: str) -> Column:
-        places = [i for i, m in enumerate(mask) if m == "1"]
 
-        def seed(x: Column, i: Column) -> Column:
-            full = x.isNotNull()
-            for p in places[1:]:
-                full = full & F.get(hashes, i + p).isNotNull()
-            return F.when(full & (i + len(mask) <= F.size(hashes)), F.xxhash64(F.lit(number), *[F.get(hashes, i + p) for p in places]))
+def item_seeds(items: DataFrame, masks: list[int]) -> DataFrame:
+    """(item, place, seed) of items (item, words), each by the masks for its length."""
+    out = None
+    for k in masks:
+        own = items.where(_serves(MASKS[k])).select("item", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+        some = _exploded(own, "item", F.sequence(F.lit(0), F.size("h") - 1), [k])
+        out = some if out is None else out.unionByName(some)
+    return out
 
-        return F.transform(hashes, seed)
 
-    return F.concat(*[of(k, m) for k, m in enumerate(MASKS)])
+def text_seeds(rows: DataFrame, masks: list[int], pairs: list[int]) -> DataFrame:
+    """(row, place, seed) of rows (row, words): seeds whose first two words are a pair of the benchmark."""
+    hashed = rows.select("row", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    table, h = F.lit(pairs), F.col("h")
 
+    def known(i: Column) -> Column:
+        at = _pair(h, i)
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def seeds(rows: DataFrame, key: str, bits: list[int]) -> DataFrame:
-    """(key, place, seed) of rows with a column words."""
-    hashed = rows.select(key, _hashes(bits).alias("h"))
-    each = hashed.select(key, F.size("h").alias("n"), F.posexplode(_seeds(F.col("h"))).alias("at", "seed"))
-    return each.where("seed is not null").select(key, F.expr("at % n").alias("place"), "seed")
+    return _exploded(hashed, "row", F.filter(_places(h), known), masks)
 
 
 def _leak(doc: Column, item: Column, shift: Column, window: int, share: float) -> Column:
     """Whether some window of item words agrees with the document at this alignment."""
-    same = F.transform(item, lambda w, j: (F.get(doc, j + shift) == w).cast("int"))
-    same = F.transform(same, lambda x: F.coalesce(x, F.lit(0)))
+    # a place before the text or behind it has no word
+    same = F.transform(item, lambda w, j: F.when((j + shift >= 0) & (F.get(doc, j + shift) == w), 1).otherwise(0))
     size = F.least(F.size(item), F.lit(window))
     starts = F.sequence(F.lit(1), F.size(item) - size + 1)
     agree = lambda s: F.aggregate(F.slice(same, s, size), F.lit(0), lambda a, x: a + x)
     return F.exists(starts, lambda s: agree(s) >= F.lit(share) * size)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 25, share: float = 0.8, most_seeds: int = 1_000_000) -> DataFrame:
-    """(row, key, items): documents that hold benchmark items, with the sorted ids of the items.
+def _row(key: Column, text: Column) -> Column:
+    """A 128-bit name of a key and its text."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("")), F.lit("\0"), F.coalesce(text.cast("string"), F.lit(""))))
+
 
-    row is a hash of key and text, so equal rows share it. The benchmark's seeds
-    are broadcast while they are at most most_seeds, by count; beyond that the
-    two sides are shuffled by seed, where a seed that many documents share is
-    split by the adaptive skew join. An item shorter than the shortest mask
-    names nothing and is passed over; a shorter item than ``window`` is compared
-    whole. Null texts are empty and hold nothing; benchmark rows that repeat
-    count once.
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 25, share: float = 0.8, most_seeds: int = 1_000_000, least_words: int = 4) -> DataFrame:
+    """(row, items): documents that hold benchmark items, by a digest of key and text, with the sorted ids of the items.
+
+    The benchmark's seeds are broadcast while they are at most most_seeds, by
+    count; beyond that the two sides are shuffled by seed, where a seed that many
+    documents share is split by the adaptive skew join. Items of fewer than
+    least_words words (2 at least) name nothing, as ordinary text holds them.
+    Other windows and shares than the defaults may leave alignments without a
+    hit. Null texts are empty and hold nothing; equal rows count once; benchmark
+    rows that repeat count once, those without an id or words not at all; an
+    empty table on either side gives an empty result.
     """
-    row = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    held = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    items = benchmark.select("item_id", words(F.col("text").cast("string")).alias("words")).where("item_id is not null").distinct()
-    items = written(items.withColumn("item", F.xxhash64("item_id", "words")), "decontaminate-items")
-    bits = _bits(items)
-    wanted = written(seeds(items, "item", bits).withColumnRenamed("place", "item_place"), "decontaminate-seeds")
+    held = docs.select(_row(F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
+    items = benchmark.select("item_id", words(F.col("text").cast("string")).alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") >= max(least_words, 2))).distinct()
+    items = written(items.withColumn("item", F.md5(F.concat_ws("\0", F.col("item_id").cast("string"), F.array_join("words", " ")))), "decontaminate-items")
+    have = items.agg(*[F.coalesce(F.max(_serves(m)), F.lit(False)).alias(str(k)) for k, m in enumerate(MASKS)]).first()
+    masks = [k for k in range(len(MASKS)) if have[k]] or [0]
+    wanted = written(item_seeds(items, masks).withColumnRenamed("place", "item_place"), "decontaminate-seeds")
     if wanted.count() <= most_seeds:
         wanted = F.broadcast(wanted)
-    mine = seeds(held.select("row", words(F.col("text")).alias("words")), "row", bits)
+    mine = text_seeds(held.select("row", words(F.col("text")).alias("words")), masks, _pairs(items))
     hits = mine.join(wanted, "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = written(hits.distinct(), "decontaminate-hits")
-    near = hits.join(items.withColumnRenamed("words", "item_words"), "item").select("row", "item_id", "shift", "item_words")
+    # the hits of a text are one row, so that it is read and split once
+    near = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("hits"))
     rows = written(hits.select("row").distinct(), "decontaminate-rows")  # small as a rule, and then broadcast by its size
-    both = near.join(held.select("row", "text").join(rows, "row", "left_semi"), "row").withColumn("doc_words", words(F.col("text")))
-    found = both.where(_leak(F.col("doc_words"), F.col("item_words"), F.col("shift"), window, share))
-    return found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    texts = held.join(rows, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("doc_words"))
+    found = texts.join(near, "row").select("row", F.filter("hits", lambda h: _leak(F.col("doc_words"), h["item_words"], h["shift"], window, share)).alias("good"))
+    return found.where(F.size("good") > 0).select("row", F.array_sort(F.array_distinct(F.transform("good", lambda h: h["item_id"]))).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """docs with the columns leaked_items (sorted item ids, else empty) and contaminated."""
-    row = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """docs with the columns leaked_items (sorted item ids, else empty) and contaminated.
+
+    These two replace columns of their names; all others stay, whatever their
+    names. A null or empty text is clean; equal rows get equal results, a null
+    key its own; an empty table gives an empty result. See ``leaks``.
+    """
     found = written(leaks(docs, benchmark, text, key, **how), "decontaminate-leaks")
     kind = found.schema["items"].dataType
-    found = found.select(F.col("row").alias("_row"), F.col("items").alias("leaked_items"))
-    out = docs.drop("leaked_items", "contaminated").withColumn("_row", row).join(found, "_row", "left").drop("_row")
-    out = out.withColumn("contaminated", F.col("leaked_items").isNotNull())
-    return out.withColumn("leaked_items", F.coalesce("leaked_items", F.array().cast(kind)))
+    own = [c for c in docs.columns if c not in ("leaked_items", "contaminated")]
+    held = docs.select(F.struct(*own).alias("_doc"), _row(F.col(key), F.col(text)).alias("row")).join(found, "row", "left")
+    none = F.array().cast(kind)
+    return held.select(*[F.col("_doc")[c].alias(c) for c in own], F.coalesce("items", none).alias("leaked_items"), F.col("items").isNotNull().alias("contaminated"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
