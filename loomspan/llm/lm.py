@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +58,12 @@ def _pair_keys(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(ext[pairs // n] * np.uint64(0x9FB21C651E98DF25) + ext[pairs % n])
 
 
-def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """40 bits beside what the bucket says of a bigram's key; more buckets tell more keys apart."""
-    return (keys // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
-
-
 def batches_of(docs: DataFrame, text: str, key: str, batch_bytes: int) -> DataFrame:
     """Rows of up to batch_bytes of text: keys, folds, token offsets, distinct words, and each token's index among them."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        part, number = TaskContext.get().partitionId(), 0
         for b in it:
             for i, j, data, at in slices(b.column(2), batch_bytes):
                 toks, offs = tokens_of(data, at)
@@ -79,8 +75,10 @@ def batches_of(docs: DataFrame, text: str, key: str, batch_bytes: int) -> DataFr
                 words, idx = words[order], rank[idx]
                 folds = np.array(b.column(1).slice(i, j - i).to_pylist(), np.uint8)
                 keys = b.column(0).slice(i, j - i)
+                # a batch is named by its place and its content: if a lost executor's rows come back in another order, no answer of before is taken for them
                 number += 1
-                cols = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), keys)]
+                name = xxhash.xxh64_intdigest(data, part << 32 | number) >> 1
+                cols = [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), keys)]
                 cols += [pa.array([x], pa.binary()) for x in (folds.tobytes(), packed_steps(offs.astype(np.int64)), packed_steps(words), packed(idx.astype(np.uint32)))]
                 yield pa.record_batch(cols, names=["batch", "keys", "folds", "at", "words", "idx"])
 
@@ -105,11 +103,11 @@ def _requests(buckets: int):
                 pairs, inv = np.unique(_pairs(idx, at, len(words)), return_inverse=True)
                 keys = _pair_keys(pairs, words)
                 sides = []
-                for k, i, full in ((words, small, True), (keys, inv, False)):
+                for k, i in ((words, small), (keys, inv)):
                     order, bounds = by_bucket(k, buckets)
                     t, h = count(i, len(k), train)[order], count(i, len(k), held)[order]
-                    k = k[order] if full else _short(k[order], buckets)
-                    sides.append((k, t, h, bounds))
+                    # within a bucket the quotient tells the whole key, and ascends
+                    sides.append((k[order] // np.uint64(buckets), t, h, bounds))
                 rows: list[list] = [[] for _ in range(7)]
                 for q in range(buckets):
                     rows[0].append(q)
@@ -152,6 +150,8 @@ def _placed(kind: str, buckets: int):
     """A batch with the corpus counts, and their held-out part, of its distinct words (wt, wh) and bigrams (pt, ph)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows != 1 or not right.num_rows:
+            raise RuntimeError("a batch was read again in another order; write docs before they are scored")
         r = left.to_pylist()[0]
         folds, at, words, idx = np.frombuffer(r["folds"], np.uint8), unpacked_steps(r["at"], np.int64), unpacked_steps(r["words"], np.uint64), unpacked(r["idx"], np.uint32).astype(np.uint64)
         right = right.sort_by("bucket")
@@ -253,6 +253,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
     rows count as often as they occur and get equal scores; a null key falls in
     the fold of the empty text; extra columns are ignored; an empty table gives
     an empty result. batch_bytes trades a task's memory against repeated keys.
+    Words and bigrams are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()

@@ -203,12 +203,17 @@ def rule_column(rules: list[Rule]) -> Column:
 def fit(measured: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how) -> list[Rule]:
     """Rules from at most max_labelled labelled rows, those of the smallest hashed key (a bounded sample for the fit alone).
 
-    labels has doc_id and quality (0: bad). Rows whose key or label is null do not count; of repeated labels the least does.
+    labels has doc_id and quality (0: bad). Rows whose key or label is null do
+    not count; of repeated labels the least does, of repeated documents the row
+    with the least statistics. So at most max_labelled rows of ten numbers reach
+    the driver. Of rules with equal gain the one of the first feature and the
+    lowest threshold is taken.
     """
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = measured.join(F.broadcast(picked), measured.key == picked.doc_id).where(f"not ({BASE_FAILED})")
-    rows = rows.select("quality", *[F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()]).limit(2 * max_labelled).toPandas()
+    rows = rows.select("doc_id", F.struct("quality", *[F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()]).alias("row"))
+    rows = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*").toPandas()
     if rows.empty:
         return []
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)

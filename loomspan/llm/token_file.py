@@ -17,6 +17,7 @@ bytes of one row or of the same bytes in a plain file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -97,6 +98,17 @@ class Image:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+def cuts_hold(path: str) -> bool:
+    """Whether a tokenizer file has the pattern on which WordCache relies."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    added = spec.get("added_tokens") or []
+    quiet = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"[\s,.]", t["content"]) for t in added)
+    return bool(plain and quiet and spec.get("normalizer") is None and not spec.get("truncation"))
+
+
 class WordCache:
     """Encodes whole texts with a byte-level tokenizer, remembering its words.
 
@@ -105,7 +117,9 @@ class WordCache:
     a cut before a single space between words, on either side of a single line
     feed between words, and between a letter and a last comma or full stop
     leaves every token whole. The library encodes each part once; the two
-    newest generations of ``limit`` parts are kept.
+    newest generations of ``limit`` parts are kept. All this holds for the
+    byte-level pattern without a normaliser; with any other tokenizer file whole
+    texts go to the library.
     """
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
@@ -113,6 +127,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_part = cuts_hold(path)
         self.limit = limit
         self.parts: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -142,6 +157,8 @@ class WordCache:
         known.update((p, known[p[:-1]] + known[p[-1]]) for p in tails)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_part:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cuts = [self.cut(t) if t else [] for t in texts]
         if len(self.parts) > self.limit:
             self.old, self.parts = self.parts, {}
@@ -166,7 +183,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     Range partitioning by key gives the global order; within a part the rows
     are sorted and streamed, so a task holds one image and not its part. Rows
     of one key are ordered by text. A null text is the empty text; a null key
-    sorts first; extra columns are ignored; an empty table writes no image.
+    sorts first; keys are whole numbers (others fail the cast); extra columns
+    are ignored; an empty table writes no image.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

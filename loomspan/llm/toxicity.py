@@ -100,11 +100,16 @@ def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nda
     return Model(out, float(_sigmoid(np.array(leak))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str = "text", key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str = "text", key: str = "doc_id", max_words: int = 4_000) -> Model:
     """A model from at most max_labelled labelled documents, those of the smallest hashed key (a bounded sample for the fit alone).
 
-    The sample's ids are the only broadcast. What reaches the driver is one
-    bucket number for each word of the sample.
+    The sample's ids are the only broadcast. What reaches the driver is two
+    numbers for each word of a sentence, of at most max_words words of a
+    document, those of its first sentences: max_labelled * max_words bounds it
+    (the fit alone; scores take whole texts). A key or label that is null does
+    not count; of repeated labels the largest does, of repeated documents the
+    text with the smallest hash; null and empty texts are documents without a
+    sentence; of equally hashed keys the smaller comes first.
     """
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -120,13 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str
                 owner, bucket = flat >> BITS, flat & ((1 << BITS) - 1)
                 words = np.searchsorted(owner, first)
                 for k in range(j - i):
+                    own = slice(words[k], min(words[k + 1], words[k] + max_words))
                     rows[0].append(b.column(2)[i + k].as_py())
-                    rows[1].append(bucket[words[k] : words[k + 1]].astype("<i4").tobytes())
-                    rows[2].append((owner[words[k] : words[k + 1]] - first[k]).astype("<i4").tobytes())
+                    rows[1].append(bucket[own].astype("<i4").tobytes())
+                    rows[2].append((owner[own] - first[k]).astype("<i4").tobytes())
             yield pa.record_batch([b.column(0), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["key", "y", "words", "owner"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), rows.key == picked.doc_id).select("key", "text", F.col("toxic").cast("int").alias("y"))
+    rows = rows.join(F.broadcast(picked), rows.key == picked.doc_id).groupBy("key").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").cast("int").alias("y"))
     kind = docs.schema[key].dataType.simpleString()
     got = rows.mapInArrow(batches, f"key {kind}, y int, words binary, owner binary").toPandas().sort_values("key", kind="stable")
     words, owner, doc, base = [], [], [], 0

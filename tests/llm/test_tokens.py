@@ -121,6 +121,16 @@ def test_distributed_encode(spark, docs, corpus, library, empty):
     assert back == {(k, t) for k, t in corpus if k is not None and k < 60}
 
 
+def test_other_patterns_encode_whole_texts(spark, docs, corpus):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not tf.cuts_hold(path) and tf.cuts_hold(public_tokenizers.path("byte_bpe_50k.json"))
+    t, out = Tokenizer.from_file(path), scratch(spark, "tokens")
+    tf.write_tokens(docs, out, path)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in tf.read_tokens(spark, out).collect())
+    want = [(-1 if k is None else k, zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for k, x in corpus]
+    assert got == sorted(want)
+
+
 def test_byte_pair_file_is_refused_unless_asked_for(docs):
     with pytest.raises(ValueError, match="byte-pair"):
         sp.encode(docs, PIECES)
