@@ -341,6 +341,40 @@ def _compare(op: str, a: Value, b: Value) -> Column:
     return F.when(numeric(a) | numeric(b), fn(x, y)).otherwise(fn(a.text(), b.text()))
 
 
+def _plain(n: Column) -> Column:
+    """A decimal in its shortest form."""
+    return F.regexp_replace(n.cast("string"), r"\.?0+$", "")
+
+
+def _extreme(v: Value, fn) -> Column:
+    """The least or greatest term: by number if any value is one, else by lexical form. The term keeps its datatype; a number is in its shortest form."""
+    number, text = fn(v.number()), fn(F.when(v.term().isNotNull(), F.struct(v.text().alias("v"), v.term()["k"].alias("k"), v.term()["dt"].alias("dt"), v.term()["lang"].alias("lang"))))
+    return F.when(number.isNotNull(), _struct(_plain(number), "literal", XSD + "decimal")).otherwise(text)
+
+
+def _downward(key: Column) -> Column:
+    """A sort key (number, text) whose ascending order is the descending order of the key; null comes last."""
+    codes = F.transform(F.regexp_extract_all(key["t"], F.lit("(?s)."), F.lit(0)), lambda c: -F.ascii(c))
+    return F.struct(key["n"].isNull().alias("a"), (-key["n"]).alias("b"), key["t"].isNull().alias("c"), F.array_append(codes, F.lit(1)).alias("d"))
+
+
+def _used(e) -> set[str]:
+    """The variables of an expression."""
+    if isinstance(e, tuple) and len(e) == 2 and e[0] == "var":
+        return {e[1]}
+    return set().union(*map(_used, e)) if isinstance(e, (tuple, list)) else set()
+
+
+def _variables(kind: str, rest: list) -> set[str]:
+    """The variables that a part of a group may bind."""
+    if kind == "triple":
+        return {x[1] for x in (rest[0][0], rest[0][1], rest[0][3]) if x[0] == "var"}
+    if kind == "bind":
+        return {rest[0]}
+    groups = rest[0] if kind == "union" else [rest[0]] if kind == "optional" else []
+    return {v for g in groups for k, *r in g.parts for v in _variables(k, r)}
+
+
 @dataclass
 class Solutions:
     """Rows with one column a variable; ``sure`` are the variables that are bound in every row."""
@@ -350,19 +384,25 @@ class Solutions:
     sure: set[str]
 
 
-def closure(edges: DataFrame, start: DataFrame, zero: bool, rounds: int = 200) -> DataFrame:
-    """(a, b): b is reachable from a over edges (a, b), a in start(a); with zero also a itself. Cycles end the walk."""
+def closure(edges: DataFrame, start: DataFrame, zero: bool) -> DataFrame:
+    """(a, b): b is reachable from a over edges (a, b), a in start(a); with zero also a itself.
+
+    Each round follows the pairs that the last one found, so it ends when a
+    round finds none, whatever the length of the longest path; cycles end it too.
+    """
     edges = written(edges.distinct(), "path-edges")
     seen = written(start.select("a", F.col("a").alias("b")).distinct(), "path-seen")
-    front, found = seen, []
-    for _ in range(rounds):
+    front, found, turn = seen, None, 0
+    while True:
         step = front.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        front = written(step.join(reduce(DataFrame.unionByName, found), ["a", "b"], "left_anti") if found else step, "path-front")
+        front = written(step if found is None else step.join(found, ["a", "b"], "left_anti"), "path-front")
         if front.isEmpty():
             break
-        found.append(front)
-    out = reduce(DataFrame.unionByName, found) if found else front
-    return (out.unionByName(seen) if zero else out).distinct()
+        found, turn = front if found is None else found.unionByName(front), turn + 1
+        if turn % 10 == 0:  # many small parts become one
+            found = written(found, "path-found")
+    found = front if found is None else found
+    return (found.unionByName(seen) if zero else found).distinct()
 
 
 class Engine:
@@ -371,10 +411,11 @@ class Engine:
     def __init__(self, g: DataFrame) -> None:
         self.g = g.select("p", F.struct(F.col("s").alias("v"), F.col("s_kind").alias("k"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang")).alias("s"), F.struct(F.col("o").alias("v"), F.col("o_kind").alias("k"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang")).alias("o"), F.col("s").alias("sv"), F.col("o").alias("ov"), F.col("o_kind").alias("ok"))
 
-    def scan(self, t: tuple) -> Solutions:
+    def scan(self, t: tuple, known: Solutions | None = None) -> Solutions:
+        """Solutions of one pattern; known are those found so far, whose values a path starts from."""
         s, p, path, o = t
         if path:
-            return self._path(s, p, path, o)
+            return self._path(s, p, path, o, known or Solutions(None, [], set()))
         df = self.g
         if p[0] == "iri":
             df = df.where(F.col("p") == p[1])
@@ -393,7 +434,7 @@ class Engine:
                     cols[term[1]] = col
         return Solutions(df.select(*[c.alias(n) for n, c in cols.items()], *([] if cols else [F.lit(1).alias("_one")])), list(cols), set(cols))
 
-    def _path(self, s: tuple, p: tuple, path: str, o: tuple) -> Solutions:
+    def _path(self, s: tuple, p: tuple, path: str, o: tuple, known: Solutions) -> Solutions:
         edges = self.g.where((F.col("p") == p[1]) & (F.col("ok") != "literal")).select(F.col("s").alias("a"), F.col("o").alias("b"))
         zero = path == "*"
         spark = self.g.sparkSession
@@ -402,6 +443,11 @@ class Engine:
             pairs = closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), start, zero).select(F.col("b").alias("a"), F.col("a").alias("b"))
         elif s[0] != "var":
             pairs = closure(edges, spark.range(1).select(_constant(s).alias("a")), zero)
+        elif s[1] in known.sure:  # from what the variable is bound to
+            pairs = closure(edges, known.df.select(F.col(s[1]).alias("a")).distinct(), zero)
+        elif o[1] in known.sure:
+            back = closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), known.df.select(F.col(o[1]).alias("a")).distinct(), zero)
+            pairs = back.select(F.col("b").alias("a"), F.col("a").alias("b"))
         else:
             nodes = self.g.select(F.col("s").alias("a")).unionByName(self.g.select(F.col("o").alias("a"))) if zero else edges.select("a")
             pairs = closure(edges, nodes.distinct(), zero)
@@ -412,35 +458,74 @@ class Engine:
         names = {t[1]: c for t, c in ((s, "a"), (o, "b")) if t[0] == "var"}
         return Solutions(pairs.select(*[F.col(c).alias(n) for n, c in names.items()]), list(names), set(names))
 
-    def join(self, a: Solutions, b: Solutions, how: str = "inner") -> Solutions:
+    def join(self, a: Solutions, b: Solutions, how: str = "inner", filters: list = ()) -> Solutions:
+        """Solutions of both; in a left join the filters are part of its condition and see the variables of both sides.
+
+        A shared variable that may be unbound on the left is compatible with
+        anything where it is: those rows are joined without it and take its
+        value from the right. One that may be unbound on the right is refused.
+        """
         if a.df is None:
-            return b if how == "inner" else self.join(Solutions(self.g.sparkSession.range(1).select(F.lit(1).alias("_one")), [], set()), b, how)
+            return b if how == "inner" else self.join(Solutions(self.g.sparkSession.range(1).select(F.lit(1).alias("_one")), [], set()), b, how, filters)
         shared = [n for n in a.names if n in b.names]
-        if unsure := [n for n in shared if n not in a.sure or n not in b.sure]:
+        if unsure := [n for n in shared if n not in b.sure]:
             raise SparqlError(f"a join on variables that may be unbound: {unsure}")
-        right = b.df
+        if loose := [n for n in shared if n not in a.sure]:
+            n = loose[0]
+            bound = self.join(Solutions(a.df.where(F.col(n).isNotNull()), a.names, a.sure | {n}), b, how, filters)
+            rest = [x for x in a.names if x != n]
+            free = self.join(Solutions(a.df.where(F.col(n).isNull()).select(*(rest or [F.lit(1).alias("_one")])), rest, set(a.sure)), b, how, filters)
+            return Solutions(bound.df.unionByName(free.df.select(*bound.names)), bound.names, a.sure | b.sure if how == "inner" else set(a.sure))
         names = a.names + [n for n in b.names if n not in shared]
-        left = a.df
-        if not shared:
-            df = left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+        # plain strings are the keys; what a literal has besides, its datatype and language, is mostly constant and folds away
+        right = b.df.select(*[F.col(n).alias(f"_r_{n}" if n in shared else n) for n in b.df.columns])
+        cond = []
+        for n in shared:
+            x, y = F.col(n), F.col(f"_r_{n}")
+            cond += [x["v"] == y["v"], x["k"] == y["k"], x["dt"].eqNullSafe(y["dt"]), x["lang"].eqNullSafe(y["lang"])]
+        cond += [evaluate(f, set(names)).truth() for f in filters]
+        if not shared and how == "inner":
+            df = a.df.crossJoin(right)
         else:
-            # compare by lexical form and kind first, plain strings that hash and push down; then by the whole term
-            right = right.select(*[F.col(n).alias(f"_r_{n}" if n in shared else n) for n in right.columns])
-            cond = [(F.col(n)["v"] == F.col(f"_r_{n}")["v"]) & F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in shared]
-            df = left.join(right, reduce(lambda x, y: x & y, cond), how)
+            df = a.df.join(right, reduce(lambda x, y: x & y, cond) if cond else F.lit(True), how)
         return Solutions(df.select(*(names or ["_one"])), names, a.sure | b.sure if how == "inner" else set(a.sure))
 
+    @staticmethod
+    def ordered(parts: list, names: set[str]) -> list:
+        """Neighbouring patterns in an order in which each shares a variable with those before it, where there is one, so that no product is made."""
+        out, run = [], []
+
+        def flush() -> None:
+            known = set(names) | {v for kind, *rest in out for v in _variables(kind, rest)}
+            while run:
+                at = next((i for i, (_, t) in enumerate(run) if {x[1] for x in (t[0], t[1], t[3]) if x[0] == "var"} & known), 0)
+                part = run.pop(at)
+                out.append(part)
+                known |= {x[1] for x in (part[1][0], part[1][1], part[1][3]) if x[0] == "var"}
+
+        for part in parts:
+            if part[0] == "triple":
+                run.append(part)
+            else:
+                flush()
+                out.append(part)
+        flush()
+        return out
+
     def group(self, g: Group) -> Solutions:
         out, filters = Solutions(None, [], set()), []
-        for kind, *rest in g.parts:
+        for kind, *rest in self.ordered(g.parts, set()):
             if kind == "triple":
-                out = self.join(out, self.scan(rest[0]))
+                out = self.join(out, self.scan(rest[0], out))
             elif kind == "optional":
-                inner = Group([p for p in rest[0].parts if p[0] != "filter"])
-                sub = self.group(inner)
-                for f in [p for p in rest[0].parts if p[0] == "filter"]:
-                    sub = self._filter(sub, f[1])
-                out = self.join(out, sub, "left")
+                sub = self.group(Group([p for p in rest[0].parts if p[0] != "filter"]))
+                conditions = []
+                for f in [p[1] for p in rest[0].parts if p[0] == "filter"]:
+                    if _used(f) & (set(out.names) - set(sub.names)):
+                        conditions.append(f)  # it sees what is bound outside
+                    else:
+                        sub = self._filter(sub, f)
+                out = self.join(out, sub, "left", conditions)
             elif kind == "union":
                 arms = [self.group(a) for a in rest[0]]
                 names = list(dict.fromkeys(n for a in arms for n in a.names))
@@ -467,13 +552,15 @@ class Engine:
                 v = evaluate(e[2][0], set(s.names))
                 if e[1] == "COUNT":
                     return (F.countDistinct(v.term()) if e[3] else F.count(v.term())).cast("decimal(38,10)")
-                return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[e[1]](v.number())
+                if e[1] in ("MIN", "MAX"):
+                    return _extreme(v, F.min if e[1] == "MIN" else F.max)
+                return {"SUM": F.sum, "AVG": F.avg}[e[1]](v.number())
             raise SparqlError("only aggregates and group variables can be selected")
 
         made = [(n, e) for n, e in q.select if e != ("var", n)]
         df = s.df.groupBy(*q.group).agg(*[agg(e).alias(n) for n, e in made])
         cols = [F.col(n) if (n, ("var", n)) in q.select and n in q.group else None for n in q.group]
-        df = df.select(*[c for c in cols if c is not None], *[F.when(F.col(n).isNotNull(), _struct(F.regexp_replace(F.col(n).cast("string"), r"\.?0+$", "") if e[1] != "COUNT" else F.col(n).cast("long").cast("string"), "literal", XSD + ("integer" if e[1] == "COUNT" else "decimal"))).alias(n) for n, e in made])
+        df = df.select(*[c for c in cols if c is not None], *[(F.col(n) if e[1] in ("MIN", "MAX") else F.when(F.col(n).isNotNull(), _struct(_plain(F.col(n)) if e[1] != "COUNT" else F.col(n).cast("long").cast("string"), "literal", XSD + ("integer" if e[1] == "COUNT" else "decimal")))).alias(n) for n, e in made])
         return Solutions(df, [n for n, _ in q.select], s.sure)
 
     def run(self, text: str, lexical: bool = True) -> DataFrame:
@@ -507,10 +594,10 @@ class Engine:
             elif not any(down for *_, down in named):
                 df = df.groupBy(*shown).agg(F.min(F.struct(*[k for _, k, _ in named])).alias("_k")).select(*shown, *[F.col("_k")[k].alias(k) for _, k, _ in named])
             else:
-                from pyspark.sql import Window
-
-                first = Window.partitionBy(*shown).orderBy(*[F.desc(k) if d else F.asc(k) for _, k, d in named])
-                df = df.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+                # the row that sorts first, by a partial aggregate: a descending key is compared upside down
+                keys = [_downward(F.col(k)) if d else F.col(k) for _, k, d in named]
+                first = F.min_by(F.struct(*[F.col(k).alias(k) for _, k, _ in named]), F.struct(*[k.alias(f"_o{i}") for i, k in enumerate(keys)]))
+                df = df.groupBy(*shown).agg(first.alias("_k")).select(*shown, *[F.col("_k")[k].alias(k) for _, k, _ in named])
         if named:
             df = df.orderBy(*[F.desc(k) if d else F.asc(k) for _, k, d in named])
         if q.limit is not None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.terms import LABEL, TYPE, XSD, construct, term_struct
+from loomspan.terms import COLUMNS, LABEL, TYPE, XSD, construct, term_struct
 
 EX = "http://example.org/kg#"
 DEC = XSD + "decimal"
@@ -39,12 +39,17 @@ MAPPING = {
 }
 
 
+#: Tables whose keys are unique, so that no branch repeats a triple.
+UNIQUE = {"region", "nation", "supplier", "customer", "part", "orders", "documents"}
+
+
 def triples_of(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """Triples of the named tables. Each predicate is a branch that reads only its columns."""
+    """Triples of the named tables. Each predicate is a branch that reads only its columns and names the predicate as a constant, so that a pattern's filter leaves no other branch."""
     parts = []
     for name in names:
         kind, keys, cls, props = MAPPING[name]
         s = node(kind, *keys)
+        rows = table(spark, sf_dir, name)
         made = [term_struct(s, TYPE, F.lit(EX + cls), "iri")] if cls else []
         for p, target in props:
             if len(target) == 3:
@@ -53,7 +58,9 @@ def triples_of(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
                 col, dt = target
                 value = money(col) if dt == DEC else F.date_format(col, "yyyy-MM-dd") if dt == XSD + "date" else F.col(col).cast("string")
                 made.append(term_struct(s, p, value, "literal", dt))
-        parts.append(construct(table(spark, sf_dir, name), *made))
+        for t in made:
+            branch = rows.select(t.alias("t")).select("t.*").where("s is not null and o is not null").select(*COLUMNS)
+            parts.append(branch if name in UNIQUE else branch.distinct())
     if "region" in names:
         world = spark.range(1).select(F.lit(EX + "world").alias("w"))
         parts.append(construct(world, term_struct(F.col("w"), TYPE, F.lit(EX + "World"), "iri")))
