@@ -8,10 +8,13 @@ they meet rule most other pairs out, and the similarity of the rest is counted
 exactly. The order puts elements that a sample finds to be common last, which
 makes the meetings few and has no part in the result.
 
-A pair must moreover meet at several prefix elements: of what two such sets
+A pair must moreover meet at several prefix elements, m: of what two such sets
 share, at most n - k lies behind the prefix of k elements of the one whose
-prefix ends first, so the rest is in both prefixes. Pairs that meet more seldom
-are ruled out before any set is read.
+prefix ends first, so the rest is in both prefixes. Once it is known how many
+sets have each prefix element, the m - 1 most common ones of a set's shared
+elements need not bring it together with another: the rarest element at which
+the two meet has m - 1 others behind it on either side. So passages that many
+texts share make no pairs of texts that are otherwise different.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.textops import BASE, SPACE, count_in, lowered, mixed, prefix_hash, runs, slices, stretch_hash
+from loomspan.llm.textops import BASE, SPACE, count_in, lean, lowered, mixed, prefix_hash, runs, slices, stretch_hash
 from loomspan.operators.components import connected_components
 from loomspan.session import written
 
@@ -79,6 +82,7 @@ def set_fingerprint(s: np.ndarray) -> int:
 def named(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
     """(key, text_hash, name, fp, size): a row for each row of docs; size is its set's."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i, j, data, at in slices(b.column(2)):
@@ -107,6 +111,7 @@ def _marks(needed: DataFrame, size: int = 1 << 22) -> bytes:
 def _sets(docs: DataFrame, text: str, words: int, marks: bytes | None = None) -> DataFrame:
     """(name, elements) of each row that has any and, if marks are given, whose name they have."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for _, _, data, at in slices(b.column(0)):
@@ -141,6 +146,7 @@ def _prefixes(docs: DataFrame, text: str, words: int, common: np.ndarray) -> Dat
     known, counts = common[0][order], common[1][order].astype(np.int64)
     top, whole = LEAST
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for _, _, data, at in slices(b.column(0)):
@@ -228,7 +234,7 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
     links (a, b), if given, are known links of that similarity. ``stars`` rounds
     compare the members at each element of more than ``large`` sets with one of
     them, so a large group of near copies becomes one component in linear work.
-    Then all pairs are compared that meet often enough and aren't yet connected,
+    Then all pairs are compared that can meet often enough and aren't yet connected,
     so no link between components is missed. The members of an element that
     more than ``block`` sets share are dealt into blocks of about that size.
     """
@@ -236,7 +242,7 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle by x finds the elements that several sets share; the rest ends there
     mine = _prefixes(docs, text, words, _common(docs, text, words, sample, most)).repartition(parts, "x").sortWithinPartitions("x", "name")
-    held = written(mine.mapInArrow(shared_only, "x long, name long, n int, at int"), "jaccard-shared")
+    held = written(mine.mapInArrow(lean(shared_only), "x long, name long, n int, at int"), "jaccard-shared")
     side = lambda k: [F.col("name").alias(k), F.col("n").alias("n" + k), F.col("at").alias("i" + k), F.col("c").alias("c" + k)]
     edges = links if links is not None else spark.createDataFrame([], "a long, b long")
     comp = connected_components(edges) if links is not None else spark.createDataFrame([], "node long, component long")
@@ -249,11 +255,16 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
             pairs = left.join(now.select("x", *side("b")), "x").where(_may_link())
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            dealt = now.join(live.select("x", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("k")), "x")
+            counted = held.groupBy("x").agg(F.count("*").alias("members"))
+            ranked = held.join(counted, "x").withColumn("at_rank", F.row_number().over(Window.partitionBy("name").orderBy("members", "x")))
+            sizes = held.groupBy("name").agg(F.count("*").alias("shared"))
+            ranked = ranked.join(sizes, "name").select("x", "name", (F.col("shared") - F.col("at_rank")).cast("int").alias("behind"))
+            dealt = now.join(live.select("x", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("k")), "x").join(ranked, ["x", "name"])
+            side = lambda k: [F.col("name").alias(k), F.col("n").alias("n" + k), F.col("at").alias("i" + k), F.col("c").alias("c" + k), F.col("behind").alias("r" + k)]
             left = dealt.select("x", *side("a"), F.pmod(F.xxhash64("name"), "k").cast("int").alias("part"))
             right = dealt.select("x", *side("b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-            pairs = left.join(right, ["x", "part"]).where((F.col("a") < F.col("b")) & _may_link())
-            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("meetings")).where(F.col("meetings") >= _meetings()).select("a", "b")
+            enough = F.least("ra", "rb") >= _meetings() - 1
+            pairs = left.join(right, ["x", "part"]).where((F.col("a") < F.col("b")) & _may_link() & enough).select("a", "b").distinct()
         pairs = written(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
             edges = written(edges.unionByName(checked(pairs, docs, text, words)), "jaccard-links")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.packed import by_bucket, packed, packed_steps, unpacked, unpacked_steps
-from loomspan.llm.textops import SPACE, lowered, mixed, prefix_hash, runs, slices, stretch_hash
+from loomspan.llm.textops import SPACE, lean, lowered, mixed, prefix_hash, runs, slices, stretch_hash
 from loomspan.llm.toxicity import fold
 from loomspan.session import written
 
@@ -62,6 +62,7 @@ def batches_of(docs: DataFrame, text: str, key: str, batch_bytes: int) -> DataFr
     """Rows of up to batch_bytes of text: keys, folds, token offsets, distinct words, and each token's index among them."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for b in it:
@@ -93,6 +94,7 @@ def _weights(folds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _requests(buckets: int):
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for number, folds, at, words, idx in zip(*[b.column(c).to_pylist() for c in ("batch", "folds", "at", "words", "idx")], strict=True):
@@ -226,6 +228,7 @@ def unigram(count: np.ndarray, n: int, v: int, weight: float) -> np.ndarray:
 def _histogram(joined: DataFrame, fn) -> np.ndarray:
     """Sums over the corpus of what fn counts in a batch's held-out tokens, by bucket and bin."""
 
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((64, BINS), np.int64)
         for b in it:
@@ -283,6 +286,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes:
     every = em(hist.sum(axis=0))
     weights = np.array([em(h) if h.sum() >= 20 else every for h in hist])
 
+    @lean
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for keys, folds, ends, idx, *counts in zip(b.column(0), *[b.column(i).to_pylist() for i in range(1, 8)], strict=True):

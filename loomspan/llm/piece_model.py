@@ -15,8 +15,8 @@ UNIGRAM, BPE = 1, 2
 #: Scores are whole multiples of 1/SCALE, so that sums are exact and associative.
 SCALE = 64
 LOWEST = -(1 << 60)
-#: Units that a worker remembers in each of two generations, some 20 MB each.
-KEPT = 90_000
+#: Units that a worker remembers in each of two generations, some 15 MB each.
+KEPT = 70_000
 MARK = "▁"
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.textops import SPACE, count_in, mixed, prefix_hash, runs, slices, stretch_hash, sum_in
+from loomspan.llm.textops import SPACE, count_in, lean, mixed, prefix_hash, runs, slices, stretch_hash, sum_in
 from loomspan.session import written
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -99,6 +99,7 @@ def stats(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple
     """(key, STATS, carry) of every whole text; a null text has zeros. carry names long columns that stay with their row."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             parts = [text_stats(data, at) for _, _, data, at in slices(b.column(1))]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.piece_model import LOWEST, PieceModel, model as loaded
+from loomspan.llm.textops import lean
 from loomspan.session import written
 
 CHUNK = 16_384
@@ -152,6 +153,7 @@ def _digest_batch(m: PieceModel, keys: pa.Array, ids: list[bytes]) -> pa.RecordB
 def _giants(docs: DataFrame, model, chunk: int, kind: str, parts: int, finish, shape: str) -> DataFrame:
     """The rows of documents longer than a chunk, as finish makes them."""
 
+    @lean
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = model(), 0
         uid = TaskContext.get().partitionId() << 40
@@ -162,6 +164,7 @@ def _giants(docs: DataFrame, model, chunk: int, kind: str, parts: int, finish, s
                 for k in range(0, len(s), chunk):
                     yield pa.record_batch([pa.array([uid + row], pa.int64()), b.column(0).slice(i, 1), pa.array([k // chunk], pa.int32()), pa.array([min(chunk, len(s) - k)], pa.int32()), pa.array([s[k : k + chunk + m.longest - 1]], pa.string())], names=["uid", "key", "k", "n", "s"])
 
+    @lean
     def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:
@@ -174,6 +177,7 @@ def _giants(docs: DataFrame, model, chunk: int, kind: str, parts: int, finish, s
         states = prefix_states([np.frombuffer(x, np.int64).reshape(size, size) for x in t.column("matrix").to_pylist()])
         return pa.table({"uid": t.column("uid"), "k": t.column("k"), "states": pa.array([v.tobytes() for v in states], pa.binary())})
 
+    @lean
     def maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:
@@ -189,6 +193,7 @@ def _giants(docs: DataFrame, model, chunk: int, kind: str, parts: int, finish, s
             state = int(np.frombuffer(raw, np.int16)[state])
         return pa.table({"uid": t.column("uid"), "k": t.column("k"), "leave": pa.array(out, pa.int32())})
 
+    @lean
     def traced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:
@@ -215,6 +220,7 @@ def _encoded(docs: DataFrame, model, text: str, key: str, chunk: int, finish, sh
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+    @lean
     def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:
@@ -254,6 +260,7 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
     kind = encoded.schema[key].dataType.simpleString()
     model = partial(loaded, model_path, byte_pair_as_unigram)
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:
@@ -270,6 +277,7 @@ def summary(encoded: DataFrame, model_path: str, key: str = "doc_id", byte_pair_
     kind = encoded.schema[key].dataType.simpleString()
     model = partial(loaded, model_path, byte_pair_as_unigram)
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in it:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import jaccard
-from loomspan.llm.textops import lowered, slices
+from loomspan.llm.textops import lean, lowered, slices
 from loomspan.operators.components import connected_components
 from loomspan.session import written
 
@@ -56,6 +56,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
     """(key, fp long): 64-bit SimHash of word shingles. A null or blank text has fingerprint zero."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: list[int] = []

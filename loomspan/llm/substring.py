@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.packed import by_bucket, packed, restored, squeezed, unpacked
-from loomspan.llm.textops import BASE, UNBASE, mixed, powers, prefix_hash, slices
+from loomspan.llm.textops import BASE, UNBASE, lean, mixed, powers, prefix_hash, slices
 from loomspan.session import written
 
 LENGTH = 100
@@ -87,6 +87,7 @@ def phrases(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> dict[str,
 def _batches(docs: DataFrame, kind: str, batch_bytes: int) -> DataFrame:
     """Rows of up to batch_bytes of text, compressed, with keys."""
 
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for b in it:
@@ -122,6 +123,7 @@ def _parse(texts: bytes, at: np.ndarray, docs: np.ndarray, buckets: int, length:
 
 
 def _ask_phrases(buckets: int, length: int):
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for number, keys, at, texts in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
@@ -190,6 +192,7 @@ def _settle_phrases(buckets: int, length: int):
 
 
 def _ask_strings(buckets: int):
+    @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for number, string, doc, bounds in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):

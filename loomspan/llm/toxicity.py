@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.textops import count_in, lowered, prefix_hash, runs, slices, stretch_hash
+from loomspan.llm.textops import count_in, lean, lowered, prefix_hash, runs, slices, stretch_hash
 
 BITS = 18
 BREAK = np.zeros(256, dtype=bool)
@@ -114,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows: list[list] = [[], [], []]
@@ -156,6 +157,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     kind = docs.schema[key].dataType.simpleString()
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             scores, found = [], []
