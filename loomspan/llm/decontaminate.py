@@ -14,6 +14,8 @@ whole, so no alignment that the comparison would accept is without a hit.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def _places(h: Column) -> Column:
 
 def _pairs(items: DataFrame) -> list[int]:
     """The benchmark's pairs of neighbouring words as a bitmap: no seed can hit that begins with another pair. The result has PAIR_BITS bits at any size of the benchmark."""
-    hashed = items.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    at = hashed.select(F.explode(F.transform(_places(F.col("h")), lambda i: _pair(F.col("h"), i))).alias("at"))
+    places = lambda h: F.transform(_places(h), lambda i: _pair(h, i))
+    at = items.select(F.explode_outer(_let(_hashes(), places)).alias("at")).where("at is not null")
     per = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
     out = [0] * (PAIR_BITS >> 6)
     for r in per:
@@ -72,37 +74,53 @@ def _seed(h: Column, i: Column, number: int, mask: str) -> Column:
     return F.when(i + len(mask) <= F.size(h), F.struct(i.alias("place"), made.alias("seed")))
 
 
-def _exploded(hashed: DataFrame, key: str, starts: Column, masks: list[int]) -> DataFrame:
-    h = F.col("h")
-    parts = [F.transform(F.col("starts"), _seeder(h, k)) for k in masks]
-    each = hashed.withColumn("starts", starts).where(F.size("starts") > 0).select(key, F.explode(F.concat(*parts)).alias("x"))
-    return each.where("x is not null").select(key, "x.place", "x.seed")
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once, whatever the optimizer makes of columns."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _hashes() -> Column:
+    return F.transform("words", lambda w: F.xxhash64(w))
+
 
+def _seeds_at(h: Column, starts: Column, masks: list[int]) -> Column:
+    seeder = lambda k: lambda i: _seed(h, i, k, MASKS[k][0])
+    return F.concat(*[F.transform(starts, seeder(k)) for k in masks])
 
-def _seeder(h: Column, number: int):
-    return lambda i: _seed(h, i, number, MASKS[number][0])
+
+def _exploded(rows: DataFrame, key: str, found: Column) -> DataFrame:
+    # an outer explode: no filter is inferred that would compute the array a second time
+    return rows.select(key, F.explode_outer(found).alias("x")).where("x is not null").select(key, "x.place", "x.seed")
+
+
+def _every(k: int):
+    return lambda h: _seeds_at(h, F.sequence(F.lit(0), F.size(h) - 1), [k])
 
 
 def item_seeds(items: DataFrame, masks: list[int]) -> DataFrame:
     """(item, place, seed) of items (item, words), each by the masks for its length."""
     out = None
     for k in masks:
-        own = items.where(_serves(MASKS[k])).select("item", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-        some = _exploded(own, "item", F.sequence(F.lit(0), F.size("h") - 1), [k])
+        found = _let(_hashes(), _every(k))
+        some = _exploded(items.where(_serves(MASKS[k])), "item", found)
         out = some if out is None else out.unionByName(some)
     return out
 
 
 def text_seeds(rows: DataFrame, masks: list[int], pairs: list[int]) -> DataFrame:
     """(row, place, seed) of rows (row, words): seeds whose first two words are a pair of the benchmark."""
-    hashed = rows.select("row", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    table, h = F.lit(pairs), F.col("h")
+    # one constant, not an expression of as many parts as it has longs
+    table = F.from_json(F.lit(json.dumps(pairs)), "array<bigint>")
+
+    def known(h: Column):
+        def hit(i: Column) -> Column:
+            at = _pair(h, i)
+            return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def known(i: Column) -> Column:
-        at = _pair(h, i)
-        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return hit
 
-    return _exploded(hashed, "row", F.filter(_places(h), known), masks)
+    found = _let(_hashes(), lambda h: _let(F.filter(_places(h), known(h)), lambda starts: _seeds_at(h, starts, masks)))
+    return _exploded(rows, "row", found)
 
 
 def _leak(doc: Column, item: Column, shift: Column, window: int, share: float) -> Column:
@@ -146,9 +164,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     # the hits of a text are one row, so that it is read and split once
     near = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("hits"))
     rows = written(hits.select("row").distinct(), "decontaminate-rows")  # small as a rule, and then broadcast by its size
-    texts = held.join(rows, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("doc_words"))
-    found = texts.join(near, "row").select("row", F.filter("hits", lambda h: _leak(F.col("doc_words"), h["item_words"], h["shift"], window, share)).alias("good"))
-    return found.where(F.size("good") > 0).select("row", F.array_sort(F.array_distinct(F.transform("good", lambda h: h["item_id"]))).alias("items"))
+    texts = held.join(rows, "row", "left_semi").dropDuplicates(["row"])
+    good = lambda w: F.transform(F.filter("hits", lambda h: _leak(w, h["item_words"], h["shift"], window, share)), lambda h: h["item_id"])
+    found = texts.join(near, "row").select("row", F.explode_outer(_let(words(F.col("text")), good)).alias("item_id")).where("item_id is not null")
+    return found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
