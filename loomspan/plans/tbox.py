@@ -1,84 +1,114 @@
-"""The schema graph: classes, properties, individuals and axioms, from compact tables."""
+"""The schema graph: classes, properties, individuals and axioms, from tables."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.operators.rules import REQUIREMENTS
 from loomspan.operators.wiring import AIACT, AIRO, DPV
 from loomspan.terms import LABEL, OWL, RDF, RDFS, SUBCLASS, TYPE, XSD, bnode, iri, literal, triples
 
-#: Parent and children of the class hierarchy; prefixes as in PREFIXES, own names without one.
-CLASSES = """
-dpv:Obligation: ConformityAssessmentObligation TransparencyObligation PostMarketMonitoringObligation WorkerNotificationObligation FRIAObligation IncidentReportingObligation GPAIObligation SupportMeasureObligation
-ConformityAssessmentObligation: InternalControlObligation ThirdPartyAssessmentObligation
-GPAIObligation: GeneralGPAIObligation SystemicRiskGPAIObligation
-IncidentReportingObligation: ProviderIncidentReport DeployerIncidentReport GPAISystemicRiskIncidentReport
-Power: OversightPower InvestigativePower EnforcementPower AdvisoryPower
-Condition: NecessityCondition ProportionalityCondition ProceduralCondition PurposeCondition
-LegalText: Article Annex Paragraph Recital
-airo:Regulation: AIActRegulation EULegislation
-ProvisionDeadline: ComplianceDeadline EntryIntoForceDate EntryIntoForceProvision
-dpv:Authority: ConformityAssessmentBody AIOffice MarketSurveillanceAuthority
-ConformityAssessmentBody: NotifiedBody
-RequiredComponent: DocumentationComponent RegistrationField ConformityAssessmentStep TestingPlanField CEMarkingComponent
-airo:Documentation: DocumentationComponent CEMarking RegistrationRecord TestingPlan
-airo:RiskConcept: airo:RiskControl RiskLevel
-airo:AISystem: eu-aiact:HighRiskAISystem eu-aiact:ProhibitedAISystem
-eu-aiact:GeneralPurposeAIModel: GeneralPurposeAIModelWithSystemicRisk
-owl:Thing: Power Condition LegalText ProvisionDeadline RequiredComponent Requirement AreaOfApplication
-"""
-#: Property, domain, range and parent (- for none).
-OBJECT_PROPERTIES = """
-hasObligation - dpv:Obligation dpv:hasLegalBasis
-hasReportingTarget IncidentReportingObligation dpv:Authority -
-requiresControl dpv:Obligation airo:RiskControl airo:hasRiskControl
-hasReference - LegalText -
-hasArticleReference - Article hasReference
-hasAnnexReference - Annex hasReference
-hasParagraphReference - Paragraph hasReference
-hasRecitalReference - Recital hasReference
-isRegulatedBy airo:AISystem airo:Regulation airo:compliesWithRegulation
-hasPower dpv:Authority Power -
-hasCondition - Condition -
-hasComponent airo:Documentation RequiredComponent -
-isComponentOf RequiredComponent airo:Documentation -
-hasParagraph Article Paragraph -
-hasComplianceDeadline airo:Regulation ComplianceDeadline -
-hasEntryIntoForceProvision airo:Regulation EntryIntoForceProvision -
-createdBy airo:Regulation dpv:Authority -
-amends airo:Regulation EULegislation -
-cites airo:Regulation EULegislation -
-hasAreaOfApplication airo:AISystem AreaOfApplication -
-hasRiskLevel airo:AISystem RiskLevel -
-hasProvider airo:AISystem - -
-hasDeployer airo:AISystem - -
-"""
-#: Data property, domain and range.
-DATA_PROPERTIES = """
-hasFine EnforcementPower decimal
-hasMaximumFineRatio EnforcementPower decimal
-hasDeadline dpv:Obligation duration
-hasProvisionDate ComplianceDeadline date
-hasEffectiveDate EntryIntoForceDate date
-hasCELEX airo:Regulation string
-hasCellarURI airo:Regulation string
-hasSourceURL LegalText string
-hasSummary - string
-hasOJReference airo:Regulation string
-hasModifiedLocation EULegislation string
-hasArticleNumber Article integer
-"""
-PREFIXES = {"airo": AIRO, "eu-aiact": AIACT, "dpv": DPV, "owl": OWL}
-FUNCTIONAL = ("hasReportingTarget", "hasDeadline")
-ANCHORS = {"AIOffice_Demo": "AIOffice", "MarketSurveillanceAuthority_Demo": "MarketSurveillanceAuthority", "NotifiedBody_Demo": "NotifiedBody", "TechnicalDocumentation_Annex_IV": "RegistrationRecord"}
+PREFIXES = {"airo": AIRO, "eu-aiact": AIACT, "dpv": DPV, "xsd": XSD}
+#: Class, label, parents; prefixes as in PREFIXES, own names without one.
+CLASSES = (
+    ("ConformityAssessmentObligation", "Conformity Assessment Obligation", ("dpv:Obligation",)),
+    ("InternalControlObligation", "Internal Control Conformity Assessment Obligation", ("ConformityAssessmentObligation",)),
+    ("ThirdPartyAssessmentObligation", "Third-Party Conformity Assessment Obligation", ("ConformityAssessmentObligation",)),
+    ("TransparencyObligation", "Transparency Obligation", ("dpv:Obligation",)),
+    ("GPAIObligation", "GPAI Provider Obligation", ("dpv:Obligation",)),
+    ("GeneralGPAIObligation", "General GPAI Obligation", ("GPAIObligation",)),
+    ("SystemicRiskGPAIObligation", "Systemic Risk GPAI Obligation", ("GPAIObligation",)),
+    ("PostMarketMonitoringObligation", "Post-Market Monitoring Obligation", ("dpv:Obligation",)),
+    ("WorkerNotificationObligation", "Worker Notification Obligation", ("dpv:Obligation",)),
+    ("FRIAObligation", "Fundamental Rights Impact Assessment Obligation", ("dpv:Obligation",)),
+    ("IncidentReportingObligation", "Serious Incident Reporting Obligation", ("dpv:Obligation",)),
+    ("ProviderIncidentReport", "Provider Incident Report", ("IncidentReportingObligation",)),
+    ("DeployerIncidentReport", "Deployer Incident Report", ("IncidentReportingObligation",)),
+    ("GPAISystemicRiskIncidentReport", "GPAI Systemic-Risk Incident Report", ("IncidentReportingObligation",)),
+    ("SupportMeasureObligation", "SME Support Measure Obligation", ("dpv:Obligation",)),
+    ("Power", "Regulatory Power", ()),
+    ("OversightPower", "Oversight Power", ("Power",)),
+    ("InvestigativePower", "Investigative Power", ("Power",)),
+    ("EnforcementPower", "Enforcement Power", ("Power",)),
+    ("AdvisoryPower", "Advisory Power", ("Power",)),
+    ("Condition", "Legal Condition", ()),
+    ("NecessityCondition", "Necessity Condition", ("Condition",)),
+    ("ProportionalityCondition", "Proportionality Condition", ("Condition",)),
+    ("ProceduralCondition", "Procedural Condition", ("Condition",)),
+    ("PurposeCondition", "Purpose Condition", ("Condition",)),
+    ("SMEProvider", "SME Provider", ("eu-aiact:AIProvider",)),
+    ("CEMarking", "CE Marking", ("airo:Documentation",)),
+    ("LegalText", "Legal Text", ()),
+    ("Article", "Article", ("LegalText",)),
+    ("Annex", "Annex", ("LegalText",)),
+    ("Paragraph", "Paragraph", ("LegalText",)),
+    ("Recital", "Recital", ("LegalText",)),
+    ("AIActRegulation", "AI Act Regulation", ("airo:Regulation",)),
+    ("EULegislation", "EU Legislation", ("airo:Regulation",)),
+    ("ProvisionDeadline", "Provision Deadline", ()),
+    ("ComplianceDeadlineProvision", "Compliance Deadline Provision", ("ProvisionDeadline",)),
+    ("EntryIntoForceProvision", "Entry Into Force Provision", ("ProvisionDeadline",)),
+    ("EntryIntoForceDate", "Entry Into Force Date", ("ProvisionDeadline",)),
+    ("ConformityAssessmentBody", "Conformity Assessment Body", ("dpv:Authority",)),
+    ("NotifiedBody", "Notified Body", ("ConformityAssessmentBody",)),
+    ("Requirement", "Requirement", ()),
+    ("RequiredComponent", "Required Component", ()),
+    ("DocumentationComponent", "Documentation Component", ("RequiredComponent", "airo:Documentation")),
+    ("RegistrationField", "Registration Field", ("RequiredComponent", "airo:Documentation")),
+    ("ConformityAssessmentStep", "Conformity Assessment Step", ("RequiredComponent",)),
+    ("TestingPlanField", "Testing Plan Field", ("RequiredComponent", "airo:Documentation")),
+    ("CEMarkingComponent", "CE Marking Component", ("RequiredComponent",)),
+)
+#: Object property, domain, range, parent (None for none). A label is the name in words, lower case.
+OBJECT_PROPERTIES = (
+    ("hasObligation", None, "dpv:Obligation", "dpv:hasLegalBasis"),
+    ("hasReportingTarget", "IncidentReportingObligation", "dpv:Authority", None),
+    ("requiresControl", "dpv:Obligation", "airo:RiskControl", "airo:hasRiskControl"),
+    ("hasPower", "dpv:Authority", "Power", None),
+    ("hasCondition", None, "Condition", None),
+    ("hasReference", None, "LegalText", None),
+    ("hasArticleReference", None, "Article", "hasReference"),
+    ("hasAnnexReference", None, "Annex", "hasReference"),
+    ("hasParagraphReference", None, "Paragraph", "hasReference"),
+    ("hasRecitalReference", None, "Recital", "hasReference"),
+    ("isRegulatedBy", None, "AIActRegulation", "airo:compliesWithRegulation"),
+    ("hasComplianceProvision", "AIActRegulation", "ComplianceDeadlineProvision", None),
+    ("hasEntryIntoForceProvision", "AIActRegulation", "EntryIntoForceProvision", None),
+    ("cites", None, "EULegislation", None),
+    ("amends", "AIActRegulation", "EULegislation", None),
+    ("createdBy", "AIActRegulation", "dpv:Authority", None),
+    ("meetsRequirement", "ConformityAssessmentBody", "Requirement", None),
+    ("hasRequiredComponent", None, "RequiredComponent", None),
+    ("hasComponentOf", "RequiredComponent", None, None),
+)
+#: Data property, label, domain, range.
+DATA_PROPERTIES = (
+    ("hasSummary", "has summary", "LegalText", "xsd:string"),
+    ("hasCellarURI", "has Cellar URI", "AIActRegulation", "xsd:string"),
+    ("hasSourceURL", "has source URL", "LegalText", "xsd:string"),
+    ("hasDeadline", "has deadline", "dpv:Obligation", "xsd:duration"),
+    ("hasComplianceDeadline", "has compliance deadline", "dpv:Obligation", "xsd:date"),
+    ("hasEffectiveDate", "has effective date", "EntryIntoForceDate", "xsd:date"),
+    ("hasModifiedLocation", "has modified location", "EULegislation", "xsd:string"),
+    ("hasProvisionDate", "has provision date", "ProvisionDeadline", "xsd:date"),
+    ("hasCELEXNumber", "has CELEX number", "AIActRegulation", "xsd:string"),
+    ("hasOJReference", "has OJ reference", "AIActRegulation", "xsd:string"),
+    ("hasFine", "has fine", "EnforcementPower", "xsd:decimal"),
+    ("hasMaximumFineRatio", "has maximum fine ratio", "EnforcementPower", "xsd:decimal"),
+)
+#: Properties with one value, and the individuals of the schema.
+FUNCTIONAL = ("hasReportingTarget", "hasProvisionDate")
+INDIVIDUALS = (
+    ("ProviderStakeholder", "Provider (stakeholder role)", "eu-aiact:AIProvider"),
+    ("DeployerStakeholder", "Deployer (stakeholder role)", "eu-aiact:AIDeployer"),
+    ("AIOffice", "AI Office", "dpv:Authority"),
+    ("HighRisk", "High Risk", "RiskLevel"),
+)
 
 
 def spaced(name: str) -> str:
-    """HasFineRatio and hasFineRatio to words."""
-    return " ".join(re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name))
+    """hasFineRatio to has fine ratio."""
+    return "".join(" " + c.lower() if c.isupper() else c for c in name).strip()
 
 
 def tbox(spark: SparkSession, ns: str) -> DataFrame:
@@ -89,44 +119,31 @@ def tbox(spark: SparkSession, ns: str) -> DataFrame:
         return PREFIXES[prefix] + local if prefix else ns + local
 
     rows: list[tuple] = []
-    seen: set[str] = set()
+    for cls, label, parents in CLASSES:
+        rows += [(name(cls), TYPE, iri(OWL + "Class")), (name(cls), LABEL, literal(label, lang="en"))]
+        rows += [(name(cls), SUBCLASS, iri(name(p))) for p in parents]
+    for prop, domain, range_, up in OBJECT_PROPERTIES:
+        rows += [(name(prop), TYPE, iri(OWL + "ObjectProperty")), (name(prop), LABEL, literal(spaced(prop), lang="en"))]
+        rows += [(name(prop), p, iri(name(x))) for p, x in ((RDFS + "domain", domain), (RDFS + "range", range_), (RDFS + "subPropertyOf", up)) if x]
+    for prop, label, domain, range_ in DATA_PROPERTIES:
+        rows += [(name(prop), TYPE, iri(OWL + "DatatypeProperty")), (name(prop), LABEL, literal(label, lang="en"))]
+        rows += [(name(prop), RDFS + "domain", iri(name(domain))), (name(prop), RDFS + "range", iri(name(range_)))]
+    rows += [(name(p), TYPE, iri(OWL + "FunctionalProperty")) for p in FUNCTIONAL]
+    rows.append((name("hasComponentOf"), OWL + "inverseOf", iri(name("hasRequiredComponent"))))
+    rows.append((name("InternalControlObligation"), OWL + "disjointWith", iri(name("ThirdPartyAssessmentObligation"))))
+    needs = [(r + "Requirement", " ".join(_words(r + "Requirement")), "Requirement") for r in REQUIREMENTS]
+    for x, label, cls in (*INDIVIDUALS, *needs):
+        rows += [(name(x), TYPE, iri(name(cls))), (name(x), TYPE, iri(OWL + "NamedIndividual")), (name(x), LABEL, literal(label, lang="en"))]
+    rows += defined(AIACT + "HighRiskAISystem", AIRO + "AISystem", [(name("hasRiskLevel"), name("HighRisk"))])
+    rows += defined(name("NotifiedBody"), name("ConformityAssessmentBody"), [(name("meetsRequirement"), name(r + "Requirement")) for r in REQUIREMENTS])
+    return triples(spark, rows).distinct()
 
-    def declare(x: str, kind: str) -> str:
-        if x not in seen:
-            seen.add(x)
-            rows.append((name(x), TYPE, iri(OWL + kind)))
-            rows.append((name(x), LABEL, literal(spaced(x.rpartition(":")[2]), lang="en")))
-        return name(x)
 
-    for line in CLASSES.strip().split("\n"):
-        parent, _, children = line.rpartition(": ")
-        for child in children.split():
-            declare(child, "Class")
-            if parent != "owl:Thing":
-                rows.append((name(child), SUBCLASS, iri(declare(parent, "Class"))))
-    for line in OBJECT_PROPERTIES.strip().split("\n"):
-        prop, domain, range_, up = line.split()
-        declare(prop, "ObjectProperty")
-        for p, x in ((RDFS + "domain", domain), (RDFS + "range", range_), (RDFS + "subPropertyOf", up)):
-            if x != "-":
-                rows.append((name(prop), p, iri(name(x))))
-    for line in DATA_PROPERTIES.strip().split("\n"):
-        prop, domain, range_ = line.split()
-        declare(prop, "DatatypeProperty")
-        rows.append((name(prop), RDFS + "range", iri(XSD + range_)))
-        if domain != "-":
-            rows.append((name(prop), RDFS + "domain", iri(name(domain))))
-    rows += [(ns + p, TYPE, iri(OWL + "FunctionalProperty")) for p in FUNCTIONAL]
-    rows.append((ns + "isComponentOf", OWL + "inverseOf", iri(ns + "hasComponent")))
-    rows.append((ns + "Article", OWL + "disjointWith", iri(ns + "Annex")))
-    for x, cls in [*ANCHORS.items(), *[(r + "Requirement", "Requirement") for r in REQUIREMENTS]]:
-        rows += [(ns + x, TYPE, iri(ns + cls)), (ns + x, TYPE, iri(OWL + "NamedIndividual")), (ns + x, LABEL, literal(spaced(x.replace("_", " ")), lang="en"))]
-    rows += defined(ns, ns + "GeneralPurposeAIModelWithSystemicRisk", AIACT + "GeneralPurposeAIModel", [(ns + "hasRiskLevel", ns + "SystemicRisk")])
-    rows += defined(ns, ns + "NotifiedBody", ns + "ConformityAssessmentBody", [(ns + "meetsRequirement", f"{ns}{r}Requirement") for r in REQUIREMENTS])
-    return triples(spark, rows).distinct()
+def _words(name: str) -> list[str]:
+    return [w.capitalize() for w in spaced(name).split()]
 
 
-def defined(ns: str, cls: str, base: str, values: list[tuple[str, str]]) -> list[tuple]:
+def defined(cls: str, base: str, values: list[tuple[str, str]]) -> list[tuple]:
     """cls is equivalent to base with all the given values: an intersection over a list of has-value restrictions."""
     tag = cls.rpartition("#")[2]
     rows: list[tuple] = [(cls, OWL + "equivalentClass", bnode(f"_:{tag}.x")), (f"_:{tag}.x", TYPE, iri(OWL + "Class")), (f"_:{tag}.x", OWL + "intersectionOf", bnode(f"_:{tag}.l0"))]
