@@ -85,6 +85,28 @@ def described(g: DataFrame, subjects: DataFrame, ns: str) -> DataFrame:
     return per.select("s", verbalise(F.col("t"), F.col("l"), F.col("d"), F.col("r")).alias("text"))
 
 
+def article_of(reference: Column) -> Column:
+    """The number in an article's name or reference."""
+    return F.nullif(F.regexp_extract(reference, r"Article[_ ](\d+)", 1), F.lit("")).cast("int")
+
+
+def retrieved(rows: DataFrame, articles: DataFrame, annexes: DataFrame, most: int) -> DataFrame:
+    """rows (article int, annex string, ...) with context: the first ``most`` characters of the article's text, or of the annex's by its numeral in any case; empty where there is none.
+
+    articles has number and text, annexes number and text; of repeated numbers
+    the first text in order counts.
+    """
+    a = articles.groupBy(F.col("number").cast("int").alias("article")).agg(F.min("text").alias("_article"))
+    x = annexes.groupBy(F.upper(F.col("number").cast("string")).alias("_annex")).agg(F.min("text").alias("_text"))
+    out = rows.withColumn("_annex", F.upper("annex")).join(a, "article", "left").join(x, "_annex", "left")
+    text = F.coalesce("_article", "_text", F.lit(""))
+    return out.withColumn("context", F.substr(text, F.lit(1), F.lit(most))).drop("_annex", "_article", "_text")
+
+
+#: Characters of context for each kind of gap.
+CONTEXT = {"control_pairs": 2000, "fines": 3000, "deadlines": 2500}
+
+
 def new_components(answers: DataFrame, g: DataFrame, ns: str, field: str, cls: str, parent: str, reference: str, once: bool = True) -> DataFrame:
     """Triples of components that an answer lists under ``field``: named, not there yet, and the first of its name if ``once``."""
     rows = parsed(answers, f"{field} array<struct<uri_suffix:string,paragraph:string,section:string,summary:string>>").select(F.posexplode(f"j.{field}").alias("pos", "i")).select("pos", "i.*")
@@ -92,7 +114,7 @@ def new_components(answers: DataFrame, g: DataFrame, ns: str, field: str, cls: s
     rows = rows.join(g.select("s").distinct(), "s", "left_anti")
     rows = first_wins(rows, ["s"], ["pos"]) if once else rows
     s, up = F.col("s"), F.lit(ns + parent)
-    return construct(rows, term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.col("uri_suffix"), lang="en"), term_struct(s, ns + "hasSummary", F.col("summary"), dt=XSD + "string"), term_struct(s, ns + "hasAnnexReference", F.lit(ns + reference), "iri"), term_struct(up, ns + "hasComponent", s, "iri"), term_struct(s, ns + "isComponentOf", up, "iri"))
+    return construct(rows, term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.col("uri_suffix"), lang="en"), term_struct(s, ns + "hasSummary", F.col("summary"), dt=XSD + "string"), term_struct(s, ns + "hasAnnexReference", F.lit(ns + reference), "iri"), term_struct(up, ns + "hasRequiredComponent", s, "iri"), term_struct(s, ns + "hasComponentOf", up, "iri"))
 
 
 def control_pairs(g: DataFrame, ns: str, control_type: str, per_article: tuple[int, int] = (3, 2), most: int = 15) -> DataFrame:
@@ -148,8 +170,8 @@ def area_triples(answers: DataFrame, systems: DataFrame, ns: str, keys: list[str
     """Areas whose normalised key is known, and links from the first system whose name ends with the key."""
     rows = parsed(answers, "areas array<struct<sector_key:string,label:string,description:string>>").select(F.explode("j.areas").alias("i")).select("i.*")
     rows = rows.withColumn("key", F.regexp_replace(F.lower(F.coalesce("sector_key", F.lit(""))), "[^a-z_]", "")).where(F.col("key").isin(keys))
-    a = F.concat(F.lit(ns + "area_of_application_"), F.col("key"))
-    made = construct(rows, term_struct(a, TYPE, F.lit(ns + "AreaOfApplication"), "iri"), term_struct(a, LABEL, F.col("label"), lang="en"), term_struct(a, ns + "hasSummary", F.col("description"), dt=XSD + "string"))
+    a = F.concat(F.lit(ns + "AreaOfApplication_"), F.col("key"))
+    made = construct(rows, term_struct(a, TYPE, F.lit(ns + "AreaOfApplication"), "iri"), term_struct(a, LABEL, F.col("label"), lang="en"), term_struct(a, ns + "hasSummary", F.nullif("description", F.lit("")), dt=XSD + "string"), term_struct(a, ns + "hasAnnexReference", F.lit(ns + "Annex_III"), "iri"))
     # the keys are a short list, so systems find theirs without a join of all with all
     key = F.lit(None).cast("string")
     for k in sorted(keys):

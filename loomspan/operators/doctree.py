@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import annex_reference, article_reference
 
-MARKER = r"^\(([A-Za-z0-9ivxlcdmIVXLCDM]+)\)$"
+MARKER = r"^\(([A-Za-z0-9]+)\)$"
 NUMBERED = r"^(\d+)\.\s+(.*)$"
 
 
@@ -22,9 +22,10 @@ def carry_forward(df: DataFrame, value: str, out: str, by: list[str], order: str
 
 
 def first_wins(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key, by a partial aggregate: a key that most rows share is no burden to one task. Of rows that are equal in order the least is taken."""
+    row = F.struct(*df.columns)
+    first = df.groupBy(*by).agg(F.min_by(row, F.struct(*order, F.xxhash64(row))).alias("_row"))
+    return first.select("_row.*")
 
 
 def pending_labels(df: DataFrame, unit: list[str], order: str = "pos", text: str = "text") -> DataFrame:
@@ -69,8 +70,7 @@ def titles(p: DataFrame) -> DataFrame:
 
 def one_per_unit(df: DataFrame, unit: str, kind: str, only: str, order: str) -> DataFrame:
     """At most one row of kind ``only`` in a unit; others stay."""
-    w = Window.partitionBy(unit, kind).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where((F.col(kind) != only) | (F.col("_n") == 1)).drop("_n")
+    return df.where(~F.col(kind).eqNullSafe(F.lit(only))).unionByName(first_wins(df.where(F.col(kind) == only), [unit], [order]))
 
 
 def synthetic_annex_items(units: DataFrame) -> DataFrame:

@@ -42,6 +42,19 @@ def mean_ratio(ratios: DataFrame) -> DataFrame:
     return ratios.agg(F.round(F.avg("ratio"), 4).alias("mean"))
 
 
+def worst(ratios: DataFrame, n: int = 5, by: str = "property") -> DataFrame:
+    """The n lowest ratios, then by name; those without a ratio are left out."""
+    return ratios.where("ratio is not null").orderBy("ratio", by).limit(n)
+
+
+def rescoped(declared: DataFrame, g: DataFrame, kinds: list[str]) -> DataFrame:
+    """Declared elements (element) that g itself still declares under one of the kinds; all of them if it declares nothing."""
+    still = g.where((F.col("p") == TYPE) & F.col("o").isin(kinds)).select(F.col("s").alias("element")).distinct()
+    some = still.limit(1).select(F.lit(True).alias("_some"))
+    marked = declared.join(still.withColumn("_kept", F.lit(True)), "element", "left").join(F.broadcast(some), F.lit(True), "left")
+    return marked.where("_kept or _some is null").select(declared.columns)
+
+
 def population(g: DataFrame, expected: DataFrame) -> DataFrame:
     """(class, expected, found, ratio): CM3; a class that is missing has 0."""
     n = g.where(F.col("p") == TYPE).groupBy(F.col("o").alias("class")).agg(F.countDistinct("s").alias("found"))

@@ -26,22 +26,22 @@ class AnnexRule:
 
 #: Which annexes hold which components.
 ANNEX_RULES = (
-    AnnexRule("annex_iv_components", "IV", "DocumentationComponent", "doc_component", "TechnicalDocumentation_Annex_IV", 0),
+    AnnexRule("annex_iv_components", "IV", "DocumentationComponent", "documentation_component", "TechnicalDocumentation_Annex_IV", 0),
     AnnexRule("annex_viii_fields", "VIII", "RegistrationField", "registration_field", "RegistrationRecord_Annex_VIII"),
-    AnnexRule("annex_ix_fields", "IX", "TestingPlanField", "testing_field", "TestingPlan_Annex_IX"),
-    AnnexRule("annex_vii_steps", "VII", "ConformityAssessmentStep", "conformity_step", "QualityManagement_Annex_VII"),
+    AnnexRule("annex_ix_fields", "IX", "TestingPlanField", "testing_plan_field", "TestingPlan_Annex_IX"),
+    AnnexRule("annex_vii_steps", "VII", "ConformityAssessmentStep", "conformity_step", "ThirdPartyAssessment_Annex_VII"),
     AnnexRule("annex_vi_steps", "VI", "ConformityAssessmentStep", "conformity_step", "InternalControl_Annex_VI"),
 )
-#: The eight areas, and the requirements of notified bodies.
+#: The eight areas with their labels and summaries, and the requirements of notified bodies.
 AREAS = (
-    ("biometrics", "Biometrics"),
-    ("critical_infrastructure", "Critical infrastructure"),
-    ("education", "Education and vocational training"),
-    ("employment", "Employment, workers management and access to self-employment"),
-    ("essential_services", "Access to and enjoyment of essential private and public services"),
-    ("law_enforcement", "Law enforcement"),
-    ("migration", "Migration, asylum and border control management"),
-    ("justice", "Administration of justice and democratic processes"),
+    ("biometrics", "Biometrics", "Remote biometric identification, biometric categorisation by sensitive attributes, and emotion recognition systems."),
+    ("critical_infrastructure", "Critical infrastructure", "Safety components in the management and operation of critical digital infrastructure, road traffic, and the supply of water, gas, heating and electricity."),
+    ("education", "Education and vocational training", "AI used to determine access, admission, evaluation of learning outcomes, assessing appropriate level of education, or monitoring prohibited behaviour during tests."),
+    ("employment", "Employment, workers management and access to self-employment", "Recruitment, selection, decisions affecting terms of work, promotion, termination, task allocation based on individual behaviour or traits, and monitoring/evaluation of performance."),
+    ("essential_services", "Access to and enjoyment of essential private and public services", "Eligibility for public assistance benefits, creditworthiness evaluation, risk assessment and pricing in life and health insurance, and emergency call dispatch and triage."),
+    ("law_enforcement", "Law enforcement", "Risk assessment of natural persons, polygraphs, evidence reliability assessment, profiling, and crime analytics."),
+    ("migration", "Migration, asylum and border control management", "Polygraphs, risk assessments, examination of applications for asylum/visa/residence, and detection/recognition of natural persons at borders."),
+    ("justice", "Administration of justice and democratic processes", "AI assisting judicial authorities in researching and interpreting facts and the law, and AI intended to influence the outcome of an election or voting behaviour."),
 )
 REQUIREMENTS = ("Organisational", "QualityManagement", "Resource", "Process", "Cybersecurity", "Independence", "Objectivity", "Impartiality", "ProfessionalIntegrity", "Competence", "Confidentiality", "LiabilityInsurance")
 
@@ -81,8 +81,8 @@ def risk_controls(items: DataFrame) -> DataFrame:
 
 
 def areas(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(AREAS), "sector_slug string, label string")
-    return _shaped(rows.select(F.concat(F.lit("area_of_application_"), "sector_slug").alias("uri_suffix"), F.lit("AreaOfApplication").alias("type"), "label", "sector_slug", F.lit("Annex III").alias("paragraph_ref"), F.lit("rule").alias("source_kind"), F.lit("annex_iii_sectors").alias("rule_id")))
+    rows = spark.createDataFrame(list(AREAS), "sector_slug string, label string, summary string")
+    return _shaped(rows.select(F.concat(F.lit("area_of_application_"), "sector_slug").alias("uri_suffix"), F.lit("AreaOfApplication").alias("type"), "label", "summary", "sector_slug", F.lit("Annex III").alias("paragraph_ref"), F.lit("rule").alias("source_kind"), F.lit("annex_iii_sectors").alias("rule_id")))
 
 
 def requirements(spark: SparkSession) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.operators.graphs import merge
-from loomspan.terms import LABEL, TYPE, XSD, construct, creator_name, date_name, legislation_name, term_struct
+from loomspan.terms import LABEL, OWL, TYPE, XSD, construct, creator_name, date_name, legislation_name, term_struct
 
+AUTHORITY = "https://w3id.org/dpv#Authority"
 _REF = "array<struct<cellar_uri:string,celex:string,eli:string,article_references:array<string>,modified_location:string>>"
 _DATE = "array<struct<date:string,article_references:array<string>>>"
 METADATA = f"""source string, source_file string, regulation struct<celex:string,eli:string,oj:string,cellar_uri:string,eli_canonical:string>,
@@ -49,35 +50,36 @@ def slots(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(column).alias("slot", "item"))
 
 
-def metadata_triples(meta: DataFrame, ns: str, root: str) -> DataFrame:
-    """The graph of metadata records: one branch for each array instead of their product.
+def metadata_triples(meta: DataFrame, ns: str, root: str, title: str) -> DataFrame:
+    """The graph of metadata records about one law: one branch for each array instead of their product.
 
     A record without celex or cellar_uri gives nothing. Dates need a date,
     creators a label, laws a celex; what is missing beside these leaves its
-    triple out. Two deadlines of one date share a node and their references.
+    triple out. Two deadlines of one date share a node and their references. An
+    article's number is what digits its reference has.
     """
     ok = meta.where("regulation.celex is not null and regulation.cellar_uri is not null")
     law = F.lit(ns + root)
-    text = XSD + "string"
-    head = construct(
-        ok, term_struct(law, TYPE, F.lit(ns + "AIActRegulation"), "iri"), term_struct(law, TYPE, F.lit(ns + "EULegislation"), "iri"), term_struct(law, LABEL, F.lit(root), lang="en"),
-        term_struct(law, ns + "hasCELEX", F.col("regulation.celex")), term_struct(law, ns + "hasCellarURI", F.col("regulation.cellar_uri"), dt=text),
-    )
-    out = [head]
-    for field, kind, cls, label, has, back, when in (
-        ("deadlines", "ComplianceDeadline", "ComplianceDeadline", "Compliance deadline ", "hasProvisionDate", "isDeadlineOf", "hasComplianceDeadline"),
-        ("entry_into_force", "EntryIntoForce", "EntryIntoForceDate", "Entry into force ", "hasEffectiveDate", "isEntryIntoForceOf", "hasEntryIntoForceProvision"),
+    out = [
+        construct(
+            ok, term_struct(law, TYPE, F.lit(OWL + "NamedIndividual"), "iri"), term_struct(law, TYPE, F.lit(ns + "AIActRegulation"), "iri"), term_struct(law, LABEL, F.lit(title), lang="en"),
+            term_struct(law, ns + "hasCELEXNumber", F.col("regulation.celex")), term_struct(law, ns + "hasCellarURI", F.col("regulation.cellar_uri")),
+        )
+    ]
+    for field, kind, cls, label, has, when in (
+        ("deadlines", "ComplianceDeadline", "ComplianceDeadlineProvision", "Compliance deadline ", "hasProvisionDate", "hasComplianceProvision"),
+        ("entry_into_force", "EntryIntoForce", "EntryIntoForceDate", "Entry into force ", "hasEffectiveDate", "hasEntryIntoForceProvision"),
     ):
         rows = ok.select(F.explode(field).alias("i")).select("i.date", F.explode_outer("i.article_references").alias("ref")).where("date is not null")
         s = F.concat(F.lit(ns), date_name(kind, F.col("date")))
-        number = F.nullif(F.regexp_extract("ref", r"(\d+)", 1), F.lit(""))
-        out.append(construct(rows, term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.concat(F.lit(label), "date"), lang="en"), term_struct(s, ns + has, F.col("date"), dt=XSD + "date"), term_struct(s, ns + back, law, "iri"), term_struct(law, ns + when, s, "iri"), term_struct(s, ns + "hasArticleReference", F.concat(F.lit(ns + "Article_"), number), "iri")))
+        article = F.concat(F.lit(ns + "Article_"), F.regexp_replace("ref", "[^0-9]", ""))
+        out.append(construct(rows, term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.concat(F.lit(label), "date")), term_struct(s, ns + has, F.col("date"), dt=XSD + "date"), term_struct(law, ns + when, s, "iri"), term_struct(s, ns + "hasArticleReference", article, "iri")))
     makers = ok.select(F.explode("created_by").alias("i")).select("i.*").where("label is not null")
     s = F.concat(F.lit(ns), creator_name(F.col("identifier"), F.col("label")))
-    out.append(construct(makers, term_struct(s, TYPE, F.lit(ns + "Authority"), "iri"), term_struct(s, LABEL, F.col("label")), term_struct(law, ns + "createdBy", s, "iri")))
+    out.append(construct(makers, term_struct(s, TYPE, F.lit(AUTHORITY), "iri"), term_struct(s, LABEL, F.col("label")), term_struct(law, ns + "createdBy", s, "iri")))
     for field in ("amends", "cites"):
         rows = ok.select(F.explode(field).alias("i")).select("i.*").where("celex is not null")
         s = F.concat(F.lit(ns), legislation_name(F.col("celex")))
         where = F.col("modified_location") if field == "amends" else F.lit(None).cast("string")
-        out.append(construct(rows, term_struct(s, TYPE, F.lit(ns + "EULegislation"), "iri"), term_struct(s, LABEL, F.col("celex")), term_struct(s, ns + "hasCELEX", F.col("celex")), term_struct(s, ns + "hasModifiedLocation", where), term_struct(law, ns + field, s, "iri")))
+        out.append(construct(rows, term_struct(s, TYPE, F.lit(ns + "EULegislation"), "iri"), term_struct(s, LABEL, F.concat(F.lit("EU Legislation "), "celex")), term_struct(s, ns + "hasCELEXNumber", F.col("celex")), term_struct(s, ns + "hasModifiedLocation", where), term_struct(law, ns + field, s, "iri")))
     return merge(*out)
