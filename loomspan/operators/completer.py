@@ -153,12 +153,17 @@ def numbers(answers: DataFrame, ns: str, field: str, predicate: str, valid: Call
     return construct(ok, term_struct(F.col("s"), ns + predicate, made(F.col("v")).cast("string"), dt=XSD + "decimal"))
 
 
+def _short(v: Column) -> Column:
+    """Four decimals at most, one at least."""
+    return F.regexp_replace(F.round(v, 4).cast("decimal(14,4)").cast("string"), r"(\.\d)(\d*?)0+$", "$1$2")
+
+
 def fine_triples(answers: DataFrame, ns: str) -> DataFrame:
     return numbers(answers, ns, "fine_eur", "hasFine", lambda v: v > 0, lambda v: v.cast("long"))
 
 
 def ratio_triples(answers: DataFrame, ns: str) -> DataFrame:
-    return numbers(answers, ns, "ratio", "hasMaximumFineRatio", lambda v: (v > 0) & (v <= 1), lambda v: F.round(v, 4).cast("decimal(10,4)"))
+    return numbers(answers, ns, "ratio", "hasMaximumFineRatio", lambda v: (v > 0) & (v <= 1), _short)
 
 
 def deadline_triples(answers: DataFrame, ns: str) -> DataFrame:

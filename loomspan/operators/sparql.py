@@ -255,7 +255,7 @@ class Value:
         if self.type == "term":
             return self.col
         dt = {"bool": XSD + "boolean", "num": XSD + "decimal", "str": None}[self.type]
-        return F.when(self.col.isNotNull(), _struct(self.col.cast("string"), "literal", dt))
+        return F.when(self.col.isNotNull(), _struct(_plain(self.col) if self.type == "num" else self.col.cast("string"), "literal", dt))
 
     def text(self) -> Column:
         return self.col["v"] if self.type == "term" else self.col.cast("string")
@@ -343,7 +343,8 @@ def _compare(op: str, a: Value, b: Value) -> Column:
 
 def _plain(n: Column) -> Column:
     """A decimal in its shortest form."""
-    return F.regexp_replace(n.cast("string"), r"\.?0+$", "")
+    text = n.cast("string")
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
 def _extreme(v: Value, fn) -> Column:

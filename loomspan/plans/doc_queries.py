@@ -95,17 +95,20 @@ def schema_graph(spark, d):
     return tbox(spark, EX)
 
 
-@query("replayed_model", "select o_orderkey as id, case when o_orderkey % 2 = 0 then '{\"fine_eur\": ' || cast(o_orderkey as varchar) || '}' else '{}' end as answer from orders where o_orderkey < 500")
-def replayed_model(spark, d):
-    from loomspan.operators.completer import prompt_key, replay
+@query("schema_counts", "select * from (values ('Class', 47), ('ObjectProperty', 19), ('DatatypeProperty', 12), ('FunctionalProperty', 2), ('NamedIndividual', 16), ('subClassOf', 44), ('hasValue', 13)) v(what, n)")
+def schema_counts(spark, d):
+    """What the schema declares, by kind; restrictions and subclass axioms by their predicates."""
+    from loomspan.plans.tbox import tbox
+    from loomspan.terms import OWL, RDFS, TYPE, local_name
 
-    o = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("What fine for "), F.col("o_orderkey").cast("string")).alias("prompt"))
-    rec = o.where("id % 2 = 0").select(prompt_key(F.col("prompt")).alias("prompt_key"), F.concat(F.lit('{"fine_eur": '), F.col("id").cast("string"), F.lit("}")).alias("answer"))
-    return replay(o, rec).select("id", "answer")
+    g = tbox(spark, EX)
+    kinds = g.where((F.col("p") == TYPE) & F.col("o").isin([OWL + k for k in ("Class", "ObjectProperty", "DatatypeProperty", "FunctionalProperty", "NamedIndividual")]) & (F.col("s_kind") == "iri")).select(local_name(F.col("o")).alias("what"))
+    axioms = g.where(F.col("p").isin(RDFS + "subClassOf", OWL + "hasValue")).select(local_name(F.col("p")).alias("what"))
+    return kinds.unionByName(axioms).groupBy("what").agg(F.count("*").alias("n"))
 
 
-@query("replayed_model_whole", "select o_orderkey as id, case when o_orderkey % 2 = 0 then '{\"fine_eur\": ' || cast(o_orderkey as varchar) || '}' else '{}' end as answer from orders")
-def replayed_model_whole(spark, d):
+@query("replayed_model", "select o_orderkey as id, case when o_orderkey % 2 = 0 then '{\"fine_eur\": ' || cast(o_orderkey as varchar) || '}' else '{}' end as answer from orders")
+def replayed_model(spark, d):
     from loomspan.operators.completer import prompt_key, replay
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("What fine for "), F.col("o_orderkey").cast("string")).alias("prompt"))
@@ -113,6 +116,94 @@ def replayed_model_whole(spark, d):
     return replay(o, rec).select("id", "answer")
 
 
+# answers of a model, made from the customers, and the triples that gap fillers take from them
+
+
+def _answers(spark, d, text):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(F.concat(F.lit(EX + "item_"), k.cast("string")).alias("s"), text(k).alias("answer"))
+
+
+def _small(g):
+    return g.select(F.replace("s", F.lit(EX), F.lit("")).alias("s"), F.replace("p", F.lit(EX), F.lit("")).alias("p"), F.replace("o", F.lit(EX), F.lit("")).alias("o"), F.regexp_replace("o_dt", "^.*#", "").alias("dt"))
+
+
+@query("gap_fines", "select 'item_' || c_custkey as s, 'hasFine' as p, cast(c_custkey % 7 - 1 as varchar) as o, 'decimal' as dt from customer where c_custkey % 7 >= 1")
+def gap_fines(spark, d):
+    from loomspan.operators.completer import fine_triples
+
+    return _small(fine_triples(_answers(spark, d, lambda k: F.concat(F.lit('{"fine_eur": '), F.when(k % 7 == 0, "-1").otherwise((k % 7 - 1).cast("string")), F.lit(".5}"))), EX))
+
+
+@query("gap_ratios", "select 'item_' || c_custkey as s, 'hasMaximumFineRatio' as p, case when c_custkey % 13 = 10 then '1.0' else '0.' || (c_custkey % 13) end as o, 'decimal' as dt from customer where c_custkey % 13 between 1 and 10")
+def gap_ratios(spark, d):
+    from loomspan.operators.completer import ratio_triples
+
+    return _small(ratio_triples(_answers(spark, d, lambda k: F.concat(F.lit('```json\n{"ratio": '), ((k % 13) / 10).cast("decimal(4,1)").cast("string"), F.lit("}\n```"))), EX))
+
+
+@query("gap_deadlines", "select 'item_' || c_custkey as s, 'hasDeadline' as p, 'P' || (c_custkey % 40) || 'D' as o, 'duration' as dt from customer where c_custkey % 3 = 0")
+def gap_deadlines(spark, d):
+    from loomspan.operators.completer import deadline_triples
+
+    return _small(deadline_triples(_answers(spark, d, lambda k: F.concat(F.lit('{"deadline": "'), F.when(k % 3 == 0, "P").otherwise(""), (k % 40).cast("string"), F.lit('D"}'))), EX))
+
+
+_ANNEX4 = "TechnicalDocumentation_Annex_IV"
+
+
+@query("gap_components", f"""with n as (select distinct 'part_' || (p_partkey % 50) as s, p_partkey % 50 as k from part), f as (select s, (select arg_min('size ' || p_size, p_partkey) from part where p_partkey % 50 = n.k) as text from n)
+    select s, 'type' as p, 'DocumentationComponent' as o, cast(null as varchar) as dt from n union all select s, 'label', s, null from n union all select s, 'hasSummary', text, 'string' from f union all select s, 'hasAnnexReference', 'Annex_IV', null from n
+    union all select '{_ANNEX4}', 'hasRequiredComponent', s, null from n union all select s, 'hasComponentOf', '{_ANNEX4}', null from n""")
+def gap_components(spark, d):
+    """Every part is a component of some answer; of those of one name the first counts."""
+    from loomspan.operators.completer import new_components
+    from loomspan.plans.tbox import tbox
+
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.struct(k.alias("k"), F.struct(F.concat(F.lit("part_"), (k % 50).cast("string")).alias("uri_suffix"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("summary")).alias("c")).alias("x"))
+    one = rows.agg(F.array_sort(F.collect_list("x")).alias("all")).select(F.concat(F.lit('{"components": '), F.to_json(F.transform("all", lambda x: x["c"])), F.lit("}")).alias("answer"))
+    out = new_components(one, tbox(spark, EX), EX, "components", "DocumentationComponent", _ANNEX4, "Annex_IV")
+    return _small(out).withColumn("p", F.element_at(F.split("p", "#"), -1)).withColumn("p", F.regexp_replace("p", "^.*/", ""))
+
+
+@query("gap_obligations", """with n as (select distinct case when n_nationkey % 2 = 0 then 'code_art56_' || n_nationkey else 'code_' || n_nationkey || '_art56' end as s, n_nationkey as k from nation)
+    select s, 'GPAIObligation' as o from n union all select 'ProviderStakeholder', s from n union all select 'GPAIModelInstance', s from n union all select 'GPAISystemicRiskModelInstance', s from n union all select s, 'Article_56' from n""")
+def gap_obligations(spark, d):
+    from loomspan.operators.completer import new_obligations
+
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("code "), F.when(k % 2 == 0, "art56 ").otherwise(""), k.cast("string"))
+    ans = table(spark, d, "nation").select(F.concat(F.lit('{"obligations": [{"uri_suffix": "'), name, F.lit('"}]}')).alias("answer"))
+    out = new_obligations(ans, EX, "art56", "Article_56", ["ProviderStakeholder", "GPAIModelInstance", "GPAISystemicRiskModelInstance"])
+    return _small(out.where("o_kind = 'iri'")).select("s", "o")
+
+
+@query("gap_areas", """with a as (select * from (values ('justice'), ('education'), ('migration')) v(k)) select 'AreaOfApplication_' || k as s, 'Annex_III' as o from a union all select 'AreaOfApplication_' || k, 'AreaOfApplication' from a
+    union all select 'sys_' || (select min(n_nationkey) from nation where n_nationkey % 3 = case k when 'justice' then 0 when 'education' then 1 else 2 end) || '_' || k, 'AreaOfApplication_' || k from a""")
+def gap_areas(spark, d):
+    from loomspan.operators import completer, rules
+
+    keys = [r[0] for r in rules.AREAS]
+    word = F.get(F.array(F.lit("justice"), F.lit("education"), F.lit("migration")), (F.col("n_nationkey") % 3).cast("int"))
+    systems = table(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit(EX + "sys_"), F.col("n_nationkey").cast("string"), F.lit("_"), word).alias("s"))
+    ans = table(spark, d, "nation").select(F.concat(F.lit('{"areas": [{"sector_key": " '), F.upper(word), F.lit('!"}, {"sector_key": "space"}]}')).alias("answer"))
+    return _small(completer.area_triples(ans, systems, EX, keys, EX + "hasAreaOfApplication").where("o_kind = 'iri'")).select("s", "o")
+
+
+@query("retrieved_context", """with a as (select p_partkey % 113 + 1 as n, min(p_name) as t from part group by 1) select c_custkey as id, coalesce(case when c_custkey % 2 = 0 then (select substr(t, 1, 12) from a where n = c_custkey % 130) else (select substr(min(s_name), 1, 12) from supplier where s_suppkey % 13 = c_custkey % 13) end, '') as context from customer""")
+def retrieved_context(spark, d):
+    """Texts of articles by number and of annexes by numeral, in any case, cut to a length."""
+    from loomspan.operators.completer import retrieved
+    from loomspan.plans import construction as c
+
+    k = F.col("c_custkey")
+    numeral = F.get(F.array(*[F.lit(r.lower()) for r in c.ROMAN]), (k % 13).cast("int"))
+    asked = table(spark, d, "customer").select(k.alias("id"), F.when(k % 2 == 0, k % 130).cast("int").alias("article"), F.when(k % 2 == 1, numeral).alias("annex"))
+    arts = c.article_items(spark, d).select("number", "text")
+    return retrieved(asked, arts, c.annexes(spark, d), 12).select("id", "context")
+
+
 @query("windowed_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def windowed_events(spark, d):
     from loomspan.streaming.ingest import windowed_counts

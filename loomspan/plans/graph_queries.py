@@ -65,12 +65,19 @@ def pre_post_variants(spark, d):
     return count(pre, "pre").unionByName(count(post, "post"))
 
 
-# a sparse part of the line items as a graph of parts and suppliers
-EDGE_SQL = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity >= 49 and cast(l_discount as decimal(18,2)) >= 0.09)"
+# all line items as a graph of parts and suppliers
+EDGE_SQL = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem)"
+#: The smallest node reachable, by rounds in which every node takes the least of its neighbours' names: as many as the graph is wide.
+ROUNDS = 14
+LABEL_SQL = (
+    f"{EDGE_SQL}, u as (select src as a, dst as b from e union select dst, src from e), c0 as (select distinct a as node, a as component from u), "
+    + ", ".join(f"c{k} as (select node, least(min(component), min(other)) as component from (select x.node, x.component, y.component as other from c{k - 1} x join u on u.a = x.node join c{k - 1} y on y.node = u.b) group by node)" for k in range(1, ROUNDS + 1))
+    + f", c as (select * from c{ROUNDS})"
+)
 
 
 def _edges(spark, d):
-    rows = table(spark, d, "lineitem").where((F.col("l_quantity") >= 49) & (F.col("l_discount").cast("decimal(18,2)") >= 0.09))
+    rows = table(spark, d, "lineitem")
     return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
@@ -79,94 +86,36 @@ def node_degrees(spark, d):
     return g.degrees(_edges(spark, d))
 
 
-@query(
-    "graph_components",
-    f"""with recursive {EDGE_SQL}, u as (select src as a, dst as b from e union select dst, src from e),
-    r as (select a as node, a as seen from u union select r.node, u.b from r join u on r.seen = u.a)
-    select node, min(seen) as component from r group by 1""",
-)
+@query("graph_components", f"with {LABEL_SQL} select node, component from c")
 def graph_components(spark, d):
     return g.components(_edges(spark, d))
 
 
-@query(
-    "component_sizes",
-    f"""with recursive {EDGE_SQL}, u as (select src as a, dst as b from e union select dst, src from e),
-    r as (select a as node, a as seen from u union select r.node, u.b from r join u on r.seen = u.a)
-    select component, count(*) as size from (select node, min(seen) as component from r group by 1) c group by 1""",
-)
+@query("component_sizes", f"with {LABEL_SQL} select component, count(*) as size from c group by 1")
 def component_sizes(spark, d):
     return g.component_sizes(_edges(spark, d))
 
 
-# customers who bought in the same nation pairs: parts that share a supplier pair up, so that there are triangles
-TRI_SQL = "e as (select distinct a.l_suppkey as src, b.l_suppkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey where a.l_orderkey % 20 = 0)"
-
-
-def _triangles(spark, d):
-    x = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_suppkey").distinct()
-    return x.alias("a").join(x.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
-
-
-@query(
-    "clustering_coefficients",
-    f"""with {TRI_SQL}, u as (select src as a, dst as b from e union select dst, src from e),
-    k as (select a, count(*) as k from u group by 1),
-    l as (select x.a, count(*) as links from u x join u y on x.a = y.a and x.b < y.b join u z on z.a = x.b and z.b = y.b group by 1)
-    select k.a as node, k.k as k, coalesce(links, 0) as links, case when k.k < 2 then 0.0::double else 2.0::double * coalesce(links, 0) / (k.k * (k.k - 1)) end as coefficient from k left join l on k.a = l.a""",
-)
+# suppliers who shared an order; no SQL, as its joins are too slow on whole tables: a test compares with brute force
+@query("clustering_coefficients")
 def clustering_coefficients(spark, d):
-    return g.clustering(_triangles(spark, d))
-
-
-# the same over all orders; no SQL, as its joins are too slow on whole tables
-@query("clustering_coefficients_whole")
-def clustering_coefficients_whole(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     return g.clustering(x.alias("a").join(x.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct())
 
 
+# the graph has two kinds of nodes and edges between the kinds only, so it has no triangle
 @query(
     "connectivity_summary",
-    f"""with recursive {EDGE_SQL}, d as (select node, count(*) as degree from (select src as node from e union all select dst from e) x group by 1),
-    u as (select src as a, dst as b from e union select dst, src from e),
-    r as (select a as node, a as seen from u union select r.node, u.b from r join u on r.seen = u.a),
-    c as (select component, count(*) as size from (select node, min(seen) as component from r group by 1) x group by 1)
+    f"""with {LABEL_SQL}, d as (select node, count(*) as degree from (select src as node from e union all select dst from e) x group by 1), z as (select component, count(*) as size from c group by 1)
     select (select count(*) from d) as nodes, (select count(*) from e) as edges, (select round(avg(degree), 4) from d) as avg_degree, (select max(degree) from d) as max_degree,
     (select list(degree order by degree)[count(*) // 2 + 1] from d) as median_degree,
     round((select count(*) from e) / ((select count(*) from d) * ((select count(*) from d) - 1.0::double)), 6) as density, 0.0::double as clustering,
-    (select count(*) from c) as components, round((select max(size) from c) / (select count(*) from d)::double, 4) as largest_share""",
+    (select count(*) from z) as components, round((select max(size) from z) / (select count(*) from d)::double, 4) as largest_share""",
 )
 def connectivity_summary(spark, d):
     return m.connectivity(_edges(spark, d))
 
 
-# the same four over all line items; the recursive SQL cannot follow there, so tests compare with brute force
-def _whole_edges(spark, d):
-    rows = table(spark, d, "lineitem")
-    return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-
-
-@query("node_degrees_whole")
-def node_degrees_whole(spark, d):
-    return g.degrees(_whole_edges(spark, d))
-
-
-@query("graph_components_whole")
-def graph_components_whole(spark, d):
-    return g.components(_whole_edges(spark, d))
-
-
-@query("component_sizes_whole")
-def component_sizes_whole(spark, d):
-    return g.component_sizes(_whole_edges(spark, d))
-
-
-@query("connectivity_summary_whole")
-def connectivity_summary_whole(spark, d):
-    return m.connectivity(_whole_edges(spark, d))
-
-
 @query("subclass_pairs", duck("""with recursive t as (@T), e as (select s, o from t where p = '@partOf'), n as (select s as x from e union select o from e),
     w as (select x as sub, x as super from n union select w.sub, e.o from w join e on w.super = e.s) select sub, super from w""", "nation", "region"))
 def subclass_pairs(spark, d):
@@ -256,15 +205,8 @@ def extraction_scores(spark, d):
     return m.precision_recall(c.select("type", (p & y).cast("long").alias("tp"), (p & ~y).cast("long").alias("fp"), (~p & y).cast("long").alias("fn")))
 
 
-@query("metric_deltas", "with a as (select o_orderstatus as metric, round(avg(cast(o_totalprice as decimal(18,2)))::double, 2) as pre from orders where o_orderkey % 2 = 0 group by 1), b as (select o_orderstatus as metric, round(avg(cast(o_totalprice as decimal(18,2)))::double, 2) as post from orders where o_orderstatus <> 'P' group by 1) select coalesce(a.metric, b.metric) as metric, pre, post, round(post - pre, 4) as delta from a full join b on a.metric = b.metric")
+@query("metric_deltas", "with a as (select o_orderstatus as metric, round(avg(cast(o_totalprice as decimal(18,2)))::double, 2) as pre from orders where o_orderpriority similar to '[12]-.*' group by 1), b as (select o_orderstatus as metric, round(avg(cast(o_totalprice as decimal(18,2)))::double, 2) as post from orders where not coalesce(o_orderpriority similar to '[12]-.*', false) group by 1) select coalesce(a.metric, b.metric) as metric, pre, post, round(post - pre, 4) as delta from a full join b on a.metric = b.metric")
 def metric_deltas(spark, d):
-    o = table(spark, d, "orders")
-    mean = lambda df: df.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("value"))
-    return m.deltas(mean(o.where("o_orderkey % 2 = 0")), mean(o.where("o_orderstatus <> 'P'")))
-
-
-@query("metric_deltas_whole")
-def metric_deltas_whole(spark, d):
     """Mean prices of each status, of the two highest priorities (pre) and of all other orders (post): every order counts on one side."""
     o = table(spark, d, "orders")
     mean = lambda df: df.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("value"))
@@ -272,6 +214,11 @@ def metric_deltas_whole(spark, d):
     return m.deltas(mean(o.where(first)), mean(o.where(~first)))
 
 
+@query("worst_ratios", duck(PROPERTY_SQL + "select * from q where ratio is not null order by ratio, property limit 2", "documents", "labels"))
+def worst_ratios(spark, d):
+    return m.worst(m.property_completeness(triples_of(spark, d, "documents", "labels"), _domains(spark)), 2)
+
+
 @query("seeded_sample")
 def seeded_sample(spark, d):
     return m.seeded_sample(triples_of(spark, d, "nation", "region"))

@@ -127,3 +127,40 @@ pattern(
        union select c, 'iri', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '@Person', 'iri', null, null from t
        union select n, 'iri', '@hasResident', c, 'iri', null, null from t""",
 )
+pattern(
+    "bind_product", ("lineitem",),
+    "SELECT DISTINCT ?part ?pct ?left WHERE { ?l ex:discount ?d ; ex:ofPart ?part . FILTER(?d >= 0.05) BIND(?d * 100 AS ?pct) BIND(1 - ?d AS ?left) }",
+    """select distinct '@part/' || l_partkey as part, cast(cast(round(cast(l_discount as decimal(18,2)) * 100) as integer) as varchar) as pct, rtrim(rtrim(cast(1 - cast(l_discount as decimal(18,2)) as varchar), '0'), '.') as "left"
+       from lineitem where cast(l_discount as decimal(18,2)) >= 0.05""",
+)
+pattern(
+    "optional_outer_filter", ("documents", "labels"),
+    "SELECT ?d ?q ?t WHERE { ?d ex:quality ?q . OPTIONAL { ?d ex:toxic ?t . FILTER(?t < ?q) } }",
+    """select '@doc/' || doc_id as d, cast(quality as varchar) as q, case when toxic < quality then cast(toxic as varchar) end as t from (select distinct doc_id, quality, toxic from labels) where quality is not null""",
+)
+pattern(
+    "optional_shared_variable", ("customer", "supplier", "nation"),
+    """SELECT DISTINCT ?x ?name WHERE { ?x ex:locatedIn ?n . OPTIONAL { ?x ex:segment ?seg . ?x rdfs:label ?name } OPTIONAL { ?n rdfs:label ?name . FILTER(STRSTARTS(?name, "NATION_1") || STRSTARTS(?name, "A")) } }""",
+    """select '@customer/' || c_custkey as x, c_name as name from customer
+       union select '@supplier/' || s_suppkey, case when n_name like 'NATION_1%' or n_name like 'A%' then n_name end from supplier join nation on s_nationkey = n_nationkey""",
+)
+pattern(
+    "extremes_of_text", ("customer", "orders"),
+    "SELECT ?segment (MIN(?name) AS ?first) (MAX(?name) AS ?last) (MAX(?day) AS ?latest) WHERE { ?c ex:segment ?segment ; rdfs:label ?name . ?o ex:placedBy ?c ; ex:orderDate ?day } GROUP BY ?segment",
+    """select c_mktsegment as segment, min(c_name) as first, max(c_name) as last, strftime(max(o_orderdate), '%Y-%m-%d') as latest from customer join orders on o_custkey = c_custkey group by 1""",
+)
+pattern(
+    "patterns_out_of_order", ("orders", "customer", "nation"),
+    """SELECT DISTINCT ?name ?status WHERE { ?n rdfs:label ?name . ?o ex:status ?status . ?c ex:locatedIn ?n . ?o ex:placedBy ?c }""",
+    "select distinct n_name as name, o_orderstatus as status from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
+)
+pattern(
+    "construct_typed_literal", ("orders",),
+    'CONSTRUCT { ?o ex:day ?typed } WHERE { ?o ex:orderDate ?d ; ex:status "P" . BIND(STRDT(STR(?d), <http://www.w3.org/2001/XMLSchema#date>) AS ?typed) }',
+    """select '@order/' || o_orderkey as s, 'iri' as s_kind, '@day' as p, strftime(o_orderdate, '%Y-%m-%d') as o, 'literal' as o_kind, 'http://www.w3.org/2001/XMLSchema#date' as o_dt, cast(null as varchar) as o_lang from orders where o_orderstatus = 'P'""",
+)
+pattern(
+    "path_from_bound", ("customer", "nation", "region"),
+    'SELECT DISTINCT ?segment ?up WHERE { ?c ex:segment ?segment ; ex:locatedIn ?n . ?n ex:partOf+ ?up }',
+    """select distinct c_mktsegment as segment, unnest(['@region/' || n_regionkey, '@world']) as up from customer join nation on c_nationkey = n_nationkey""",
+)

@@ -16,10 +16,10 @@ def test_every_line_is_an_edge(spark, tmp_path):
             comp[a] = comp[b] = min(comp[a], comp[b])
     size = Counter(comp.values())
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.node: r.degree for r in run("node_degrees_whole")} == degree
-    assert {r.node: r.component for r in run("graph_components_whole")} == comp
-    assert {r.component: r["size"] for r in run("component_sizes_whole")} == size
-    (r,) = run("connectivity_summary_whole")
+    assert {r.node: r.degree for r in run("node_degrees")} == degree
+    assert {r.node: r.component for r in run("graph_components")} == comp
+    assert {r.component: r["size"] for r in run("component_sizes")} == size
+    (r,) = run("connectivity_summary")
     n = len(degree)
     assert (r.nodes, r.edges, r.max_degree, r.median_degree, r.components) == (n, len(edges), max(degree.values()), sorted(degree.values())[n // 2], len(size))
     assert (r.avg_degree, r.density, r.clustering, r.largest_share) == (round(2 * len(edges) / n, 4), round(len(edges) / (n * (n - 1)), 6), 0.0, round(max(size.values()) / n, 4))
