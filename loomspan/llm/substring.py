@@ -36,6 +36,9 @@ from loomspan.llm.textops import BASE, UNBASE, lean, mixed, powers, prefix_hash,
 from loomspan.session import written
 
 LENGTH = 100
+#: A second odd multiplier and its inverse modulo 2**64.
+OTHER = 0xD1342543DE82EF95
+UNOTHER = pow(OTHER, -1, 1 << 64)
 GRAM = 50
 
 
@@ -47,6 +50,18 @@ def window_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
     return mixed((prefix[size:] - prefix[:n]) * powers(UNBASE, len(prefix))[:n])
 
 
+def _strings(data: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """Hashes of the strings of size bytes that start at the places; with a salt 40 bits of a hash that shares nothing with the first but the bytes."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    if not salt:
+        return window_hashes(prefix_hash(data), size)[at]
+    other = mixed(data.astype(np.uint64) + np.uint64(0x51ED270B))  # each byte is another random number
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(other * powers(OTHER, len(data)), out=sums[1:])
+    return mixed((sums[at + size] - sums[at]) * powers(UNOTHER, len(sums))[at]) >> np.uint64(24)
+
+
 def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     """For each run of width values the index of its leftmost smallest one."""
     n = len(values) - width + 1
@@ -177,15 +192,16 @@ def _settle_phrases(buckets: int, length: int):
         entry = first[code == 2]
         many = p["hi"][entry] - p["lo"][entry] + 1
         at_string = np.repeat(p["lo"][entry] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        strings = window_hashes(prefix_hash(np.frombuffer(raw, np.uint8)), length)[at_string] if len(at_string) else np.zeros(0, np.uint64)
+        data = np.frombuffer(raw, np.uint8)
+        strings, seconds = (_strings(data, at_string, length, salt) for salt in (0, 1))
         owner = docs[np.repeat(p["i"][entry], many)]
-        order, lead = _firsts([strings], owner, at_string)
+        order, lead = _firsts([strings, seconds], owner, at_string)
         again = at_string[order[~lead]]
         order = order[lead]
-        by, bounds = by_bucket(strings[order], buckets)
+        by, bounds = by_bucket(strings[order], buckets, seconds[order])
         order = order[by]
         cols = {"batch": r["batch"], "start": packed(np.concatenate([start, again]).astype(np.uint32)), "n": packed(np.concatenate([n, np.ones(len(again), np.int64)]).astype(np.uint32))}
-        cols |= {"string": packed(strings[order]), "doc": packed(owner[order]), "place": packed(at_string[order].astype(np.uint32)), "bounds": packed(bounds.astype(np.int64))}
+        cols |= {"string": packed(strings[order]), "second": packed(seconds[order]), "doc": packed(owner[order]), "place": packed(at_string[order].astype(np.uint32)), "bounds": packed(bounds.astype(np.int64))}
         return pa.table({k: pa.array([v], pa.int64() if k == "batch" else pa.binary()) for k, v in cols.items()})
 
     return work
@@ -195,9 +211,8 @@ def _ask_strings(buckets: int):
     @lean
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for number, string, doc, bounds in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                string = unpacked(string, np.uint64)
-                yield _request(number, [string, np.zeros(len(string), np.uint64), unpacked(doc, np.int64)], unpacked(bounds, np.int64), buckets)
+            for number, string, second, doc, bounds in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                yield _request(number, [unpacked(string, np.uint64), unpacked(second, np.uint64), unpacked(doc, np.int64)], unpacked(bounds, np.int64), buckets)
 
     return work
 
@@ -237,21 +252,24 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", b
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans): what stays of every whole text, spans as [start, end) bytes removed.
 
     Corpus order is by integer key, a null key first; rows of one key are
-    ordered as they are read, so of wholly equal rows one stays. A null text is
-    empty; extra columns are ignored; an empty table gives an empty result.
-    Strings are compared by 64-bit hashes, phrases by 104 bits.
+    ordered as they are read, so of wholly equal rows one stays. Keys of
+    another type raise ValueError. A null text is empty; extra columns are
+    ignored; an empty table gives an empty result. Phrases and strings are
+    compared by 104 bits of hash.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} is of type {kind}: the corpus order needs whole numbers")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     held = written(_batches(rows, kind, batch_bytes), "substring-batches")
     request, answer = "bucket int, batch long, a binary, b binary, c binary", "batch long, bucket int, code binary"
     told = held.mapInArrow(_ask_phrases(buckets, LENGTH), request).groupBy("bucket").applyInArrow(_answer, answer)
     settle = _settle_phrases(buckets, LENGTH)
-    opened = held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: settle(a, b), "batch long, start binary, n binary, string binary, doc binary, place binary, bounds binary")
+    opened = held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: settle(a, b), "batch long, start binary, n binary, string binary, second binary, doc binary, place binary, bounds binary")
     opened = written(opened, "substring-phrases")
-    told = opened.select("batch", "string", "doc", "bounds").mapInArrow(_ask_strings(buckets), request).groupBy("bucket").applyInArrow(_answer, answer)
+    told = opened.select("batch", "string", "second", "doc", "bounds").mapInArrow(_ask_strings(buckets), request).groupBy("bucket").applyInArrow(_answer, answer)
     marks = opened.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_settle_strings, "batch long, start binary, n binary")
     keep, schema = _kept(kind, LENGTH)
     out = held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda a, b: keep(a, b), schema)
