@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,16 +29,32 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, the one place all executors share.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Where the session names none a local master (tests, a laptop) gets a
+    temporary folder, which goes with the process; any other master raises, as
+    its executors share no local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        got = spark.sparkContext.getCheckpointDir()
-        if got is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspan-"))
-            got = spark.sparkContext.getCheckpointDir()
-        base = got
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + folder)
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_MADE: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under the shared folder. Results that were not saved elsewhere are gone then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        h = jvm.org.apache.hadoop.fs.Path(path)
+        h.getFileSystem(conf).delete(h, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
