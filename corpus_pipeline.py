@@ -22,7 +22,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned rules keep, each row by its own text: with a null doc_id too, and whatever becomes of others of its doc_id."""
+    """Documents that the base test and the learned rules keep, each row by its own text.
+
+    A row with a null doc_id is judged like any other, and rows of one doc_id
+    each by their own text; equal rows go or stay together. Null, empty and
+    blank texts fail the base test. Without usable labels the base test stands
+    alone; an empty table gives an empty one. Other columns than those of
+    documents go.
+    """
     hashed = docs.withColumn("text_hash", text_hash(F.col("text")))
     verdict = quality_rules(hashed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text_hash",))
     good = written(verdict.where("kept").select("doc_id", "text_hash").distinct(), "pipeline-good")
@@ -31,25 +38,30 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more of their five-word shingles the document with the smallest doc_id; a document without one stays."""
+    """Of each group of texts linked by a similarity of 0.8 or more of their five-word shingles the document with the smallest doc_id.
+
+    A document without a doc_id stays, and so do rows that repeat both doc_id and
+    text of one that stays: they are one document. Texts without a word are
+    copies of each other; an empty table gives an empty one.
+    """
     goes = near_copies(docs).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
     return docs.withColumn("text_hash", text_hash(F.col("text"))).join(written(goes, "pipeline-goes"), ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts stay, as do rows with a null doc_id that hold none; without a benchmark all stay."""
     checked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return checked.where("not contaminated").select(*COLUMNS)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced; n_chars follows the new text."""
+    """Personal data replaced; n_chars follows the new text, null for a null text. No row goes or is added."""
     clean = anonymize(docs, "a key of the deployment")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids, n_chars, text_crc32) of what is left."""
+    """(doc_id, n_pieces, ids, n_chars, text_crc32) of what is left, a row for each; null and empty texts have no pieces."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
