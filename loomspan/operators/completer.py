@@ -107,6 +107,12 @@ def retrieved(rows: DataFrame, articles: DataFrame, annexes: DataFrame, most: in
 CONTEXT = {"control_pairs": 2000, "fines": 3000, "deadlines": 2500}
 
 
+def examples(g: DataFrame, cls: str, ns: str, n: int = 5) -> DataFrame:
+    """(s, text): the first n instances of a class by name, in words, for a prompt to follow."""
+    picked = g.where((F.col("p") == TYPE) & (F.col("o") == cls)).select("s").distinct().orderBy("s").limit(n)
+    return described(g, picked, ns)
+
+
 def new_components(answers: DataFrame, g: DataFrame, ns: str, field: str, cls: str, parent: str, reference: str, once: bool = True) -> DataFrame:
     """Triples of components that an answer lists under ``field``: named, not there yet, and the first of its name if ``once``."""
     rows = parsed(answers, f"{field} array<struct<uri_suffix:string,paragraph:string,section:string,summary:string>>").select(F.posexplode(f"j.{field}").alias("pos", "i")).select("pos", "i.*")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import tracemalloc
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.graphs import clustering, component_sizes, degrees
@@ -84,12 +88,15 @@ def connectivity(e: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    deg = degrees(e)
+    from loomspan.session import written
+
+    e = written(e.distinct(), "connectivity-edges")  # five measures read it
+    deg = written(degrees(e), "connectivity-degrees")
     hist = deg.groupBy("degree").agg(F.count("*").alias("n"))
     run = hist.withColumn("upto", F.sum("n").over(Window.orderBy("degree")))  # a row for each distinct degree
     total = deg.agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 4).alias("avg_degree"), F.max("degree").alias("max_degree"))
     median = run.crossJoin(total.select("nodes")).where("upto > floor(nodes / 2)").agg(F.min("degree").alias("median_degree"))
-    count = e.distinct().agg(F.count("*").alias("edges"))
+    count = e.agg(F.count("*").alias("edges"))
     mean = clustering(e).agg(F.avg("coefficient").alias("c"), F.count("*").alias("k"))
     size = component_sizes(e).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
     out = total.crossJoin(count).crossJoin(median).crossJoin(mean).crossJoin(size)
@@ -131,6 +138,18 @@ def seeded_sample(g: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     return g.orderBy(F.xxhash64("s", "p", "o", F.lit(seed)), "s", "p", "o").limit(n)
 
 
+def profiled(spark: SparkSession, stages: list[tuple[str, Callable[[], object]]]) -> DataFrame:
+    """(stage, seconds, peak_mb) of callables run one after the other; the peak is of the driver's Python memory."""
+    rows = []
+    for name, run in stages:
+        tracemalloc.start()
+        began = time.perf_counter()
+        run()
+        rows.append((name, time.perf_counter() - began, tracemalloc.get_traced_memory()[1] / 2**20))
+        tracemalloc.stop()
+    return spark.createDataFrame(rows, "stage string, seconds double, peak_mb double")
+
+
 def stage_totals(stages: DataFrame) -> DataFrame:
     """Sum of seconds and largest memory over profiled stages."""
     return stages.agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.max("peak_mb").alias("peak_mb"))

@@ -261,6 +261,6 @@ def write_turtle(g: DataFrame, path: str, prefixes: dict[str, str] | None = None
             if first and b.num_rows and head:
                 yield pa.record_batch([pa.array([head])], names=["value"])
                 first = False
-            yield b
+            yield pa.record_batch([b.column(0)], names=["value"])  # one schema, whatever the column's nullability
 
     blocks.mapInArrow(with_head, "value string").write.mode("overwrite").text(path)
