@@ -85,17 +85,21 @@ def undirected(e: DataFrame) -> DataFrame:
 def clustering(e: DataFrame) -> DataFrame:
     """(node, k, links, coefficient) over neighbours in either direction; self-loops left out.
 
-    Triangles are counted from the edge whose ends have the smaller degrees,
-    so a hub's neighbours never pair with each other.
+    Edges point from the smaller degree to the larger, so no node points to more
+    than the square root of twice the edges, and a hub's neighbours never pair
+    with each other. Each edge's ends compare the nodes that they point to: what
+    they share closes a triangle with the edge.
     """
     u = undirected(e)
     deg = u.groupBy("src").agg(F.count("*").alias("k"))
     ranked = u.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("k").alias("kd")), "dst")
     up = ranked.where("k < kd or (k = kd and src < dst)").select("src", "dst")
-    wedge = up.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(up.select(F.col("src").alias("a"), F.col("dst").alias("c")), "a").where("b < c")
-    close = u.where("src < dst").select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    tri = wedge.join(close, ["b", "c"])
-    per = tri.select(F.explode(F.array("a", "b", "c")).alias("src")).groupBy("src").agg(F.count("*").alias("links"))
+    to = up.groupBy("src").agg(F.collect_list("dst").alias("to"))
+    both = up.join(to, "src").join(to.select(F.col("src").alias("dst"), F.col("to").alias("too")), "dst")
+    one = lambda c, n: F.struct(c.alias("src"), n.cast("long").alias("n"))
+    counts = lambda x: F.concat(F.array(one(F.col("src"), F.size(x)), one(F.col("dst"), F.size(x))), F.transform(x, lambda v: one(v, F.lit(1))))
+    each = both.select(F.explode_outer(F.get(F.transform(F.array(F.array_intersect("to", "too")), counts), F.lit(0))).alias("t"))
+    per = each.groupBy(F.col("t.src").alias("src")).agg(F.sum("t.n").alias("links")).where("links > 0")
     out = deg.join(per, "src", "left").select(F.col("src").alias("node"), "k", F.coalesce("links", F.lit(0)).alias("links"))
     return out.withColumn("coefficient", F.when(F.col("k") < 2, F.lit(0.0)).otherwise(2.0 * F.col("links") / (F.col("k") * (F.col("k") - 1))))
 
