@@ -51,7 +51,7 @@ def window_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
 
 
 def _strings(data: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """Hashes of the strings of size bytes that start at the places; with a salt 40 bits of a hash that shares nothing with the first but the bytes."""
+    """Hashes of the strings of size bytes that start at the places; with a salt 32 bits of a hash that shares nothing with the first but the bytes."""
     if not len(at):
         return np.zeros(0, np.uint64)
     if not salt:
@@ -59,7 +59,7 @@ def _strings(data: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarr
     other = mixed(data.astype(np.uint64) + np.uint64(0x51ED270B))  # each byte is another random number
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(other * powers(OTHER, len(data)), out=sums[1:])
-    return mixed((sums[at + size] - sums[at]) * powers(UNOTHER, len(sums))[at]) >> np.uint64(24)
+    return mixed((sums[at + size] - sums[at]) * powers(UNOTHER, len(sums))[at]) >> np.uint64(32)
 
 
 def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -254,8 +254,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", b
     Corpus order is by integer key, a null key first; rows of one key are
     ordered as they are read, so of wholly equal rows one stays. Keys of
     another type raise ValueError. A null text is empty; extra columns are
-    ignored; an empty table gives an empty result. Phrases and strings are
-    compared by 104 bits of hash.
+    ignored; an empty table gives an empty result. Phrases are compared by 104
+    bits of hash, strings by 96.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
