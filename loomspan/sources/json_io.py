@@ -50,7 +50,7 @@ def slots(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(column).alias("slot", "item"))
 
 
-def metadata_triples(meta: DataFrame, ns: str, root: str, title: str) -> DataFrame:
+def metadata_triples(meta: DataFrame, ns: str, root: str, title: str | None = None) -> DataFrame:
     """The graph of metadata records about one law: one branch for each array instead of their product.
 
     A record without celex or cellar_uri gives nothing. Dates need a date,
@@ -62,7 +62,7 @@ def metadata_triples(meta: DataFrame, ns: str, root: str, title: str) -> DataFra
     law = F.lit(ns + root)
     out = [
         construct(
-            ok, term_struct(law, TYPE, F.lit(OWL + "NamedIndividual"), "iri"), term_struct(law, TYPE, F.lit(ns + "AIActRegulation"), "iri"), term_struct(law, LABEL, F.lit(title), lang="en"),
+            ok, term_struct(law, TYPE, F.lit(OWL + "NamedIndividual"), "iri"), term_struct(law, TYPE, F.lit(ns + "AIActRegulation"), "iri"), term_struct(law, LABEL, F.lit(title or root), lang="en"),
             term_struct(law, ns + "hasCELEXNumber", F.col("regulation.celex")), term_struct(law, ns + "hasCellarURI", F.col("regulation.cellar_uri")),
         )
     ]
