@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomspan.llm.chat import OP4_SQL, op4_chat_format
 from loomspan.llm.decontaminate import op7_decontaminate
 from loomspan.llm.lm import op9_lm_score
+from loomspan.llm.periodic import op11_periodic_runs
 from loomspan.llm.pii import op3_pii_surrogates
 from loomspan.llm.quality import op8_quality_rules
 from loomspan.llm.sentencepiece_scan import op5_sentencepiece
@@ -13,5 +14,9 @@ from loomspan.llm.substring import op10_substring_dedup
 from loomspan.llm.token_file import op2_token_file
 from loomspan.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_file, op3_pii_surrogates, op4_chat_format, op5_sentencepiece, op6_simhash, op7_decontaminate, op8_quality_rules, op9_lm_score, op10_substring_dedup)}
+_ALL = (
+    op1_toxicity, op2_token_file, op3_pii_surrogates, op4_chat_format, op5_sentencepiece, op6_simhash, op7_decontaminate, op8_quality_rules, op9_lm_score,
+    op10_substring_dedup, op11_periodic_runs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op4_chat_format": OP4_SQL}
