@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,6 +25,8 @@ def duck():
 
 def plain(df):
     def cell(x):
+        if isinstance(x, (list, tuple, np.ndarray)):
+            return "[" + ", ".join(map(cell, x)) + "]"
         if pd.isna(x):
             return "~"
         if type(x).__name__ in ("float", "float64", "Decimal"):

@@ -49,9 +49,11 @@ def test_unbound_sort_key_and_hidden_key(g):
     assert got == [E + "K", E + "L", E + "M"]
 
 
-def test_join_on_unbound_is_refused(g):
-    with pytest.raises(SparqlError):
-        sparql(g, P + "SELECT ?x WHERE { ?x a ?k OPTIONAL { ?x rdfs:label ?l } ?y :n ?l }")
+def test_join_on_unbound_follows_the_rules(g):
+    """An unbound variable joins with every value of the later pattern; a bound one only with its own."""
+    got = rows(sparql(g, P + "SELECT ?x ?y ?l WHERE { ?x a ?k OPTIONAL { ?x rdfs:label ?l } ?y :n ?l }"))
+    numbers = [(E + "a", "0.05"), (E + "b", "x"), (E + "c", "0.5")]
+    assert got == sorted((x, y, n) for x in (E + "b", E + "c") for y, n in numbers)
 
 
 def test_construct_skips_unbound_and_merges(g):
