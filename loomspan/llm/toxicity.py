@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.textops import count_in, lean, lowered, prefix_hash, runs, slices, stretch_hash
+from loomspan.llm.textops import count_in, lean, lowered, mixed, prefix_hash, runs, slices, stretch_hash
 
 BITS = 18
 BREAK = np.zeros(256, dtype=bool)
@@ -51,11 +51,12 @@ class Model:
         return np.maximum(0.0, (_sigmoid(FLOOR + z) - low) / (1 - low))
 
 
-def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = 160, rate: float = 0.15, sparse: float = 2e-4, least_docs: int = 5) -> Model:
+def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, often: np.ndarray | None = None, steps: int = 160, rate: float = 0.15, sparse: float = 2e-4, least_docs: int = 5) -> Model:
     """Weights and leak by Adam on the documents' log loss, with a soft threshold that keeps idle words at 0.
 
     word and sentence: the buckets in each sentence, each once, and their
-    sentences; doc: each sentence's document. Buckets in fewer than least_docs documents get no weight.
+    sentences; doc: each sentence's document; often: how many equal sentences
+    the document has (1 if not given). Buckets in fewer than least_docs documents get no weight.
     """
     n, size = len(label), 1 << BITS
     if not n or not label.any():
@@ -73,6 +74,7 @@ def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nda
     # a sentence without such words is no evidence
     used, sentence = np.unique(sentence, return_inverse=True)
     doc = doc[used]
+    often = np.ones(len(used)) if often is None else often[used].astype(np.float64)
     y = label.astype(bool)
     w, leak = np.zeros(len(names)), np.log(y.mean() / (1 - y.mean()) / 2)
     m, v, ml, vl = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -81,12 +83,12 @@ def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nda
         s = _sigmoid(FLOOR + np.bincount(sentence, w[word], minlength=len(used)))
         p = np.clip((s - low) / (1 - low), 0, 1 - 1e-9)
         q = _sigmoid(np.array(leak))
-        none = np.log1p(-q) + np.bincount(doc, np.log1p(-p), minlength=n)
+        none = np.log1p(-q) + np.bincount(doc, often * np.log1p(-p), minlength=n)
         some = np.clip(-np.expm1(none), 1e-9, 1)
         # d loss / d none: 1 share each for clean documents, minus the odds for toxic ones
         pull = np.where(y, (1 - some) / some, -1.0)
         slope = np.where(s >= low, s * (1 - s) / (1 - low), 0.0) / (1 - p)
-        g = np.bincount(word, (-pull[doc] * slope)[sentence], minlength=len(names)) / n
+        g = np.bincount(word, (-pull[doc] * often * slope)[sentence], minlength=len(names)) / n
         gl = float((-pull * q).sum() / n)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         ml, vl = 0.9 * ml + 0.1 * gl, 0.999 * vl + 0.001 * gl * gl
@@ -100,16 +102,31 @@ def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nda
     return Model(out, float(_sigmoid(np.array(leak))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str = "text", key: str = "doc_id", max_words: int = 4_000) -> Model:
-    """A model from at most max_labelled labelled documents, those of the smallest hashed key (a bounded sample for the fit alone).
+def distinct_sentences(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence of each word, words, how often each sentence occurs) of a document's words by sentence, equal sentences as one."""
+    if not len(owner):
+        return owner, bucket, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    size = np.diff(np.append(first, len(owner)))
+    names = mixed(np.add.reduceat(mixed(bucket.astype(np.uint64) + np.uint64(1)), first) + size.astype(np.uint64))
+    _, lead, often = np.unique(names, return_index=True, return_counts=True)
+    keep = np.zeros(len(first), bool)
+    keep[lead] = True
+    count = np.zeros(len(first), np.int64)
+    count[lead] = often
+    stays = np.repeat(keep, size)
+    return np.repeat(np.cumsum(keep) - 1, size)[stays], bucket[stays], count[keep]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str = "text", key: str = "doc_id") -> Model:
+    """A model from at most max_labelled labelled documents, those of the smallest hashed key (a bounded sample for the fit alone), each with its whole text.
 
     The sample's ids are the only broadcast. What reaches the driver is two
-    numbers for each word of a sentence, of at most max_words words of a
-    document, those of its first sentences: max_labelled * max_words bounds it
-    (the fit alone; scores take whole texts). A key or label that is null does
-    not count; of repeated labels the largest does, of repeated documents the
-    text with the smallest hash; null and empty texts are documents without a
-    sentence; of equally hashed keys the smaller comes first.
+    numbers for each distinct word of each distinct sentence of the sample's
+    texts. A key or label that is null does not count; of repeated labels the
+    largest does, of repeated documents the text with the smallest hash; null
+    and empty texts are documents without a sentence; of equally hashed keys the
+    smaller comes first.
     """
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -117,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str
     @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             for i, j, data, at in slices(b.column(1)):
                 low = lowered(data)
                 starts, _, bucket, owner = sentences(low, at)
@@ -126,26 +143,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, text: str
                 owner, bucket = flat >> BITS, flat & ((1 << BITS) - 1)
                 words = np.searchsorted(owner, first)
                 for k in range(j - i):
-                    own = slice(words[k], min(words[k + 1], words[k] + max_words))
-                    rows[0].append(b.column(2)[i + k].as_py())
-                    rows[1].append(bucket[own].astype("<i4").tobytes())
-                    rows[2].append((owner[own] - first[k]).astype("<i4").tobytes())
-            yield pa.record_batch([b.column(0), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["key", "y", "words", "owner"])
+                    own = slice(words[k], words[k + 1])
+                    made = distinct_sentences(owner[own], bucket[own])
+                    for to, x in zip(rows, (b.column(2)[i + k].as_py(), *[m.astype("<i4").tobytes() for m in made]), strict=True):
+                        to.append(x)
+            yield pa.record_batch([b.column(0), pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["key", "y", "owner", "words", "often"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.join(F.broadcast(picked), rows.key == picked.doc_id).groupBy("key").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").cast("int").alias("y"))
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(batches, f"key {kind}, y int, words binary, owner binary").toPandas().sort_values("key", kind="stable")
-    words, owner, doc, base = [], [], [], 0
-    for k, (w, o) in enumerate(zip(got["words"], got["owner"], strict=True)):
-        w, o = np.frombuffer(w, "<i4"), np.frombuffer(o, "<i4")
-        n = int(o.max()) + 1 if len(o) else 0
+    got = rows.mapInArrow(batches, f"key {kind}, y int, owner binary, words binary, often binary").toPandas().sort_values("key", kind="stable")
+    words, owner, doc, often, base = [], [], [], [], 0
+    for k, parts in enumerate(zip(got["owner"], got["words"], got["often"], strict=True)):
+        o, w, n = (np.frombuffer(x, "<i4") for x in parts)
         words.append(w)
         owner.append(o + np.int32(base))
-        doc.append(np.full(n, k, np.int32))
-        base += n
-    join = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
-    return train(join(words, np.int32), join(owner, np.int32), join(doc, np.int32), got["y"].to_numpy() > 0)
+        often.append(n)
+        doc.append(np.full(len(n), k, np.int32))
+        base += len(n)
+    join = lambda x: np.concatenate(x).astype(np.int32, copy=False) if x else np.zeros(0, np.int32)
+    return train(join(words), join(owner), join(doc), got["y"].to_numpy() > 0, join(often))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", offend: float = 0.5) -> DataFrame:
