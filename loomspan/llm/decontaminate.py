@@ -138,18 +138,22 @@ def _row(key: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("")), F.lit("\0"), F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 25, share: float = 0.8, most_seeds: int = 1_000_000, least_words: int = 4) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 25, share: float = 0.8, most_seeds: int = 1_000_000, least_words: int = 2, block: int = 256) -> DataFrame:
     """(row, items): documents that hold benchmark items, by a digest of key and text, with the sorted ids of the items.
 
     The benchmark's seeds are broadcast while they are at most most_seeds, by
     count; beyond that the two sides are shuffled by seed, where a seed that many
-    documents share is split by the adaptive skew join. Items of fewer than
-    least_words words (2 at least) name nothing, as ordinary text holds them.
-    Other windows and shares than the defaults may leave alignments without a
-    hit. Null texts are empty and hold nothing; equal rows count once; benchmark
-    rows that repeat count once, those without an id or words not at all; an
-    empty table on either side gives an empty result.
+    documents share is split by the adaptive skew join. The hits of a text are
+    compared in blocks of about ``block``, so that a text with any number of
+    them takes a bounded row. Items of one word name nothing, nor do those of
+    fewer than least_words. The masks are complete for a window of 25 words or
+    more and a share of 0.8 or more; others raise ValueError. Null texts are
+    empty and hold nothing; equal rows count once; benchmark rows that repeat
+    count once, those without an id or words not at all; an empty table on
+    either side gives an empty result.
     """
+    if window < 25 or not 0.8 <= share <= 1:
+        raise ValueError("the masks find all leaks of a window of at least 25 words and a share of at least 0.8")
     held = docs.select(_row(F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     items = benchmark.select("item_id", words(F.col("text").cast("string")).alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") >= max(least_words, 2))).distinct()
     items = written(items.withColumn("item", F.md5(F.concat_ws("\0", F.col("item_id").cast("string"), F.array_join("words", " ")))), "decontaminate-items")
@@ -161,10 +165,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     mine = text_seeds(held.select("row", words(F.col("text")).alias("words")), masks, _pairs(items))
     hits = mine.join(wanted, "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = written(hits.distinct(), "decontaminate-hits")
-    # the hits of a text are one row, so that it is read and split once
-    near = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("hits"))
-    rows = written(hits.select("row").distinct(), "decontaminate-rows")  # small as a rule, and then broadcast by its size
-    texts = held.join(rows, "row", "left_semi").dropDuplicates(["row"])
+    # the hits of a text are one row, or one for each block of them, so that it is read and split as few times as can be
+    rows = written(hits.groupBy("row").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")), "decontaminate-rows")  # small as a rule, and then broadcast by its size
+    dealt = hits.join(rows, "row").withColumn("block", F.pmod(F.xxhash64("item", "shift"), F.col("blocks")))
+    near = dealt.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").groupBy("row", "block").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("hits"))
+    texts = held.join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"])
     good = lambda w: F.transform(F.filter("hits", lambda h: _leak(w, h["item_words"], h["shift"], window, share)), lambda h: h["item_id"])
     found = texts.join(near, "row").select("row", F.explode_outer(_let(words(F.col("text")), good)).alias("item_id")).where("item_id is not null")
     return found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))

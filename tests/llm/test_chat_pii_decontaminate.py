@@ -103,7 +103,7 @@ def bench(spark):
     return spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int"), items, rows
 
 
-def brute_leaks(items, text, window=25, share=0.8, least=4):
+def brute_leaks(items, text, window=25, share=0.8, least=2):
     """Every alignment of every item is compared, without seeds."""
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     d, out = words(text), set()
