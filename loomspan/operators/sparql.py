@@ -378,11 +378,12 @@ def _variables(kind: str, rest: list) -> set[str]:
 
 @dataclass
 class Solutions:
-    """Rows with one column a variable; ``sure`` are the variables that are bound in every row."""
+    """Rows with one column a variable; ``sure`` are the variables that are bound in every row, ``raw`` those that an engine holds in a form of its own."""
 
     df: DataFrame | None
     names: list[str]
     sure: set[str]
+    raw: set[str] = field(default_factory=set)
 
 
 def closure(edges: DataFrame, start: DataFrame, zero: bool) -> DataFrame:
@@ -435,27 +436,41 @@ class Engine:
                     cols[term[1]] = col
         return Solutions(df.select(*[c.alias(n) for n, c in cols.items()], *([] if cols else [F.lit(1).alias("_one")])), list(cols), set(cols))
 
+    def edges(self, p: tuple) -> DataFrame:
+        """(a, b): subjects and objects of a predicate, without literals."""
+        return self.g.where((F.col("p") == p[1]) & (F.col("ok") != "literal")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+
+    def nodes(self) -> DataFrame:
+        """(a): all subjects and objects."""
+        return self.g.select(F.col("s").alias("a")).unionByName(self.g.select(F.col("o").alias("a")))
+
+    def constant(self, t: tuple) -> Column:
+        return _constant(t)
+
+    def terms(self, s: Solutions, names: set[str]) -> Solutions:
+        """The solutions with these variables as terms."""
+        return s
+
     def _path(self, s: tuple, p: tuple, path: str, o: tuple, known: Solutions) -> Solutions:
-        edges = self.g.where((F.col("p") == p[1]) & (F.col("ok") != "literal")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        edges = self.edges(p)
         zero = path == "*"
-        spark = self.g.sparkSession
+        spark = edges.sparkSession
+        back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        turned = lambda pairs: pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
         if o[0] != "var":  # from the constant backwards
-            start = spark.range(1).select(_constant(o).alias("a"))
-            pairs = closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), start, zero).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            pairs = turned(closure(back, spark.range(1).select(self.constant(o).alias("a")), zero))
         elif s[0] != "var":
-            pairs = closure(edges, spark.range(1).select(_constant(s).alias("a")), zero)
+            pairs = closure(edges, spark.range(1).select(self.constant(s).alias("a")), zero)
         elif s[1] in known.sure:  # from what the variable is bound to
             pairs = closure(edges, known.df.select(F.col(s[1]).alias("a")).distinct(), zero)
         elif o[1] in known.sure:
-            back = closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), known.df.select(F.col(o[1]).alias("a")).distinct(), zero)
-            pairs = back.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            pairs = turned(closure(back, known.df.select(F.col(o[1]).alias("a")).distinct(), zero))
         else:
-            nodes = self.g.select(F.col("s").alias("a")).unionByName(self.g.select(F.col("o").alias("a"))) if zero else edges.select("a")
-            pairs = closure(edges, nodes.distinct(), zero)
+            pairs = closure(edges, (self.nodes() if zero else edges.select("a")).distinct(), zero)
         if s[0] != "var":
-            pairs = pairs.where(F.col("a")["v"] == s[1])
+            pairs = pairs.where(F.col("a").eqNullSafe(self.constant(s)))
         if o[0] != "var":
-            pairs = pairs.where(F.col("b")["v"] == o[1])
+            pairs = pairs.where(F.col("b").eqNullSafe(self.constant(o)))
         names = {t[1]: c for t, c in ((s, "a"), (o, "b")) if t[0] == "var"}
         return Solutions(pairs.select(*[F.col(c).alias(n) for n, c in names.items()]), list(names), set(names))
 
@@ -471,25 +486,28 @@ class Engine:
         shared = [n for n in a.names if n in b.names]
         if unsure := [n for n in shared if n not in b.sure]:
             raise SparqlError(f"a join on variables that may be unbound: {unsure}")
+        # a variable is compared in a form that both sides have it in
+        used = set().union(*map(_used, filters))
+        a, b = self.terms(a, used | {n for n in shared if n not in b.raw}), self.terms(b, used | {n for n in shared if n not in a.raw})
         if loose := [n for n in shared if n not in a.sure]:
             n = loose[0]
-            bound = self.join(Solutions(a.df.where(F.col(n).isNotNull()), a.names, a.sure | {n}), b, how, filters)
+            bound = self.join(Solutions(a.df.where(F.col(n).isNotNull()), a.names, a.sure | {n}, a.raw), b, how, filters)
             rest = [x for x in a.names if x != n]
-            free = self.join(Solutions(a.df.where(F.col(n).isNull()).select(*(rest or [F.lit(1).alias("_one")])), rest, set(a.sure)), b, how, filters)
-            return Solutions(bound.df.unionByName(free.df.select(*bound.names)), bound.names, a.sure | b.sure if how == "inner" else set(a.sure))
+            free = self.join(Solutions(a.df.where(F.col(n).isNull()).select(*(rest or [F.lit(1).alias("_one")])), rest, set(a.sure), a.raw - {n}), b, how, filters)
+            return Solutions(bound.df.unionByName(free.df.select(*bound.names)), bound.names, a.sure | b.sure if how == "inner" else set(a.sure), bound.raw)
         names = a.names + [n for n in b.names if n not in shared]
         # plain strings are the keys; what a literal has besides, its datatype and language, is mostly constant and folds away
         right = b.df.select(*[F.col(n).alias(f"_r_{n}" if n in shared else n) for n in b.df.columns])
         cond = []
         for n in shared:
             x, y = F.col(n), F.col(f"_r_{n}")
-            cond += [x["v"] == y["v"], x["k"] == y["k"], x["dt"].eqNullSafe(y["dt"]), x["lang"].eqNullSafe(y["lang"])]
+            cond += [x == y] if n in a.raw else [x["v"] == y["v"], x["k"] == y["k"], x["dt"].eqNullSafe(y["dt"]), x["lang"].eqNullSafe(y["lang"])]
         cond += [evaluate(f, set(names)).truth() for f in filters]
         if not shared and how == "inner":
             df = a.df.crossJoin(right)
         else:
             df = a.df.join(right, reduce(lambda x, y: x & y, cond) if cond else F.lit(True), how)
-        return Solutions(df.select(*(names or ["_one"])), names, a.sure | b.sure if how == "inner" else set(a.sure))
+        return Solutions(df.select(*(names or ["_one"])), names, a.sure | b.sure if how == "inner" else set(a.sure), a.raw | b.raw)
 
     @staticmethod
     def ordered(parts: list, names: set[str]) -> list:
@@ -530,12 +548,15 @@ class Engine:
             elif kind == "union":
                 arms = [self.group(a) for a in rest[0]]
                 names = list(dict.fromkeys(n for a in arms for n in a.names))
+                raw = {n for n in names if all(n in a.raw for a in arms if n in a.names)}
+                arms = [self.terms(a, set(a.names) - raw) for a in arms]
                 rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [a.df.select(*a.names) for a in arms])
-                out = self.join(out, Solutions(rows.select(*names), names, set.intersection(*[a.sure for a in arms])))
+                out = self.join(out, Solutions(rows.select(*names), names, set.intersection(*[a.sure for a in arms]), raw))
             elif kind == "bind":
+                out = self.terms(out, _used(rest[1]))
                 value = evaluate(rest[1], set(out.names)).term()
                 base = out.df if out.df is not None else self.g.sparkSession.range(1)
-                out = Solutions(base.select(*out.names, value.alias(rest[0])), [*out.names, rest[0]], out.sure | ({rest[0]} if rest[1][0] in ("iri", "literal") else set()))
+                out = Solutions(base.select(*out.names, value.alias(rest[0])), [*out.names, rest[0]], out.sure | ({rest[0]} if rest[1][0] in ("iri", "literal") else set()), out.raw)
             else:
                 filters.append(rest[0])
         for f in filters:
@@ -543,13 +564,19 @@ class Engine:
         return out
 
     def _filter(self, s: Solutions, e: tuple) -> Solutions:
-        return Solutions(s.df.where(evaluate(e, set(s.names)).truth()), s.names, s.sure)
+        s = self.terms(s, _used(e))
+        return Solutions(s.df.where(evaluate(e, set(s.names)).truth()), s.names, s.sure, s.raw)
 
     def _aggregated(self, q: Query, s: Solutions) -> Solutions:
+        counts = lambda e: e[0] == "call" and e[1] == "COUNT" and e[2][0][0] == "var"  # noqa: E731  it needs no term
+        s = self.terms(s, set().union(*[_used(e) for n, e in q.select if e != ("var", n) and not counts(e)]))
+
         def agg(e: tuple) -> Column:
             if e[0] == "call" and e[1] in AGGREGATES:
                 if e[2][0] == ("*",):
                     return F.count("*").cast("decimal(38,10)")
+                if counts(e) and e[2][0][1] in s.raw:
+                    return (F.countDistinct(e[2][0][1]) if e[3] else F.count(e[2][0][1])).cast("decimal(38,10)")
                 v = evaluate(e[2][0], set(s.names))
                 if e[1] == "COUNT":
                     return (F.countDistinct(v.term()) if e[3] else F.count(v.term())).cast("decimal(38,10)")
@@ -562,7 +589,7 @@ class Engine:
         df = s.df.groupBy(*q.group).agg(*[agg(e).alias(n) for n, e in made])
         cols = [F.col(n) if (n, ("var", n)) in q.select and n in q.group else None for n in q.group]
         df = df.select(*[c for c in cols if c is not None], *[(F.col(n) if e[1] in ("MIN", "MAX") else F.when(F.col(n).isNotNull(), _struct(_plain(F.col(n)) if e[1] != "COUNT" else F.col(n).cast("long").cast("string"), "literal", XSD + ("integer" if e[1] == "COUNT" else "decimal")))).alias(n) for n, e in made])
-        return Solutions(df, [n for n, _ in q.select], s.sure)
+        return Solutions(df, [n for n, _ in q.select], s.sure, s.raw & set(q.group))
 
     def run(self, text: str, lexical: bool = True) -> DataFrame:
         """Solutions of a SELECT (lexical forms, or whole terms), or the triples of a CONSTRUCT."""
@@ -571,6 +598,7 @@ class Engine:
         if q.form == "construct":
             from loomspan.terms import COLUMNS
 
+            s = self.terms(s, set().union(*[_used(tuple(t)) for t in q.template]))
             value = lambda t: evaluate(t, set(s.names)).col
             made = [F.struct(value(a)["v"].alias("s"), value(a)["k"].alias("s_kind"), value(b)["v"].alias("p"), value(c)["v"].alias("o"), value(c)["k"].alias("o_kind"), value(c)["dt"].alias("o_dt"), value(c)["lang"].alias("o_lang")) for a, b, _, c in q.template]
             each = s.df.select(F.explode(F.array(*made)).alias("t")).select("t.*")
@@ -582,9 +610,12 @@ class Engine:
         else:
             for n, e in q.select:
                 if n not in s.names:
-                    s = Solutions(s.df.withColumn(n, evaluate(e, set(s.names)).term()), [*s.names, n], s.sure)
+                    s = self.terms(s, _used(e))
+                    s = Solutions(s.df.withColumn(n, evaluate(e, set(s.names)).term()), [*s.names, n], s.sure, s.raw)
         shown = [n for n, _ in q.select]
         # a sort key that no pattern binds orders nothing
+        if q.order:
+            s = self.terms(s, set(s.names))
         keys = [(evaluate(e, set(s.names)), down) for e, down in q.order if e[0] != "var" or e[1] in s.names]
         both = [(F.struct(v.number().alias("n"), v.text().alias("t")), down) for v, down in keys]
         named = [(c.alias(f"_k{i}"), f"_k{i}", down) for i, (c, down) in enumerate(both)]
@@ -603,6 +634,7 @@ class Engine:
             df = df.orderBy(*[F.desc(k) if d else F.asc(k) for _, k, d in named])
         if q.limit is not None:
             df = df.limit(q.limit)
+        df = self.terms(Solutions(df.select(*shown), shown, s.sure, s.raw & set(shown)), set(shown)).df  # after DISTINCT and LIMIT there are fewer
         return df.select(*[F.col(n)["v"].alias(n) if lexical else F.col(n) for n in shown])
 
 
