@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.textops import SPACE, exact_words, lean, mixed, runs, slices
@@ -225,15 +225,18 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
 def _stuttered(docs: DataFrame) -> DataFrame:
     """documents with the words of each tenth text, by crc32 of its key, repeated from some word on as the query's contract fixes it."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f(x) with x computed once
+
+    def moved(w: Column) -> Column:
+        n, g = F.greatest(F.size(w), F.lit(1)).cast("long"), F.floor(h / 10)
+        a = F.pmod(g, n)
+        ap = F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).alias("p"))
+        place = lambda i, x: F.when(i >= x["a"], x["a"] + (i - x["a"]) % x["p"]).otherwise(i).cast("int")
+        return let(ap, lambda x: F.array_join(F.transform(w, lambda _, i: F.get(w, place(i, x))), " "))
+
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    held = docs.select("doc_id", "text", h.alias("h"))
-    some = held.where("h % 10 = 0").select("doc_id", "h", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    some = some.select("doc_id", "words", a.cast("int").alias("a"), p.cast("int").alias("p"))
-    moved = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(w))
-    return held.where("h % 10 <> 0").select("doc_id", "text").unionByName(some.select("doc_id", F.array_join(moved, " ").alias("text")))
+    some = (h % 10 == 0) & F.col("text").isNotNull()
+    return docs.select("doc_id", F.when(some, let(words, moved)).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:

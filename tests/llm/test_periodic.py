@@ -67,7 +67,7 @@ def test_empty_and_refused(spark):
 
 
 def test_query(spark, tmp_path):
-    rows = list(enumerate(texts())) + [(k, f"p{k} " + "some words of a text that goes on for a while, and on. " * 6) for k in range(100, 180)]
+    rows = list(enumerate(texts())) + [(k, " \n") for k in range(300, 340)] + [(k, f"p{k} " + "some words of a text that goes on for a while, and on. " * 6) for k in range(100, 180)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     changed = 0
     got = {r.doc_id: r for r in op11_periodic_runs(spark, str(tmp_path)).collect()}
