@@ -228,15 +228,18 @@ def _meetings():
     return both - F.greatest(behind("na"), behind("nb"))
 
 
-def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataFrame | None = None, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 1, large: int = 16) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataFrame | None = None, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 4, large: int = 2) -> DataFrame:
     """(node, component) of the names of sets, linked at a similarity of LEAST or more; a set without a link isn't among them.
 
-    links (a, b), if given, are known links of that similarity. ``stars`` rounds
-    compare the members at each element of more than ``large`` sets with one of
-    them, so a large group of near copies becomes one component in linear work.
-    Then all pairs are compared that can meet often enough and aren't yet connected,
-    so no link between components is missed. The members of an element that
-    more than ``block`` sets share are dealt into blocks of about that size.
+    links (a, b), if given, are known links of that similarity. In ``stars``
+    rounds, or fewer if one finds no link, each set is compared with one other:
+    that which all sets at an element of more than ``large`` compare with,
+    another one each time, at the element where the set meets most others that
+    it isn't connected with. So a large group of near copies becomes one
+    component in linear work. Then all pairs are compared that can meet often
+    enough and aren't yet connected, so no link between components is missed.
+    The members of an element that more than ``block`` sets share are dealt
+    into blocks of about that size.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -246,13 +249,20 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
     side = lambda k: [F.col("name").alias(k), F.col("n").alias("n" + k), F.col("at").alias("i" + k), F.col("c").alias("c" + k)]
     edges = links if links is not None else spark.createDataFrame([], "a long, b long")
     comp = connected_components(edges) if links is not None else spark.createDataFrame([], "node long, component long")
-    for turn in range(stars + 1):
+    turn = 0
+    while turn <= stars:
         now = held.join(comp, held.name == comp.node, "left").select("x", "name", "n", "at", F.coalesce("component", "name").alias("c"))
-        centre = F.min_by(F.struct("name", "n", "at", "c"), F.xxhash64("name", F.lit(turn))).alias("centre")
+        if turn < stars:
+            ends = edges.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
+            now = now.join(ends, "name", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        # the set with the most links first, then by chance with odds of that number
+        chance = F.pow((F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30)), 1 / (F.col("links") + 1.0)) if turn else F.col("links").cast("double")
+        centre = F.max_by(F.struct("name", "n", "at", "c"), F.struct(chance, "name") if turn < stars else F.col("name")).alias("centre")
         live = now.groupBy("x").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high"), centre).where("low < high")
         if turn < stars:
-            left = live.where(F.col("members") > large).select("x", "centre.*").select("x", *side("a"))
+            left = live.where(F.col("members") > large).select("x", "members", "centre.*").select("x", "members", *side("a"))
             pairs = left.join(now.select("x", *side("b")), "x").where(_may_link())
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("members", "x")).alias("a"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             counted = held.groupBy("x").agg(F.count("*").alias("members"))
@@ -266,9 +276,13 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
             enough = F.least("ra", "rb") >= _meetings() - 1
             pairs = left.join(right, ["x", "part"]).where((F.col("a") < F.col("b")) & _may_link() & enough).select("a", "b").distinct()
         pairs = written(pairs, "jaccard-pairs")
-        if not pairs.isEmpty():
-            edges = written(edges.unionByName(checked(pairs, docs, text, words)), "jaccard-links")
+        found = None if pairs.isEmpty() else written(checked(pairs, docs, text, words), "jaccard-found")
+        if found is not None and not found.isEmpty():
+            edges = written(edges.unionByName(found), "jaccard-links")
             comp = connected_components(edges)
+            turn += 1
+        else:
+            turn = max(turn + 1, stars if turn < stars else 0)
     return comp
 
 
