@@ -1,7 +1,8 @@
 """Turtle and N-Triples in and out.
 
-A Turtle file cannot be split, so each is one task; N-Triples are lines and are
-read and written by Spark's text source.
+Small Turtle files are one task each; files larger than a task's share are
+read in splits (see split_turtle). N-Triples are lines and are read and written
+by Spark's text source.
 """
 
 from __future__ import annotations
@@ -33,9 +34,18 @@ def unescape(s: str) -> str:
 
 
 class TurtleParser:
-    """Triples of one text; blank nodes carry the scope's name, so files don't share them."""
+    """Triples of one text; blank nodes carry the scope's name, so files don't share them, and nodes without a label that of their own scope, so parts of a file don't."""
 
-    def __init__(self, text: str, scope: str) -> None:
+    def __init__(self, text: str, scope: str, own: str | None = None) -> None:
+        self.own = own or scope
+        self.n = 0
+        self.prefixes: dict[str, str] = {}
+        self.base = ""
+        self.scope = scope
+        self.read(text)
+
+    def read(self, text: str) -> TurtleParser:
+        """Take another text, with the prefixes as they are."""
         self.toks, at = [], 0
         while at < len(text):
             m = TOKEN.match(text, at)
@@ -44,10 +54,9 @@ class TurtleParser:
             at = m.end()
             if m.lastgroup:
                 self.toks.append((m.lastgroup, m[0]))
-        self.scope, self.i, self.n = scope, 0, 0
-        self.prefixes: dict[str, str] = {}
-        self.base = ""
+        self.i = 0
         self.out: list[tuple] = []
+        return self
 
     def peek(self) -> str:
         return self.toks[self.i][1] if self.i < len(self.toks) else ""
@@ -64,7 +73,7 @@ class TurtleParser:
 
     def fresh(self) -> tuple:
         self.n += 1
-        return (f"_:{self.scope}.g{self.n}", "bnode", None, None)
+        return (f"_:{self.own}.g{self.n}", "bnode", None, None)
 
     def parse(self) -> list[tuple]:
         while self.i < len(self.toks):
@@ -162,27 +171,59 @@ class TurtleParser:
         raise TurtleError(f"unexpected {x!r}")
 
 
-def read_turtle(spark: SparkSession, path: str | list[str], missing_ok: bool = False) -> DataFrame:
-    """The distinct triples of Turtle files; with missing_ok files that are not there count as empty."""
+_SCHEMA = pa.schema([(c, pa.string()) for c in COLUMNS])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], schema=_SCHEMA)
+
+
+def scope_of(path: str) -> str:
+    return re.sub(r"[^A-Za-z0-9]+", "_", path.rsplit("/", 1)[-1])
+
+
+def read_turtle(spark: SparkSession, path: str | list[str], missing_ok: bool = False, split: bool | None = None) -> DataFrame:
+    """The distinct triples of Turtle files; with missing_ok files that are not there count as empty.
+
+    Files are read in splits if one of them is larger than
+    spark.sql.files.maxPartitionBytes, or as ``split`` says.
+    """
     if missing_ok:
         from loomspan.sources.json_io import existing
 
         path = existing(spark, path)
         if not path:
             return spark.createDataFrame([], TRIPLE)
+    if split is None:
+        conf = spark._jsparkSession.sessionState().conf()
+        split = _largest(spark, path) > conf.filesMaxPartitionBytes()
+    if split:
+        from loomspan.sources.split_turtle import read_split
+
+        return read_split(spark, path)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.string()) for c in COLUMNS])
         for b in it:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                scope = re.sub(r"[^A-Za-z0-9]+", "_", name.rsplit("/", 1)[-1])
-                rows = TurtleParser(raw.as_py().decode(), scope).parse()
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], schema=schema)
+                yield _rows(TurtleParser(raw.as_py().decode(), scope_of(name)).parse())
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(work, ", ".join(f"{c} string" for c in COLUMNS)).distinct()
 
 
+def _largest(spark: SparkSession, paths: str | list[str]) -> int:
+    """Bytes of the largest file of some paths or patterns."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    most = 0
+    for p in [paths] if isinstance(paths, str) else paths:
+        h = jvm.org.apache.hadoop.fs.Path(p)
+        fs = h.getFileSystem(conf)
+        for found in fs.globStatus(h) or []:
+            inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            most = max([most, *(f.getLen() for f in inside)])
+    return most
+
+
 def _quoted(x: Column) -> Column:
     out = x
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
