@@ -3,9 +3,11 @@
 Entities are found by one pattern. An entity with a form (an address, a number,
 a secret) is replaced by a keyed permutation of all strings of its form, a
 Feistel network over its two halves: letters stay letters of their case and
-script, digits stay digits, separators stay, a telephone keeps its country
-code, card numbers and IBANs keep their checksums, an address stays a valid
-address. So different entities have different surrogates by construction. A
+script, digits stay digits, a telephone keeps its country code, card numbers
+and IBANs keep their checksums, an address stays a valid address. So different
+entities have different surrogates by construction. An entity is its value and
+not its writing: separators of numbers and the case of addresses are taken off
+before and put back behind, so all writings of one number agree. A
 person's name is made of syllables of its script; each word of a name has one
 surrogate in the whole corpus, whatever the title and the case, and ends as
 the gender does that all titles before it tell.
@@ -37,6 +39,7 @@ KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!-)\d{3}-\d{3}-\d{4}(?![\d-]))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}))(?![\p{L}\p{N}:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])",
@@ -44,11 +47,13 @@ KINDS = {
     "person": rf"(?<!\p{{L}}){_TITLES}(?:(?:\p{{Lu}}\. ?)*{_NAME})(?: (?:\p{{Lu}}\. ?)*{_NAME})?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A word that may be a known name, in texts that name persons.
-BARE = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+(?![\p{L}\p{N}])"
+#: A word that may be a known name, with the initials before it, in texts that name persons.
+BARE = r"(?<![\p{L}\p{N}])(?:\p{Lu}\. ?)*\p{Lu}\p{L}+(?![\p{L}\p{N}])"
 WITH_BARE = f"{PATTERN}|(?:{BARE})"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"\A(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
 #: A text without this has no entity.
-HINT = rf"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb)[-_]|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|::|AKIA|(?:sk|ghp|gho|xoxb)[-_]|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
 #: Fixed syllables of made-up names by script; the last of a given name tells the gender.
 SYLLABLES = {
     "latin": ("ba be da do fe ga ka la le lo ma mi na no pa ra ri sa so ta te ti va ve vi za", "ro lan bert mund rik dor", "ra lina bella mira rika dora"),
@@ -64,6 +69,32 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def canonical(kind: Column, match: Column) -> Column:
+    """An entity's value whatever its writing: numbers without separators, addresses in lower case."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    plus = F.when(match.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(kind == "card", digits).when(kind == "phone", plus).when(kind == "iban", F.regexp_replace(match, " ", "")).when(kind.isin("email", "ipv6"), F.lower(match)).otherwise(match)
+
+
+def _refilled(match: Column, made: Column, pattern: str) -> Column:
+    """The characters of match that fit the pattern, of which made has as many, replaced in order."""
+    gaps = F.split(match, pattern, -1)
+    return F.array_join(F.zip_with(gaps, F.regexp_extract_all(made, F.lit(pattern), F.lit(0)), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+
+
+def written_as(kind: Column, match: Column, made: Column) -> Column:
+    """The surrogate of a canonical value in the writing of a match."""
+    more = F.length(made) - F.length(match)
+    letters = F.regexp_extract_all(made, F.lit("(?s)."), F.lit(0))
+    cased = F.array_join(F.transform(letters, lambda c, i: F.when(F.substr(match, (i + 1 - more).cast("int"), F.lit(1)).rlike(r"\p{Lu}") & (i >= more), F.upper(c)).otherwise(c)), "")
+    return (
+        F.when(kind.isin("card", "phone"), _refilled(match, made, "[0-9]"))
+        .when(kind == "iban", _refilled(match, made, "[A-Za-z0-9]"))
+        .when(kind.isin("email", "ipv6") & (match != F.lower(match)), cased)
+        .otherwise(made)
+    )
+
+
 def _let(x: Column, f) -> Column:
     """f(x) with x computed once."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
@@ -181,7 +212,7 @@ def _made_name(value: Column, gender: Column, attempt: Column, key: Column) -> C
 def surrogate(secret: str, kind: Column, value: Column, attempt: Column, gender: Column, wide: Column) -> Column:
     """The surrogate of one entity of any kind; a name is one lower-case word. wide: letters that an address grows by."""
     key = _key(secret, kind, attempt.cast("string"))
-    code = F.length(F.regexp_extract(value, r"\A(\+\d{1,3}(?=[^\d]))", 1))
+    code = F.length(F.regexp_extract(value, COUNTRY, 1))
     tail = F.regexp_extract(value, r"(\.[A-Za-z]+)\z", 1)
     mail = F.concat(F.repeat(F.lit("a"), wide), F.substr(value, F.lit(1), F.length(value) - F.length(tail)))
     mark = F.regexp_extract(value, r"\A(AKIA|(?:sk|ghp|gho|xoxb)[-_])", 1)
@@ -191,9 +222,10 @@ def surrogate(secret: str, kind: Column, value: Column, attempt: Column, gender:
     every = _letters(*ALPHABETS)
     return (
         F.when(kind == "email", F.concat(permuted(mail, key, every), tail))
-        .when(kind == "phone", F.concat(F.substr(value, F.lit(1), code), permuted(after(code), key, every)))
+        .when(kind == "phone", F.concat(F.substr(value, F.lit(1), code), permuted(after(code), key, _letters(ALPHABETS[0]))))
         .when(kind == "ssn", permuted(value, key, every))
         .when(kind == "ip", _ip(value, key))
+        .when(kind == "ipv6", permuted(value, key, _letters(_HEX[0])))
         .when(kind == "secret", F.concat(mark, permuted(after(F.length(mark)), key, alphabets)))
         .when(kind == "card", _card(value, key))
         .when(kind == "iban", _iban(value, key))
@@ -214,7 +246,7 @@ def entities_of(match: Column) -> Column:
     name = lambda g: lambda w: F.struct(F.lit("name").alias("kind"), F.lower(w).alias("value"), g.alias("gender"))
     person = F.concat(F.transform(words(given), name(gender_of(title))), F.transform(words(F.substr(names, F.length(given) + 1, F.length(names))), name(F.lit("n"))))
     kind = kind_of(match)
-    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), match.alias("value"), F.lit("n").alias("gender"))))
+    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, match).alias("value"), F.lit("n").alias("gender"))))
 
 
 def _entity_key(kind: Column | str, value: Column) -> Column:
@@ -232,7 +264,7 @@ def _entities(mentions: DataFrame) -> DataFrame:
     form = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
     each = written(each.select("kind", "value", "gender", F.when(F.col("kind") != "name", form).alias("form")), "pii-entities")
     # what the surrogate keeps has no room: country codes and check digits, the end of an address, the marks of secrets
-    fixed = F.when(F.col("kind") == "phone", r"\A\+0{1,3}(?=[^0])").when(F.col("kind") == "email", r"\.[aA]+\z").when(F.col("kind") == "card", r"0\z").when(F.col("kind") == "iban", r"\A....").otherwise(r"\AAAAA(?=A)|\A[aA]+[-_]")
+    fixed = F.when(F.col("kind") == "phone", r"\A\+0{1,3}").when(F.col("kind") == "email", r"\.[aA]+\z").when(F.col("kind") == "card", r"0\z").when(F.col("kind") == "iban", r"\A....").otherwise(r"\AAAAA(?=A)|\A[aA]+[-_]")
     free = F.regexp_replace("form", fixed, F.lit(""))
     room = F.regexp_count(free, F.lit("0")) + F.log10(F.lit(26.0)) * F.regexp_count(free, F.lit("[aA]"))
     crowded = each.where("form is not null").groupBy("kind", "form").agg(F.count("*").alias("n")).where(F.log10(F.col("n") * 4) > room).select("kind", "form", F.lit(True).alias("crowded"))
@@ -286,10 +318,10 @@ def _person(secret: str, match: Column, given: Column) -> Column:
 def _new_of(secret: str, match: Column, given: Column) -> Column:
     """What stands in the place of a match: of an entity its surrogate, of a bare word that is a name of this text the name's, else itself."""
     kind = kind_of(match)
-    own = F.try_element_at(given, _entity_key(kind, match))
-    bare = F.try_element_at(given, _entity_key("name", F.lower(match)))
+    own = F.try_element_at(given, _entity_key(kind, canonical(kind, match)))
+    bare = F.try_element_at(given, _entity_key("name", F.lower(F.regexp_replace(match, r"\A(?:\p{Lu}\. ?)+", ""))))
     titled = match.rlike(rf"\A{_TITLES}\p{{Lu}}")
-    return F.coalesce(F.when((kind == "person") & titled, _person(secret, match, given)).when(kind == "person", _recased(match, bare)).otherwise(own), match)
+    return F.coalesce(F.when((kind == "person") & (titled | bare.isNotNull()), _person(secret, match, given)).when(kind != "person", written_as(kind, match, own)), match)
 
 
 def replaced(secret: str, text: Column, given: Column) -> Column:
