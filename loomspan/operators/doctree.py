@@ -36,29 +36,42 @@ def pending_labels(df: DataFrame, unit: list[str], order: str = "pos", text: str
     return marked.where("_m is null").drop("_m")
 
 
+def _labelled(label: Column | str, text: Column | str) -> Column:
+    """A body with the marker that stood before it in front; without one as it is."""
+    label, text = (F.col(c) if isinstance(c, str) else c for c in (label, text))
+    return F.coalesce(F.concat(F.lit("("), label, F.lit(") "), text), text)
+
+
 def article_items(p: DataFrame) -> DataFrame:
-    """Content items of articles from rows (unit, container_id, pos, text): number carried on in a container, labels, reference."""
+    """Content items of articles from rows (unit, container_id, pos, text): number carried on in a container, labels, reference.
+
+    The text keeps its number; a label that stood before it as a marker is put in front.
+    """
     items = pending_labels(p, ["unit"])
     items = items.withColumn("_own", _found(F.col("text"), NUMBERED))
     w = Window.partitionBy("unit", "container_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     number = F.when(F.col("container_id").isNull(), F.col("_own")).otherwise(F.last("_own", ignorenulls=True).over(w))
-    items = items.withColumn("paragraph_number", number)
-    body = F.when(F.col("_own").isNotNull(), F.regexp_extract("text", NUMBERED, 2)).otherwise(F.col("text"))
-    return items.withColumn("text", body).withColumn("reference", article_reference(F.col("unit"), F.col("paragraph_number"), F.col("list_label"))).drop("_own")
+    items = items.withColumn("paragraph_number", number).withColumn("text", _labelled("list_label", "text"))
+    return items.withColumn("reference", article_reference(F.col("unit"), F.col("paragraph_number"), F.col("list_label"))).drop("_own")
 
 
 def annex_items(p: DataFrame) -> DataFrame:
-    """Content items of annexes: a section heading starts a run in which numbers begin anew; labels pass over headings."""
+    """Content items of annexes: a section heading, in any case, starts a run in which numbers begin anew; labels pass over headings.
+
+    A letter in parentheses at a text's start is its label unless a marker stood
+    before it, which is then put in front of the text.
+    """
     order = Window.partitionBy("unit").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = p.withColumn("_m", _found(F.col("text"), MARKER)).withColumn("_s", _found(F.col("text"), r"^Section\s+([A-Z])\b"))
+    marked = p.withColumn("_m", _found(F.col("text"), MARKER)).withColumn("_s", F.upper(_found(F.col("text"), r"(?i)^Section\s+([A-Z])\b")))
     marked = marked.withColumn("_run", F.count("_s").over(upto)).withColumn("section", F.last("_s", ignorenulls=True).over(upto))
-    items = marked.where("_s is null").withColumn("list_label", F.lag("_m").over(order)).where("_m is null")
+    items = marked.where("_s is null").withColumn("_before", F.lag("_m").over(order)).where("_m is null")
     own = F.coalesce(_found(F.col("text"), NUMBERED), F.try_element_at(F.regexp_extract_all("text", F.lit(r"(?:^|\s)(\d+)\.\s+[A-Z]"), 1), F.lit(-1)))
     run = Window.partitionBy("unit", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     items = items.withColumn("_own", own).withColumn("paragraph_number", F.last("_own", ignorenulls=True).over(run))
+    items = items.withColumn("list_label", F.coalesce("_before", _found(F.col("text"), r"^\(([a-z])\)\s+"))).withColumn("text", _labelled("_before", "text"))
     items = items.withColumn("reference", annex_reference(F.col("unit"), F.col("section"), F.col("paragraph_number"), F.col("list_label")))
-    return items.drop("_m", "_s", "_run", "_own")
+    return items.drop("_m", "_s", "_run", "_own", "_before")
 
 
 def titles(p: DataFrame) -> DataFrame:
@@ -73,10 +86,39 @@ def one_per_unit(df: DataFrame, unit: str, kind: str, only: str, order: str) ->
     return df.where(~F.col(kind).eqNullSafe(F.lit(only))).unionByName(first_wins(df.where(F.col(kind) == only), [unit], [order]))
 
 
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def synthetic_annex_items(units: DataFrame) -> DataFrame:
-    """Items of annexes (unit, text) that came as one text: cut before numbers, and lettered parts at semicolons."""
-    cut = F.split(F.regexp_replace("text", r"(?:^|(?<=\s))(?=\d+\.\s)", "\u0001"), "\u0001")
-    rows = units.select("unit", F.posexplode(F.filter(cut, lambda x: F.length(F.trim(x)) > 0)).alias("pos", "part"))
-    rows = rows.withColumn("paragraph_number", _found(F.trim(F.col("part")), r"^(\d+)\.\s+")).withColumn("part", F.regexp_replace(F.trim(F.col("part")), r"^\d+\.\s+", ""))
-    sub = rows.select("unit", "pos", "paragraph_number", F.posexplode(F.split("part", r";\s*(?=\([a-z]\))")).alias("sub", "piece"))
-    return sub.select("unit", F.col("pos").cast("int"), "sub", "paragraph_number", _found(F.col("piece"), r"^\(([a-z])\)\s+").alias("list_label"), F.trim(F.regexp_replace("piece", r"^\([a-z]\)\s+", "")).alias("text"))
+    """Items of annexes (unit, text) that came as one text: (unit, pos, sub, section, paragraph_number, list_label, reference, text).
+
+    An item begins at a number with a stop and space behind it; what stands
+    before the first is none. A section named in an item's text is its section
+    and that of the items behind it, and the item ends there; one named before
+    the first item is that of the first. Lettered parts of an item follow it
+    (sub from 1), each up to its first semicolon. Null and empty texts, and
+    those without a number, have no items.
+    """
+    number, section, letter = r"(?:^|\s)(\d+)\.\s+", r"Section\s+([A-Z])", r"\(([a-z])\)\s+"
+    every = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    body = F.split("text", number, -1)
+    parts = units.select("unit", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), every("text", number)).alias("number"), body.alias("body"))).alias("pos", "x"))
+    parts = parts.select("unit", "pos", F.col("x.number").alias("paragraph_number"), F.col("x.body").alias("body")).withColumn("section", _found(F.col("body"), section))
+    parts = carry_forward(parts, "section", "section", ["unit"], "pos").where("paragraph_number is not null")
+    items = parts.withColumn("head", F.get(F.split("body", section, 2), F.lit(0)))
+    found = F.arrays_zip(every("head", letter).alias("label"), F.slice(F.split("head", letter, -1), 2, 1 << 30).alias("body"))
+    lettered = F.transform(found, lambda x, i: F.struct((i + 1).alias("sub"), x["label"].alias("label"), _labelled(x["label"], _bare(F.get(F.split(x["body"], r";\s*", 2), F.lit(0)))).alias("text")))
+    whole = F.struct(F.lit(0).alias("sub"), F.lit(None).cast("string").alias("label"), F.concat("paragraph_number", F.lit(". "), _bare(F.col("head"))).alias("text"))
+    out = items.select("unit", F.col("pos").cast("int").alias("pos"), "section", "paragraph_number", F.explode(F.concat(F.array(whole), lettered)).alias("x"))
+    reference = annex_reference(F.upper("unit"), F.col("section"), F.col("paragraph_number"), F.col("list_label"))
+    return out.select("unit", "pos", "x.sub", "section", "paragraph_number", F.col("x.label").alias("list_label"), "x.text").withColumn("reference", reference)
+
+
+def with_synthetic(items: DataFrame, annexes: DataFrame) -> DataFrame:
+    """Annex items, and for annexes (unit, text) that have none those cut out of their text, at places pos and then sub."""
+    cols = ["unit", "pos", "section", "paragraph_number", "list_label", "reference", "text"]
+    lacking = annexes.join(items.select("unit").distinct(), "unit", "left_anti")
+    made = synthetic_annex_items(lacking).withColumn("pos", F.col("pos") * 1000 + F.col("sub"))
+    have = items.select(*[c if c in items.columns else F.lit(None).cast("string").alias(c) for c in cols])
+    return have.unionByName(made.select(*cols))

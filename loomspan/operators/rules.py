@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.operators.doctree import with_synthetic
 from loomspan.functions.text import truncate
 from loomspan.operators.doctree import first_wins
 from loomspan.terms import annex_slug
@@ -90,8 +91,10 @@ def requirements(spark: SparkSession) -> DataFrame:
     return _shaped(rows.select("uri_suffix", F.lit("Requirement").alias("type"), F.lit("Article 31").alias("paragraph_ref"), F.lit(True).alias("tbox_individual"), F.lit("rule").alias("source_kind"), F.lit("notified_body_requirements").alias("rule_id")))
 
 
-def extract_all(article_items: DataFrame, annex_items: DataFrame) -> DataFrame:
+def extract_all(article_items: DataFrame, annex_items: DataFrame, annexes: DataFrame | None = None) -> DataFrame:
+    """All rules over content items; annexes (unit, text), if given, serve those that have no items."""
     spark = article_items.sparkSession
+    annex_items = annex_items if annexes is None else with_synthetic(annex_items, annexes)
     out = areas(spark).unionByName(requirements(spark)).unionByName(prohibited_practices(article_items)).unionByName(risk_controls(article_items))
     for rule in ANNEX_RULES:
         out = out.unionByName(annex_rule(annex_items, rule))

@@ -34,7 +34,7 @@ def _paragraphs(spark, d):
     m as (select *, nullif(regexp_extract(text, '^\\(([A-Za-z0-9]+)\\)$', 1), '') as mark, nullif(regexp_extract(text, '^(\\d+)\\.\\s+(.*)$', 1), '') as own from p),
     l as (select *, lag(mark) over (partition by unit order by pos) as label from m),
     k as (select *, last_value(own ignore nulls) over (partition by unit order by pos) as number from l where mark is null)
-    select unit, pos, case when own is not null then regexp_extract(text, '^(\\d+)\\.\\s+(.*)$', 2) else text end as text, number as paragraph_number, label as list_label,
+    select unit, pos, coalesce('(' || label || ') ', '') || text as text, number as paragraph_number, label as list_label,
     'Article ' || unit || coalesce('(' || number || ')', '') || coalesce('(' || label || ')', '') as reference from k""",
 )
 def content_items(spark, d):

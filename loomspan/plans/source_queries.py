@@ -103,19 +103,49 @@ def stage_profile(spark, d):
 
 @query(
     "annex_sections",
-    r"""with p as (select conv_id as unit, turn as pos, case turn % 5 when 0 then 'Section ' || chr(cast(65 + turn % 26 as int)) || ' of it' when 1 then turn || '. Body' when 2 then '(' || chr(cast(97 + turn % 26 as int)) || ')' else 'more of ' || turn end as text from conversations),
-    m as (select *, nullif(regexp_extract(text, '^\(([A-Za-z0-9]+)\)$', 1), '') as mark, nullif(regexp_extract(text, '^Section\s+([A-Z])\b', 1), '') as s, nullif(regexp_extract(text, '^(\d+)\.\s', 1), '') as own from p),
+    r"""with p as (select conv_id as unit, turn as pos, case (conv_id + turn) % 8 when 0 then 'SECTION ' || chr(cast(65 + turn % 26 as int)) || ' of it' when 1 then turn || '. Body' when 2 then '(' || chr(cast(97 + turn % 26 as int)) || ')'
+        when 3 then '(' || chr(cast(97 + conv_id % 26 as int)) || ') inline' when 4 then 'run on ' || (turn + 1) || '. Item and ' || (turn + 2) || '. Other' when 5 then 'Section b here' else 'more of ' || turn end as text from conversations),
+    m as (select *, nullif(regexp_extract(text, '^\(([A-Za-z0-9]+)\)$', 1), '') as mark, upper(nullif(regexp_extract(text, '^section\s+([a-z])\b', 1, 'i'), '')) as s,
+        coalesce(nullif(regexp_extract(text, '^(\d+)\.\s', 1), ''), regexp_extract_all(text, '(?:^|\s)(\d+)\.\s+[A-Z]', 1)[-1]) as own from p),
     r as (select *, count(s) over w as run, last_value(s ignore nulls) over w as section from m window w as (partition by unit order by pos)),
-    l as (select *, lag(mark) over (partition by unit order by pos) as label from r where s is null),
-    k as (select *, last_value(own ignore nulls) over (partition by unit, run order by pos) as number from l where mark is null)
-    select unit, pos, section, number as paragraph_number, label as list_label, 'Annex ' || unit || coalesce('(' || section || ')', '') || coalesce('(' || number || ')', '') || coalesce('(' || label || ')', '') as reference from k""",
+    l as (select *, lag(mark) over (partition by unit order by pos) as before from r where s is null),
+    k as (select *, last_value(own ignore nulls) over (partition by unit, run order by pos) as number, coalesce(before, nullif(regexp_extract(text, '^\(([a-z])\)\s', 1), '')) as label from l where mark is null)
+    select unit, pos, section, number as paragraph_number, label as list_label, 'Annex ' || unit || coalesce('(' || section || ')', '') || coalesce('(' || number || ')', '') || coalesce('(' || label || ')', '') as reference,
+        coalesce('(' || before || ') ', '') || text as text from k""",
 )
 def annex_sections(spark, d):
-    turn = F.col("turn")
-    letter = lambda base: F.char(base + turn % 26)
-    text = F.when(turn % 5 == 0, F.concat(F.lit("Section "), letter(65), F.lit(" of it"))).when(turn % 5 == 1, F.concat(turn.cast("string"), F.lit(". Body"))).when(turn % 5 == 2, F.concat(F.lit("("), letter(97), F.lit(")"))).otherwise(F.concat(F.lit("more of "), turn.cast("string")))
+    turn, kind = F.col("turn"), (F.col("conv_id") + F.col("turn")) % 8
+    letter = lambda base, c: F.char(base + c % 26)
+    n = lambda c: c.cast("string")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("SECTION "), letter(65, turn), F.lit(" of it")))
+        .when(kind == 1, F.concat(n(turn), F.lit(". Body")))
+        .when(kind == 2, F.concat(F.lit("("), letter(97, turn), F.lit(")")))
+        .when(kind == 3, F.concat(F.lit("("), letter(97, F.col("conv_id")), F.lit(") inline")))
+        .when(kind == 4, F.concat(F.lit("run on "), n(turn + 1), F.lit(". Item and "), n(turn + 2), F.lit(". Other")))
+        .when(kind == 5, "Section b here")
+        .otherwise(F.concat(F.lit("more of "), n(turn)))
+    )
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("unit"), turn.alias("pos"), text.alias("text"))
-    return doctree.annex_items(rows.withColumn("unit", F.col("unit").cast("string"))).select(F.col("unit").cast("long").alias("unit"), "pos", "section", "paragraph_number", "list_label", "reference")
+    items = doctree.annex_items(rows.withColumn("unit", F.col("unit").cast("string")))
+    return items.select(F.col("unit").cast("long").alias("unit"), "pos", "section", "paragraph_number", "list_label", "reference", "text")
+
+
+@query(
+    "annex_texts",
+    r"""with p as (select o_orderkey as unit, 'Head ' || o_orderstatus || case when o_orderkey % 3 = 0 then ' Section C' else '' end || ' 1. first of ' || o_custkey || ' (a) one; rest (b) two of it; Section ' || case when o_orderkey % 2 = 0 then 'B' else 'b' end || ' more 2. last; (c) three' as text from orders),
+    q as (select unit, case when text like '%Section C%' then 'C' end as s0, case when text like '%Section B%' then 'B' end as s1, nullif(regexp_extract(text, 'first of (\d+)', 1), '') as cust from p),
+    r as (select *, case when s1 is null then '; Section b more' else ';' end as rest from q)
+    select unit, 1 as pos, 0 as sub, coalesce(s1, s0) as section, '1' as paragraph_number, cast(null as varchar) as list_label, '1. first of ' || cust || ' (a) one; rest (b) two of it' || rest as text from r
+    union all select unit, 1, 1, coalesce(s1, s0), '1', 'a', '(a) one' from r union all select unit, 1, 2, coalesce(s1, s0), '1', 'b', '(b) two of it' from r
+    union all select unit, 2, 0, coalesce(s1, s0), '2', null, '2. last; (c) three' from r union all select unit, 2, 1, coalesce(s1, s0), '2', 'c', '(c) three' from r""",
+)
+def annex_texts(spark, d):
+    """A text for each order, cut into items: sections before and within items, lettered parts."""
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("Head "), "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, " Section C").otherwise(""), F.lit(" 1. first of "), n("o_custkey"), F.lit(" (a) one; rest (b) two of it; Section "), F.when(F.col("o_orderkey") % 2 == 0, "B").otherwise("b"), F.lit(" more 2. last; (c) three"))
+    out = doctree.synthetic_annex_items(table(spark, d, "orders").select(n("o_orderkey").alias("unit"), text.alias("text")))
+    return out.select(F.col("unit").cast("long").alias("unit"), "pos", "sub", "section", "paragraph_number", "list_label", "text")
 
 
 @query(

@@ -48,7 +48,7 @@ def article_machine(rows):
         own = n[1] if n else None
         if own and cont:
             number[cont] = own
-        out.append((pos, n[2] if n else text, number.get(cont) if cont else own, label))
+        out.append((pos, f"({label}) {text}" if label else text, number.get(cont) if cont else own, label))
         label = None
     return out
 
@@ -66,6 +66,28 @@ def test_annex_sections_reset_numbers_not_labels(spark):
     assert [(r.section, r.paragraph_number, r.list_label) for r in got] == [(None, "1", None), ("B", None, "a"), ("B", "2", None), ("B", "2", None)]
 
 
+def test_annex_items_by_hand(spark):
+    """Headings in any case, letters at a start, markers put in front, numbers within a text."""
+    lines = ["1. First", "(a)", "labelled", "(b) inline", "SECTION b", "(c)", "Section C", "(d) both", "preamble 3. One and 4. Two", "rest"]
+    got = doctree.annex_items(spark.createDataFrame([("VIII", i, t) for i, t in enumerate(lines)], "unit string, pos int, text string")).orderBy("pos").collect()
+    assert [(r.text, r.section, r.paragraph_number, r.list_label) for r in got] == [
+        ("1. First", None, "1", None), ("(a) labelled", None, "1", "a"), ("(b) inline", None, "1", "b"), ("(c) (d) both", "C", None, "c"), ("preamble 3. One and 4. Two", "C", "4", None), ("rest", "C", "4", None),
+    ]
+    assert got[2].reference == "Annex VIII(1)(b)" and got[3].reference == "Annex VIII(C)(c)"
+
+
+def test_annexes_without_items_are_cut_out_of_their_text(spark):
+    texts = [("viii", "Head Section A 1. one (a) first; more (b) second 2. two Section B tail 1. again; (c) third  "), ("IV", "no number"), ("VI", None), ("VII", "1. has items")]
+    have = spark.createDataFrame([("VII", 1, "kept", "1", None, "Annex VII(1)")], ITEMS)
+    got = doctree.with_synthetic(have, spark.createDataFrame(texts, "unit string, text string")).orderBy("unit", "pos").collect()
+    assert [(r.unit, r.section, r.paragraph_number, r.list_label, r.reference, r.text) for r in got] == [
+        ("VII", None, "1", None, "Annex VII(1)", "kept"),
+        ("viii", "A", "1", None, "Annex VIII(A)(1)", "1. one (a) first; more (b) second"), ("viii", "A", "1", "a", "Annex VIII(A)(1)(a)", "(a) first"), ("viii", "A", "1", "b", "Annex VIII(A)(1)(b)", "(b) second"),
+        ("viii", "B", "2", None, "Annex VIII(B)(2)", "2. two"),
+        ("viii", "B", "1", None, "Annex VIII(B)(1)", "1. again; (c) third"), ("viii", "B", "1", "c", "Annex VIII(B)(1)(c)", "(c) third"),
+    ]
+
+
 ITEMS = "unit string, pos int, text string, paragraph_number string, list_label string, reference string"
 
 
