@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import connected_components
-from loomspan.operators.sparql import closure
+from loomspan.operators.paths import closure, longest
 from loomspan.terms import COLUMNS, SUBCLASS, TYPE, XSD
 
 
@@ -130,19 +130,10 @@ def inferred_types(g: DataFrame) -> DataFrame:
     return merge(g, t)
 
 
-def max_depth(e: DataFrame, rounds: int = 200) -> int:
-    """The longest chain of child-to-parent edges in nodes, from the roots down, a root being 1; 0 without edges. A cycle has no root and adds nothing."""
-    from loomspan.session import written
-
-    e = written(e.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct(), "depth-edges")
-    front = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    depth = 0
-    for _ in range(rounds):
-        if front.isEmpty():
-            return depth
-        depth += 1
-        front = written(front.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct(), "depth-front")
-    raise RuntimeError("the hierarchy is deeper than the bound, or a root leads into a cycle")
+def max_depth(e: DataFrame) -> int:
+    """The longest chain of child-to-parent edges in nodes, from the roots down, a root being 1; 0 without edges. A cycle that no root leads to adds nothing; another raises."""
+    steps = longest(e.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    return steps + 1 if steps else 0
 
 
 def individuals(g: DataFrame, namespace: str, schema_kinds: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import written
+from loomspan.operators.paths import closure
 from loomspan.terms import RDF, XSD, encode_for_uri
 
 TOKEN = re.compile(
@@ -386,27 +386,6 @@ class Solutions:
     raw: set[str] = field(default_factory=set)
 
 
-def closure(edges: DataFrame, start: DataFrame, zero: bool) -> DataFrame:
-    """(a, b): b is reachable from a over edges (a, b), a in start(a); with zero also a itself.
-
-    Each round follows the pairs that the last one found, so it ends when a
-    round finds none, whatever the length of the longest path; cycles end it too.
-    """
-    edges = written(edges.distinct(), "path-edges")
-    seen = written(start.select("a", F.col("a").alias("b")).distinct(), "path-seen")
-    front, found, turn = seen, None, 0
-    while True:
-        step = front.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        front = written(step if found is None else step.join(found, ["a", "b"], "left_anti"), "path-front")
-        if front.isEmpty():
-            break
-        found, turn = front if found is None else found.unionByName(front), turn + 1
-        if turn % 10 == 0:  # many small parts become one
-            found = written(found, "path-found")
-    found = front if found is None else found
-    return (found.unionByName(seen) if zero else found).distinct()
-
-
 class Engine:
     """Queries over one triple table."""
 
