@@ -31,25 +31,35 @@ def replay(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def call_model(prompts: DataFrame, complete: Callable[[str], str], retries: int = 3, pause: float = 4.0) -> DataFrame:
-    """prompts with answer from a live completer; after the last failed attempt the answer is an empty object."""
+    """prompts with answer and error from a live completer.
 
-    def one(prompt: str) -> str:
+    After the last failed attempt the answer is an empty object and error says
+    what the client raised; error is null where there is an answer. A null
+    prompt is a call like any other. An empty table gives an empty result; other
+    columns stay, whatever their names, but answer and error, which are replaced.
+    """
+
+    def one(prompt: str) -> tuple[str, str | None]:
+        error = None
         for attempt in range(1, retries + 1):
             try:
-                return complete(prompt)
-            except Exception:  # noqa: BLE001  whatever a client raises is a failed attempt
+                return complete(prompt), None
+            except Exception as e:  # noqa: BLE001  whatever a client raises is a failed attempt
+                error = f"{type(e).__name__}: {e}"
                 if attempt < retries:
                     time.sleep(pause * attempt)
-        return "{}"
+        return "{}", error
+
+    prompts = prompts.drop("answer", "error")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at = b.schema.names.index("prompt")
-            answers = pa.array([one(p) for p in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, answers], names=[*b.schema.names, "answer"])
+            got = [one(p) for p in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([g[i] for g in got], pa.string()) for i in (0, 1)]], names=[*b.schema.names, "answer", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInArrow(work, fields + ", answer string")
+    return prompts.mapInArrow(work, fields + ", answer string, error string")
 
 
 def parsed(answers: DataFrame, schema: str) -> DataFrame:

@@ -143,7 +143,8 @@ def test_completer_and_gaps(spark):
     rec = prompts.limit(1).select(completer.prompt_key(F.col("prompt")).alias("prompt_key"), F.lit('```json\n{"components": [{"uri_suffix": "n 1"}, {"uri_suffix": "n 1"}, {"uri_suffix": "Article"}, {"uri_suffix": ""}]}\n```').alias("answer"))
     ans = completer.replay(prompts, rec)
     assert completer.new_components(ans, g, NS, "components", "DocumentationComponent", "TD", "Annex_IV").select("s").where(f"s = '{NS}n_1'").distinct().count() == 1
-    assert completer.call_model(prompts, lambda p: 1 / 0 if p == "p1" else "ok", pause=0).orderBy("prompt").collect()[0].answer == "{}"
+    called = completer.call_model(prompts, lambda p: 1 / 0 if p == "p1" else "ok", pause=0).orderBy("prompt").collect()
+    assert called[0].answer == "{}" and called[0].error.startswith("ZeroDivisionError") and all((r.answer, r.error) == ("ok", None) for r in called[1:])
     n = spark.createDataFrame([("a", '{"fine_eur": 5.5}'), ("b", '{"fine_eur": -1}'), ("c", "no"), ("d", '{"ratio": 0.03}'), ("e", '{"deadline": "15 days"}'), ("f", '{"deadline": "P15D"}')], "s string, answer string")
     assert [r.o for r in completer.fine_triples(n, NS).collect()] == ["5"]
     assert [r.o for r in completer.ratio_triples(n, NS).collect()] == ["0.03"]
