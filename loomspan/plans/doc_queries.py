@@ -180,13 +180,13 @@ def gap_obligations(spark, d):
 
 
 @query("gap_areas", """with a as (select * from (values ('justice'), ('education'), ('migration')) v(k)) select 'AreaOfApplication_' || k as s, 'Annex_III' as o from a union all select 'AreaOfApplication_' || k, 'AreaOfApplication' from a
-    union all select 'sys_' || (select min(n_nationkey) from nation where n_nationkey % 3 = case k when 'justice' then 0 when 'education' then 1 else 2 end) || '_' || k, 'AreaOfApplication_' || k from a""")
+    union all select (select min('sys_' || n_nationkey || '_' || k) from nation where n_nationkey % 3 = case k when 'justice' then 0 when 'education' then 1 else 2 end), 'AreaOfApplication_' || k from a""")
 def gap_areas(spark, d):
     from loomspan.operators import completer, rules
 
     keys = [r[0] for r in rules.AREAS]
     word = F.get(F.array(F.lit("justice"), F.lit("education"), F.lit("migration")), (F.col("n_nationkey") % 3).cast("int"))
-    systems = table(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit(EX + "sys_"), F.col("n_nationkey").cast("string"), F.lit("_"), word).alias("s"))
+    systems = table(spark, d, "nation").select(F.concat(F.lit(EX + "sys_"), F.col("n_nationkey").cast("string"), F.lit("_"), word).alias("s"))
     ans = table(spark, d, "nation").select(F.concat(F.lit('{"areas": [{"sector_key": " '), F.upper(word), F.lit('!"}, {"sector_key": "space"}]}')).alias("answer"))
     return _small(completer.area_triples(ans, systems, EX, keys, EX + "hasAreaOfApplication").where("o_kind = 'iri'")).select("s", "o")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as x
-from loomspan.operators import doctree, metrics
+from loomspan.operators import doctree, profile
 from loomspan.plans.registry import query
 from loomspan.plans.relational import EX, duck_triples, table, triples_of
 from loomspan.session import scratch
@@ -85,20 +85,30 @@ def dot_lines(spark, d):
     return reports.dot_edges(g.unionByName(triples(spark, [("_:b", SUBCLASS, iri(EX + "x"))])), {"k": EX}, {"k": "red"})
 
 
-_FILE = "# CQ1 — First\n# note\nPREFIX a: <b>\nSELECT ?x WHERE { ?x ?p ?o }\n# ---\n# LLM2 — Second one\nPREFIX a: <b>\nCONSTRUCT { ?x ?p ?o } WHERE { ?x ?p ?o }\n# ---\n\n"
-
-
-@query("query_files", "select * from (values ('blocks', '2', ''), ('CQ1', 'First', 'SELECT ?x WHERE { ?x ?p ?o }'), ('LLM2', 'Second one', 'CONSTRUCT { ?x ?p ?o } WHERE { ?x ?p ?o }')) v(id, title, body)")
+@query(
+    "query_files",
+    """select 'CQ' || o_orderkey as id, 'Order ' || o_orderkey as title, 'SELECT ?x WHERE { ?x ?p ' || o_orderkey || ' }' as body, 2 as blocks from orders
+    union all select 'LLM' || o_orderkey, 'Its customer', 'CONSTRUCT { ?x ?p ?o } WHERE { ?x ?p ?o }', 2 from orders where o_orderstatus <> 'P'""",
+)
 def query_files(spark, d):
-    rows = [("blocks", str(len(reports.split_blocks(_FILE))), "")] + [(q["id"], q["title"], q["sparql"].split("\n")[1]) for q in reports.split_headed(_FILE)]
-    return spark.createDataFrame(rows, "id string, title string, body string")
+    """A landed file for each order with queries under headers, one of them without its prefix where the status is P."""
+    k = F.col("o_orderkey").cast("string")
+    second = F.when(F.col("o_orderstatus") != "P", F.lit("PREFIX a: <b>\n")).otherwise("")
+    text = F.concat(F.lit("# CQ"), k, F.lit(" — Order "), k, F.lit("\n# note\nPREFIX a: <b>\nSELECT ?x WHERE { ?x ?p "), k, F.lit(" }\n# ---\n# LLM"), k, F.lit(" — Its customer\n"), second, F.lit("CONSTRUCT { ?x ?p ?o } WHERE { ?x ?p ?o }\n# ---\n\n"))
+    files = table(spark, d, "orders").select(k.alias("file"), text.alias("text"))
+    q = reports.headed_queries(files)
+    return q.select("id", "title", F.element_at(F.split("sparql", "\n"), 2).alias("body"), "blocks")
 
 
-@query("stage_profile", "select * from (values ('degrees', true), ('count', true)) v(stage, measured)")
+@query(
+    "stage_profile",
+    """select 'read' as stage, 'done' as status, count(*) as rows_read, 0 as shuffle_rows from orders union all select 'dealt', 'done', count(*), count(*) from lineitem union all select 'broken', 'failed', 0, 0""",
+)
 def stage_profile(spark, d):
-    n = table(spark, d, "nation")
-    got = metrics.profiled(spark, [("degrees", lambda: n.groupBy("n_regionkey").count().collect()), ("count", lambda: n.count())])
-    return got.select("stage", ((F.col("seconds") > 0) & (F.col("peak_mb") > 0)).alias("measured"))
+    """What the executors read and shuffled in each stage, by their own counts."""
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    stages = [("read", lambda: noop(table(spark, d, "orders").select("o_orderkey"))), ("dealt", lambda: noop(table(spark, d, "lineitem").select("l_orderkey").repartition(8, "l_orderkey"))), ("broken", lambda: noop(spark.read.parquet(f"{d}/none.parquet")))]
+    return profile.profiled(spark, stages).select("stage", "status", "rows_read", "shuffle_rows")
 
 
 @query(

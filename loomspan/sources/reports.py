@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,25 @@ def split_headed(text: str) -> list[dict]:
     return out
 
 
+def headed_queries(files: DataFrame, text: str = "text", key: str = "file") -> DataFrame:
+    """(file, pos, id, title, sparql, blocks) of a table of query files: a row for each query under a header, and how many blocks its file has.
+
+    A null or empty text has no queries; extra columns are ignored.
+    """
+    kind = files.schema[key].dataType.simpleString()
+
+    def work(it):
+        for b in it:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = split_headed(t or "")
+                n = len(found)
+                cols = [b.column(0).slice(i, 1).take(pa.array([0] * n, pa.int32())), pa.array(range(n), pa.int32()), *[pa.array([q[c] for q in found], pa.string()) for c in ("id", "title", "sparql")], pa.array([len(split_blocks(t or ""))] * n, pa.int32())]
+                yield pa.record_batch(cols, names=["key", "pos", "id", "title", "sparql", "blocks"])
+
+    rows = files.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(work, f"key {kind}, pos int, id string, title string, sparql string, blocks int").withColumnRenamed("key", key)
+
+
 def run_queries(g: DataFrame, blocks: list[dict]) -> list[dict]:
     """Each query's row count, up to three sample rows and the time; a query that fails is an error of its own."""
     import time
