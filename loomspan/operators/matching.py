@@ -49,3 +49,21 @@ def combined(*predictions: DataFrame) -> DataFrame:
         p = p.withColumn("_s", F.lit(n))
         out = p if out is None else out.unionByName(p)
     return first_wins(out.withColumn("_t", normalise_entity(F.col("text"))), ["sentence", "type", "_t"], ["_s", "pos"]).drop("_s", "_t")
+
+
+def suffix_join(names: DataFrame, keys: DataFrame, name: str = "name", key: str = "key", pos: str = "pos", most: int = 1_000) -> DataFrame:
+    """names with the first key, by pos and then by key, that the name ends with; null where none does.
+
+    The keys' lengths are few, and a name is cut at each of them, so all keys are
+    found by one equality join. More than ``most`` lengths raise ValueError.
+    Repeated names stay; null names match nothing, null and empty keys nothing;
+    an empty table on either side gives names without keys.
+    """
+    held = keys.where(F.length(key) > 0).groupBy(F.col(key).alias("_key")).agg(F.min(pos).alias("_pos"))
+    lengths = [r[0] for r in held.select(F.length("_key")).distinct().limit(most + 1).collect()]
+    if len(lengths) > most:
+        raise ValueError(f"keys of more than {most} lengths")
+    cut = F.transform(F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("_name")), lambda n: F.right(F.col("_name"), n))
+    each = names.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(cut).alias("_key"))
+    first = each.join(held, "_key").groupBy("_name").agg(F.min_by("_key", F.struct("_pos", "_key")).alias(key))
+    return names.join(first, names[name] == first["_name"], "left").drop("_name")

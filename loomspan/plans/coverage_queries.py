@@ -231,3 +231,38 @@ def turtle_splits(spark, d):
     path = scratch(spark, "turtle")
     turtle.write_turtle(triples_of(spark, d, "customer"), path, {"ex": EX, "xsd": XSD})
     return turtle.read_turtle(spark, f"{path}/*.txt", split=True).select("s", "p", "o", "o_kind", "o_dt")
+
+
+def _answered(prompt: str) -> str:
+    """A recorded model: orders of status P fail, of status O answer no JSON."""
+    _, key, status = prompt.split(" ")
+    if status == "P":
+        raise OSError("no answer")
+    return "none" if status == "O" else '{"instances": [{"uri_suffix": "order_' + key + '", "type": "Order"}, {"type": "Nothing"}]}'
+
+
+@query(
+    "instances_in_sql",
+    """select o_orderkey as id, case when o_orderstatus = 'F' then 'order_' || o_orderkey end as uri_suffix, case o_orderstatus when 'P' then 'OSError: no answer' when 'O' then 'no answer' end as error from orders""",
+)
+def instances_in_sql(spark, d):
+    """A prompt for each order through a table function; failures are rows."""
+    from loomspan.operators.table_functions import instance_function
+
+    spark.udtf.register("loomspan_instances", instance_function(_answered, pause=0))
+    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.lit("order"), s("o_orderkey"), "o_orderstatus").alias("prompt"))
+    found = spark.sql("SELECT p.id, i.uri_suffix, i.error FROM {prompts} p, LATERAL loomspan_instances(p.prompt) i", prompts=prompts)
+    return found.select("id", "uri_suffix", F.regexp_replace("error", "^no answer: .*", "no answer").alias("error"))
+
+
+@query(
+    "suffix_matches",
+    """with k as (select distinct right(c_name, 3) as key from customer union select distinct right(c_name, 5) from customer where c_custkey % 2 = 0), m as (select s_suppkey, arg_min(key, (length(key), key)) as key from supplier join k on ends_with(s_name, key) group by 1)
+    select s_suppkey, m.key from supplier left join m using (s_suppkey)""",
+)
+def suffix_matches(spark, d):
+    """Suppliers by the ends of customers' names: the shortest that fits, then the first."""
+    c = table(spark, d, "customer")
+    ends = c.select(F.right("c_name", F.lit(3)).alias("key")).unionByName(c.where("c_custkey % 2 = 0").select(F.right("c_name", F.lit(5)).alias("key")))
+    names = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return matching.suffix_join(names, ends.select("key", F.length("key").alias("pos")), "s_name").select("s_suppkey", "key")
