@@ -45,6 +45,7 @@ OWN_TYPES = (
     "Requirement",
 )
 AIRO, AIACT, DPV = "https://w3id.org/airo#", "https://w3id.org/dpv/legal/eu/aiact#", "https://w3id.org/dpv#"
+#: Types that other vocabularies name.
 OTHER_TYPES = {
     "ProhibitedPractice": AIACT + "ProhibitedPractice",
     "TechnicalDocumentation": AIACT + "TechnicalDocumentation",
@@ -52,6 +53,7 @@ OTHER_TYPES = {
     "AIRegulatorySandbox": AIACT + "AIRegulatorySandbox",
     "NaturalPersonSubject": DPV + "NaturalPerson",
 }
+#: Other names of types.
 ALIASES = {
     "proceeduralcondition": "ProceduralCondition",
     "supportmeasuresobligation": "SupportMeasureObligation",

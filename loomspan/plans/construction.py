@@ -121,9 +121,16 @@ def backed(spark, d):
 _BUILT: dict[tuple, str] = {}
 
 
+def _stamp(spark: SparkSession, d: str) -> str:
+    """The names, sizes and times of a folder's files, so that a table that is written again is another one."""
+    h = spark._jvm.org.apache.hadoop.fs.Path(d)
+    found = h.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(h)
+    return ";".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
 def graph(spark: SparkSession, d: str) -> DataFrame:
-    """All layers and the schema, written once for a session, in order of predicates so that a pattern's filter skips row groups."""
-    name = (spark.sparkContext.applicationId, d)
+    """All layers and the schema, written once for a session and a state of the tables, in order of predicates so that a pattern's filter skips row groups."""
+    name = (spark.sparkContext.applicationId, d, _stamp(spark, d))
     if name not in _BUILT or not existing(spark, _BUILT[name]):
         base = written(merge(tbox(spark, EX), structure(spark, d), wiring.anchors(annexes(spark, d), EX), ruled(spark, d), systems(spark, d), modelled(spark, d), backed(spark, d)), "graph-base")
         whole = merge(base, enriched(spark, d, base)).sortWithinPartitions("p")
