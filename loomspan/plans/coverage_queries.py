@@ -266,3 +266,33 @@ def suffix_matches(spark, d):
     ends = c.select(F.right("c_name", F.lit(3)).alias("key")).unionByName(c.where("c_custkey % 2 = 0").select(F.right("c_name", F.lit(5)).alias("key")))
     names = table(spark, d, "supplier").select("s_suppkey", "s_name")
     return matching.suffix_join(names, ends.select("key", F.length("key").alias("pos")), "s_name").select("s_suppkey", "key")
+
+
+# whole documents with odd writing put among their words: no-break spaces, line breaks, commas in amounts, mixed case
+
+_SP = r"[\s\x{00A0}]"
+_ODD = r"""coalesce(text, '') || E' WITHIN\n' || (doc_id % 300 + 1) || chr(160) || 'Days; fines up to' || chr(160) || (doc_id % 900 + 100) || ',000 eur, or ' || (doc_id % 9 + 1) || E' %\tof its total  WORLDWIDE annual\nturnover. article ' || (doc_id % 113 + 1) || ' and Article' || chr(160) || (doc_id % 50 + 1) || ', regulation (EU) 20' || (doc_id % 10 + 10) || ' / ' || (doc_id % 3000 + 1)"""
+
+
+@query(
+    "extracted_from_documents",
+    rf"""with t as (select doc_id, {_ODD} as t from documents),
+    m as (select doc_id, regexp_extract_all(t, '(?i)(?:within|no{_SP}+later{_SP}+than|not{_SP}+later{_SP}+than){_SP}+(\d{{1,4}}){_SP}+(?:day|week|month|year|hour)s?', 1) as n,
+        regexp_extract_all(t, '(?i)(?:within|no{_SP}+later{_SP}+than|not{_SP}+later{_SP}+than){_SP}+\d{{1,4}}{_SP}+(day|week|month|year|hour)s?', 1) as u,
+        regexp_extract_all(t, '(?i)(?:EUR{_SP}+)?(\d{{1,3}}(?:(?:{_SP}|,)\d{{3}}){{1,3}}){_SP}*(?:EUR|euros?|€)', 1) as f,
+        regexp_extract_all(t, '(?i)(\d+(?:\.\d+)?){_SP}*%{_SP}*(?:[\w,()]+{_SP}+){{0,8}}?(?:total{_SP}+)?worldwide{_SP}+annual{_SP}+turnover', 1) as r,
+        regexp_extract_all(t, '(?i)\barticle{_SP}+(\d+)', 1) as a,
+        regexp_extract_all(t, '(?i)regulation{_SP}*\(EU\){_SP}*(20\d{{2}}){_SP}*/{_SP}*(\d{{1,4}})', 1) as y, regexp_extract_all(t, '(?i)regulation{_SP}*\(EU\){_SP}*(20\d{{2}}){_SP}*/{_SP}*(\d{{1,4}})', 2) as k from t)
+    select doc_id, array_to_string([case when lower(x[2]) = 'hour' then 'PT' || x[1] || 'H' else 'P' || x[1] || upper(x[2][1]) end for x in list_zip(n, u)], ' ') as durations,
+        array_to_string([regexp_replace(x, '[\s\x{{00A0}},]', '', 'g') for x in f], ' ') as fines, array_to_string([round(x::double / 100, 4) for x in r], ' ') as ratios,
+        array_to_string(case when len(a) = 2 and a[1] = a[2] then [a[1]] else a end, ' ') as articles, array_to_string(['3' || x[1] || 'R' || lpad(x[2], 4, '0') for x in list_zip(y, k)], ' ') as laws from m""",
+)
+def extracted_from_documents(spark, d):
+    n = lambda mod, add: (F.col("doc_id") % mod + add).cast("string")
+    odd = F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" WITHIN\n"), n(300, 1), F.lit("\u00a0Days; fines up to\u00a0"), n(900, 100), F.lit(",000 eur, or "), n(9, 1), F.lit(" %\tof its total  WORLDWIDE annual\nturnover. article "),
+        n(113, 1), F.lit(" and Article\u00a0"), n(50, 1), F.lit(", regulation (EU) 20"), n(10, 10), F.lit(" / "), n(3000, 1),
+    )
+    t = table(spark, d, "documents").select("doc_id", odd.alias("t"))
+    plain = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    return t.select("doc_id", plain(x.deadlines(F.col("t"))).alias("durations"), plain(x.fines(F.col("t"))).alias("fines"), plain(x.fine_ratios(F.col("t"))).alias("ratios"), plain(x.article_refs(F.col("t"))).alias("articles"), plain(x.legislation_refs(F.col("t"))).alias("laws"))

@@ -167,3 +167,17 @@ def test_stream(spark, tmp_path):
     q = start(event_triples(read_stream(spark, str(tmp_path / "in")), NS), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+
+
+def test_what_the_schema_says_of_its_properties(spark):
+    """Facts of the schema triple by triple, written out here and not taken from the module's own tables."""
+    from loomspan.plans.relational import EX
+    from loomspan.plans.tbox import tbox
+    from loomspan.terms import OWL, RDFS, TYPE, XSD
+
+    g = {(r.s.removeprefix(EX), r.p, r.o.removeprefix(EX)) for r in tbox(spark, EX).collect()}
+    assert {s for s, p, o in g if (p, o) == (TYPE, OWL + "FunctionalProperty")} == {"hasReportingTarget", "hasDeadline"}
+    assert {(s, o) for s, p, o in g if p == OWL + "inverseOf"} == {("hasComponentOf", "hasRequiredComponent")}
+    ranges = {"hasDeadline": XSD + "duration", "hasComplianceDeadline": XSD + "date", "hasProvisionDate": XSD + "date", "hasFine": XSD + "decimal", "hasSummary": XSD + "string", "hasReportingTarget": "https://w3id.org/dpv#Authority", "hasArticleReference": "Article"}
+    assert {k: {o for s, p, o in g if (s, p) == (k, RDFS + "range")} for k in ranges} == {k: {v} for k, v in ranges.items()}
+    assert {("hasArticleReference", RDFS + "subPropertyOf", "hasReference"), ("hasReportingTarget", RDFS + "domain", "IncidentReportingObligation"), ("hasRequiredComponent", RDFS + "range", "RequiredComponent")} <= g
