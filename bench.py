@@ -7,6 +7,7 @@ import os
 import time
 
 from loomspan.plans.catalog import QUERIES
+from loomspan.plans.construction import graph
 from loomspan.session import local_session
 
 HEADLINE = (
@@ -22,12 +23,17 @@ def main() -> None:
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # the session is up before the clock starts
-    seconds = {}
-    for name in HEADLINE:
+
+    def timed(run) -> float:
         began = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        run()
+        return round(time.time() - began, 3)
+
+    saved = lambda name: lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    seconds = {name: timed(saved(name)) for name in HEADLINE}
+    # the twenty questions ask one graph, which is built first; their times stand beside the headline's
+    questions = {"graph": timed(lambda: graph(spark, sf_dir))} | {name: timed(saved(name)) for name in QUERIES if name.startswith(("cq", "llm"))}
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "questions": questions, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":
