@@ -228,15 +228,15 @@ def _meetings():
     return both - F.greatest(behind("na"), behind("nb"))
 
 
-def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataFrame | None = None, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 4, large: int = 2) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataFrame | None = None, sample: int = 20_000, most: int = 100_000, block: int = 1024, stars: int = 3, large: int = 2) -> DataFrame:
     """(node, component) of the names of sets, linked at a similarity of LEAST or more; a set without a link isn't among them.
 
     links (a, b), if given, are known links of that similarity. In ``stars``
-    rounds, or fewer if one finds no link, each set is compared with one other:
-    that which all sets at an element of more than ``large`` compare with,
-    another one each time, at the element where the set meets most others that
-    it isn't connected with. So a large group of near copies becomes one
-    component in linear work. Then all pairs are compared that can meet often
+    rounds, or fewer if one finds no link, the sets at each element of more than
+    ``large`` meet one of them, a well-linked one, and each set is compared with
+    that which it meets most often, if that is half as often as two linked sets
+    meet. So a large group of near copies becomes one component in linear work
+    and with few sets compared in vain. Then all pairs are compared that can meet often
     enough and aren't yet connected, so no link between components is missed.
     The members of an element that more than ``block`` sets share are dealt
     into blocks of about that size.
@@ -260,9 +260,10 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
         centre = F.max_by(F.struct("name", "n", "at", "c"), F.struct(chance, "name") if turn < stars else F.col("name")).alias("centre")
         live = now.groupBy("x").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high"), centre).where("low < high")
         if turn < stars:
-            left = live.where(F.col("members") > large).select("x", "members", "centre.*").select("x", "members", *side("a"))
-            pairs = left.join(now.select("x", *side("b")), "x").where(_may_link())
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("members", "x")).alias("a"))
+            left = live.where(F.col("members") > large).select("x", "centre.*").select("x", *side("a"))
+            met = left.join(now.select("x", *side("b")), "x").where(_may_link())
+            met = met.groupBy("b", "a").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("met") * 2 >= _meetings())
+            pairs = met.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             counted = held.groupBy("x").agg(F.count("*").alias("members"))
