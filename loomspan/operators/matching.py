@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import normalise_entity
 from loomspan.operators.doctree import first_wins
 
 
-def greedy_pairs(gold: list[str], predicted: list[str]) -> int:
-    """How many predictions find a gold text of their own, in order, one text containing the other."""
-    free = list(gold)
-    hits = 0
-    for p in predicted:
-        at = next((i for i, g in enumerate(free) if p == g or (p and g and (p in g or g in p))), None)
-        if at is not None:
-            free.pop(at)
-            hits += 1
-    return hits
+def greedy_pairs(gold: Column, predicted: Column) -> Column:
+    """How many of the predicted texts find a gold text of their own, in order, one text containing the other. Both are arrays."""
+    fits = lambda p: lambda g: g.eqNullSafe(p) | ((p != "") & (g != "") & (p.contains(g) | g.contains(p)))
+
+    def take(free: Column, p: Column) -> Column:
+        # the position of the first free text that fits, from 1; null for none
+        at = F.get(F.filter(F.transform(free, lambda g, i: F.when(fits(p)(g), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+        return F.when(at.isNull(), free).otherwise(F.filter(free, lambda _, i: i + 1 != at))
+
+    return (F.size(gold) - F.size(F.aggregate(predicted, gold, take))).cast("long")
 
 
 def match_entities(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(sentence, type, tp, fp, fn). gold and predicted have sentence, type, pos, text.
 
-    The matching is greedy in order of position, so a sentence's entities of
-    one type meet in one group; that is a sentence's size.
+    The matching is greedy in order of position, then of text, so a sentence's
+    entities of one type meet in one row; that is a sentence's size.
     """
-    tag = lambda df, side: df.select("sentence", "type", "pos", normalise_entity(F.col("text")).alias("text"), F.lit(side).alias("side"))
-    both = tag(gold, "gold").unionByName(tag(predicted, "predicted"))
-
-    def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pos")
-        rows = list(zip(t.column("side").to_pylist(), t.column("text").to_pylist(), strict=True))
-        g, p = [x for s, x in rows if s == "gold"], [x for s, x in rows if s == "predicted"]
-        tp = greedy_pairs(g, p)
-        return pa.table({"sentence": t.column("sentence").slice(0, 1), "type": t.column("type").slice(0, 1), "tp": pa.array([tp], pa.int64()), "fp": pa.array([len(p) - tp], pa.int64()), "fn": pa.array([len(g) - tp], pa.int64())})
-
-    kind = gold.schema["sentence"].dataType.simpleString()
-    return both.groupBy("sentence", "type").applyInArrow(work, f"sentence {kind}, type string, tp long, fp long, fn long")
+    # a null position comes last
+    entity = F.struct(F.col("pos").isNull().alias("late"), "pos", normalise_entity(F.col("text")).alias("text"))
+    none = F.when(F.lit(False), entity)
+    tag = lambda df, g, p: df.select("sentence", "type", g.alias("g"), p.alias("p"))
+    both = tag(gold, entity, none).unionByName(tag(predicted, none, entity))
+    met = both.groupBy("sentence", "type").agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
+    texts = lambda c: F.transform(F.sort_array(c), lambda e: e["text"])
+    tp = met.select("sentence", "type", greedy_pairs(texts("g"), texts("p")).alias("tp"), F.size("g").cast("long").alias("ng"), F.size("p").cast("long").alias("np"))
+    return tp.select("sentence", "type", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
 
 
 def combined(*predictions: DataFrame) -> DataFrame:

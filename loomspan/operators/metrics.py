@@ -103,7 +103,7 @@ def connectivity(e: DataFrame) -> DataFrame:
 def precision_recall(counts: DataFrame, by: str = "type") -> DataFrame:
     """(type, tp, fp, fn, precision, recall, f1) and a row ``overall``; a measure without a denominator is null."""
     per = counts.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    both = per.unionByName(counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn(by, F.lit("overall")))
+    both = per.unionByName(per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn(by, F.lit("overall")))
     ratio = lambda a, b: F.when(b > 0, F.round(a.cast("double") / b, 3))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return both.select(by, "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
