@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import connected_components
 from loomspan.operators.paths import closure, longest
+from loomspan.session import written
 from loomspan.terms import COLUMNS, SUBCLASS, TYPE, XSD
 
 
@@ -77,30 +81,115 @@ def degrees(e: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def undirected(e: DataFrame) -> DataFrame:
-    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.where("src <> dst").distinct()
+#: Out-edges that one group of clustering holds, about.
+GROUP = 2_000_000
 
 
-def clustering(e: DataFrame) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n) of rows (grp, kind, node, to) sorted by grp and kind: the triangles of nodes, in parts.
+
+    A group's own lists (kind 0) are held together; then each list that another
+    node has sent (kind 1) is compared with those of its neighbours in the group.
+    """
+    grp, own, ready = None, [], None
+    emit = lambda nodes, n: pa.record_batch([pa.array(nodes[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], names=["node", "n"])
+
+    def index():
+        nodes = np.concatenate([x for x, _ in own])
+        lists = [y for _, y in own]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([y.value_lengths().to_numpy() for y in lists]))])
+        names, flat = np.unique(np.concatenate([y.flatten().to_numpy() for y in lists]), return_inverse=True)
+        flat = flat.astype(np.int32)
+        # whose lists name a node: positions of nodes, by the place of the node in names
+        by = np.argsort(flat, kind="stable").astype(np.int32)
+        holders = np.repeat(np.arange(len(nodes), dtype=np.int32), np.diff(ends))[by]
+        first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))])
+        return nodes, ends, names, flat, holders, first, np.zeros(len(nodes), np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+
+    def done():
+        if ready is not None:
+            yield emit(ready[0], ready[6])
+            yield emit(ready[2], ready[7])
+
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            key = (b.column(0)[at].as_py(), b.column(1)[at].as_py())
+            part = b.slice(at)
+            g, k = part.column(0).to_numpy(), part.column(1).to_numpy()
+            other = np.flatnonzero((g != key[0]) | (k != key[1]))
+            part = part.slice(0, int(other[0]) if len(other) else part.num_rows)
+            at += part.num_rows
+            if key[0] != grp:
+                yield from done()
+                grp, own, ready = key[0], [], None
+            nodes, lists = part.column(2).to_numpy(), part.column(3)
+            if key[1] == 0:
+                own.append((nodes, lists))
+                continue
+            if ready is None:
+                ready, own = index(), []
+            _, ends, names, flat, holders, first, here, there, flag = ready
+            spans = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            sent, each = lists.flatten().to_numpy(), np.zeros(len(nodes), np.int64)
+            place = np.minimum(np.searchsorted(names, sent), len(names) - 1)
+            known = names[place] == sent
+            for i, v in enumerate(np.searchsorted(names, nodes).tolist()):
+                mine = place[spans[i] : spans[i + 1]][known[spans[i] : spans[i + 1]]]
+                if not len(mine):
+                    continue
+                flag[mine] = True
+                # in steps, as a node that many lists name has many places
+                for lo in range(first[v], first[v + 1], 512):
+                    who = holders[lo : min(lo + 512, first[v + 1])]
+                    size = ends[who + 1] - ends[who]
+                    starts = np.cumsum(size) - size
+                    theirs = flat[np.arange(int(size.sum())) + np.repeat(ends[who] - starts, size)]
+                    hit = flag[theirs]
+                    n = np.add.reduceat(hit, starts, dtype=np.int64)
+                    here[who] += n
+                    each[i] += int(n.sum())
+                    if len(theirs) > len(names):
+                        there += np.bincount(theirs[hit], minlength=len(names))
+                    else:
+                        np.add.at(there, theirs[hit], 1)
+                flag[mine] = False
+            yield emit(nodes, each)
+    yield from done()
+
+
+def clustering(e: DataFrame, group: int = GROUP) -> DataFrame:
     """(node, k, links, coefficient) over neighbours in either direction; self-loops left out.
 
     Edges point from the smaller degree to the larger, so no node points to more
     than the square root of twice the edges, and a hub's neighbours never pair
-    with each other. Each edge's ends compare the nodes that they point to: what
-    they share closes a triangle with the edge.
+    with each other. Nodes are cut by range into groups of about ``group``
+    out-edges. A group keeps its nodes' lists, and each list goes once to every
+    group that points to its node: what the ends of an edge share closes a
+    triangle with it. So lists aren't repeated for each edge.
     """
-    u = undirected(e)
-    deg = u.groupBy("src").agg(F.count("*").alias("k"))
-    ranked = u.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("k").alias("kd")), "dst")
-    up = ranked.where("k < kd or (k = kd and src < dst)").select("src", "dst")
-    to = up.groupBy("src").agg(F.collect_list("dst").alias("to"))
-    both = up.join(to, "src").join(to.select(F.col("src").alias("dst"), F.col("to").alias("too")), "dst")
-    one = lambda c, n: F.struct(c.alias("src"), n.cast("long").alias("n"))
-    counts = lambda x: F.concat(F.array(one(F.col("src"), F.size(x)), one(F.col("dst"), F.size(x))), F.transform(x, lambda v: one(v, F.lit(1))))
-    each = both.select(F.explode_outer(F.get(F.transform(F.array(F.array_intersect("to", "too")), counts), F.lit(0))).alias("t"))
-    per = each.groupBy(F.col("t.src").alias("src")).agg(F.sum("t.n").alias("links")).where("links > 0")
-    out = deg.join(per, "src", "left").select(F.col("src").alias("node"), "k", F.coalesce("links", F.lit(0)).alias("links"))
+    spark = e.sparkSession
+    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    pairs = written(pairs, "clustering-pairs")
+    deg = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
+    # ids in the order of the nodes, so that nodes with near names share a group
+    deg = written(written(deg, "clustering-degrees").repartitionByRange("node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()), "clustering-nodes")
+    side = lambda x: deg.select(F.col("node").alias(x), F.col("k").alias("k" + x), F.col("id").alias("i" + x))
+    ranked = pairs.join(side("a"), "a").join(side("b"), "b")
+    lower = F.struct("ka", "ia") < F.struct("kb", "ib")
+    up = ranked.select(F.when(lower, F.col("ia")).otherwise(F.col("ib")).alias("src"), F.when(lower, F.col("ib")).otherwise(F.col("ia")).alias("dst"))
+    lists = written(up.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to")), "clustering-lists")
+    groups = -(-(lists.agg(F.sum(F.size("to"))).first()[0] or 1) // group)
+    weighed = lists.select("src", F.explode("to"))
+    cuts = weighed.agg(F.percentile_approx("src", [i / groups for i in range(1, groups)])).first()[0] if groups > 1 else []
+    grp = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<long>"), lambda c: c < F.col("src")))
+    lists = lists.withColumn("grp", grp)
+    sends = lists.select("grp", F.explode("to").alias("node")).distinct().join(lists.select(F.col("src").alias("node"), "to"), "node")
+    rows = lists.select("grp", F.lit(0).alias("kind"), F.col("src").alias("node"), "to").unionByName(sends.select("grp", F.lit(1).alias("kind"), "node", "to"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(_shared, "node long, n long")
+    per = each.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("links"))
+    out = deg.join(per, "id", "left").select("node", "k", F.coalesce("links", F.lit(0)).alias("links"))
     return out.withColumn("coefficient", F.when(F.col("k") < 2, F.lit(0.0)).otherwise(2.0 * F.col("links") / (F.col("k") * (F.col("k") - 1))))
 
 

@@ -99,7 +99,8 @@ def component_sizes(spark, d):
 # suppliers who shared an order; no SQL, as its joins are too slow on whole tables: a test compares with brute force
 @query("clustering_coefficients")
 def clustering_coefficients(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    # dealt by order once, for both sides of the join
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").distinct()
     return g.clustering(x.alias("a").join(x.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct())
 
 
