@@ -16,9 +16,10 @@ from loomspan.session import written
 from loomspan.terms import COLUMNS, SUBCLASS, TYPE, XSD
 
 
-def merge(*layers: DataFrame) -> DataFrame:
-    """Set union of graphs."""
-    return reduce(DataFrame.unionByName, [g.select(*COLUMNS) for g in layers]).distinct()
+def merge(*layers: DataFrame, repeats: bool = False) -> DataFrame:
+    """Set union of graphs. With repeats a triple may stay more than once, for a later merge: so many layers are made distinct once."""
+    all_ = reduce(DataFrame.unionByName, [g.select(*COLUMNS) for g in layers])
+    return all_ if repeats else all_.distinct()
 
 
 def with_layer(layers: dict[str, DataFrame]) -> DataFrame:

@@ -138,7 +138,7 @@ def paragraph_target(ref: Column, ns: str) -> Column:
     return F.when(r["paragraph"].isNotNull(), F.concat(F.lit(ns), paragraph_name(article_reference(r["article"], r["paragraph"], r["label"]))))
 
 
-def structural_triples(articles: DataFrame, items: DataFrame, annexes: DataFrame, ns: str) -> DataFrame:
+def structural_triples(articles: DataFrame, items: DataFrame, annexes: DataFrame, ns: str, repeats: bool = False) -> DataFrame:
     """Articles (number, title, source_path), their items (unit, reference, text) and annexes (number, title). Without a title there is no label; items without reference or text go."""
     number = F.col("number").cast("string")
     a, x = F.concat(F.lit(ns + "Article_"), number), F.concat(F.lit(ns + "Annex_"), number)
@@ -147,13 +147,14 @@ def structural_triples(articles: DataFrame, items: DataFrame, annexes: DataFrame
     of = F.concat(F.lit(ns + "Article_"), F.col("unit").cast("string"))
     full = items.where("coalesce(reference, '') <> '' and coalesce(text, '') <> ''")
     return merge(
-        construct(articles, term_struct(a, TYPE, F.lit(ns + "Article"), "iri"), term_struct(a, LABEL, named("Article "), lang="en"), term_struct(a, ns + "hasSourceURL", F.col("source_path"), dt=XSD + "string")),
-        construct(annexes, term_struct(x, TYPE, F.lit(ns + "Annex"), "iri"), term_struct(x, LABEL, named("Annex "), lang="en")),
-        construct(full, term_struct(p, TYPE, F.lit(ns + "Paragraph"), "iri"), term_struct(p, LABEL, F.col("reference"), lang="en"), term_struct(p, ns + "hasSummary", F.col("text"), dt=XSD + "string"), term_struct(of, ns + "hasParagraphReference", p, "iri")),
+        construct(articles, term_struct(a, TYPE, F.lit(ns + "Article"), "iri"), term_struct(a, LABEL, named("Article "), lang="en"), term_struct(a, ns + "hasSourceURL", F.col("source_path"), dt=XSD + "string"), repeats=True),
+        construct(annexes, term_struct(x, TYPE, F.lit(ns + "Annex"), "iri"), term_struct(x, LABEL, named("Annex "), lang="en"), repeats=True),
+        construct(full, term_struct(p, TYPE, F.lit(ns + "Paragraph"), "iri"), term_struct(p, LABEL, F.col("reference"), lang="en"), term_struct(p, ns + "hasSummary", F.col("text"), dt=XSD + "string"), term_struct(of, ns + "hasParagraphReference", p, "iri"), repeats=True),
+        repeats=repeats,
     )
 
 
-def rule_triples(instances: DataFrame, ns: str) -> DataFrame:
+def rule_triples(instances: DataFrame, ns: str, repeats: bool = False) -> DataFrame:
     """Rule instances with type, label, summary, references and links to their parent both ways.
 
     A requirement is an individual of the schema: the notified body meets it and
@@ -177,8 +178,9 @@ def rule_triples(instances: DataFrame, ns: str) -> DataFrame:
         term_struct(s, ns + "hasAnnexReference", F.when(area, F.lit(ns + "Annex_III")).otherwise(annex), "iri"),
         term_struct(parent, ns + "hasRequiredComponent", F.when(parent.isNotNull(), s), "iri"),
         term_struct(s, ns + "hasComponentOf", parent, "iri"),
+        repeats=True,
     )
-    return merge(made, construct(needs, term_struct(F.lit(ns + BODY), ns + "meetsRequirement", F.concat(F.lit(ns), F.col("uri_suffix")), "iri")))
+    return merge(made, construct(needs, term_struct(F.lit(ns + BODY), ns + "meetsRequirement", F.concat(F.lit(ns), F.col("uri_suffix")), "iri"), repeats=True), repeats=repeats)
 
 
 def system_names(areas: DataFrame, ns: str) -> DataFrame:
@@ -186,7 +188,7 @@ def system_names(areas: DataFrame, ns: str) -> DataFrame:
     return areas.select(F.concat(F.lit(ns + "HighRiskAISystem_"), F.col("sector_slug")).alias("s"), F.concat(F.lit(ns + "AreaOfApplication_"), F.col("sector_slug")).alias("area"), "label")
 
 
-def paired_systems(areas: DataFrame, controls: DataFrame, obligations: DataFrame, ns: str, most_areas: int = 64) -> DataFrame:
+def paired_systems(areas: DataFrame, controls: DataFrame, obligations: DataFrame, ns: str, most_areas: int = 64, repeats: bool = False) -> DataFrame:
     """One high-risk system for each area, joined to every control and every transparency obligation, by design all with all; more than most_areas areas raise."""
     base = system_names(areas, ns)
     if len(base.select("s").distinct().take(most_areas + 1)) > most_areas:
@@ -196,12 +198,12 @@ def paired_systems(areas: DataFrame, controls: DataFrame, obligations: DataFrame
     own = construct(
         base, to(TYPE, AIACT + "HighRiskAISystem"), to(TYPE, AIRO + "AISystem"), term_struct(s, LABEL, F.concat(F.lit("High-risk AI system in "), F.col("label")), lang="en"), to(ns + "hasRiskLevel", ns + "HighRisk"),
         term_struct(s, ns + "hasAreaOfApplication", F.col("area"), "iri"), to(ns + "hasProvider", ns + PROVIDER), to(ns + "hasDeployer", ns + DEPLOYER), to(AIRO + "hasDocumentation", ns + "TechnicalDocumentation_Annex_IV"),
-        to(AIRO + "hasAISubject", ns + "NaturalPersonSubject"), to(ns + "hasArticleReference", ns + "Article_6"),
+        to(AIRO + "hasAISubject", ns + "NaturalPersonSubject"), to(ns + "hasArticleReference", ns + "Article_6"), repeats=True,
     )
     small = F.broadcast(base.select("s").distinct())
     c = controls.select(F.concat(F.lit(ns), safe_suffix(F.col("uri_suffix"))).alias("o")).distinct().crossJoin(small)
     o = obligations.select(F.concat(F.lit(ns), safe_suffix(F.col("uri_suffix"))).alias("o")).distinct().crossJoin(small)
-    return merge(own, construct(c, term_struct(s, AIRO + "hasRiskControl", F.col("o"), "iri")), construct(o, term_struct(s, ns + "hasObligation", F.col("o"), "iri")))
+    return merge(own, construct(c, term_struct(s, AIRO + "hasRiskControl", F.col("o"), "iri"), repeats=True), construct(o, term_struct(s, ns + "hasObligation", F.col("o"), "iri"), repeats=True), repeats=repeats)
 
 
 def named_instances(instances: DataFrame, ns: str) -> DataFrame:
@@ -215,7 +217,7 @@ def named_instances(instances: DataFrame, ns: str) -> DataFrame:
     return t.withColumn("s", F.coalesce("_a", F.concat(F.lit(ns), safe_suffix(F.col("uri_suffix"))))).withColumn("own", F.col("_a").isNull()).drop("_a")
 
 
-def model_triples(instances: DataFrame, ns: str, biometric: str | None = None) -> DataFrame:
+def model_triples(instances: DataFrame, ns: str, biometric: str | None = None, repeats: bool = False) -> DataFrame:
     """Model instances (uri_suffix, type, summary, paragraph_ref, source_article int, source_annex string, cq_targets, evidence_text).
 
     Singleton types add their summary to the anchor alone. The article comes
@@ -232,13 +234,13 @@ def model_triples(instances: DataFrame, ns: str, biometric: str | None = None) -
     base = construct(
         t, term_struct(s, TYPE, F.when(own, F.col("type_iri")), "iri"), term_struct(s, LABEL, F.when(own, F.col("uri_suffix")), lang="en"), term_struct(s, ns + "hasSummary", summary, dt=XSD + "string"),
         term_struct(s, ns + "hasArticleReference", article, "iri"), term_struct(s, ns + "hasParagraphReference", F.when(own, paragraph_target(F.col("paragraph_ref"), ns)), "iri"), term_struct(s, ns + "hasAnnexReference", annex, "iri"),
-        term_struct(s, COMMENT, F.when(own & (F.length(evidence) > 0), F.concat(F.lit("evidence: "), evidence)), lang="en"),
+        term_struct(s, COMMENT, F.when(own & (F.length(evidence) > 0), F.concat(F.lit("evidence: "), evidence)), lang="en"), repeats=True,
     )
-    goals = construct(t.where(own).select("s", F.explode("cq_targets").alias("cq")), term_struct(s, COMMENT, F.concat(F.lit("cq_target: "), F.col("cq")), lang="en"))
-    return merge(base, goals, role_triples(t.where(own), ns), article_range_triples(t.where(own), ns, biometric))
+    goals = construct(t.where(own).select("s", F.explode("cq_targets").alias("cq")), term_struct(s, COMMENT, F.concat(F.lit("cq_target: "), F.col("cq")), lang="en"), repeats=True)
+    return merge(base, goals, role_triples(t.where(own), ns, repeats=True), article_range_triples(t.where(own), ns, biometric, repeats=True), repeats=repeats)
 
 
-def role_triples(typed: DataFrame, ns: str) -> DataFrame:
+def role_triples(typed: DataFrame, ns: str, repeats: bool = False) -> DataFrame:
     """Bearers and reporting targets by canonical type, from constant tables; typed has s and canonical."""
     spark = typed.sparkSession
     bearers = spark.createDataFrame([(k, b) for k, names in BEARERS.items() for b in names], "canonical string, bearer string")
@@ -246,17 +248,18 @@ def role_triples(typed: DataFrame, ns: str) -> DataFrame:
     b = typed.select("s", "canonical").join(F.broadcast(bearers), "canonical")
     r = typed.select("s", "canonical").join(F.broadcast(targets), "canonical")
     link = F.when(F.col("canonical").endswith("Power"), ns + "hasPower").otherwise(ns + "hasObligation")
-    return merge(construct(b, term_struct(F.concat(F.lit(ns), F.col("bearer")), link, F.col("s"), "iri")), construct(r, term_struct(F.col("s"), ns + "hasReportingTarget", F.concat(F.lit(ns), F.col("target")), "iri")))
+    made = construct(b, term_struct(F.concat(F.lit(ns), F.col("bearer")), link, F.col("s"), "iri"), repeats=True)
+    return merge(made, construct(r, term_struct(F.col("s"), ns + "hasReportingTarget", F.concat(F.lit(ns), F.col("target")), "iri"), repeats=True), repeats=repeats)
 
 
-def article_range_triples(typed: DataFrame, ns: str, biometric: str | None = None) -> DataFrame:
+def article_range_triples(typed: DataFrame, ns: str, biometric: str | None = None, repeats: bool = False) -> DataFrame:
     """Conditions wired by the article of their reference or of their source: 57 to 63 to the sandbox, 51 to the model with systemic risk, 5 to the biometric practice, if there is one."""
     named, source = parse_reference(F.col("paragraph_ref"))["article"], F.col("source_article")
     within = lambda low, high: F.coalesce(named.between(low, high), F.lit(False)) | F.coalesce(source.between(low, high), F.lit(False))
     none = F.lit(None).cast("string")
     rules = F.array(F.when(within(57, 63), ns + SANDBOX), F.when(within(51, 51), ns + RISKY_MODEL), F.when(within(5, 5), F.lit(ns + biometric)) if biometric else none)
     rows = typed.where(F.col("canonical").endswith("Condition")).select("s", F.explode(rules).alias("of"))
-    return construct(rows, term_struct(F.col("of"), ns + "hasCondition", F.col("s"), "iri"))
+    return construct(rows, term_struct(F.col("of"), ns + "hasCondition", F.col("s"), "iri"), repeats=repeats)
 
 
 #: What an enrichment may say, and its datatypes.
@@ -264,34 +267,36 @@ ENRICHMENTS = {"hasDeadline": "literal", "hasFine": "literal", "hasMaximumFineRa
 DATATYPES = ("duration", "decimal", "string")
 
 
-def enrichment_triples(records: DataFrame, known: DataFrame, ns: str, suffixes: DataFrame | None = None) -> DataFrame:
+def enrichment_triples(records: DataFrame, known: DataFrame, ns: str, suffixes: DataFrame | None = None, repeats: bool = False, parts: int | None = None) -> DataFrame:
     """Enrichment records (subject, subject_type, predicate, object, object_datatype) as triples; a law that is named gets its stub once.
 
     A subject of type ``article`` is an article's name. Another is first looked
     up among suffixes (suffix, s), the names that model instances went by, then
     taken as a suffix that has a triple in known; the rest is passed over, as are
-    other predicates.
+    other predicates. The records are looked up and written out in one pass,
+    in ``parts`` partitions if the session's are fewer than it needs.
     """
     rows = records.where(F.col("predicate").isin(list(ENRICHMENTS)))
     article = F.coalesce(F.col("subject_type") == "article", F.lit(False))
     own = F.concat(F.lit(ns), safe_suffix(F.col("subject")))
-    rows = rows.withColumn("_own", F.when(~article, own))
     map_ = suffixes if suffixes is not None else records.sparkSession.createDataFrame([], "suffix string, s string")
+    rows = rows.repartition(parts, "subject") if parts else rows
     rows = rows.join(map_.groupBy(F.col("suffix").alias("subject")).agg(F.max("s").alias("_mapped")), "subject", "left")
+    # rows that need no second look get a key that no name is, each its own, as nulls would all meet in one task
+    rows = rows.withColumn("_own", F.when(article | F.col("_mapped").isNotNull(), F.concat(F.lit("\0"), F.coalesce("subject", F.lit("")), F.lit("\0"), F.coalesce("object", F.lit("")))).otherwise(own))
+    rows = rows.repartition(parts, "_own") if parts else rows
     rows = rows.join(known.select(F.col("s").alias("_own")).distinct().withColumn("_there", F.lit(True)), "_own", "left")
     s = F.when(article, F.concat(F.lit(ns), F.col("subject"))).otherwise(F.coalesce("_mapped", F.when(F.col("_there"), F.col("_own"))))
     ok = rows.withColumn("s", s).where("s is not null")
     p = F.concat(F.lit(ns), F.col("predicate"))
-    values = [k for k, kind in ENRICHMENTS.items() if kind == "literal"]
+    value = F.col("predicate").isin([k for k, kind in ENRICHMENTS.items() if kind == "literal"])
     short = F.regexp_replace(F.coalesce("object_datatype", F.lit("string")), "^xsd:", "")
     dt = F.concat(F.lit(XSD), F.when(short.isin(*DATATYPES), short).otherwise("string"))
-    literal = construct(ok.where(F.col("predicate").isin(values)), F.struct(F.col("s").alias("s"), F.lit("iri").alias("s_kind"), p.alias("p"), F.col("object").alias("o"), F.lit("literal").alias("o_kind"), dt.alias("o_dt"), F.lit(None).cast("string").alias("o_lang")))
-    nodes = ok.where(~F.col("predicate").isin(values))
     to = F.concat(F.lit(ns), F.col("object"))
-    laws = nodes.where("object like 'Legislation\\_%'").select("object").distinct()
+    said = F.struct(F.col("s").alias("s"), F.lit("iri").alias("s_kind"), p.alias("p"), F.when(value, F.col("object")).otherwise(to).alias("o"), F.when(value, "literal").otherwise("iri").alias("o_kind"), F.when(value, dt).alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    law = F.when(~value & F.col("object").like("Legislation\\_%"), to)
     number = F.regexp_replace("object", "Legislation_", "")
-    stub = construct(laws, term_struct(to, TYPE, F.lit(ns + "EULegislation"), "iri"), term_struct(to, LABEL, F.concat(F.lit("EU legislation "), number), lang="en"), term_struct(to, ns + "hasCELEXNumber", number, dt=XSD + "string"))
-    return merge(literal, construct(nodes, term_struct(F.col("s"), p, to, "iri")), stub)
+    return construct(ok, said, term_struct(law, TYPE, F.lit(ns + "EULegislation"), "iri"), term_struct(law, LABEL, F.concat(F.lit("EU legislation "), number), lang="en"), term_struct(law, ns + "hasCELEXNumber", number, dt=XSD + "string"), repeats=repeats)
 
 
 def summary_triples(articles: DataFrame, annexes: DataFrame, ns: str) -> DataFrame:
@@ -311,7 +316,7 @@ STUBS = {
 }
 
 
-def backstops(instances: DataFrame, ns: str, biometric: str | None = None) -> DataFrame:
+def backstops(instances: DataFrame, ns: str, biometric: str | None = None, repeats: bool = False) -> DataFrame:
     """The stub of Article 5 if there is a biometric practice and no condition names that article, and of Article 51 if none names that."""
     t = named_instances(instances, ns).where("own and endswith(canonical, 'Condition')")
     named, source = parse_reference(F.col("paragraph_ref"))["article"], F.col("source_article")
@@ -321,8 +326,8 @@ def backstops(instances: DataFrame, ns: str, biometric: str | None = None) -> Da
         if bearer:
             name, cls, label, summary, article = STUBS[k]
             s = F.lit(ns + name)
-            parts.append(construct(seen.where(~F.col(k)), term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.lit(label), lang="en"), term_struct(s, ns + "hasSummary", F.lit(summary), dt=XSD + "string"), term_struct(s, ns + "hasArticleReference", F.lit(ns + article), "iri"), term_struct(F.lit(ns + bearer), ns + "hasCondition", s, "iri")))
-    return merge(*parts)
+            parts.append(construct(seen.where(~F.col(k)), term_struct(s, TYPE, F.lit(ns + cls), "iri"), term_struct(s, LABEL, F.lit(label), lang="en"), term_struct(s, ns + "hasSummary", F.lit(summary), dt=XSD + "string"), term_struct(s, ns + "hasArticleReference", F.lit(ns + article), "iri"), term_struct(F.lit(ns + bearer), ns + "hasCondition", s, "iri"), repeats=True))
+    return merge(*parts, repeats=repeats)
 
 
 #: The individuals that a graph always has: name, classes, label.
@@ -358,7 +363,7 @@ ANCHOR_LINKS = (
 ANCHOR_ANNEXES = {"IV": "TechnicalDocumentation_Annex_IV", "VI": "InternalControl_Annex_VI", "VII": "ThirdPartyAssessment_Annex_VII", "VIII": "RegistrationRecord_Annex_VIII", "IX": "TestingPlan_Annex_IX"}
 
 
-def anchors(annexes: DataFrame, ns: str, most: int = 1500) -> DataFrame:
+def anchors(annexes: DataFrame, ns: str, most: int = 1500, repeats: bool = False) -> DataFrame:
     """The sixteen anchors; annexes (number, text) that are there give references, and Annex IV its text's first ``most`` characters as a summary."""
     spark = annexes.sparkSession
     full = lambda c: c if "://" in c else ns + c
@@ -370,4 +375,4 @@ def anchors(annexes: DataFrame, ns: str, most: int = 1500) -> DataFrame:
         of = F.when(F.upper(F.col("number").cast("string")) == number, ns + name).otherwise(of)
     there = annexes.withColumn("s", of).where("s is not null")
     text = F.when(F.col("s") == ns + "TechnicalDocumentation_Annex_IV", F.nullif(F.substr("text", F.lit(1), F.lit(most)), F.lit("")))
-    return merge(triples(spark, rows), construct(there, term_struct(F.col("s"), ns + "hasAnnexReference", F.concat(F.lit(ns + "Annex_"), F.upper(F.col("number").cast("string"))), "iri"), term_struct(F.col("s"), ns + "hasSummary", text, dt=XSD + "string")))
+    return merge(triples(spark, rows), construct(there, term_struct(F.col("s"), ns + "hasAnnexReference", F.concat(F.lit(ns + "Annex_"), F.upper(F.col("number").cast("string"))), "iri"), term_struct(F.col("s"), ns + "hasSummary", text, dt=XSD + "string"), repeats=True), repeats=repeats)

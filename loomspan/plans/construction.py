@@ -29,6 +29,29 @@ NUMBERS = (5, 14, 26, 27, 50, 51, 52, 53, 57, 60, 72, 99)
 BIOMETRIC = "prohibited_practice_art5_1_h"
 
 
+#: Rows of a table that one task makes triples of, and triples that one task tells apart: more are dealt to more tasks, so that a task's memory stays as it is.
+SHARE, TRIPLES = 50_000, 250_000
+
+
+def _dealt(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A table over tasks of SHARE rows, whatever files hold it: a small file of many rows would be one task with all their triples."""
+    rows = table(spark, d, name)
+    n = -(-rows.count() // SHARE)  # from the files' footers
+    return rows.repartition(n, key) if n > 1 else rows
+
+
+def _wider(spark: SparkSession, n: int) -> int | None:
+    """Partitions for n triples, if the session's own are too few for them."""
+    parts = -(-n // TRIPLES)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _distinct(g: DataFrame, n: int) -> DataFrame:
+    """The distinct triples of some n."""
+    parts = _wider(g.sparkSession, n)
+    return (g.repartition(parts, "s", "p", "o") if parts else g).distinct()
+
+
 def _pick(values: tuple, at) -> F.Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
@@ -37,7 +60,7 @@ def article_items(spark: SparkSession, d: str) -> DataFrame:
     n, k = (F.col("p_partkey") % 113 + 1).cast("int"), F.floor(F.col("p_partkey") / 113).cast("int")
     letter = F.when(n.isin(5, 14), F.char(97 + k % 10))
     paragraph = F.when(n == 5, "1").when(n == 14, "4").otherwise((k % 7 + 1).cast("string"))
-    rows = table(spark, d, "part").select(n.alias("number"), n.cast("string").alias("unit"), F.col("p_partkey").cast("int").alias("pos"), F.col("p_name").alias("text"), paragraph.alias("paragraph_number"), letter.alias("list_label"))
+    rows = _dealt(spark, d, "part", "p_partkey").select(n.alias("number"), n.cast("string").alias("unit"), F.col("p_partkey").cast("int").alias("pos"), F.col("p_name").alias("text"), paragraph.alias("paragraph_number"), letter.alias("list_label"))
     return rows.withColumn("reference", F.concat(F.lit("Article "), "unit", F.lit("("), "paragraph_number", F.lit(")"), F.coalesce(F.concat(F.lit("("), "list_label", F.lit(")")), F.lit(""))))
 
 
@@ -48,7 +71,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 def annex_items(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     paragraph = F.when(k % 3 != 0, (F.floor(k / 13) % 5 + 1).cast("string"))
-    rows = table(spark, d, "supplier").select(_pick(ROMAN, k % 13).alias("unit"), k.cast("int").alias("pos"), F.col("s_name").alias("text"), paragraph.alias("paragraph_number"), F.lit(None).cast("string").alias("list_label"))
+    rows = _dealt(spark, d, "supplier", "s_suppkey").select(_pick(ROMAN, k % 13).alias("unit"), k.cast("int").alias("pos"), F.col("s_name").alias("text"), paragraph.alias("paragraph_number"), F.lit(None).cast("string").alias("list_label"))
     return rows.withColumn("reference", F.concat(F.lit("Annex "), "unit", F.coalesce(F.concat(F.lit("("), "paragraph_number", F.lit(")")), F.lit(""))))
 
 
@@ -61,7 +84,7 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
     n = _pick(NUMBERS, F.floor(k / len(KINDS)) % len(NUMBERS))
     article = F.concat(F.lit("Article "), n.cast("string"))
     ref = F.when(k % 4 == 0, F.concat(article, F.lit("(2)"))).when(k % 4 == 1, F.concat(article, F.lit("(1)(b)"))).when(k % 4 == 3, "Annex iv(1)")
-    return table(spark, d, "customer").select(
+    return _dealt(spark, d, "customer", "c_custkey").select(
         F.concat(F.lit("item-"), k.cast("string")).alias("uri_suffix"), _pick(KINDS, k % len(KINDS)).alias("type"), F.when(k % 5 != 0, F.concat("c_mktsegment", F.lit(" "), k.cast("string"))).alias("summary"), ref.alias("paragraph_ref"),
         F.when(k % 8 != 7, n).alias("source_article"), F.when(k % 8 == 7, "ix").alias("source_annex"), F.when(k % 3 == 0, F.array(F.concat(F.lit("CQ"), (k % 10 + 1).cast("string")))).alias("cq_targets"), F.when(k % 6 == 0, F.concat(F.lit("ev "), k.cast("string"))).alias("evidence_text"),
     )
@@ -90,32 +113,35 @@ def _biometric(found: DataFrame) -> str | None:
     return BIOMETRIC if found.where("is_biometric").take(1) else None
 
 
-def structure(spark, d):
-    return wiring.structural_triples(articles(spark, d), article_items(spark, d), annexes(spark, d), EX)
+def structure(spark, d, repeats=False):
+    return wiring.structural_triples(articles(spark, d), article_items(spark, d), annexes(spark, d), EX, repeats=repeats)
 
 
-def ruled(spark, d):
-    return wiring.rule_triples(_rules(spark, d), EX)
+def ruled(spark, d, repeats=False):
+    return wiring.rule_triples(_rules(spark, d), EX, repeats=repeats)
 
 
-def systems(spark, d):
+def systems(spark, d, repeats=False):
     found = _rules(spark, d)
     named = wiring.named_instances(instances(spark, d), EX).where("canonical = 'TransparencyObligation'")
-    return wiring.paired_systems(found.where("type = 'AreaOfApplication'"), found.where("type = 'RiskControl'"), named, EX)
+    return wiring.paired_systems(found.where("type = 'AreaOfApplication'"), found.where("type = 'RiskControl'"), named, EX, repeats=repeats)
 
 
-def modelled(spark, d):
-    return wiring.model_triples(instances(spark, d), EX, _biometric(_rules(spark, d)))
+def modelled(spark, d, repeats=False):
+    made = wiring.model_triples(instances(spark, d), EX, _biometric(_rules(spark, d)), repeats=True)
+    return made if repeats else _distinct(made, 6 * table(spark, d, "customer").count())
 
 
-def enriched(spark, d, known=None):
+def enriched(spark, d, known=None, repeats=False):
     named = wiring.named_instances(instances(spark, d), EX)
-    known = known if known is not None else merge(structure(spark, d), modelled(spark, d))
-    return wiring.enrichment_triples(enrichments(spark, d), known, EX, named.select(F.col("uri_suffix").alias("suffix"), "s"))
+    known = known if known is not None else merge(structure(spark, d, repeats=True), modelled(spark, d, repeats=True), repeats=True)
+    n = table(spark, d, "orders").count()
+    made = wiring.enrichment_triples(enrichments(spark, d), known, EX, named.select(F.col("uri_suffix").alias("suffix"), "s"), repeats=True, parts=_wider(spark, n))
+    return made if repeats else _distinct(made, n)
 
 
-def backed(spark, d):
-    return wiring.backstops(instances(spark, d), EX, _biometric(_rules(spark, d)))
+def backed(spark, d, repeats=False):
+    return wiring.backstops(instances(spark, d), EX, _biometric(_rules(spark, d)), repeats=repeats)
 
 
 _BUILT: dict[tuple, str] = {}
@@ -129,11 +155,16 @@ def _stamp(spark: SparkSession, d: str) -> str:
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
-    """All layers and the schema, written once for a session and a state of the tables, in order of predicates so that a pattern's filter skips row groups."""
+    """All layers and the schema, written once for a session and a state of the tables, in order of predicates so that a pattern's filter skips row groups.
+
+    The layers are made distinct once, all together.
+    """
     name = (spark.sparkContext.applicationId, d, _stamp(spark, d))
     if name not in _BUILT or not existing(spark, _BUILT[name]):
-        base = written(merge(tbox(spark, EX), structure(spark, d), wiring.anchors(annexes(spark, d), EX), ruled(spark, d), systems(spark, d), modelled(spark, d), backed(spark, d)), "graph-base")
-        whole = merge(base, enriched(spark, d, base)).sortWithinPartitions("p")
+        layers = [layer(spark, d, repeats=True) for layer in (structure, ruled, systems, modelled, backed)]
+        base = written(merge(tbox(spark, EX), wiring.anchors(annexes(spark, d), EX, repeats=True), *layers, repeats=True), "graph-base")
+        n = base.count() + table(spark, d, "orders").count()
+        whole = _distinct(merge(base, enriched(spark, d, base, repeats=True), repeats=True), n).sortWithinPartitions("p")
         _BUILT[name] = written(whole, "graph").inputFiles()[0].rsplit("/", 1)[0]
     return spark.read.parquet(_BUILT[name])
 
