@@ -9,6 +9,9 @@ depths dots stand, and the prefixes that are declared. Put together file by
 file these tell each split its state, its depth and its prefixes; they are some
 hundred bytes for each split, and all that reaches the driver.
 
+A split as Spark reads it is cut into blocks of lines, which are the splits in
+all that follows, so that a task holds a block and not its share of a file.
+
 A second pass parses the whole statements of each split. What stands before its
 first end and behind its last is a part of a statement that other splits hold
 the rest of: those parts meet by the split where their statement began.
@@ -30,11 +33,14 @@ from loomspan.terms import COLUMNS
 
 #: States at a line's start: outside of long strings, or in one of these quotes.
 OUTSIDE, STATES = "", ("", '"""', "'''")
-CLOSE = {'"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*"""', re.S), "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*'''", re.S)}
+#: Nothing is given back in them, so a match that fails at the end of a text keeps no state for each character.
+CLOSE = {'"""': re.compile(r'(?:[^"\\]++|\\.|"(?!""))*+"""', re.S), "'''": re.compile(r"(?:[^'\\]++|\\.|'(?!''))*+'''", re.S)}
 #: Splits and declarations of prefixes that the driver takes.
 MOST = 2_000_000
 #: Characters of statements that are parsed together.
 PIECE = 1 << 20
+#: Characters of a block of lines.
+BLOCK = 4 << 20
 
 
 @dataclass
@@ -155,18 +161,32 @@ def _within(both: list[str], cut: int, end: int, name: str) -> bool:
     return end - (2 if name else 1) >= cut
 
 
-def _by_split(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
-    """(path, start, text) of the splits that a task reads, from rows (path, start, line) in the order of the scan."""
-    now, lines = None, []
+def _by_split(it: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[str, tuple[int, int], str]]:
+    """(path, (start, number), text) of the blocks of the splits that a task reads, from rows (path, start, line) in the order of the scan.
+
+    A block ends with the line that fills it, so the same splits always give the same blocks.
+    """
+    now, number, lines, size = None, 0, [], 0
+
+    def taken() -> str:
+        nonlocal lines, size
+        lines.append("")
+        text, lines, size = "\n".join(lines), [], 0
+        return text
+
     for b in it:
         for path, start, line in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
             if (path, start) != now:
                 if lines:
-                    yield *now, "\n".join(lines) + "\n"
-                now, lines = (path, start), []
+                    yield now[0], (now[1], number), taken()
+                now, number = (path, start), 0
             lines.append(line)
+            size += len(line) + 1
+            if size >= block:
+                yield path, (start, number), taken()
+                number += 1
     if lines:
-        yield *now, "\n".join(lines) + "\n"
+        yield now[0], (now[1], number), taken()
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -175,23 +195,23 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(meta("file_path").alias("path"), meta("file_block_start").alias("start"), "value")
 
 
-def _summaries(lines: DataFrame) -> dict[str, dict[int, dict[str, Summary]]]:
-    """Summaries by path and start."""
+def _summaries(lines: DataFrame, block: int) -> dict[str, dict[tuple[int, int], dict[str, Summary]]]:
+    """Summaries by path and by start and number of the block."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, start, text in _by_split(it):
+        for path, (start, number), text in _by_split(it, block):
             rows = [(st, s.state, s.depth, sorted(s.dots), [list(d) for d in s.declared], s.first, s.last) for st in STATES for s in [summary(text, st)]]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.list_(pa.string())]
-            cols = [pa.array([path] * len(rows)), pa.array([start] * len(rows), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
-            yield pa.record_batch(cols, names=["path", "start", "entered", "state", "depth", "dots", "declared", "first", "last"])
+            cols = [pa.array([path] * len(rows)), *[pa.array([x] * len(rows), pa.int64()) for x in (start, number)], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
+            yield pa.record_batch(cols, names=["path", "start", "number", "entered", "state", "depth", "dots", "declared", "first", "last"])
 
-    out: dict[str, dict[int, dict[str, Summary]]] = {}
+    out: dict[str, dict[tuple[int, int], dict[str, Summary]]] = {}
     size = 0
-    for r in lines.mapInArrow(work, "path string, start long, entered string, state string, depth long, dots array<long>, declared array<array<string>>, first array<string>, last array<string>").toLocalIterator():
+    for r in lines.mapInArrow(work, "path string, start long, number long, entered string, state string, depth long, dots array<long>, declared array<array<string>>, first array<string>, last array<string>").toLocalIterator():
         size += 1 + len(r.declared)
         if size > MOST:
             raise TurtleError(f"more than {MOST} splits and declarations: raise spark.sql.files.maxPartitionBytes")
-        out.setdefault(r.path, {}).setdefault(r.start, {})[r.entered] = Summary(r.state, r.depth, set(r.dots), [tuple(d) for d in r.declared], r.first, r.last)
+        out.setdefault(r.path, {}).setdefault((r.start, r.number), {})[r.entered] = Summary(r.state, r.depth, set(r.dots), [tuple(d) for d in r.declared], r.first, r.last)
     return out
 
 
@@ -212,7 +232,7 @@ def _parser(e: Entry, scope: str, own: str) -> TurtleParser:
     return p
 
 
-def read_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_split(spark: SparkSession, path: str | list[str], block: int = BLOCK) -> DataFrame:
     """The distinct triples of Turtle files that are read in splits of any size.
 
     They are those of a parse of each file as a whole, but for the names of
@@ -220,7 +240,7 @@ def read_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
     no Turtle, raises TurtleError when it is read; empty files have no triples.
     """
     known = {}
-    for file, splits in _summaries(_lines(spark, path)).items():
+    for file, splits in _summaries(_lines(spark, path), block).items():
         made = entries([splits[s] for s in sorted(splits)])
         known |= {(file, s): made[k] for k, s in enumerate(sorted(splits))} | {(file, None): made[-1]}
     after = {(file, e.number): e for (file, _), e in known.items()}
@@ -234,7 +254,7 @@ def read_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], pa.string()) for i in range(7)] + [pa.nulls(len(rows), t) for t in (pa.string(), pa.int32(), pa.int32(), pa.string())]
             return pa.record_batch(cols, names=[*COLUMNS, "path", "began", "number", "text"])
 
-        for file, start, text in _by_split(it):
+        for file, start, text in _by_split(it, block):
             e = known[file, start]
             ends = ends_of(text, e.state, e.depth)
             if not ends:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomspan.terms import COLUMNS, RDF, TRIPLE, XSD
 
 TOKEN = re.compile(
-    r'''\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\')|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')'''
+    r'''\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>"""(?:[^"\\]++|\\.|"(?!""))*+"""|\'\'\'(?:[^'\\]++|\\.|'(?!''))*+\'\'\')|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')'''
     r"""|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<bnode>_:[\w.-]*\w)|(?P<num>[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<name>(?:[^\W\d_][\w.-]*)?:(?:(?:[\w:%-]|\.(?=[\w:%.-])|\\.)*))"""
     r"""|(?P<word>[A-Za-z]+)|(?P<op>\^\^|[.;,\[\]()])""",
     re.S,
