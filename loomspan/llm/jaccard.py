@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.textops import BASE, SPACE, count_in, lean, lowered, mixed, prefix_hash, runs, slices, stretch_hash
-from loomspan.operators.components import connected_components
+from loomspan.operators.components import connected_components, with_edges
 from loomspan.session import written
 
 #: The least similarity of a link, as a fraction.
@@ -248,7 +248,7 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
     held = written(mine.mapInArrow(lean(shared_only), "x long, name long, n int, at int"), "jaccard-shared")
     side = lambda k: [F.col("name").alias(k), F.col("n").alias("n" + k), F.col("at").alias("i" + k), F.col("c").alias("c" + k)]
     edges = links if links is not None else spark.createDataFrame([], "a long, b long")
-    comp = connected_components(edges) if links is not None else spark.createDataFrame([], "node long, component long")
+    comp = written(connected_components(edges), "jaccard-components") if links is not None else spark.createDataFrame([], "node long, component long")
     turn = 0
     while turn <= stars:
         now = held.join(comp, held.name == comp.node, "left").select("x", "name", "n", "at", F.coalesce("component", "name").alias("c"))
@@ -279,8 +279,8 @@ def components(docs: DataFrame, text: str = "text", words: int = 5, links: DataF
         pairs = written(pairs, "jaccard-pairs")
         found = None if pairs.isEmpty() else written(checked(pairs, docs, text, words), "jaccard-found")
         if found is not None and not found.isEmpty():
-            edges = written(edges.unionByName(found), "jaccard-links")
-            comp = connected_components(edges)
+            edges = edges.unionByName(found)
+            comp = written(with_edges(comp, found), "jaccard-components")
             turn += 1
         else:
             turn = max(turn + 1, stars if turn < stars else 0)

@@ -245,8 +245,8 @@ def entities_of(match: Column) -> Column:
     words = lambda x: F.regexp_extract_all(x, F.lit(r"\p{L}{2,}"), F.lit(0))
     name = lambda g: lambda w: F.struct(F.lit("name").alias("kind"), F.lower(w).alias("value"), g.alias("gender"))
     person = F.concat(F.transform(words(given), name(gender_of(title))), F.transform(words(F.substr(names, F.length(given) + 1, F.length(names))), name(F.lit("n"))))
-    kind = kind_of(match)
-    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, match).alias("value"), F.lit("n").alias("gender"))))
+    one = lambda kind: F.array(F.struct(kind.alias("kind"), canonical(kind, match).alias("value"), F.lit("n").alias("gender")))
+    return _let(kind_of(match), lambda kind: F.when(kind == "person", person).otherwise(one(kind)))
 
 
 def _entity_key(kind: Column | str, value: Column) -> Column:
@@ -317,11 +317,15 @@ def _person(secret: str, match: Column, given: Column) -> Column:
 
 def _new_of(secret: str, match: Column, given: Column) -> Column:
     """What stands in the place of a match: of an entity its surrogate, of a bare word that is a name of this text the name's, else itself."""
-    kind = kind_of(match)
-    own = F.try_element_at(given, _entity_key(kind, canonical(kind, match)))
     bare = F.try_element_at(given, _entity_key("name", F.lower(F.regexp_replace(match, r"\A(?:\p{Lu}\. ?)+", ""))))
     titled = match.rlike(rf"\A{_TITLES}\p{{Lu}}")
-    return F.coalesce(F.when((kind == "person") & (titled | bare.isNotNull()), _person(secret, match, given)).when(kind != "person", written_as(kind, match, own)), match)
+
+    def of(kind: Column) -> Column:
+        own = F.try_element_at(given, _entity_key(kind, canonical(kind, match)))
+        put = lambda own: written_as(kind, match, own)
+        return F.when((kind == "person") & (titled | bare.isNotNull()), _person(secret, match, given)).when(kind != "person", _let(own, put))
+
+    return F.coalesce(_let(kind_of(match), of), match)
 
 
 def replaced(secret: str, text: Column, given: Column) -> Column:

@@ -14,18 +14,18 @@ LARGE = 1_000_000
 
 def _flat(e: DataFrame) -> bool:
     """Whether the edges (u, v) are stars: no u has two of them or is a v."""
-    ends = e.select("u", F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n")))
+    ends = e.select(F.inline(F.array(F.struct("u", F.lit(1).alias("n")), F.struct(F.col("v").alias("u"), F.lit(0).alias("n")))))
     # a node of stars has either one row that counts or none
     per = ends.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     return per.where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
 def _stars(e: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, component) of distinct edges with u > v."""
+    """(node, component) of distinct edges with u > v; every round keeps that order."""
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # a node's smaller neighbours are those of its edges as u, so its least is found without turning the edges round
+        least = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-round")
@@ -69,3 +69,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return part
     rest = _stars(across, max_rounds).select(F.col("node").alias("component"), F.col("component").alias("_to"))
     return part.join(rest, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+
+def with_edges(part: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of what part (node, component) and the edges (a, b) connect together.
+
+    Only the edges are connected, each end as the component that it is in or as
+    itself, so the work follows them and not all that part was made of.
+    """
+    side = lambda x: part.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    across = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    rest = connected_components(across)
+    old = part.join(rest.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(rest.join(part, "node", "left_anti"))
