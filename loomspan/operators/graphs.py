@@ -7,12 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import connected_components
 from loomspan.operators.paths import closure, longest
-from loomspan.session import written
+from loomspan.session import free_shuffles, written
 from loomspan.terms import COLUMNS, SUBCLASS, TYPE, XSD
 
 
@@ -82,12 +82,59 @@ def degrees(e: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-#: Out-edges that one group of clustering holds, about.
-GROUP = 2_000_000
+#: Out-edges that one group of clustering holds at most, about, and those below which more tasks aren't worth a group of their own.
+GROUP, LEAST = 24_000_000, 1_000_000
+#: Bytes of packed lists that are unpacked at once.
+SLICE = 1 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, n, packed) of rows (src, to): sorted lists as the gaps of their numbers, seven bits a byte, the last byte of a gap below 128."""
+    for b in batches:
+        sizes, flat = b.column(1).value_lengths().to_numpy().astype(np.int64), b.column(1).flatten().to_numpy()
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        gaps = np.diff(flat, prepend=0)
+        gaps[first] = flat[first]
+        width = np.ones(len(gaps), np.int64)
+        for k in range(1, 9):
+            width += gaps >= 1 << 7 * k
+        ends = np.concatenate([[0], np.cumsum(width)])
+        out = np.zeros(ends[-1], np.uint8)
+        for k in range(int(width.max(initial=0))):
+            some = np.flatnonzero(width > k)
+            out[ends[some] + k] = (gaps[some] >> 7 * k & 127) | np.where(width[some] > k + 1, 128, 0)
+        offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+        yield pa.record_batch([b.column(0), pa.array(sizes), packed], names=["src", "n", "packed"])
+
+
+def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of packed lists, and their numbers one after the other."""
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    raw = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    gaps = raw[start].astype(np.int64) & 127
+    for k in range(1, int((last - start).max(initial=0)) + 1):
+        some = np.flatnonzero(last - start >= k)
+        gaps[some] |= (raw[start[some] + k].astype(np.int64) & 127) << 7 * k
+    upto = np.searchsorted(last, ends - ends[0])
+    sizes, sums = np.diff(upto), np.concatenate([[0], np.cumsum(gaps)])
+    return sizes, sums[1:] - np.repeat(sums[upto[:-1]], sizes)
+
+
+def _slices(lists: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Where each slice begins, and its lists, of about SLICE bytes."""
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        yield at, lists.slice(at, to - at)
+        at = to
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n) of rows (grp, kind, node, to) sorted by grp and kind: the triangles of nodes, in parts.
+    """(node, n) of rows (grp, kind, node, packed) sorted by grp and kind: the triangles of nodes, in parts.
 
     A group's own lists (kind 0) are held together; then each list that another
     node has sent (kind 1) is compared with those of its neighbours in the group.
@@ -96,14 +143,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     emit = lambda nodes, n: pa.record_batch([pa.array(nodes[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], names=["node", "n"])
 
     def index():
-        nodes = np.concatenate([x for x, _ in own])
-        lists = [y for _, y in own]
-        ends = np.concatenate([[0], np.cumsum(np.concatenate([y.value_lengths().to_numpy() for y in lists]))])
-        names, flat = np.unique(np.concatenate([y.flatten().to_numpy() for y in lists]), return_inverse=True)
-        flat = flat.astype(np.int32)
+        nodes = np.concatenate([x for x, _, _ in own])
+        sizes = np.concatenate([x for _, x, _ in own])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        to = np.concatenate([x for _, _, x in own])
+        own.clear()
+        names = np.unique(to)
+        flat = np.searchsorted(names, to).astype(np.int32)
+        del to
         # whose lists name a node: positions of nodes, by the place of the node in names
         by = np.argsort(flat, kind="stable").astype(np.int32)
-        holders = np.repeat(np.arange(len(nodes), dtype=np.int32), np.diff(ends))[by]
+        holders = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)[by]
         first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))])
         return nodes, ends, names, flat, holders, first, np.zeros(len(nodes), np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), bool)
 
@@ -112,6 +162,34 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit(ready[0], ready[6])
             yield emit(ready[2], ready[7])
 
+    def compared(nodes, lists):
+        _, ends, names, flat, holders, first, here, there, flag = ready
+        sizes, sent = _unpacked(lists)
+        spans, each = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(nodes), np.int64)
+        place = np.minimum(np.searchsorted(names, sent), len(names) - 1)
+        known = names[place] == sent
+        for i, v in enumerate(np.searchsorted(names, nodes).tolist()):
+            mine = place[spans[i] : spans[i + 1]][known[spans[i] : spans[i + 1]]]
+            if not len(mine):
+                continue
+            flag[mine] = True
+            # in steps, as a node that many lists name has many places
+            for lo in range(first[v], first[v + 1], 512):
+                who = holders[lo : min(lo + 512, first[v + 1])]
+                size = ends[who + 1] - ends[who]
+                starts = np.cumsum(size) - size
+                theirs = flat[np.arange(int(size.sum())) + np.repeat(ends[who] - starts, size)]
+                hit = flag[theirs]
+                n = np.add.reduceat(hit, starts, dtype=np.int64)
+                here[who] += n
+                each[i] += int(n.sum())
+                if len(theirs) > len(names):
+                    there += np.bincount(theirs[hit], minlength=len(names))
+                else:
+                    np.add.at(there, theirs[hit], 1)
+            flag[mine] = False
+        return emit(nodes, each)
+
     for b in batches:
         at = 0
         while at < b.num_rows:
@@ -124,72 +202,86 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key[0] != grp:
                 yield from done()
                 grp, own, ready = key[0], [], None
-            nodes, lists = part.column(2).to_numpy(), part.column(3)
-            if key[1] == 0:
-                own.append((nodes, lists))
-                continue
-            if ready is None:
-                ready, own = index(), []
-            _, ends, names, flat, holders, first, here, there, flag = ready
-            spans = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            sent, each = lists.flatten().to_numpy(), np.zeros(len(nodes), np.int64)
-            place = np.minimum(np.searchsorted(names, sent), len(names) - 1)
-            known = names[place] == sent
-            for i, v in enumerate(np.searchsorted(names, nodes).tolist()):
-                mine = place[spans[i] : spans[i + 1]][known[spans[i] : spans[i + 1]]]
-                if not len(mine):
+            nodes = part.column(2).to_numpy()
+            for lo, lists in _slices(part.column(3)):
+                mine = nodes[lo : lo + len(lists)]
+                if key[1] == 0:
+                    sizes, to = _unpacked(lists)
+                    own.append((mine, sizes, to.astype(np.int32) if to.max(initial=0) < 1 << 31 else to))
                     continue
-                flag[mine] = True
-                # in steps, as a node that many lists name has many places
-                for lo in range(first[v], first[v + 1], 512):
-                    who = holders[lo : min(lo + 512, first[v + 1])]
-                    size = ends[who + 1] - ends[who]
-                    starts = np.cumsum(size) - size
-                    theirs = flat[np.arange(int(size.sum())) + np.repeat(ends[who] - starts, size)]
-                    hit = flag[theirs]
-                    n = np.add.reduceat(hit, starts, dtype=np.int64)
-                    here[who] += n
-                    each[i] += int(n.sum())
-                    if len(theirs) > len(names):
-                        there += np.bincount(theirs[hit], minlength=len(names))
-                    else:
-                        np.add.at(there, theirs[hit], 1)
-                flag[mine] = False
-            yield emit(nodes, each)
+                if ready is None:
+                    ready = index()
+                yield compared(mine, lists)
     yield from done()
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, node) of rows (grp, packed): the nodes that a group's lists name, each once a slice."""
+    for b in batches:
+        groups = b.column(0).to_numpy()
+        for lo, lists in _slices(b.column(1)):
+            sizes, to = _unpacked(lists)
+            of = np.repeat(groups[lo : lo + len(lists)], sizes)
+            for g in np.unique(of):
+                nodes = np.unique(to[of == g])
+                yield pa.record_batch([pa.array(np.full(len(nodes), g, np.int32)), pa.array(nodes, pa.int64())], names=["grp", "node"])
+
+
+def _numbered(deg: DataFrame) -> DataFrame:
+    """deg with an id, 0, 1, 2 and so on in the order of the nodes, so that nodes with near names share a group."""
+    deg = written(deg.repartitionByRange("node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()), "clustering-nodes")
+    part, at, before = F.shiftright("id", 33).cast("int"), 0, {}
+    for r in deg.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        before[r.part], at = at, at + r.n
+    starts = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1)])
+    return deg.withColumn("id", starts[part] + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def clustering(e: DataFrame, group: int = GROUP) -> DataFrame:
     """(node, k, links, coefficient) over neighbours in either direction; self-loops left out.
 
     Edges point from the smaller degree to the larger, so no node points to more
     than the square root of twice the edges, and a hub's neighbours never pair
-    with each other. Nodes are cut by range into groups of about ``group``
-    out-edges. A group keeps its nodes' lists, and each list goes once to every
-    group that points to its node: what the ends of an edge share closes a
-    triangle with it. So lists aren't repeated for each edge.
+    with each other. Nodes are cut by range into groups of at most about
+    ``group`` out-edges. A group keeps its nodes' lists, and each list goes once
+    to every group that points to its node: what the ends of an edge share closes
+    a triangle with it. So lists aren't repeated for each edge. They are packed,
+    as where all nodes meet each goes to all groups, and groups come in rounds of
+    one a core, so that the disk holds the lists as often as there are cores at most.
     """
     spark = e.sparkSession
     pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     pairs = written(pairs, "clustering-pairs")
+    free_shuffles(spark)
     deg = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
-    # ids in the order of the nodes, so that nodes with near names share a group
-    deg = written(written(deg, "clustering-degrees").repartitionByRange("node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()), "clustering-nodes")
+    deg = _numbered(written(deg, "clustering-degrees"))
     side = lambda x: deg.select(F.col("node").alias(x), F.col("k").alias("k" + x), F.col("id").alias("i" + x))
     ranked = pairs.join(side("a"), "a").join(side("b"), "b")
     lower = F.struct("ka", "ia") < F.struct("kb", "ib")
     up = ranked.select(F.when(lower, F.col("ia")).otherwise(F.col("ib")).alias("src"), F.when(lower, F.col("ib")).otherwise(F.col("ia")).alias("dst"))
-    lists = written(up.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to")), "clustering-lists")
-    groups = -(-(lists.agg(F.sum(F.size("to"))).first()[0] or 1) // group)
-    weighed = lists.select("src", F.explode("to"))
-    cuts = weighed.agg(F.percentile_approx("src", [i / groups for i in range(1, groups)])).first()[0] if groups > 1 else []
-    grp = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<long>"), lambda c: c < F.col("src")))
+    lists = up.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    lists = written(lists.mapInArrow(_packed, "src long, n long, packed binary"), "clustering-lists")
+    free_shuffles(spark)
+    total, cores = lists.agg(F.sum("n")).first()[0] or 1, spark.sparkContext.defaultParallelism
+    groups = max(-(-total // group), min(cores, total // LEAST))
+    # the nodes at which so many shares of the edges are full, of at most a thousand ranges of nodes for each group
+    last = lists.agg(F.max("src")).first()[0] or 0
+    wide = max(1, last // (1000 * groups))
+    ranges = lists.groupBy(F.floor(F.col("src") / wide).alias("r")).agg(F.sum("n").alias("n")) if groups > 1 else None
+    upto = ranges.select("r", F.sum("n").over(Window.orderBy("r")).alias("upto")) if groups > 1 else None
+    cuts = [r.c * wide for r in upto.groupBy(F.floor((F.col("upto") - 1) * groups / total)).agg(F.min("r").alias("c")).orderBy("c").collect()][1:] if groups > 1 else []
+    grp = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("src")))
     lists = lists.withColumn("grp", grp)
-    sends = lists.select("grp", F.explode("to").alias("node")).distinct().join(lists.select(F.col("src").alias("node"), "to"), "node")
-    rows = lists.select("grp", F.lit(0).alias("kind"), F.col("src").alias("node"), "to").unionByName(sends.select("grp", F.lit(1).alias("kind"), "node", "to"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    each = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(_shared, "node long, n long")
-    per = each.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("links"))
+    parts, done = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    for lo in range(0, len(cuts) + 1, cores):
+        own = lists.where(F.col("grp").between(lo, lo + cores - 1))
+        named = own.select("grp", "packed").mapInArrow(_named, "grp int, node long").distinct()
+        sends = named.join(lists.select(F.col("src").alias("node"), "packed"), "node")
+        rows = own.select("grp", F.lit(0).alias("kind"), F.col("src").alias("node"), "packed").unionByName(sends.select("grp", F.lit(1).alias("kind"), "node", "packed"))
+        each = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(_shared, "node long, n long")
+        done.append(written(each.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("n")), "clustering-links"))
+        free_shuffles(spark)
+    per = reduce(DataFrame.unionByName, done).groupBy("id").agg(F.sum("n").alias("links"))
     out = deg.join(per, "id", "left").select("node", "k", F.coalesce("links", F.lit(0)).alias("links"))
     return out.withColumn("coefficient", F.when(F.col("k") < 2, F.lit(0.0)).otherwise(2.0 * F.col("links") / (F.col("k") * (F.col("k") - 1))))
 
